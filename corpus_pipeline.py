@@ -1,8 +1,52 @@
-"""Corpus preparation, stage by stage."""
+"""Corpus preparation: toxic documents go, then copies, then near copies; sources are mixed; texts are encoded.
 
-STAGES = []
+Each stage reads what the one before it wrote. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from plumbline.llm.common import table, written
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic. Learned from the labelled rows among them."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints, the document with the smallest doc_id."""
+    return simhash.deduplicate(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests, a row for each copy."""
+    return bpe.encode_digests(docs)
+
+
+STAGES = [("toxicity", toxic), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("encoding", encode)]
+
+#: SQL expresses neither a learned score nor the mix's rounding nor byte-pair encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = written(docs, name.replace(" ", "-"))
+    return docs

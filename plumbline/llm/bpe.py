@@ -25,7 +25,7 @@ from plumbline.llm.common import slices, table
 
 #: Fixed values of the vocabulary file: its word pattern, its white space, its special strings.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-BLANKS = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: str.split() also splits at these, which the vocabulary's white space doesn't hold.
 ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
 

@@ -17,7 +17,7 @@ def library():
 
 def texts():
     r = random.Random(5)
-    signs = ["a", "B", "é", "é", "Σ", "ß", "İ", " ", "\n", "\x1c", "\x85", "　", "'s", "'LL", "12", "½", "🙂", "<|endoftext|>", "<|", "!?", "́", "the ", "中", "_", "힣", "ﬁ", "\x00", "​"]
+    signs = ["\u00a0", "\u2009", "\u2028", "\u202f", "\u1680", "\u200b", "a", "B", "é", "é", "Σ", "ß", "İ", " ", "\n", "\x1c", "\x85", "　", "'s", "'LL", "12", "½", "🙂", "<|endoftext|>", "<|", "!?", "́", "the ", "中", "_", "힣", "ﬁ", "\x00", "​"]
     yield from ["", " ", "<|startoftext|>x<|endoftext|>", "Hello world's 123 don't", "x" * 5000, "ΣΑΣ σας"]
     for _ in range(400):
         yield "".join(r.choice(signs) for _ in range(r.randint(1, 30)))

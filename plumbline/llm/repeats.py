@@ -34,9 +34,9 @@ from plumbline.llm.repeats_np import anchors, gram_hashes_of, longest_previous_f
 
 LEAST = 100
 GRAM = 32
-CROWD = 200_000
+CROWD = 15_000
 #: Bytes of regions whose suffixes are sorted together, besides the last group.
-SORTED = 2 << 20
+SORTED = 1 << 20
 RUN = np.dtype([("doc", "i8"), ("row", "i8"), ("start", "i8"), ("size", "i8")])
 
 
@@ -80,7 +80,7 @@ def _anchors(least: int, gram: int):
     """Anchors: h, c (hash of the region), place (first string << 8 | strings). Runs that a slice settles: place = -size, c = start."""
 
     def run(batches):
-        for batch in slices(batches, most_bytes=8 << 20):
+        for batch in slices(batches, most_bytes=3 << 20):
             texts = text_bytes(batch.column("text"))
             doc, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "row"))
             # in order of document; of rows that are the same, once

@@ -82,12 +82,13 @@ def suffix_order(data: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[i
         order = np.argsort(key)
         sorted_ = key[order]
         new = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-        rank = np.empty(n, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int32)
         rank[order] = new
         kept.append((w, rank))
         if w >= least or new[-1] == n - 1:
             return order, kept
-        key = (rank + 1) * (n + 2)
+        del sorted_, new
+        key = (rank.astype(np.int64) + 1) * (n + 2)
         key[: n - w] += rank[w:] + 1
         w *= 2
 

@@ -119,3 +119,37 @@ def term_hits(texts: DataFrame, terms: DataFrame, text_id: str = "id") -> DataFr
 
 def registry_statistics(registry: DataFrame) -> DataFrame:
     return registry.agg(F.count("*").alias("contexts"), F.count_distinct(level_key("name")).alias("name_keys"), F.count_distinct("ter").alias("subjects"), F.count_if(F.length("code") == 5).alias("municipalities"))
+
+
+def scope_hits(records: DataFrame, keys: DataFrame, record_id: str = "id") -> DataFrame:
+    """id, valid, best, hits: scope keys that a record's text holds whole or whose code it has.
+
+    records: id, text (normalized), code, has_context; keys: value (normalized), role, weight,
+    context_required, code. A key that needs a context counts only where there is one or the code
+    agrees. The best is the heaviest valid key, the longest of equals.
+    """
+    by_term = term_hits(records.select(record_id, "text"), keys.select(F.col("value").alias("term")).where("term <> ''").distinct(), record_id)
+    k = keys.where("weight > 0 and role <> 'subject'").withColumnRenamed("code", "key_code")
+    columns = [record_id, "value", "role", "weight", "context_required", "key_code"]
+    met = by_term.join(k, F.col("term") == F.col("value")).select(*columns)
+    coded = records.where("code <> ''").select(record_id, F.col("code").alias("_c")).join(k.where("key_code <> ''"), F.col("_c") == F.col("key_code")).select(*columns)
+    all_ = met.unionByName(coded).distinct().join(records.select(record_id, F.col("code").alias("record_code"), "has_context"), record_id)
+    valid = ~F.col("context_required") | F.col("has_context") | ((F.col("key_code") != "") & (F.col("key_code") == F.col("record_code")))
+    hit = F.struct("value", "role", "weight", F.col("key_code").alias("code"), "valid")
+    rank = F.struct("valid", "weight", F.length("value").alias("n"), "value")
+    return all_.withColumn("valid", F.coalesce(valid, F.lit(False))).groupBy(record_id).agg(F.bool_or("valid").alias("valid"), F.max(rank).getField("value").alias("best"), F.sort_array(F.collect_set(hit)).alias("hits"))
+
+
+def pair_score(a_hits: Column, b_hits: Column, a_code: Column, b_code: Column) -> Column:
+    """Scope bonus of a pair: -80 for codes that don't fit, 14 for codes that do, else the best of its hit pairs, at most 16."""
+    from plumbline.operators.matching import BLOCKED, compatible_codes
+
+    both = (a_code != "") & (b_code != "")
+
+    def of(x: Column, y: Column) -> Column:
+        low = F.least(x["weight"], y["weight"])
+        coded = (x["code"] != "") & (y["code"] != "")
+        return F.when(~(x["valid"] & y["valid"]), 0.0).when(coded & ~compatible_codes(x["code"], y["code"]), 0.0).when(coded, low / 6).when(x["value"] == y["value"], low / 10).when((x["role"] == y["role"]) & (x["role"] == "medium"), 4.5).otherwise(0.0)
+
+    best = F.array_max(F.flatten(F.transform(a_hits, lambda x: F.transform(b_hits, lambda y: of(x, y)))))
+    return F.when(both & ~compatible_codes(a_code, b_code), BLOCKED).when(both, 14.0).otherwise(F.least(F.lit(16.0), F.coalesce(best, F.lit(0.0))))

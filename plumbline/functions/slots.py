@@ -104,6 +104,8 @@ def with_slots(df: DataFrame, raw: str, city: str = "") -> DataFrame:
     place_only = F.regexp_replace(place, f"(?iuU)^({A.SETTLEMENT}\\s*\\S+(?:\\s+(?!{A._any(A.STREET_TYPES)}{A.R})\\S+)*)\\s+{A._any(A.STREET_TYPES)}{A.R}.*$", "$1")
     base, mods = F.col("parsed.hb"), F.col("parsed.hm")
     blank = lambda: F.lit(None).cast("string")
+    # the house at the end of a street's own segment
+    typed = F.when(base != "", F.regexp_replace(typed, f"(?iuU)[\\s,]+(?:(?:дом|д)\\.?\\s*)?[0-9]+{A.TAIL}\\s*$", "")).otherwise(typed)
     street = F.coalesce(street_display(F.regexp_replace(typed, f"(?iuU)^{A.SETTLEMENT}\\s*\\S+\\s+(?={A._any(A.STREET_TYPES)}{A.R})", "")), F.when(base != "", F.concat(F.lit("ул. "), bare)))
     slots = {
         "postal_index": postal_index("_raw"),

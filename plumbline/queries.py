@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import address as A
+from plumbline.functions import slots as S
 from plumbline.functions import text as T
 from plumbline.operators import collect, compare, matching, profile, reference, registry
 from plumbline.sources import cells as C
@@ -431,3 +432,46 @@ def text_line_candidates(spark, sf_dir):
 def registry_statistics_by_scope(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), (F.col("c_custkey") % 200).alias("k"))
     return c.groupBy("scope").agg(F.count("*").alias("n_codes"), F.count_distinct("k").alias("n_kod1"))
+
+
+_LINE = "concat('г. Тюмень, ул. ', {street}, ', д. ', {house}, CASE {k} % 7 WHEN 0 THEN ', к. 2' ELSE '' END)"
+
+
+@query(
+    "SELECT c_custkey AS row_idx, " + _LINE.format(street=_street("c_custkey"), house="1 + c_custkey % 40", k="c_custkey") + " AS line FROM customer UNION ALL SELECT -1 - s_suppkey, " + _LINE.format(street=_street("s_suppkey"), house="1 + s_suppkey % 53", k="s_suppkey") + " FROM supplier"
+)
+def address_lines(spark, sf_dir):
+    """Both sides' addresses as cards, written out the same way."""
+    both = view(spark, sf_dir, "addr_a").select("row_idx", "address").unionByName(view(spark, sf_dir, "addr_b").select((-1 - F.col("row_idx")).alias("row_idx"), "address"))
+    return S.with_slots(both, "address", "тюмень").select("row_idx", S.line_of(F.col("slots")).alias("line"))
+
+
+@query(_with("SELECT row_idx, 'г. Тюмень' AS locality, concat('ул. ', upper(substring(sw, 1, 1)), substring(sw, 2)) AS street, hb AS house_base, nullif(hm, '') AS house_mods, concat(sw, '||', hb, '|', hm) AS match_key FROM addr_a", "addr_a"))
+def reference_slots(spark, sf_dir):
+    n = S.normalized_addresses(view(spark, sf_dir, "addr_a").select("row_idx", "address"), "address", None, "тюмень")
+    return n.select("row_idx", "slots.locality", "slots.street", "slots.house_base", "slots.house_mods", "match_key")
+
+
+@query("SELECT o_custkey, o_orderkey, coalesce(priority, d) AS priority FROM (SELECT *, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority FROM orders) o LEFT JOIN (SELECT o_custkey AS c, o_orderpriority AS d FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL) WINDOW w AS (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) QUALIFY (count(*) OVER (PARTITION BY o_custkey) = 1 OR (n >= greatest(2, 2 * coalesce(lead(n) OVER w, 0)) AND n / sum(n) OVER (PARTITION BY o_custkey) >= 0.45)) AND row_number() OVER w = 1) x ON o.o_custkey = x.c")
+def fill_from_dominant(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("priority"))
+    return collect.filled_from(o, collect.dominant_values(o, ["o_custkey"], "priority"), ["o_custkey"], "priority").select("o_custkey", "o_orderkey", "priority")
+
+
+@query("SELECT min(p_partkey) AS p_partkey, p_name, p_brand FROM part GROUP BY p_name, p_brand")
+def first_seen_candidates(spark, sf_dir):
+    return collect.dedupe_candidates(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_name", ["p_brand"], "p_partkey")
+
+
+@query(_with("SELECT a.code, b.code AS other FROM (SELECT DISTINCT code FROM codes) a JOIN (SELECT DISTINCT code FROM codes) b ON substring(a.code, 1, 5) = substring(b.code, 1, 5) AND a.code < b.code WHERE NOT (substring(a.code, 1, 8) = substring(b.code, 1, 8))", "codes"))
+def conflicting_codes(spark, sf_dir):
+    """Pairs of codes of one district whose first eight digits differ."""
+    c = view(spark, sf_dir, "codes").select("code", F.substring("code", 1, 5).alias("district")).distinct()
+    other = c.select(F.col("code").alias("other"), "district")
+    return c.join(other, "district").where((F.col("code") < F.col("other")) & collect.codes_conflict(F.col("code"), F.col("other"))).select("code", "other")
+
+
+@query("SELECT role, turn_kind, count(*) AS n FROM (SELECT role, CASE WHEN contains(text, chr(10)) THEN 'lines' ELSE 'line' END AS turn_kind FROM conversations) GROUP BY ALL")
+def candidate_kind_summary(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("role", F.when(F.col("text").contains("\n"), "lines").otherwise("line").alias("turn_kind"))
+    return c.groupBy("role", "turn_kind").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ has ended; equality is the end of a group and needs no digest.
 * Within a slice of a scan task, copies are folded into one representative, which carries the
   ids of its members. So a group of copies, however large, leaves each task as one row.
 * Representatives are dealt by their leading bytes. A prefix that more than `leaf_rows`
-  different texts share is split by its next bytes, and so on (8, 16, 32, ... bytes), so no
+  different texts share is split by its next bytes, and so on (8, 32, 128, ... bytes), so no
   shuffle partition gets an unbounded group.
 * Each partition goes on splitting its groups by the following bytes, from a stream sorted by
   prefix; it holds one group's different texts at a time.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import doc_key, null_id, slices, table, text_bytes, written
 
 FIRST_DIGIT = 8
-LEAF_ROWS = 20_000
+#: Each split looks at the first 8, 32, 128, ... bytes.
+GROWTH = 4
+LEAF_ROWS = 4_000
 MOST_SPLITS = 50_000
 
 
@@ -55,7 +57,7 @@ def leaf_of(text: bytes, split: dict[int, set[bytes]]) -> int:
     """How many leading bytes deal this text out."""
     depth = FIRST_DIGIT
     while len(text) > depth and text[:depth] in split.get(depth, ()):
-        depth *= 2
+        depth *= GROWTH
     return depth
 
 
@@ -77,7 +79,7 @@ def prefixes_to_split(docs: DataFrame, leaf_rows: int) -> dict[int, set[bytes]]:
         split[depth] = set(hot)
         hot_table = F.broadcast(spark.createDataFrame([(p,) for p in hot], "p binary"))
         under = under.join(hot_table, prefix == F.col("p"), "left_semi")
-        depth *= 2
+        depth *= GROWTH
 
 
 def _fold(split):

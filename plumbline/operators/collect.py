@@ -150,3 +150,54 @@ def dedupe_by_any_key(rows: DataFrame, order: str, keys: list[str]) -> DataFrame
         gone = left.join(taken, "_k", "left_semi").select(order).distinct()
         left = settled(left.join(gone, order, "left_anti"))
     return rows.select(order).join(kept.select(order, F.lit(True).alias("_kept")), order, "left").select(order, F.coalesce("_kept", F.lit(False)).alias("kept"))
+
+
+def vote_summary(rows: DataFrame, group: str, value: str, most: int = 8) -> DataFrame:
+    """group, summary: `value [n] | ... | +k` of the most frequent values, cut before they meet in one group."""
+    counts = rows.where(clean(F.col(value)).isNotNull()).groupBy(group, clean(F.col(value)).alias("v")).agg(F.count("*").alias("n"))
+    kinds = counts.groupBy(group).agg(F.count("*").alias("kinds"))
+    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "v"))).where(F.col("_r") <= most)
+    shown = ranked.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v", "n"))), lambda x: F.concat(x["v"], F.lit(" ["), x["n"].cast("string"), F.lit("]"))), " | ").alias("s"))
+    more = F.when(F.col("kinds") > most, F.concat(F.lit(" | +"), (F.col("kinds") - most).cast("string"))).otherwise("")
+    return shown.join(kinds, group).select(group, F.concat("s", more).alias("summary"))
+
+
+def conflict_rows(rejected: DataFrame, raw: str, reason: str, order: str, wanted: str = "scope_conflict") -> DataFrame:
+    """Rejected rows of one reason for manual review, the first of each normalized text."""
+    return first_seen(rejected.where(F.col(reason) == wanted).withColumn("_v", normalized(raw)), ["_v"], [order]).drop("_v")
+
+
+def scope_summary(hits: DataFrame) -> DataFrame:
+    """role, valid, n: scope hits by role and validity."""
+    return hits.groupBy("role", "valid").agg(F.count("*").alias("n"))
+
+
+def dedupe_with_satellites(rows: DataFrame, signature: str, satellites: list[str], order: str) -> DataFrame:
+    """The first row of each address signature and the values that travel with it."""
+    return first_seen(rows, [signature, *satellites], [order])
+
+
+def duplicate_guard(rows: DataFrame, key: str, kind: str, existing: str = "existing_reference") -> DataFrame:
+    """rows with staged: their group holds a row of an existing reference, so they are not emitted again."""
+    known = rows.groupBy(F.col(key).alias("_k")).agg(F.bool_or(F.col(kind) == existing).alias("staged"))
+    return rows.join(known, F.col(key) == F.col("_k")).drop("_k")
+
+
+def row_addresses(cells: DataFrame, part: list[str]) -> DataFrame:
+    """part, row_idx, address: the address-like cells of a row, in order, each once."""
+    like = F.col("value").rlike(HINTS) | F.col("value").rlike("^[0-9]+[а-яa-zА-ЯA-Z]?$")
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(like, F.struct("col_idx", "value")))), lambda x: x["value"])
+    return cells.groupBy(*part, "row_idx").agg(F.array_join(F.array_distinct(ordered), ", ").alias("address")).where("address <> ''")
+
+
+def structured_rows(cells: DataFrame, headers: DataFrame, part: list[str]) -> DataFrame:
+    """part, row_idx, payload: each data row as a map from its column's header to its value. headers: part, col_idx, header, first_row."""
+    met = cells.join(headers, [*part, "col_idx"]).where(F.col("row_idx") >= F.col("first_row"))
+    return met.groupBy(*part, "row_idx").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "header", "value"))), lambda x: F.struct(x["header"], x["value"]))).alias("payload"))
+
+
+def repeated_header(cells: DataFrame, headers: DataFrame, part: list[str], share: float = 0.6) -> DataFrame:
+    """part, row_idx of data rows that repeat their headers."""
+    met = cells.join(headers, [*part, "col_idx"]).where(F.col("row_idx") >= F.col("first_row"))
+    same = F.avg((normalized("value") == normalized("header")).cast("double"))
+    return met.groupBy(*part, "row_idx").agg(same.alias("s")).where(F.col("s") >= share).select(*part, "row_idx")

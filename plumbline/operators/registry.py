@@ -153,3 +153,40 @@ def pair_score(a_hits: Column, b_hits: Column, a_code: Column, b_code: Column) -
 
     best = F.array_max(F.flatten(F.transform(a_hits, lambda x: F.transform(b_hits, lambda y: of(x, y)))))
     return F.when(both & ~compatible_codes(a_code, b_code), BLOCKED).when(both, 14.0).otherwise(F.least(F.lit(16.0), F.coalesce(best, F.lit(0.0))))
+
+
+def codes_of_municipalities(registry: DataFrame) -> DataFrame:
+    """key, name, code: one option for each municipality name, with its longest code, in order of the name."""
+    rows = registry.where(F.length("code") <= 8).select(level_key("name").alias("key"), "name", "code").where("key <> ''")
+    return rows.groupBy("key").agg(F.max_by(F.struct("name", "code"), F.struct(F.length("code"), F.col("code"))).alias("b")).select("key", "b.*").orderBy("key")
+
+
+def subject_scopes(registry: DataFrame, scopes: DataFrame) -> DataFrame:
+    """scope, n_rows: scopes that have rows in the registry, in order."""
+    met = registry.select("code").join(scopes_of_codes(registry.select("code").distinct(), scopes), "code")
+    return met.groupBy("scope").agg(F.count("*").alias("n_rows")).orderBy("scope")
+
+
+def resolve_scope(asked: DataFrame, scopes: DataFrame) -> DataFrame:
+    """value, scope: by id, name or code; else the scope whose name the text holds whole, the longest of them.
+
+    scopes: scope (id), name, ter.
+    """
+    s = scopes.select("scope", normalized("name").alias("n"), "ter").where("n <> ''")
+    a = asked.select("value", normalized("value").alias("v")).distinct()
+    direct = a.join(s, (F.col("v") == F.col("n")) | (F.col("v") == F.col("scope").cast("string")) | (F.col("v") == F.col("ter"))).groupBy("value").agg(F.min("scope").alias("scope"))
+    rest = a.join(direct, "value", "left_anti").select(F.col("value").alias("id"), F.col("v").alias("text"))
+    held = term_hits(rest, s.select(F.col("n").alias("term")).distinct()).join(s, F.col("term") == F.col("n"))
+    return direct.unionByName(held.groupBy("id").agg(F.max_by("scope", F.struct(F.length("term"), F.col("term"))).alias("scope")).withColumnRenamed("id", "value"))
+
+
+def federal_districts(registry: DataFrame, regions: DataFrame) -> DataFrame:
+    """ter, subject, region_id, federal_district: top rows of the registry with their region's district. regions: region_id, name, federal_district."""
+    top = registry.where(F.length("code") == 2).select("ter", F.col("name").alias("subject"))
+    met = match_regions(top.select(F.col("subject").alias("name")), regions).withColumnRenamed("name", "_s")
+    return top.join(met, F.col("subject") == F.col("_s"), "left").join(regions.select("region_id", "federal_district").distinct(), "region_id", "left").select("ter", "subject", "region_id", "federal_district")
+
+
+def hit_text(hits: Column, most: int = 8) -> Column:
+    """`value:role, ...` of the first hits in order of value."""
+    return F.array_join(F.slice(F.transform(F.array_sort(hits), lambda h: F.concat(h["value"], F.lit(":"), h["role"])), 1, most), ", ")

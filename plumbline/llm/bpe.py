@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import slices, table
+from plumbline.llm.common import kept, slices, table
 
 #: Fixed values of the vocabulary file: its word pattern, its white space, its special strings.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -29,7 +29,7 @@ BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 #: str.split() also splits at these, which the vocabulary's white space doesn't hold.
 ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
 
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT = 400_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -158,16 +158,6 @@ class Codec:
         return " ".join([self.strings[i] for i in ids])
 
 
-_held: list = []
-
-
-def codec_of(vocabulary: dict) -> Codec:
-    """A Python worker's codec, kept from task to task with what it has seen."""
-    if not _held or _held[0] is not vocabulary:
-        _held[:] = [vocabulary, Codec(vocabulary)]
-    return _held[1]
-
-
 def _mapped(docs: DataFrame, vocabulary_path: str | None, digests: bool) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path or default_path()))
@@ -175,7 +165,7 @@ def _mapped(docs: DataFrame, vocabulary_path: str | None, digests: bool) -> Data
     names = [c.split()[0] for c in (DIGEST_SCHEMA if digests else SCHEMA).split(", ")]
 
     def encode(batches):
-        codec = codec_of(shared.value)
+        codec = kept(shared.value, Codec)
         for batch in slices(batches):
             rows: list[list] = [[], [], []]
             for text in batch.column("text").to_pylist():

@@ -71,9 +71,20 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches, most_bytes: int = 32 << 20, most_rows: int = 4096):
+def slices(batches, most_bytes: int = 12 << 20, most_rows: int = 4096):
     """Record batches cut so that each holds a bounded number of rows and about most_bytes."""
     for batch in batches:
         rows = max(1, min(most_rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+_kept: list = []
+
+
+def kept(source, make):
+    """make(source), kept in a Python worker from task to task; one thing at a time, so that stages don't add up."""
+    if not _kept or _kept[0] is not source:
+        _kept.clear()
+        _kept.extend([source, make(source)])
+    return _kept[1]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, table, written
+from plumbline.llm.common import kept, slices, table, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -221,14 +221,8 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, vocabulary_p
     return languages, pieces, p if p is not None else np.zeros((0, width))
 
 
-_held: list = []
-
-
-def scorer_of(model) -> Scorer:
-    """A Python worker's scorer, kept from task to task."""
-    if not _held or _held[0] is not model:
-        _held[:] = [model, Scorer(model[1], model[2])]
-    return _held[1]
+def scorer(model) -> Scorer:
+    return Scorer(model[1], model[2])
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
@@ -242,7 +236,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
             texts = [w if w and any(any(map(str.isalpha, x)) for x in w) else [] for w in texts]
             lang, score = [NO_LANGUAGE] * len(texts), [0.0] * len(texts)
             if languages:
-                logs = scorer_of(shared.value).texts(texts)
+                logs = kept(shared.value, scorer).texts(texts)
                 shares = np.exp(logs - logs.max(axis=1, keepdims=True))
                 best = logs.argmax(axis=1)
                 for i, text in enumerate(texts):

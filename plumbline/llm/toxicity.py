@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, table
+from plumbline.llm.common import kept, slices, table
 
 BITS = 18
 FACTORS = 4
@@ -195,14 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Machine.unpacked(bytes(terms.repartition(1).mapInArrow(fitted, "machine binary").first().machine))
 
 
-_held: list = []
-
-
-def machine_of(data: bytes) -> tuple[Machine, Terms]:
-    """A Python worker's machine, kept from task to task."""
-    if not _held or _held[0] is not data:
-        _held[:] = [data, (own := Machine.unpacked(data), Terms(own.used()))]
-    return _held[1]
+def scorer(data: bytes) -> tuple[Machine, Terms]:
+    machine = Machine.unpacked(data)
+    return machine, Terms(machine.used())
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -210,7 +205,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine.packed())
 
     def run(batches):
-        own, terms = machine_of(shared.value)
+        own, terms = kept(shared.value, scorer)
         for batch in slices(batches, most_rows=512):
             margin = own.margins([terms(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -30, 30))))], names=["doc_id", "score"])
@@ -240,7 +235,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def margin(texts):
-        own, terms = machine_of(shared.value)
+        own, terms = kept(shared.value, scorer)
         return pd.Series(own.margins([terms(t) for t in texts]) if len(texts) else [], dtype=float)
 
     return docs.where(margin(F.col("text").cast("string")) < 0)

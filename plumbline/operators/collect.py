@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import clean, normalized
 from plumbline.operators.compare import first_seen
-from plumbline.operators.matching import MOST_ROUNDS, settled
+from plumbline.operators.matching import MOST_ROUNDS
+from plumbline.sources.scratch import settled
 
 #: Words that hint at an address, at a route, at an organisation.
 HINTS = "(?iuU)(?<![0-9a-zа-я])(?:улица|ул|переулок|пер|проспект|пр-кт|проезд|пр-д|бульвар|б-р|шоссе|набережная|площадь|тракт|мкр|микрорайон|город|г|поселок|пос|деревня|село|дом|д)(?![0-9a-zа-я])"

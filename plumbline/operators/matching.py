@@ -7,13 +7,12 @@ order, computed as deferred acceptance in rounds, so that no pass is a driver-si
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.address import same_house
 from plumbline.functions.text import token_set_ratio, word_jaccard
+from plumbline.sources.scratch import settled
 
 #: Cut-offs and bonuses of the passes.
 INTRA_TERRITORY, ACROSS, RELAXED = 75.0, 85.0, 80.0
@@ -23,17 +22,6 @@ MOST_ROUNDS = 200
 PASSES = ("text", "key", "key_without_modifiers", "street_house", "fuzzy_territory", "fuzzy", "fuzzy_relaxed")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written in the folder that all executors share, so that rounds don't build on each other's plans."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        spark.conf.set("spark.checkpoint.dir", folder := "/tmp/checkpoints")
-    path = f"{folder.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def pair_occurrences(gt: DataFrame, cand: DataFrame, keys: list[str]) -> DataFrame:
     """row_idx, cand_idx: the k-th row of a key in order with the k-th candidate from the end. Null and blank first keys pair with nothing."""
     here = gt.where(F.col(keys[0]) != "").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("row_idx")))

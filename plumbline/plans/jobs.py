@@ -9,12 +9,13 @@ from plumbline.functions import address as A
 from plumbline.functions import text as T
 from plumbline.operators import collect, compare, matching, reference, registry
 from plumbline.sources import files
+from plumbline.sources.scratch import settled
 
 
 def prepared_side(rows: DataFrame, column: str, idx: str, city: str = "") -> DataFrame:
     """idx, text, ter, sw, sn, hb, hm of the addresses in column."""
     p = A.parsed(rows.select(F.col("row_idx").alias(idx), F.col(column).alias("raw")).where(F.btrim("raw") != ""), "raw", city)
-    return matching.settled(p.select(idx, T.normalized("raw").alias("text"), "raw", "parsed.*"))
+    return settled(p.select(idx, T.normalized("raw").alias("text"), "raw", "parsed.*"))
 
 
 def align(gt: DataFrame, candidates: DataFrame, gt_column: str, candidate_column: str, companions: list[str] | None = None, city: str = "", passes: tuple[str, ...] = matching.PASSES, similarity: str = "token_set") -> DataFrame:
@@ -24,7 +25,7 @@ def align(gt: DataFrame, candidates: DataFrame, gt_column: str, candidate_column
     """
     companions = companions or []
     g, c = prepared_side(gt, gt_column, "row_idx", city), prepared_side(candidates, candidate_column, "cand_idx", city)
-    pairs = matching.settled(matching.cascade(g, c, passes, similarity))
+    pairs = settled(matching.cascade(g, c, passes, similarity))
     carried = candidates.select(F.col("row_idx").alias("cand_idx"), F.col(candidate_column).alias("aligned"), *companions)
     matched = gt.select("row_idx", gt_column).join(pairs.select("row_idx", "cand_idx", "pass"), "row_idx", "left").join(carried, "cand_idx", "left")
     tail = matching.unmatched_tail(c, g, pairs, ["ter", "sw", "sn", "hb", "hm"]).where("not known").select("cand_idx").join(carried, "cand_idx")
@@ -42,7 +43,7 @@ def collected(lines: DataFrame, part: list[str], city: str = "") -> tuple[DataFr
     p = A.parsed(found, "address", city)
     slots = {"street": F.col("parsed.sw"), "house": F.col("parsed.hb"), "locality": F.col("parsed.ter")}
     p = p.withColumns(slots | {"key": T.building_key("address")}).withColumn("reason", collect.drop_reason({"address": F.col("address"), **{k: F.col(k) for k in slots}}))
-    p = matching.settled(p.withColumn("quality", collect.quality(F.col("address"), [F.col(k) for k in slots])))
+    p = settled(p.withColumn("quality", collect.quality(F.col("address"), [F.col(k) for k in slots])))
     clean = p.where("reason is null")
     best = clean.groupBy("key").agg(F.max_by(F.struct("address", "street", "house", "locality", "context"), F.struct("quality", F.negative(F.length("address")), "address")).alias("b"), F.count("*").alias("source_count"))
     return best.select("key", "b.*", "source_count"), p.where("reason is not null").select(*part, "n", "address", "reason")
@@ -52,7 +53,7 @@ def build_reference(rows: DataFrame, column: str, city: str = "") -> tuple[DataF
     """The reference (one row for each match key) and its staging rows."""
     p = A.parsed(rows.select("row_idx", F.col(column).alias("raw")), "raw", city)
     p = p.where((F.col("parsed.sw") != "") | (F.col("parsed.ter") != "")).withColumn("match_key", reference.match_key([F.col(f"parsed.{x}") for x in ("ter", "sw", "hb", "hm")]))
-    p = matching.settled(p.select("row_idx", "raw", "match_key", T.postal_index("raw").alias("postal_index"), F.col("parsed.ter").alias("territory"), F.col("parsed.sw").alias("street"), F.concat("parsed.hb", "parsed.hm").alias("house"), A.rendered(F.col("parsed"), F.lit(city)).alias("normalized_address")))
+    p = settled(p.select("row_idx", "raw", "match_key", T.postal_index("raw").alias("postal_index"), F.col("parsed.ter").alias("territory"), F.col("parsed.sw").alias("street"), F.concat("parsed.hb", "parsed.hm").alias("house"), A.rendered(F.col("parsed"), F.lit(city)).alias("normalized_address")))
     merged = reference.merge_rows(p, "match_key", "row_idx", ["postal_index", "territory", "street", "house", "normalized_address"], "raw")
     return merged, reference.staged(p, "match_key", "row_idx")
 

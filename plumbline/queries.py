@@ -16,6 +16,7 @@ from plumbline.functions import slots as S
 from plumbline.functions import text as T
 from plumbline.operators import collect, compare, matching, profile, reference, registry
 from plumbline.sources import cells as C
+from plumbline.sources.scratch import settled
 
 #: Streets of the views.
 STREETS = ("Ленина", "Садовая", "Центральная", "Мира", "Гагарина", "Лесная", "Школьная", "Заводская", "Победы", "Речная", "Южная", "Новая")
@@ -150,7 +151,7 @@ def match_component_lifo(spark, sf_dir):
 def _cascade(spark, sf_dir, passes=("text", "key", "key_without_modifiers", "street_house")):
     gt, cand = _sides(spark, sf_dir)
     extra = {"text": F.col("key"), "ter": F.lit(""), "sn": F.array().cast("array<string>")}
-    gt, cand = (matching.settled(x.withColumns(extra).drop("address", "payload")) for x in (gt, cand))
+    gt, cand = (settled(x.withColumns(extra).drop("address", "payload")) for x in (gt, cand))
     return gt, cand, matching.cascade(gt, cand, passes)
 
 

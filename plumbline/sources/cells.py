@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import settled
+
 
 def cells_of(rows: DataFrame, columns: list[str], row: str = "row_idx", keep: list[str] | None = None) -> DataFrame:
     """row_idx, col_idx (from 0), value, locator: one row for each cell that isn't blank."""
@@ -41,11 +41,7 @@ def blocks_of(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
     """rows with number, from 1 in the order of `by`, without sorting them all in one task."""
-    spark = rows.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/plumbline-{uuid.uuid4().hex}"
-    rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.parquet(path)
+    dealt = settled(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "numbered")
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = dealt.groupBy("_part").count().select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each partition
     own = F.row_number().over(Window.partitionBy("_part").orderBy(by))

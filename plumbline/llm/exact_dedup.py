@@ -152,10 +152,11 @@ def exact_groups(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = exact_groups(docs).where("kept").select(doc_key().alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    found = docs.withColumns({"_id": doc_key(), "_sha": sha}).join(kept, ["_id", "_sha"], "left_semi")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    sha = F.sha2(ascii_lower(F.coalesce("own.text", F.lit(""))).cast("binary"), 256)
+    found = own.withColumns({"_id": doc_key("own.doc_id"), "_sha": sha}).join(kept, ["_id", "_sha"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))  # rows repeated under one doc_id
-    return found.withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    return found.withColumn("_nth", nth).where("_nth = 1").select("own.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

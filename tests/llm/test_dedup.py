@@ -34,6 +34,8 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert len(got) == 6 and sum(r.kept for r in got) == 3
     assert {(r.keep_id, r.group_size) for r in got} == {(5, 3), (5, 1), (None, 2)}
     assert exact_dedup.deduplicate(docs).count() == 3
+    clash = docs.selectExpr("*", "1 as _id", "2 as _sha", "3 as _nth", "4 as own")
+    assert exact_dedup.deduplicate(clash).columns == clash.columns and exact_dedup.deduplicate(clash).first()._nth == 3
 
 
 def test_radix_groups():

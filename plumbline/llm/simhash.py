@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import drop_written, slices, table, text_bytes, written
@@ -29,6 +29,10 @@ BLOCKS = BITS + 1
 WIDTH = 64 // BLOCKS
 FRONTIER = 1 << 18
 TRIE_ROWS = 1 << 20
+TRIE_MOST = 200_000
+NODE_BITS = 4
+#: More than there are pairs of nodes.
+PAIRS = 1 << (2 * NODE_BITS + 1)
 MOST_ROUNDS = 60
 
 
@@ -118,37 +122,53 @@ def trie_components(keys: np.ndarray, bits: int = BITS, shared: int = WIDTH) ->
 
 
 def _tries(batches):
-    """Rows sorted by (block, key): a star for each component, as pairs of fingerprints."""
+    """Rows sorted by (part, key): a star for each component, as pairs of fingerprints. part: block and pair of nodes."""
 
-    def joined(block: np.ndarray, key: np.ndarray):
-        for b in np.unique(block):
-            keys = key[block == b].view(np.uint64) ^ np.uint64(1 << 63)
+    def joined(part: np.ndarray, key: np.ndarray):
+        for p in np.unique(part):
+            keys = key[part == p].view(np.uint64) ^ np.uint64(1 << 63)
             labels = trie_components(keys)
             at = np.flatnonzero(labels != np.arange(len(labels)))
             if len(at):
-                turn = np.uint64(WIDTH * int(b))
+                turn = np.uint64(WIDTH * int(p // PAIRS))
                 back = lambda x: ((x >> turn) | (x << (np.uint64(64) - turn)) if turn else x).view(np.int64)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(back(keys[at])), pa.array(back(keys[labels[at]]))], names=["a", "b"])
 
-    block, key = np.empty(0, np.int32), np.empty(0, np.int64)
+    part, key = np.empty(0, np.int32), np.empty(0, np.int64)
     for batch in batches:
-        block = np.concatenate([block, batch.column("block").to_numpy(zero_copy_only=False)])
+        part = np.concatenate([part, batch.column("part").to_numpy(zero_copy_only=False)])
         key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
         if len(key) >= TRIE_ROWS:
             # what is left open is the last trie
-            tries = (key >> np.int64(64 - WIDTH)) + (block.astype(np.int64) << np.int64(WIDTH + 1))
+            tries = (key >> np.int64(64 - WIDTH)) + (part.astype(np.int64) << np.int64(WIDTH + 1))
             cut = int(np.searchsorted(tries, tries[-1]))
-            yield from joined(block[:cut], key[:cut])
-            block, key = block[cut:], key[cut:]
+            yield from joined(part[:cut], key[:cut])
+            part, key = part[cut:], key[cut:]
     if len(key):
-        yield from joined(block, key)
+        yield from joined(part, key)
+
+
+def node_pairs(node: Column) -> Column:
+    """The pairs of nodes NODE_BITS down that a node takes part in within the budget, numbered from 1."""
+    others = [F.lit(x) for x in range(1 << NODE_BITS)]
+    near = F.filter(F.array(*others), lambda x: (x != node) & (F.bit_count(x.bitwiseXOR(node)) <= BITS))
+    return F.transform(near, lambda x: 1 + F.least(x, node) * (1 << NODE_BITS) + F.greatest(x, node))
 
 
 def links(different: DataFrame) -> DataFrame:
-    """a, b: stars that connect what is within the budget. different: fp, each once."""
+    """a, b: stars that connect what is within the budget. different: fp, each once.
+
+    A trie of over TRIE_MOST fingerprints is walked further before it is dealt out: each of its
+    pairs of nodes that can still hold a link is a part of its own.
+    """
     turned = [F.struct(F.lit(b).alias("block"), F.shiftleft("fp", WIDTH * b).bitwiseOR(F.shiftrightunsigned("fp", 64 - WIDTH * b) if b else F.lit(0)).bitwiseXOR(F.lit(-(2**63))).alias("key")) for b in range(BLOCKS)]
     dealt = different.select(F.inline(F.array(*turned))).withColumn("trie", F.shiftright("key", 64 - WIDTH))
-    sorted_ = dealt.repartition("block", "trie").sortWithinPartitions("block", "key").select("block", "key")
+    large = dealt.groupBy("block", "trie").count().where(F.col("count") > TRIE_MOST).select("block", "trie", F.lit(True).alias("large"))
+    node = F.shiftrightunsigned("key", 64 - WIDTH - NODE_BITS).bitwiseAND(F.lit((1 << NODE_BITS) - 1)).cast("int")
+    # large: at most BLOCKS * rows / TRIE_MOST tries
+    pairs = F.when(F.col("large"), node_pairs(node)).otherwise(F.array(F.lit(0)))
+    parts = dealt.join(F.broadcast(large), ["block", "trie"], "left").select("block", F.explode(pairs).alias("pair"), "trie", "key").select((F.col("block") * PAIRS + F.col("pair")).cast("int").alias("part"), "trie", "key")
+    sorted_ = parts.repartition("part", "trie").sortWithinPartitions("part", "key").select("part", "key")
     return sorted_.mapInArrow(_tries, "a long, b long")
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from plumbline.llm import simhash
 
@@ -51,7 +52,9 @@ def test_odd_rows(spark):
     assert [r.component_id for r in simhash.near_groups(twice).collect()] == [4, 4, 4]
 
 
-def test_trie_and_stars(spark, monkeypatch):
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_trie_and_stars(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "TRIE_MOST", most)
     monkeypatch.setattr(simhash, "FRONTIER", 50)
     monkeypatch.setattr(simhash, "TRIE_ROWS", 300)
     r = random.Random(8)

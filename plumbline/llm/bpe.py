@@ -29,7 +29,7 @@ BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 #: str.split() also splits at these, which the vocabulary's white space doesn't hold.
 ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
 
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 250_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -17,7 +17,7 @@ def cells_of(rows: DataFrame, columns: list[str], row: str = "row_idx", keep: li
 
 def lines_of(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
     """ids, n (from 1), line: lines that aren't blank."""
-    return rows.select(*ids, F.posexplode(F.split(text, "\n")).alias("n", "line")).where(F.btrim("line") != "").withColumn("n", F.col("n") + 1)
+    return rows.select(*ids, F.posexplode(F.split(text, "\n")).alias("n", "line")).where(F.btrim("line") != "").withColumn("n", (F.col("n") + 1).cast("long"))
 
 
 def delimiter_of(line: Column, comma: bool = False) -> Column:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.text import clean, normalized
 from plumbline.operators.compare import first_seen
-from plumbline.operators.matching import MOST_ROUNDS
 from plumbline.sources.scratch import settled
 
+#: So many undecided rows are walked in one task at a time.
+WALKED_ROWS = 100_000
 #: Words that hint at an address, at a route, at an organisation.
 HINTS = "(?iuU)(?<![0-9a-zа-я])(?:улица|ул|переулок|пер|проспект|пр-кт|проезд|пр-д|бульвар|б-р|шоссе|набережная|площадь|тракт|мкр|микрорайон|город|г|поселок|пос|деревня|село|дом|д)(?![0-9a-zа-я])"
 HEADER_WORDS = ("адрес", "улица", "дом", "город", "населенный пункт", "муниципальное образование", "address", "street", "house")
@@ -131,25 +134,50 @@ def dedupe_candidates(rows: DataFrame, value: str, keys: list[str], order: str)
     return first_seen(rows.withColumn("_v", normalized(value)), ["_v", *keys], [order]).drop("_v")
 
 
-def dedupe_by_any_key(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+def walked(left: DataFrame, order: str, rows: int) -> DataFrame:
+    """order, stays: what a plain walk decides for the first `rows` rows of left (order, _k). One task, which holds their keys."""
+    first = left.groupBy(order).agg(F.collect_list("_k").alias("_keys")).orderBy(order).limit(rows)
+
+    def run(batches):
+        taken: set[str] = set()
+        for batch in batches:
+            stays = []
+            for keys in batch.column("_keys").to_pylist():
+                stays.append(taken.isdisjoint(keys))
+                if stays[-1]:
+                    taken.update(keys)
+            yield pa.RecordBatch.from_arrays([batch.column(order), pa.array(stays, pa.bool_())], names=[order, "stays"])
+
+    schema = T.StructType([T.StructField(order, left.schema[order].dataType), T.StructField("stays", T.BooleanType())])
+    return first.coalesce(1).sortWithinPartitions(order).mapInArrow(run, schema)
+
+
+def dedupe_by_any_key(rows: DataFrame, order: str, keys: list[str], block: int = WALKED_ROWS) -> DataFrame:
     """order, kept: a row stays if no earlier row that stays has one of its keys. Null keys don't count.
 
     In rounds: of each key's undecided rows the first one is safe if it is first for all its keys;
-    it stays, and rows that share a key with it go. As many rounds as the longest chain needs.
+    it stays, and rows that share a key with it go. Where a round decides little (rows linked in a
+    chain) or little is left, the first `block` undecided rows are walked one by one instead, so a
+    chain of n rows takes n / block steps. It ends when every row is decided.
     """
     long = rows.select(order, F.explode(F.array_compact(F.array(*[F.when(F.col(k) != "", F.concat(F.lit(f"{k}="), F.col(k))) for k in keys]))).alias("_k")).distinct()
     left = settled(long)
     kept = settled(rows.select(order).join(long.select(order).distinct(), order, "left_anti"))
-    for _ in range(MOST_ROUNDS):
-        first = left.groupBy("_k").agg(F.min(order).alias("_first"))
-        judged = left.join(first, "_k").groupBy(order).agg(F.bool_and(F.col(order) == F.col("_first")).alias("safe"))
-        safe = settled(judged.where("safe").select(order))
-        if safe.isEmpty():
-            break
+    size, slow = left.count(), False
+    while size:
+        if slow or size <= block:
+            judged = settled(walked(left, order, block))
+            safe = judged.where("stays").select(order)
+        else:
+            first = left.groupBy("_k").agg(F.min(order).alias("_first"))
+            judged = left.join(first, "_k").groupBy(order).agg(F.bool_and(F.col(order) == F.col("_first")).alias("safe"))
+            judged = safe = settled(judged.where("safe").select(order))
         kept = kept.unionByName(safe)
         taken = left.join(safe, order, "left_semi").select("_k").distinct()
-        gone = left.join(taken, "_k", "left_semi").select(order).distinct()
+        gone = left.join(taken, "_k", "left_semi").select(order).unionByName(judged.select(order)).distinct()
         left = settled(left.join(gone, order, "left_anti"))
+        before, size = size, left.count()
+        slow = before - size < before / 8
     return rows.select(order).join(kept.select(order, F.lit(True).alias("_kept")), order, "left").select(order, F.coalesce("_kept", F.lit(False)).alias("kept"))
 
 

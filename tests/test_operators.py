@@ -39,6 +39,21 @@ def test_dedupe_by_any_key_is_the_loop(spark):
     assert {x.i: x.kept for x in got.collect()} == want
 
 
+def test_dedupe_by_any_key_decides_long_chains(spark):
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(450)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    for block in (collect.WALKED_ROWS, 200):
+        assert {x.i: x.kept for x in collect.dedupe_by_any_key(df, "i", ["a", "b"], block).collect()} == {i: i % 2 == 0 for i in range(450)}
+
+
+def test_dedupe_by_any_key_in_rounds(spark):
+    r = random.Random(5)
+    rows = [(i, f"a{r.randint(0, 9)}", f"b{r.randint(0, 9)}") for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    by_rounds, walked = ({x.i: x.kept for x in collect.dedupe_by_any_key(df, "i", ["a", "b"], block).collect()} for block in (5, 1000))
+    assert by_rounds == walked and sum(walked.values()) > 5
+
+
 def test_occurrences_pair_from_the_end(spark):
     gt = spark.createDataFrame([(1, "k"), (2, "k"), (3, "k"), (4, "")], "row_idx int, key string")
     cand = spark.createDataFrame([(10, "k"), (11, "k"), (12, "")], "cand_idx int, key string")

@@ -34,9 +34,11 @@ SAMPLE_ROWS = 12_000
 EPOCHS = 12
 BATCH = 128
 SEED = 7
-#: A term takes part if its log odds ratio between the labels is at least this, and this many standard errors.
+#: A term tells by itself if its log odds ratio between the labels is at least this, and this many standard errors.
 LEAST_RATIO = 2.0
 LEAST_ERRORS = 3.0
+#: How strongly the weights of all other terms, and all pair factors, are pulled back, in standard errors of their slopes.
+SHRINK = 4.0
 WORDS = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 300_000
 
@@ -117,7 +119,7 @@ class Machine:
 
 
 def telling(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """Which terms tell the labels apart."""
+    """Which terms tell the labels apart by themselves."""
     n, k = (labels == 1).sum(), (labels == 0).sum()
     with_ = [np.bincount(np.concatenate([t for (t, _), y in zip(texts, labels, strict=True) if y == label]), minlength=1 << BITS) for label in (1, 0)]
     a, b = with_[0] + 0.5, with_[1] + 0.5
@@ -127,17 +129,27 @@ def telling(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> n
 
 
 def fit_machine(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Machine:
-    """AdaGrad with a soft threshold on the weights."""
+    """AdaGrad over all terms: a soft threshold on the weights, dual averaging for the pair factors.
+
+    Terms that tell nothing by themselves take part: their weights are held back by SHRINK standard
+    errors of their slopes, and the factors of every term leave their start as far as their summed
+    slopes exceed so many. Factors that never left it are zero in the end.
+    """
     r = np.random.default_rng(SEED)
     machine = Machine(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
     if not len(texts) or labels.min() == labels.max():
         machine.bias = 0.0 if not len(texts) else (4.0 if labels[0] else -4.0)
         return machine
-    only = telling(texts, labels)
-    texts, known = [(t[only[t]], x[only[t]]) for t, x in texts], np.flatnonzero(only)
-    machine.v[known] = r.normal(0, 0.01, (len(known), FACTORS))
-    gw, gv, gb, rate, threshold = np.full(1 << BITS, 1e-3), np.full((1 << BITS, FACTORS), 1e-3), 1e-3, 0.1, 2e-3
-    for _ in range(epochs):
+    terms, x, _ = laid_out(texts)
+    known, count, share = np.unique(terms), np.maximum(np.bincount(terms, minlength=1 << BITS), 1), labels.mean()
+    errors = np.sqrt(np.bincount(terms, x.astype(np.float64) ** 2, 1 << BITS) * share * (1 - share))
+    threshold = 2e-3 + np.where(telling(texts, labels), 0.0, SHRINK * errors / count)
+    start = np.zeros_like(machine.v)
+    start[known] = r.normal(0, 0.01, (len(known), FACTORS))
+    machine.v[known] = start[known]
+    gw, gb, rate = np.full(1 << BITS, 1e-3), 1e-3, 0.1
+    slopes, squares = np.zeros((1 << BITS, FACTORS)), np.full((1 << BITS, FACTORS), 1e-14)
+    for epoch in range(epochs):
         order = r.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             picked = order[at : at + BATCH]
@@ -145,20 +157,25 @@ def fit_machine(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
             margin, sums = machine.spread(terms, x, size)
             slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[picked]) / len(picked)
             each = np.repeat(slope, size) * x
-            unique, where = np.unique(terms, return_inverse=True)
+            unique, where, met = np.unique(terms, return_inverse=True, return_counts=True)
+            others = np.repeat(sums, size, axis=0) - machine.v[terms] * x[:, None]
             g = np.bincount(where, each, len(unique))
             gw[unique] += g * g
             step = rate / np.sqrt(gw[unique])
             moved = machine.w[unique] - step * g
-            machine.w[unique] = np.sign(moved) * np.maximum(np.abs(moved) - step * threshold / len(picked), 0)
-            others = np.repeat(sums, size, axis=0) - machine.v[terms] * x[:, None]
+            machine.w[unique] = np.sign(moved) * np.maximum(np.abs(moved) - step * threshold[unique] * met / len(picked), 0)
             for k in range(FACTORS):
-                g = np.bincount(where, each * others[:, k], len(unique)) + 1e-4 * machine.v[unique, k]
-                gv[unique, k] += g * g
-                machine.v[unique, k] -= 0.3 * rate * g / np.sqrt(gv[unique, k])
+                g = each * others[:, k]
+                slopes[unique, k] += np.bincount(where, g, len(unique))
+                squares[unique, k] += np.bincount(where, g * g, len(unique))
+            # the slopes of noise add up over epochs too, as their root
+            limit = SHRINK * np.sqrt((epoch + 1) * squares[unique].sum(axis=1))
+            left = np.maximum(1 - limit / np.maximum(np.sqrt((slopes[unique] ** 2).sum(axis=1)), 1e-30), 0)
+            machine.v[unique] = start[unique] - 0.3 * rate * left[:, None] * slopes[unique] / np.sqrt(squares[unique])
             g = slope.sum()
             gb += g * g
             machine.bias -= rate * g / np.sqrt(gb)
+    machine.v[(machine.v == start).all(axis=1)] = 0
     return machine
 
 

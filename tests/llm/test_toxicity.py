@@ -51,3 +51,30 @@ def test_pairs_are_learned():
     each = [m.margins([(np.array(t, dtype=np.int32), np.ones(len(t), np.float32))])[0] for t in ([1], [2], [1, 2])]
     assert each[2] > 0 > max(each[:2])
     assert m.v[1] @ m.v[2] > 0
+
+
+def margin(machine, *terms):
+    return machine.margins([(np.array(terms, dtype=np.int32), np.ones(len(terms), np.float32))])[0]
+
+
+def test_pairs_of_terms_that_tell_nothing_alone():
+    r = np.random.default_rng(0)
+    rows, labels = [], []
+    for _ in range(1500):
+        a, b = r.random(2) < 0.5
+        terms = np.array(sorted({int(x) for x in r.integers(100, 400, 5)} | ({1} if a else set()) | ({2} if b else set())), dtype=np.int32)
+        rows.append((terms, np.ones(len(terms), np.float32)))
+        labels.append(float(a == b))
+    assert not toxicity.telling(rows, np.array(labels))[[1, 2]].any()
+    m = toxicity.fit_machine(rows, np.array(labels), epochs=30)
+    assert margin(m, 1, 2) > 1 and margin(m, 1) < 0 and margin(m, 2) < 0
+
+
+def test_rare_terms_of_few_labels():
+    r = np.random.default_rng(0)
+    rows = [(np.array(sorted({int(x) for x in r.integers(100, 400, 5)} | ({1} if i < 3 else {2} if i < 30 else set())), dtype=np.int32), np.ones(9, np.float32)) for i in range(300)]
+    rows = [(t, x[: len(t)]) for t, x in rows]
+    labels = np.array([float(i < 30) for i in range(300)])
+    assert not toxicity.telling(rows, labels)[1]
+    m = toxicity.fit_machine(rows, labels)
+    assert m.w[1] > 0

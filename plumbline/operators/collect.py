@@ -11,10 +11,13 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import clean, normalized
 from plumbline.operators.compare import first_seen
+from plumbline.sources.cells import numbered
 from plumbline.sources.scratch import settled
 
 #: So many undecided rows are walked in one task at a time.
 WALKED_ROWS = 100_000
+#: Rows in a span of carried context, and in the larger spans around it.
+CONTEXT_SPANS = (64, 16_384, 4_194_304)
 #: Words that hint at an address, at a route, at an organisation.
 HINTS = "(?iuU)(?<![0-9a-zа-я])(?:улица|ул|переулок|пер|проспект|пр-кт|проезд|пр-д|бульвар|б-р|шоссе|набережная|площадь|тракт|мкр|микрорайон|город|г|поселок|пос|деревня|село|дом|д)(?![0-9a-zа-я])"
 HEADER_WORDS = ("адрес", "улица", "дом", "город", "населенный пункт", "муниципальное образование", "address", "street", "house")
@@ -49,17 +52,42 @@ def codes_conflict(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & (a != b) & (F.substring(a, 1, 8) != F.substring(b, 1, 8)), F.lit(False))
 
 
-def carry_context(lines: DataFrame, is_context: Column, text: str, part: list[str], order: str, keep: int = 4, use: int = 3) -> DataFrame:
-    """lines with context: the last `use` of the last `keep` different context lines before each line."""
-    before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def carry_context(lines: DataFrame, is_context: Column, text: str, part: list[str], order: str, keep: int = 4, use: int = 3, spans: tuple[int, ...] = CONTEXT_SPANS) -> DataFrame:
+    """lines with context: the last `use` of the last `keep` different context lines before each line.
+
+    Lines are numbered over all parts and cut into spans by number, small ones inside larger ones.
+    A span comes down to its last `keep` different context lines; the state before a span is carried
+    within the next larger span only, so no row holds more than a small span's lines or one state a
+    span, however long its part is.
+    """
 
     def push(acc: Column, x: Column) -> Column:
         grown = F.concat(F.filter(acc, lambda y: y != x), F.array(x))
         return F.slice(grown, F.greatest(F.lit(1), F.size(grown) - keep + 1), keep)
 
-    seen = F.collect_list(F.when(is_context, F.col(text))).over(before)
-    last = F.aggregate(seen, F.array().cast("array<string>"), push)
-    return lines.withColumn("context", F.array_join(F.slice(last, F.greatest(F.lit(1), F.size(last) - use + 1), use), " > "))
+    def state(lists: Column) -> Column:
+        return F.aggregate(F.flatten(lists), F.array().cast("array<string>"), push)
+
+    def before(rows: DataFrame, level: int) -> DataFrame:
+        """rows (part, _n, _state) with _before: what stands before each row in its part."""
+        if level == len(spans):
+            window = Window.partitionBy(*part).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+            return rows.withColumn("_before", state(F.collect_list("_state").over(window)))
+        span = f"_span{level}"
+        cut = rows.withColumn(span, F.floor(F.col("_n") / spans[level]))
+        window = Window.partitionBy(*part, span).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+        own = cut.withColumn("_own", F.collect_list("_state").over(window))
+        sums = cut.groupBy(*part, span).agg(state(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_state"))), lambda x: x["_state"])).alias("_state"), F.min("_n").alias("_n"))
+        carried = before(sums, level + 1).select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], F.col(span).alias("_s"), F.col("_before").alias("_outer"))
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(part)], F.col(span) == F.col("_s"))
+        joined = own.join(carried, same, "left")
+        return joined.withColumn("_before", state(F.concat(F.array("_outer"), F.col("_own")))).drop("_own", "_outer", span, "_s", *[f"_p{i}" for i in range(len(part))])
+
+    own = F.when(is_context & F.col(text).isNotNull(), F.array(F.col(text).cast("string"))).otherwise(F.array().cast("array<string>"))
+    numbers = settled(numbered(lines.withColumn("_by", F.struct(*part, order)), "_by").drop("_by").withColumnRenamed("number", "_n").withColumn("_state", own))
+    last = F.col("_before")
+    context = F.array_join(F.slice(last, F.greatest(F.lit(1), F.size(last) - use + 1), use), " > ")
+    return before(numbers, 0).select(*lines.columns, context.alias("context"))
 
 
 def carry_last(lines: DataFrame, value: Column, part: list[str], order: str, name: str = "carried") -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from plumbline.operators import collect
 from plumbline.operators import registry as R
@@ -20,6 +21,25 @@ def test_context(spark):
     assert got[0] == "" and got[1] == "A" and got[4] == "B > A" and got[8] == "C > D > E"
 
 
+def test_context_holds_bounded_state(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([*"ABCDEFG", "x", "y", None])) for i in range(400)]
+    want, state = {}, {}
+    for f, i, t in rows:
+        last = state.setdefault(f, [])
+        want[i] = " > ".join(last[-3:])
+        if t and t.isupper():
+            state[f] = [*(x for x in last if x != t), t][-4:]
+    df = spark.createDataFrame(rows, "f string, n int, line string")
+    for spans in ((64, 16_384), (3, 12, 60)):
+        got = collect.carry_context(df, F.col("line").rlike("^[A-Z]$"), "line", ["f"], "n", spans=spans)
+        assert {x.n: x.context for x in got.collect()} == want
+    # no window over a whole part of the lines
+    long = spark.range(30_000).selectExpr("1 f", "id n", "string(id % 1000) line")
+    got = collect.carry_context(long, F.lit(True), "line", ["f"], "n").where("n = 29999").first()
+    assert got.context == "996 > 997 > 998"
+
+
 def test_sheet_rows(spark):
     cells = spark.createDataFrame([("f", r, c, v) for r, c, v in [(0, 0, "Улица"), (0, 1, "Дом"), (1, 0, "ул. Мира"), (1, 1, "5"), (2, 0, "улица"), (2, 1, "дом")]], "f string, row_idx int, col_idx int, value string")
     heads = cells.where("row_idx = 0").select("f", "col_idx", F.col("value").alias("header"), F.lit(1).alias("first_row"))

@@ -31,16 +31,17 @@ FACTORS = 4
 PREFIXES = (4, 5)
 #: At most this many labelled rows are fitted on: of each label, half of them, lowest hash of the id first.
 SAMPLE_ROWS = 12_000
+#: Terms of fewer sampled texts are not fitted.
+LEAST_TEXTS = 2
 EPOCHS = 12
 BATCH = 128
 SEED = 7
-#: A term tells by itself if its log odds ratio between the labels is at least this, and this many standard errors.
-LEAST_RATIO = 2.0
-LEAST_ERRORS = 3.0
-#: How strongly the weights of all other terms, and all pair factors, are pulled back, in standard errors of their slopes.
-SHRINK = 4.0
+#: How strongly weights and pair factors are pulled back, in standard errors of their slopes; the least pull on a weight.
+SHRINK_W, SHRINK_V, LEAST_W = 0.8, 1.5, 2e-3
 WORDS = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 300_000
+#: Texts whose terms are laid out together when scoring.
+TEXTS = 512
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -118,22 +119,25 @@ class Machine:
         return cls(float(got["bias"]), w, v)
 
 
-def telling(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """Which terms tell the labels apart by themselves."""
-    n, k = (labels == 1).sum(), (labels == 0).sum()
-    with_ = [np.bincount(np.concatenate([t for (t, _), y in zip(texts, labels, strict=True) if y == label]), minlength=1 << BITS) for label in (1, 0)]
-    a, b = with_[0] + 0.5, with_[1] + 0.5
-    c, d = n + 1 - a, k + 1 - b
-    ratio = np.abs(np.log(a * d / (b * c)))
-    return (ratio >= LEAST_RATIO) & (ratio >= LEAST_ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+def minibatches(texts: list[tuple[np.ndarray, np.ndarray]], told: np.ndarray, known: np.ndarray, r: np.random.Generator):
+    """Batches of texts, laid out once for all epochs: told, sizes, x, different terms (by place in known), which of them each is, and how often each is met."""
+    order = r.permutation(len(texts))
+    for at in range(0, len(order), BATCH):
+        picked = order[at : at + BATCH]
+        terms, x, size = laid_out([texts[i] for i in picked])
+        place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+        used = known[place] == terms
+        size = np.add.reduceat(np.append(used, False).astype(np.int64), np.cumsum(size) - size) * (size > 0)
+        unique, where, met = np.unique(place[used], return_inverse=True, return_counts=True)
+        yield told[picked], size, x[used].astype(np.float64), unique, where, met
 
 
 def fit_machine(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Machine:
-    """AdaGrad over all terms: a soft threshold on the weights, dual averaging for the pair factors.
+    """AdaGrad over all terms that LEAST_TEXTS texts have, both labels with equal weight in sum: a soft threshold on w, dual averaging for v.
 
-    Terms that tell nothing by themselves take part: their weights are held back by SHRINK standard
-    errors of their slopes, and the factors of every term leave their start as far as their summed
-    slopes exceed so many. Factors that never left it are zero in the end.
+    No term is left out for what it tells by itself: the same rule holds every w back by SHRINK_W
+    standard errors of its slope, and the factors of a term leave their start as far as their
+    summed slopes exceed SHRINK_V standard errors. Factors that never left it are zero in the end.
     """
     r = np.random.default_rng(SEED)
     machine = Machine(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
@@ -141,41 +145,47 @@ def fit_machine(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
         machine.bias = 0.0 if not len(texts) else (4.0 if labels[0] else -4.0)
         return machine
     terms, x, _ = laid_out(texts)
-    known, count, share = np.unique(terms), np.maximum(np.bincount(terms, minlength=1 << BITS), 1), labels.mean()
-    errors = np.sqrt(np.bincount(terms, x.astype(np.float64) ** 2, 1 << BITS) * share * (1 - share))
-    threshold = 2e-3 + np.where(telling(texts, labels), 0.0, SHRINK * errors / count)
-    start = np.zeros_like(machine.v)
-    start[known] = r.normal(0, 0.01, (len(known), FACTORS))
-    machine.v[known] = start[known]
-    gw, gb, rate = np.full(1 << BITS, 1e-3), 1e-3, 0.1
-    slopes, squares = np.zeros((1 << BITS, FACTORS)), np.full((1 << BITS, FACTORS), 1e-14)
+    count, squared = np.bincount(terms, minlength=1 << BITS), np.bincount(terms, x.astype(np.float64) ** 2, 1 << BITS)
+    known = np.flatnonzero(count >= LEAST_TEXTS)
+    n, share = len(known), labels.mean()
+    if not n:
+        machine.bias = 4.0 * (1 if share > 0.5 else -1)
+        return machine
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    threshold = LEAST_W + SHRINK_W * np.sqrt(squared[known] / (16 * share * (1 - share))) / count[known]
+    start = r.normal(0, 0.01, (n, FACTORS))
+    w, v, bias = np.zeros(n), start.copy(), 0.0
+    gw, gb, rate = np.full(n, 1e-3), 1e-3, 0.1
+    slopes, squares = np.zeros((n, FACTORS)), np.full((n, FACTORS), 1e-14)
+    batches = list(minibatches(texts, np.stack([labels, weight], axis=1), known, r))
     for epoch in range(epochs):
-        order = r.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
-            picked = order[at : at + BATCH]
-            terms, x, size = laid_out([texts[i] for i in picked])
-            margin, sums = machine.spread(terms, x, size)
-            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[picked]) / len(picked)
+        for b in r.permutation(len(batches)):
+            told, size, x, unique, where, met = batches[b]
+            starts, empty = np.cumsum(size) - size, size == 0
+            each_text = lambda y: np.where(empty, 0.0, np.add.reduceat(np.append(y, 0.0), starts))  # noqa: B023, E731
+            vx = [np.take(column, where) * x for column in v[unique].T.copy()]
+            sums = [each_text(y) for y in vx]
+            margin = bias + each_text(w[unique][where] * x) + sum((s * s - each_text(y * y)) / 2 for s, y in zip(sums, vx, strict=True))
+            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - told[:, 0]) * told[:, 1] / len(size)
             each = np.repeat(slope, size) * x
-            unique, where, met = np.unique(terms, return_inverse=True, return_counts=True)
-            others = np.repeat(sums, size, axis=0) - machine.v[terms] * x[:, None]
             g = np.bincount(where, each, len(unique))
             gw[unique] += g * g
             step = rate / np.sqrt(gw[unique])
-            moved = machine.w[unique] - step * g
-            machine.w[unique] = np.sign(moved) * np.maximum(np.abs(moved) - step * threshold[unique] * met / len(picked), 0)
-            for k in range(FACTORS):
-                g = each * others[:, k]
-                slopes[unique, k] += np.bincount(where, g, len(unique))
-                squares[unique, k] += np.bincount(where, g * g, len(unique))
+            moved = w[unique] - step * g
+            w[unique] = np.sign(moved) * np.maximum(np.abs(moved) - step * threshold[unique] * met / len(size), 0)
+            pulls = [each * (np.repeat(s, size) - y) for s, y in zip(sums, vx, strict=True)]
+            s = slopes[unique] + np.stack([np.bincount(where, p, len(unique)) for p in pulls], axis=1)
+            q = squares[unique] + np.stack([np.bincount(where, p * p, len(unique)) for p in pulls], axis=1)
+            slopes[unique], squares[unique] = s, q
             # the slopes of noise add up over epochs too, as their root
-            limit = SHRINK * np.sqrt((epoch + 1) * squares[unique].sum(axis=1))
-            left = np.maximum(1 - limit / np.maximum(np.sqrt((slopes[unique] ** 2).sum(axis=1)), 1e-30), 0)
-            machine.v[unique] = start[unique] - 0.3 * rate * left[:, None] * slopes[unique] / np.sqrt(squares[unique])
+            limit = SHRINK_V * np.sqrt((epoch + 1) * q.sum(axis=1))
+            left = np.maximum(1 - limit / np.maximum(np.sqrt((s * s).sum(axis=1)), 1e-30), 0)
+            v[unique] = start[unique] - 0.3 * rate * left[:, None] * s / np.sqrt(q)
             g = slope.sum()
             gb += g * g
-            machine.bias -= rate * g / np.sqrt(gb)
-    machine.v[(machine.v == start).all(axis=1)] = 0
+            bias -= rate * g / np.sqrt(gb)
+    v[(v == start).all(axis=1)] = 0
+    machine.bias, machine.w[known], machine.v[known] = bias, w, v
     return machine
 
 
@@ -223,7 +233,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches):
         own, terms = kept(shared.value, scorer)
-        for batch in slices(batches, most_rows=512):
+        for batch in slices(batches, most_rows=TEXTS):
             margin = own.margins([terms(t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -30, 30))))], names=["doc_id", "score"])
 
@@ -247,12 +257,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, each scored where it is."""
+    """The rows of docs that are not predicted toxic (score under 0.5), each scored where it is.
+
+    All columns and rows stay as they are, nulls and repeated rows included; null and empty texts
+    have the bias alone. Without any label no row goes. An empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels).packed())
 
     @F.pandas_udf("double")
     def margin(texts):
         own, terms = kept(shared.value, scorer)
-        return pd.Series(own.margins([terms(t) for t in texts]) if len(texts) else [], dtype=float)
+        parts = [own.margins([terms(t) for t in texts.iloc[at : at + TEXTS]]) for at in range(0, len(texts), TEXTS)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
     return docs.where(margin(F.col("text").cast("string")) < 0)

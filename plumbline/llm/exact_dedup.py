@@ -4,12 +4,13 @@ Texts are split by successive bytes, most significant first, until a group is a
 has ended; equality is the end of a group and needs no digest.
 
 * Within a slice of a scan task, copies are folded into one representative, which carries the
-  ids of its members. So a group of copies, however large, leaves each task as one row.
-* Representatives are dealt by their leading bytes. A prefix that more than `leaf_rows`
-  different texts share is split by its next bytes, and so on (8, 32, 128, ... bytes), so no
-  shuffle partition gets an unbounded group.
+  ids of its members. So a group of copies, however large, leaves each task as one row a slice.
+* Texts are dealt by their leading bytes. A node of the tree of bytes with more than `leaf_bytes`
+  of different texts is split by its next bytes, and so on (8, 32, 128, ... bytes). The nodes to
+  split are tables (parent, next bytes, node) that Spark makes level by level; the driver only
+  learns whether a level has any. A leaf is bounded by the same number at every size.
 * Each partition goes on splitting its groups by the following bytes, from a stream sorted by
-  prefix; it holds one group's different texts at a time.
+  node and bytes; it holds one group's different texts at a time.
 
 Class totals are summed from representatives and joined back to them; members are then unfolded.
 """
@@ -28,8 +29,10 @@ from plumbline.llm.common import doc_key, null_id, slices, table, text_bytes, wr
 FIRST_DIGIT = 8
 #: Each split looks at the first 8, 32, 128, ... bytes.
 GROWTH = 4
-LEAF_ROWS = 4_000
-MOST_SPLITS = 50_000
+#: Bytes of different texts under one node that are left to one task.
+LEAF_BYTES = 4 << 20
+#: Nodes of one level that are broadcast (at most about 100 MB); Spark joins more of them by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def radix_groups(texts: list[bytes]) -> list[list[int]]:
@@ -53,60 +56,67 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def leaf_of(text: bytes, split: dict[int, set[bytes]]) -> int:
-    """How many leading bytes deal this text out."""
-    depth = FIRST_DIGIT
-    while len(text) > depth and text[:depth] in split.get(depth, ()):
-        depth *= GROWTH
-    return depth
-
-
-def prefixes_to_split(docs: DataFrame, leaf_rows: int) -> dict[int, set[bytes]]:
-    """By depth, the prefixes that too many different texts share (few: at most rows / leaf_rows)."""
-    split: dict[int, set[bytes]] = {}
-    depth, under = FIRST_DIGIT, docs
-    spark = docs.sparkSession
+def widths():
+    """Bytes before a level, bytes that it looks at."""
+    depth, width = 0, FIRST_DIGIT
     while True:
-        prefix = F.substring(ascii_lower(F.left("text", F.lit(depth))).cast("binary"), 1, depth)
-        many = under.where(F.octet_length("text") > depth).groupBy(prefix.alias("p")).count().where(F.col("count") > leaf_rows)
-        if not (found := [r.p for r in many.collect()]):
-            return split
-        table_ = F.broadcast(spark.createDataFrame([(bytes(p),) for p in found], "p binary"))
-        different = under.join(table_, prefix == F.col("p")).groupBy("p").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
-        hot = [bytes(r.p) for r in different.where(F.col("n") > leaf_rows).collect()]
-        if not hot:
-            return split
-        split[depth] = set(hot)
-        hot_table = F.broadcast(spark.createDataFrame([(p,) for p in hot], "p binary"))
-        under = under.join(hot_table, prefix == F.col("p"), "left_semi")
-        depth *= GROWTH
-
-
-def _fold(split):
+        yield depth, width
+        depth, width = depth + width, (GROWTH - 1) * (depth + width)
+
+
+def stepped(texts: DataFrame, nodes: DataFrame, depth: int, width: int, how: str) -> DataFrame:
+    """texts (text, node, depth) that go on below one of nodes, one level down; the others stay where they are, or go if how is inner."""
+    n = nodes.select(F.col("parent").alias("_parent"), F.col("digit").alias("_digit"), F.col("child").alias("_child"))
+    on = (F.col("node") == F.col("_parent")) & (F.substring("text", depth + 1, width) == F.col("_digit")) & (F.octet_length("text") > depth + width)
+    keep = [c for c in texts.columns if c not in ("node", "depth")]
+    return texts.join(n, on, how).select(*keep, F.coalesce("_child", "node").alias("node"), F.when(F.col("_child").isNotNull(), depth + width).otherwise(F.col("depth")).alias("depth"))
+
+
+def small(nodes: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(nodes) if count <= MOST_BROADCAST else nodes
+
+
+def nodes_to_split(texts: DataFrame, leaf_bytes: int) -> list[tuple[int, int, DataFrame]]:
+    """By level: bytes before it, its bytes, and its nodes (parent, digit, child) with over leaf_bytes of different texts."""
+    levels: list[tuple[int, int, DataFrame]] = []
+    under = texts.select("text", F.lit(0).cast("long").alias("node"), F.lit(0).alias("depth"))
+    for level, (depth, width) in enumerate(widths()):
+        digit = F.substring("text", depth + 1, width).alias("digit")
+        going = under.where(F.octet_length("text") > depth + width)
+        # copies count here, but are cheap to count
+        many = written(going.groupBy(F.col("node").alias("parent"), digit).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > leaf_bytes) & (F.col("n") > 1)).withColumn("child", F.monotonically_increasing_id()), "crowded")
+        found = many.count()
+        if not found:
+            return levels
+        inside = stepped(going, small(many, found), depth, width, "inner")
+        different = inside.groupBy("node").agg(F.approx_count_distinct(F.xxhash64("text")).alias("kinds"), F.avg(F.octet_length("text")).alias("size")).where((F.col("kinds") > 1) & (F.col("kinds") * F.col("size") > leaf_bytes))
+        # ids of one level don't occur in another
+        base = (level + 1) << 56
+        nodes = written(many.join(different, many["child"] == different["node"], "left_semi").select("parent", "digit", (F.col("child") + F.lit(base)).alias("child")), "nodes")
+        if not (found := nodes.count()):
+            return levels
+        levels.append((depth, width, small(nodes, found)))
+        under = stepped(going, levels[-1][2], depth, width, "inner")
+    return levels
+
+
+def _fold(batches):
     """Slices of documents to one row for each different text in the slice."""
-
-    def run(batches):
-        for batch in slices(batches):
-            ids, texts = batch.column("doc_id").to_pylist(), [t.lower() for t in text_bytes(batch.column("text"))]
-            out: list[list] = [[], [], [], []]
-            for group in radix_groups(texts):
-                text = texts[group[0]]
-                depth = leaf_of(text, split)
-                for column, x in zip(out, (text[:depth], text[depth : depth + 64], text, sorted((ids[i] for i in group), reverse=True)), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["leaf", "following", "text", "members"])
-
-    return run
+    for batch in slices(batches):
+        ids, texts = batch.column("doc_id").to_pylist(), [t.lower() for t in text_bytes(batch.column("text"))]
+        groups = radix_groups(texts)
+        members = [sorted((ids[i] for i in g), reverse=True) for g in groups]
+        yield pa.RecordBatch.from_arrays([pa.array([texts[g[0]] for g in groups], pa.binary()), pa.array(members, pa.list_(pa.int64()))], names=["text", "members"])
 
 
 def _classes(batches):
-    """A partition sorted by prefix: gives equal representatives one class_id."""
+    """A partition sorted by node and bytes: gives equal representatives one class_id."""
     base = TaskContext.get().partitionId() << 36
     made = seen = 0
     held: list[tuple[bytes, int]] = []  # different texts of the group that is still open, with their class
     open_key = None
     for batch in slices(batches):
-        keys = list(zip(batch.column("leaf").to_pylist(), batch.column("following").to_pylist(), strict=True))
+        keys = list(zip(batch.column("node").to_pylist(), batch.column("leading").to_pylist(), strict=True))
         texts = batch.column("text").to_pylist()
         if keys[0] != open_key:
             held = []
@@ -130,7 +140,7 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pieces, pa.array(digests, pa.string()), batch.column("members")], names=["class_id", "piece", "text_sha256", "members"])
 
 
-def exact_groups(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def exact_groups(docs: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per document.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest
@@ -138,11 +148,15 @@ def exact_groups(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     below all others. Other columns are ignored; an empty table gives an empty table.
     """
     source = docs.select(doc_key().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = docs.count()
-    split = prefixes_to_split(source, max(leaf_rows, rows // MOST_SPLITS)) if rows > leaf_rows else {}
-    folded = source.mapInArrow(_fold(split), "leaf binary, following binary, text binary, members array<long>")
-    dealt = folded.repartition("leaf").sortWithinPartitions("leaf", "following")
-    pieces = written(dealt.mapInArrow(_classes, "class_id long, piece long, text_sha256 string, members array<long>"), "exact")
+    levels = nodes_to_split(source.select(ascii_lower(F.col("text")).cast("binary").alias("text")), leaf_bytes)
+    placed = source.mapInArrow(_fold, "text binary, members array<long>").withColumns({"node": F.lit(0).cast("long"), "depth": F.lit(0)})
+    for depth, width, nodes in levels:
+        placed = stepped(placed, nodes, depth, width, "left")
+    # a leaf is a node with the next bytes, as many as its level looks at; texts are sorted by some more
+    width = F.when(F.col("depth") == 0, FIRST_DIGIT).otherwise((GROWTH - 1) * F.col("depth"))
+    dealt = placed.repartition("node", F.substring("text", F.col("depth") + 1, width))
+    sorted_ = dealt.withColumn("leading", F.substring("text", F.col("depth") + 1, width + 64)).sortWithinPartitions("node", "leading").select("node", "leading", "text", "members")
+    pieces = written(sorted_.mapInArrow(_classes, "class_id long, piece long, text_sha256 string, members array<long>"), "exact")
     pieces = pieces.withColumn("top", F.element_at("members", 1))
     totals = pieces.groupBy("class_id").agg(F.sum(F.size("members").cast("long")).alias("group_size"), F.max(F.struct("top", "piece")).alias("best"))
     joined = pieces.join(totals, "class_id").select(F.posexplode("members").alias("nth", "doc_id"), "group_size", "text_sha256", F.col("best.top").alias("keep_id"), (F.col("best.piece") == F.col("piece")).alias("first"))
@@ -150,12 +164,17 @@ def exact_groups(docs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns: one for each different text, whatever else repeats.
+
+    Null text counts as empty; a null doc_id is below all others. Of rows with one id and equal
+    texts the first by text, then by the other columns, stays, so a rerun keeps the same rows.
+    """
     kept = exact_groups(docs).where("kept").select(doc_key().alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
     sha = F.sha2(ascii_lower(F.coalesce("own.text", F.lit(""))).cast("binary"), 256)
     found = own.withColumns({"_id": doc_key("own.doc_id"), "_sha": sha}).join(kept, ["_id", "_sha"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))  # rows repeated under one doc_id
+    others = [F.col(f"own.`{c}`") for c in docs.columns if c != "text"]
+    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("own.text", F.to_json(F.struct(*others))))  # rows repeated under one doc_id
     return found.withColumn("_nth", nth).where("_nth = 1").select("own.*")
 
 

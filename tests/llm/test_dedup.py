@@ -24,8 +24,29 @@ def test_exact_splits_shared_prefixes(spark):
     r = random.Random(3)
     rows = [(i, "the same beginning of every text, " * 3 + r.choice("aAbB") * r.randint(0, 40)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    assert exact_dedup.prefixes_to_split(docs, 20)
-    same_as_sql(exact_dedup.exact_groups(docs, leaf_rows=20), exact_dedup.SQL, {"documents": frame(docs)})
+    levels = exact_dedup.nodes_to_split(docs.selectExpr("cast(text as binary) text"), 2000)
+    assert [d for d, _, _ in levels] == [0, 8]
+    same_as_sql(exact_dedup.exact_groups(docs, leaf_bytes=2000), exact_dedup.SQL, {"documents": frame(docs)})
+
+
+def test_exact_copies_and_near_copies_of_long_texts(spark, monkeypatch):
+    r = random.Random(5)
+    base = "".join(r.choice("abc ") for _ in range(3000))
+    texts = [base[:i] + r.choice("XY") + base[i + 1 :] for i in range(0, 3000, 50)] + [base] * 30 + [base[:n] for n in (8, 32, 128, 512, 2048, 2999)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", 0)
+    try:
+        same_as_sql(exact_dedup.exact_groups(docs, leaf_bytes=5000), exact_dedup.SQL, {"documents": frame(docs)})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_exact_keeps_the_same_row_each_time(spark):
+    rows = [(1, "x", "b", 1), (1, "X", "a", 2), (1, "x", "a", 3), (1, "x", None, 4)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, n_chars long").repartition(3)
+        assert [tuple(r) for r in exact_dedup.deduplicate(docs).collect()] == [(1, "X", "a", 2)]
 
 
 def test_exact_repeated_rows_and_null_ids(spark):

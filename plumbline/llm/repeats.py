@@ -6,13 +6,16 @@ corpus cannot be sorted in one place, so they are first brought together where t
 1. Each string of `least` bytes has an anchor, the gram of its own with the smallest hash. Equal
    strings have equal anchors. An anchor stands for the run of strings that have it, whose bytes
    are its region; about one byte in 30 is an anchor. Anchors, not texts, are shuffled.
-2. Of anchors with the same region, all but the first lose it whole. Slices of a scan task do
-   this before they send anything on, so that one passage in a third of all rows is one row for
-   each slice.
+2. Of anchors with the same region, all but the first lose it whole: copies are folded, as a copy
+   of a region can't start earlier than its first. Slices of a scan task do this before they send
+   anything on, so that one passage in a third of all rows is one row for each slice. Anchors are
+   range-partitioned by (anchor, region), so that an anchor with very many regions spreads over
+   partitions; neighbours meet in the few anchors at the ends of their ranges.
 3. Anchors with several different regions get these regions' bytes. A task sorts their suffixes;
    previous and next smaller positions in suffix order give each suffix its longest previous
-   factor, and where this is `least` or more its bytes go. Anchors with more than `crowd` regions
-   have their strings compared one by one through a shuffle instead, so no task holds them all.
+   factor, and where this is `least` or more its bytes go. The regions of an anchor that has over
+   `crowd` of them are first cut by where in a string the anchor stands, again and again in halves:
+   equal strings agree in that and in ever more bytes around the anchor, which make the new key.
 4. Each document gets its runs and is cut.
 
 Texts move compressed, and twice: to take out regions, and to be cut.
@@ -30,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import doc_key, null_id, slices, table, text_bytes, written
-from plumbline.llm.repeats_np import anchors, gram_hashes_of, longest_previous_factor, region_hashes
+from plumbline.llm.repeats_np import anchors, gram_hashes, gram_hashes_of, longest_previous_factor, region_hashes
 
 LEAST = 100
 GRAM = 32
-CROWD = 15_000
+CROWD = 4_000
 #: Bytes of regions whose suffixes are sorted together, besides the last group.
 SORTED = 1 << 20
 RUN = np.dtype([("doc", "i8"), ("row", "i8"), ("start", "i8"), ("size", "i8")])
@@ -76,8 +79,14 @@ ANCHORS = "h long, c long, doc long, row long, place long"
 FOUND = "kind int, h long, doc long, row long, start long, size long"
 
 
+def count_bits(least: int) -> int:
+    """Bits of a place that hold its number of strings; the first string's start is above them."""
+    return least.bit_length()
+
+
 def _anchors(least: int, gram: int):
-    """Anchors: h, c (hash of the region), place (first string << 8 | strings). Runs that a slice settles: place = -size, c = start."""
+    """Anchors: h, c (hash of the region), place. Runs that a slice settles: place = -size, c = start."""
+    bits = count_bits(least)
 
     def run(batches):
         for batch in slices(batches, most_bytes=3 << 20):
@@ -96,11 +105,11 @@ def _anchors(least: int, gram: int):
             gone["start"], gone["size"] = start[~first], count[~first] + least - 1
             gone = joined_runs(gone)
             columns = (
-                np.concatenate([h[first].view(np.int64), gone["doc"] * np.int64(-7046029254386353131) + gone["start"]]),
+                np.concatenate([h[first].view(np.int64), np.zeros(len(gone), np.int64)]),
                 np.concatenate([c[first].view(np.int64), gone["start"]]),
                 np.concatenate([doc[text[first]], gone["doc"]]),
                 np.concatenate([row[text[first]], gone["row"]]),
-                np.concatenate([start[first] << 8 | count[first], -gone["size"]]),
+                np.concatenate([start[first] << bits | count[first], -gone["size"]]),
             )
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["h", "c", "doc", "row", "place"])
 
@@ -113,18 +122,20 @@ def _found(kind: int, h, doc, row, start, size) -> pa.RecordBatch:
 
 
 def _classes(least: int):
-    """Anchors sorted by h, c, document and place. Kind 1: a run goes; kind 2: a region to compare, size being its strings."""
+    """Anchors sorted by h, c, document and place. Kind 1: a run goes; kind 2: a region to compare, size being its strings.
+
+    Kind 3 is such a region of the first or last anchor of a partition, which may have others in a
+    neighbour; kind 4 says how many (size) regions of the last anchor went out as kind 2.
+    """
+    bits = count_bits(least)
 
     def run(batches):
         last_h = last_c = None
         last = np.full((5, 1), -1, dtype=np.int64)
-        waiting = None  # the first region of the open anchor, until a second one comes
+        first, n_open = True, 0  # the open anchor is the first one here; regions of it so far
+        waiting = None  # the only region of an open anchor
         for batch in batches:
             h, c, doc, row, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "c", "doc", "row", "place"))
-            settled = place < 0
-            if settled.any():
-                yield _found(1, h[settled], doc[settled], row[settled], c[settled], -place[settled])
-                h, c, doc, row, place = (x[~settled] for x in (h, c, doc, row, place))
             # the same place again: a row that is there twice
             now = np.stack([h, c, doc, row, place])
             again = (now == np.concatenate([last, now[:, :-1]], axis=1)).all(axis=0)
@@ -134,29 +145,41 @@ def _classes(least: int):
                 h, c, doc, row, place = (x[~again] for x in (h, c, doc, row, place))
             if not len(h):
                 continue
-            start, count = place >> 8, place & 255
+            start, count = place >> bits, place & ((1 << bits) - 1)
             new_h = np.concatenate([[h[0] != last_h], h[1:] != h[:-1]])
             new_c = new_h | np.concatenate([[c[0] != last_c], c[1:] != c[:-1]])
+            began, last_h, last_c = last_h is None, h[-1], c[-1]
             if not new_c.all():
                 later = ~new_c
                 yield _found(1, h[later], doc[later], row[later], start[later], count[later] + least - 1)
-            heads = np.flatnonzero(new_h)
+            new_h, h, doc, row, start, count = (x[new_c] for x in (new_h, h, doc, row, start, count))
+            if not len(h):
+                continue
             goes_on = not new_h[0]
+            heads = np.flatnonzero(new_h)
             bounds = np.concatenate([[0] if goes_on else [], heads, [len(h)]]).astype(np.int64)
-            regions = np.add.reduceat(new_c.astype(np.int64), bounds[:-1])
-            many = regions > 1
-            if goes_on and regions[0] > 0:
-                many[0] = True
-                if waiting is not None:
-                    yield _found(2, *waiting)
-                    waiting = None
-            emit = new_c & np.repeat(many, np.diff(bounds))
-            if emit.any():
-                yield _found(2, h[emit], doc[emit], row[emit], start[emit], count[emit])
-            if len(heads):
-                at = slice(heads[-1], heads[-1] + 1)
-                waiting = None if many[-1] else tuple(x[at].copy() for x in (h, doc, row, start, count))
-            last_h, last_c = h[-1], c[-1]
+            n = np.diff(bounds)
+            total = n.copy()
+            if goes_on:
+                total[0] += n_open
+            edge = np.zeros(len(n), dtype=bool)
+            edge[0] = began or goes_on and first
+            several = total > 1
+            if waiting is not None and goes_on:
+                yield _found(2, *waiting)
+            if waiting is not None and (goes_on or len(heads)):
+                waiting = None
+            for kind, which in ((3, edge), (2, several & ~edge)):
+                out = np.repeat(which, n)
+                if out.any():
+                    yield _found(kind, h[out], doc[out], row[out], start[out], count[out])
+            if not several[-1] and not edge[-1]:
+                waiting = tuple(x[-1:].copy() for x in (h, doc, row, start, count))
+            first, n_open = bool(edge[-1]), int(total[-1])
+        if waiting is not None:
+            yield _found(3, *waiting)
+        elif n_open and not first:
+            yield _found(4, *(np.array([x], dtype=np.int64) for x in (last_h, 0, 0, 0, n_open)))
 
     return run
 
@@ -237,42 +260,79 @@ def _factors(least: int):
     return run
 
 
-def _strings(least: int):
-    """Each string of a region by its 128-bit hash, and where it starts."""
+def _halved(least: int, gram: int):
+    """Regions cut by where the anchor stands: by how many bytes of a string follow it, fewer than the middle of lo and hi or not.
+
+    The new h is made of the bytes around the anchor that all strings of the part have.
+    """
 
     def run(batches):
         for batch in batches:
-            for part in slices([batch], most_bytes=1 << 18):
-                data = part.column("data").to_pylist()
-                count = np.array([len(x) - least + 1 for x in data])
-                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x[i : i + least]) for x, n in zip(data, count.tolist(), strict=True) for i in range(n)]), dtype="<i8").reshape(-1, 2)
-                each = lambda k: np.repeat(part.column(k).to_numpy(zero_copy_only=False), count)  # noqa: B023, E731
-                offset = np.arange(len(digests)) - np.repeat(np.cumsum(count) - count, count)
-                columns = (digests[:, 0], digests[:, 1], each("doc"), each("row"), each("start") + offset)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["a", "b", "doc", "row", "start"])
+            for part in slices([batch], most_bytes=1 << 20):
+                out: list[list] = [[] for _ in HALVES.split(", ")]
+                for h, lo, hi, doc, row, start, data in zip(*(part.column(k).to_pylist() for k in ("h", "lo", "hi", "doc", "row", "start", "data")), strict=True):
+                    hashes = gram_hashes(np.frombuffer(data[:least], np.uint8), gram)
+                    anchor, middle = int(hashes.argmin()), (lo + hi) // 2
+                    # string i has i + least - anchor - gram bytes behind its anchor
+                    cut = min(max(middle - least + anchor + gram, 0), len(data) - least + 1)
+                    for a, b, low, high in ((0, cut, lo, middle), (cut, len(data) - least + 1, middle, hi)):
+                        if a < b:
+                            piece = data[a : b + least - 1]
+                            around = data[anchor - (least - gram - high + 1) : anchor + gram + low]
+                            digest = xxhash.xxh3_128_digest(piece, b - a)
+                            fields = (xxhash.xxh3_64_intdigest(around, (h ^ low) & (2**64 - 1)), low, high, doc, row, start + a, piece, *np.frombuffer(digest, "<i8").tolist())
+                            for column, x in zip(out, fields, strict=True):
+                                column.append(x)
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+                out[0] = np.array(out[0], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in HALVES.split(", ")])
 
     return run
 
 
+HALVES = "h long, lo int, hi int, doc long, row long, start long, data binary, a long, b long"
+
+
+def thinned(regions: DataFrame, least: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
+    """regions with at most `crowd` different ones for each h, and the runs of copies that went (or None).
+
+    It takes a round for each halving, and only while an anchor is crowded. In the end a part has
+    the strings with one place of the anchor and one content, so there is just one of it.
+    """
+    regions = regions.withColumns({"lo": F.lit(0), "hi": F.lit(least - gram + 1)})
+    columns, gone = ["h", "lo", "hi", "doc", "row", "start", "data"], None
+    for _ in range((least - gram + 1).bit_length() + 1):
+        regions = written(regions.select(columns), "regions")
+        crowded = written(regions.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h"), "crowded")
+        if not crowded.count():
+            break
+        halves = written(regions.join(crowded, "h", "left_semi").mapInArrow(_halved(least, gram), HALVES), "halves")
+        place = F.struct("doc", "row", "start")
+        firsts = halves.groupBy("h", "lo", "a", "b").agg(F.min(place).alias("first"))
+        told = written(halves.join(firsts, ["h", "lo", "a", "b"]).withColumn("goes", place != F.col("first")), "told")
+        runs = told.where("goes").select("doc", "row", "start", F.octet_length("data").cast("long").alias("size"))
+        gone = runs if gone is None else gone.unionByName(runs)
+        regions = regions.join(crowded, "h", "left_anti").unionByName(told.where("not goes").select(columns))
+    return regions.select("h", "doc", "row", "start", "data"), gone
+
+
 def repeated_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc, row, start, size: runs of bytes that go; they may overlap."""
     keyed = _keyed(docs)
-    sent = keyed.mapInArrow(_anchors(least, gram), ANCHORS)
-    dealt = sent.repartition("h").sortWithinPartitions("h", "c", "doc", "row", "place")
-    found = written(dealt.mapInArrow(_classes(least), FOUND), "anchors")
-    wanted = found.where("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("h", "start", "size")).alias("places"))
+    sent = written(keyed.mapInArrow(_anchors(least, gram), ANCHORS), "anchors")
+    dealt = sent.where("place >= 0").repartitionByRange("h", "c").sortWithinPartitions("h", "c", "doc", "row", "place")
+    found = written(dealt.mapInArrow(_classes(least), FOUND), "classes")
+    # at most two anchors a partition
+    edges = found.where("kind >= 3").groupBy("h").agg(F.sum(F.when(F.col("kind") == 4, F.col("size")).otherwise(1)).alias("n")).where("n > 1").select("h")
+    several = found.where("kind = 2").unionByName(found.where("kind = 3").join(F.broadcast(edges), "h", "left_semi"))
+    wanted = several.groupBy("doc", "row").agg(F.collect_list(F.struct("h", "start", "size")).alias("places"))
     regions = _packed(keyed).join(wanted.hint("shuffle_hash"), ["doc", "row"]).select("doc", "row", "packed", "places").mapInArrow(_regions(least), REGIONS)
-    crowded = [r.h for r in found.where("kind = 2").groupBy("h").count().where(F.col("count") > crowd).select("h").collect()]
-    out = found.where("kind = 1").select("doc", "row", "start", "size")
-    if crowded:
-        regions = written(regions, "regions")
-        strings = written(regions.where(F.col("h").isin(crowded)).mapInArrow(_strings(least), "a long, b long, doc long, row long, start long"), "strings")
-        first = strings.groupBy("a", "b").agg(F.min(F.struct("doc", "row", "start")).alias("first"))
-        later = strings.join(first, ["a", "b"]).where(F.struct("doc", "row", "start") != F.col("first"))
-        out = out.unionByName(later.select("doc", "row", "start", F.lit(least).cast("long").alias("size")))
-        regions = regions.where(~F.col("h").isin(crowded))
+    regions, gone = thinned(regions, least, gram, crowd)
+    settled = sent.where("place < 0").select("doc", "row", F.col("c").alias("start"), (-F.col("place")).alias("size"))
+    out = settled.unionByName(found.where("kind = 1").select("doc", "row", "start", "size"))
     factors = regions.repartition("h").sortWithinPartitions("h").mapInArrow(_factors(least), FOUND)
-    return out.unionByName(written(factors.select("doc", "row", "start", "size"), "factors"))
+    out = out.unionByName(written(factors.select("doc", "row", "start", "size"), "factors"))
+    return out if gone is None else out.unionByName(gone)
 
 
 def _cut(digest: bool):

@@ -63,6 +63,24 @@ def test_random_passages(spark, crowd, monkeypatch):
     try:
         held(docs, crowd=crowd)
         held(docs, least=60, crowd=crowd)
+        held(docs, least=300, crowd=crowd)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("least", [60, 100, 300, 400])
+def test_hot_passage(spark, least, monkeypatch):
+    """One passage in every text, each time between other bytes, and a core that a number follows: many regions for one anchor."""
+    r = random.Random(least)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, core = noise(520), noise(390)
+    rows = [(i, f"{noise(40)}{passage}{noise(40)}{core}{i:07d}{noise(20)}{passage[: r.randint(0, 520)]}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(repeats, "SORTED", 3000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        held(docs, least, crowd=3)
+        held(docs, least)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 

@@ -64,10 +64,15 @@ def widths():
         depth, width = depth + width, (GROWTH - 1) * (depth + width)
 
 
-def stepped(texts: DataFrame, nodes: DataFrame, depth: int, width: int, how: str) -> DataFrame:
+def leading_bytes(depth: int, width: int) -> Column:
+    """Bytes depth to depth + width of a text that is not lower-cased yet, without lower-casing the rest of it."""
+    return F.substring(ascii_lower(F.left("text", F.lit(depth + width))).cast("binary"), depth + 1, width)
+
+
+def stepped(texts: DataFrame, nodes: DataFrame, depth: int, width: int, how: str, digit: Column) -> DataFrame:
     """texts (text, node, depth) that go on below one of nodes, one level down; the others stay where they are, or go if how is inner."""
     n = nodes.select(F.col("parent").alias("_parent"), F.col("digit").alias("_digit"), F.col("child").alias("_child"))
-    on = (F.col("node") == F.col("_parent")) & (F.substring("text", depth + 1, width) == F.col("_digit")) & (F.octet_length("text") > depth + width)
+    on = (F.col("node") == F.col("_parent")) & (digit == F.col("_digit")) & (F.octet_length("text") > depth + width)
     keep = [c for c in texts.columns if c not in ("node", "depth")]
     return texts.join(n, on, how).select(*keep, F.coalesce("_child", "node").alias("node"), F.when(F.col("_child").isNotNull(), depth + width).otherwise(F.col("depth")).alias("depth"))
 
@@ -81,14 +86,14 @@ def nodes_to_split(texts: DataFrame, leaf_bytes: int) -> list[tuple[int, int, Da
     levels: list[tuple[int, int, DataFrame]] = []
     under = texts.select("text", F.lit(0).cast("long").alias("node"), F.lit(0).alias("depth"))
     for level, (depth, width) in enumerate(widths()):
-        digit = F.substring("text", depth + 1, width).alias("digit")
+        digit = leading_bytes(depth, width).alias("digit")
         going = under.where(F.octet_length("text") > depth + width)
         # copies count here, but are cheap to count
         many = written(going.groupBy(F.col("node").alias("parent"), digit).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > leaf_bytes) & (F.col("n") > 1)).withColumn("child", F.monotonically_increasing_id()), "crowded")
         found = many.count()
         if not found:
             return levels
-        inside = stepped(going, small(many, found), depth, width, "inner")
+        inside = stepped(going, small(many, found), depth, width, "inner", digit)
         different = inside.groupBy("node").agg(F.approx_count_distinct(F.xxhash64("text")).alias("kinds"), F.avg(F.octet_length("text")).alias("size")).where((F.col("kinds") > 1) & (F.col("kinds") * F.col("size") > leaf_bytes))
         # ids of one level don't occur in another
         base = (level + 1) << 56
@@ -96,7 +101,7 @@ def nodes_to_split(texts: DataFrame, leaf_bytes: int) -> list[tuple[int, int, Da
         if not (found := nodes.count()):
             return levels
         levels.append((depth, width, small(nodes, found)))
-        under = stepped(going, levels[-1][2], depth, width, "inner")
+        under = stepped(going, levels[-1][2], depth, width, "inner", digit)
     return levels
 
 
@@ -148,10 +153,10 @@ def exact_groups(docs: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     below all others. Other columns are ignored; an empty table gives an empty table.
     """
     source = docs.select(doc_key().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    levels = nodes_to_split(source.select(ascii_lower(F.col("text")).cast("binary").alias("text")), leaf_bytes)
+    levels = nodes_to_split(source.select("text"), leaf_bytes)
     placed = source.mapInArrow(_fold, "text binary, members array<long>").withColumns({"node": F.lit(0).cast("long"), "depth": F.lit(0)})
     for depth, width, nodes in levels:
-        placed = stepped(placed, nodes, depth, width, "left")
+        placed = stepped(placed, nodes, depth, width, "left", F.substring("text", depth + 1, width))
     # a leaf is a node with the next bytes, as many as its level looks at; texts are sorted by some more
     width = F.when(F.col("depth") == 0, FIRST_DIGIT).otherwise((GROWTH - 1) * F.col("depth"))
     dealt = placed.repartition("node", F.substring("text", F.col("depth") + 1, width))

@@ -4,8 +4,10 @@ Each document gets a rate between 0 and 3, as near to 1 as the token constraints
 relative entropy: the rate is the logistic tilt 3 / (1 + 2 exp(-lambda * x)) of its size x, and
 each source's lambda solves the convex dual of its constraint "sizes times rates add up to the
 target". Newton steps run on the counts of documents by (source, size), which are made before
-any shuffle by source, so a source with a third of all rows costs no more than another. Rates
-become whole copies by dithering with a hash of the document; of `OFFSETS` dithers, each source
+any shuffle by source, so a source with a third of all rows costs no more than another. (It is
+the bounded form of the exponential tilt: plain exponentials have no upper end, and no document
+may be taken more than 3 times.) Rates become whole copies by dithering with a hash of the row
+and, of rows that are equal, with their number among these; of `OFFSETS` dithers, each source
 takes the one whose words come nearest its target.
 """
 
@@ -20,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
 OFFSETS = 64
+#: The part of the golden ratio that spreads the dithers of equal rows.
+GOLDEN = 0.6180339887498949
 TOLERANCE = 1e-5
 MOST_STEPS = 40
 
@@ -98,21 +102,45 @@ def balanced(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select(*keep, "full", "lam")
 
 
-def hashed(doc_id: Column | str) -> Column:
-    """Two numbers from 0 to 1 that depend on the document alone: a dither's start and its stride."""
-    return F.struct(*[(F.xxhash64(doc_id, F.lit(s)).bitwiseAND(F.lit(2**52 - 1)) / float(2**52)).alias(s) for s in ("start", "stride")])
+def row_seed(docs: DataFrame) -> Column:
+    """A hash of all of a row, so that rows that share an id, or have none, are told apart."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.to_json(F.struct(*others)) if others else F.lit(0))
+
+
+def numbered_equals(rows: DataFrame) -> DataFrame:
+    """rows with nth: the number of each among rows of its seed, 0 where there is one.
+
+    Only repeated rows are numbered, and those partition by partition before they are added up,
+    so a row that is there very often doesn't meet in one task.
+    """
+    seeds = written(rows.groupBy("seed").count().where("count > 1").select("seed"), "repeated")
+    if not seeds.count():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    again = written(rows.join(seeds, "seed", "left_semi").withColumn("_part", F.spark_partition_id()), "equals")
+    before = Window.partitionBy("seed").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = again.groupBy("seed", "_part").count().select("seed", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row a partition
+    nth = F.row_number().over(Window.partitionBy("seed", "_part").orderBy(F.lit(0))) - 1 + F.col("_before")
+    numbered = again.join(offsets, ["seed", "_part"]).withColumn("nth", nth.cast("long")).select(*rows.columns, "nth")
+    return rows.join(seeds, "seed", "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("nth")).unionByName(numbered)
+
+
+def hashed(seed: Column | str) -> Column:
+    """Two numbers from 0 to 1 that depend on the row alone: a dither's start and its stride."""
+    return F.struct(*[(F.xxhash64(seed, F.lit(s)).bitwiseAND(F.lit(2**52 - 1)) / float(2**52)).alias(s) for s in ("start", "stride")])
 
 
 def copies(offset: Column) -> Column:
-    """Whole copies of a row with size, lam, scale, full and hash."""
+    """Whole copies of a row with size, lam, scale, full, seed and nth."""
     r = F.when(F.col("full"), F.lit(float(MOST_COPIES))).otherwise(rate(F.col("size"), F.col("lam"), F.col("scale")))
-    return F.floor(r + F.pmod(F.col("hash.start") + offset * F.col("hash.stride"), F.lit(1.0)))
+    h = hashed("seed")
+    return F.floor(r + F.pmod(h["start"] + offset * h["stride"] + F.col("nth") * F.lit(GOLDEN), F.lit(1.0)))
 
 
 def plan(sizes: DataFrame) -> DataFrame:
-    """What documents need to get their copies, a row for each source, from doc_id, source, size."""
+    """What documents need to get their copies, a row for each source, from source, size, seed, nth."""
     solved = written(balanced(sizes, targets(ranked_sources(sizes))), "solved")
-    rows = with_plan(sizes.withColumn("hash", hashed("doc_id")), solved)
+    rows = with_plan(sizes, solved)
     tried = rows.groupBy("source").agg(*[F.sum(F.col("size") * copies(F.lit(float(k)))).alias(f"t{k}") for k in range(OFFSETS)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")), F.lit(float(k)).alias("offset")) for k in range(OFFSETS)])).getField("offset")
     return written(with_plan(tried, solved).withColumn("offset", best).select(*solved.columns, "offset"), "plan")
@@ -124,26 +152,37 @@ def with_plan(rows: DataFrame, plan_: DataFrame) -> DataFrame:
     return rows.join(right, rows["source"].eqNullSafe(right["_source"]), "left").drop("_source")
 
 
+def measured(docs: DataFrame) -> tuple[Column, Column, Column]:
+    """source, size and seed of a row of docs."""
+    return F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), row_seed(docs).alias("seed")
+
+
 def mix_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, weight, rate-made copies, one row per document.
 
     Size: runs of characters other than ASCII white space; null text has none. Sources by code
     point, null last, weigh 1, 2, 3, repeating; a target is at most 3 times its source's size,
     the excess going to the others by weight. Empty documents and sources of size 0 take no
-    words. Repeated rows and equal or null ids each count; rows with one id get the same number
-    of copies. The same table always gives the same mix, however it is partitioned.
+    words. Rows that repeat, share an id or have none each count and are rounded each for itself.
+    The same table always gives the same mix, however it is partitioned. An empty table gives an
+    empty table; other columns only tell rows apart.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "mix")
-    rows = with_plan(sizes.withColumn("hash", hashed("doc_id")), plan(sizes)).withColumn("copies", copies(F.col("offset")))
+    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *measured(docs)), "mix")
+    sizes = numbered_equals(sizes)
+    rows = with_plan(sizes, plan(sizes)).withColumn("copies", copies(F.col("offset")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "weight", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "mix")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
-    rows = own.select("own", F.col("own.source").cast("string").alias("source"), word_count(F.col("own.text").cast("string")).alias("size"), hashed(F.col("own.doc_id").cast("long")).alias("hash"))
-    taken = with_plan(rows, plan(sizes)).withColumn("copies", copies(F.col("offset")))
+    """The rows of docs, each as often as mix_sizes() takes it, 0 to 3 times, with all their columns.
+
+    Documents without words stay out only where the mix takes them 0 times; nulls, repeated rows
+    and an empty table are as in mix_sizes().
+    """
+    source, size, seed = measured(docs)
+    sizes = numbered_equals(written(docs.select(source, size, seed), "mix"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), source, size, seed)
+    taken = with_plan(numbered_equals(own), plan(sizes)).withColumn("copies", copies(F.col("offset")))
     return taken.where("copies > 0").select("own", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("own.*")
 
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from plumbline.llm import mixing
+from pyspark.sql import functions as F
 
 from tests.llm.held import DATA, odd_docs
 
@@ -54,3 +55,20 @@ def test_empty_table(spark):
     assert mixing.mix_sizes(odd_docs(spark).where("false")).count() == 0
     nothing = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix_sizes(nothing).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("ids", ["null", "equal", "own"])
+def test_rows_that_are_equal_are_rounded_each_for_itself(spark, ids):
+    rows = [({"null": None, "equal": 7, "own": 100 * i + j}[ids], "two words", s, 1) for i, s in enumerate("abc") for j in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, seed int").repartition(7)
+    got = mixing.mix_sizes(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 4 for s in "abc") and target == {"a": 100, "b": 200, "c": 300}
+    for other in (docs.repartition(2), docs.orderBy(F.desc("source"))):
+        assert Counter(map(tuple, mixing.mix_sizes(other).collect())) == Counter(map(tuple, got))
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert Counter(r.source for r in out.collect()) == Counter({s: t // 2 for s, t in taken.items()})

@@ -13,25 +13,33 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one of our own only where none is named."""
+    """spark.checkpoint.dir; one of our own only where none is named and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="spark-plumbline-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
-def settled(df: DataFrame, label: str = "table") -> DataFrame:
-    """df as a Parquet table: cuts lineage, survives lost executors. Removed when the process ends."""
-    spark = df.sparkSession
+def place(spark: SparkSession, label: str = "table") -> str:
+    """A path in the shared folder for a table that is removed when the process ends."""
     path = f"{folder(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(remove_all)
     _made.append((spark, path))
+    return path
+
+
+def settled(df: DataFrame, label: str = "table") -> DataFrame:
+    """df as a Parquet table: cuts lineage, survives lost executors. Removed when the process ends."""
+    path = place(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -7,9 +7,10 @@ the block. A shard is a bounded run of blocks. In a shard each query visits bloc
 falling bounds and scores whole blocks through the forward index until the next bound is below
 its k-th score.
 
-Queries go over all shards in passes, each with a bounded number of them. In a pass the shard that
-reaches farthest is searched first; its k-th scores then keep the queries out of all blocks of the
-other shards that cannot beat them. Vectors are shuffled once, by range of id.
+The shard that reaches farthest is searched first, for all queries at once; its k-th scores then
+keep the queries out of all blocks of the other shards that cannot beat them. Queries go over the
+other shards in passes, each with a bounded number of them; a pass adds its k best to one table.
+Vectors are shuffled once, by range of id.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, written
+from plumbline.llm.common import slices, table, written
+from plumbline.sources import scratch
 
 TOP = 5
 SCALE = 256
@@ -30,7 +32,7 @@ EVERY = 50
 BLOCK = 64
 SHARD = 4096
 #: Numbers in the queries that one pass over the shards carries.
-PASS_VALUES = 1 << 20
+PASS_VALUES = 1 << 21
 EXACT = 2.0**53
 LOWEST = -(2**63)
 
@@ -162,6 +164,29 @@ def _shards(batches):
         yield made(ids, rows, n)
 
 
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _found(ids: np.ndarray, found: list) -> pa.RecordBatch:
+    size = [len(x) for x, _ in found]
+    columns = (np.repeat(ids, size), *(np.concatenate([np.empty(0, np.int64), *(x[k] for x in found)]) for k in (0, 1)))
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["query_id", "vec_id", "score"])
+
+
+def searched_first(queries: DataFrame, shard: bytes, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of one shard, for all queries where they are."""
+    shared = queries.sparkSession.sparkContext.broadcast(shard)
+
+    def run(batches):
+        own = Shard(shared.value)
+        for batch in slices(batches, most_rows=1024):
+            ids, rows = integer_rows(batch)
+            if len(ids):
+                yield _found(ids, own.search(ids, dense(rows), np.full(len(ids), LOWEST), k))
+
+    return queries.select("vec_id", "embedding").mapInArrow(run, FOUND)
+
+
 def searched(shards: DataFrame, ids: np.ndarray, rows: np.ndarray, floor: np.ndarray, k: int) -> DataFrame:
     """query_id, vec_id, score: the k best of each shard, where they can still matter."""
     shared = shards.sparkSession.sparkContext.broadcast((ids, rows, floor))
@@ -170,11 +195,9 @@ def searched(shards: DataFrame, ids: np.ndarray, rows: np.ndarray, floor: np.nda
         ids, rows, floor = shared.value
         for batch in batches:
             for data in batch.column("data"):
-                found = Shard(data.as_py()).search(ids, rows, floor, k)
-                size = [len(x) for x, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
+                yield _found(ids, Shard(data.as_py()).search(ids, rows, floor, k))
 
-    return shards.select("data").mapInArrow(run, "query_id long, vec_id long, score long")
+    return shards.select("data").mapInArrow(run, FOUND)
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -197,27 +220,25 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, pass_values: int
     queries = written(v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     size = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     passes = max(1, -(-size[0] * (size[1] or 1) // pass_values))
-    far = shards.orderBy(F.desc("reach"), "shard").select("shard").first()
-    found: DataFrame | None = None
-    for n in range(passes if far else 0):
+    far = shards.orderBy(F.desc("reach"), "shard").select("shard", "data").first()
+    if not far or not size[0]:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    first = written(searched_first(queries, bytes(far.data), k), "first")
+    reached = best_of(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    asked = written(queries.join(reached, "vec_id", "left").withColumn("pass", F.pmod(F.xxhash64("vec_id"), F.lit(passes))), "asked")
+    others, path = shards.where(F.col("shard") != far.shard), scratch.place(vectors.sparkSession, "rest")
+    for n in range(passes):
         # about pass_values numbers at most, whatever the table's size
-        got = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n).toArrow().combine_chunks()
-        ids, rows = np.empty(0, np.int64), []
-        for batch in got.to_batches():
-            new, more = integer_rows(batch)
-            ids, rows = np.concatenate([ids, new]), rows + more
-        if not len(ids):
-            continue
-        rows = dense(rows)
-        first = written(searched(shards.where(F.col("shard") == far.shard), ids, rows, np.full(len(ids), LOWEST), k), "first")
-        reached = {r.query_id: r.score for r in best_of(first, k).where(F.col("rank") == k).collect()}
-        floor = np.array([reached.get(i, LOWEST) for i in ids.tolist()], dtype=np.float64)
-        rest = written(searched(shards.where(F.col("shard") != far.shard), ids, rows, floor, k), "rest")
-        both = first.unionByName(rest)
-        found = both if found is None else found.unionByName(both)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    return best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        batch = asked.where(F.col("pass") == n).toArrow().combine_chunks()
+        ids, rows, floor = np.empty(0, np.int64), [], []
+        for part in batch.to_batches():
+            new, more = integer_rows(part)
+            ids, rows, floor = np.concatenate([ids, new]), rows + more, floor + [LOWEST if x is None else x for x in part.column("floor").to_pylist()]
+        if len(ids):
+            rest = best_of(searched(others, ids, dense(rows), np.array(floor, dtype=np.float64), k), k)
+            rest.select("query_id", "vec_id", "score").write.mode("append").parquet(path)
+    rest = vectors.sparkSession.read.schema(FOUND).parquet(path)
+    return best_of(first.unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import drop_written, slices, table, text_bytes, written
@@ -31,8 +31,6 @@ FRONTIER = 1 << 18
 TRIE_ROWS = 1 << 20
 TRIE_MOST = 200_000
 NODE_BITS = 4
-#: More than there are pairs of nodes.
-PAIRS = 1 << (2 * NODE_BITS + 1)
 MOST_ROUNDS = 60
 
 
@@ -56,14 +54,19 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (as a signed long)."""
+    """doc_id, row (hash of the text), fp (as a signed long)."""
 
     def run(batches):
         for batch in slices(batches):
             fps = [fingerprint(t, words) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps, pa.int64())], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def smallest_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -122,30 +125,31 @@ def trie_components(keys: np.ndarray, bits: int = BITS, shared: int = WIDTH) ->
 
 
 def _tries(batches):
-    """Rows sorted by (part, key): a star for each component, as pairs of fingerprints. part: block and pair of nodes."""
+    """Rows sorted by (block, part, key): a star for each component, as pairs of fingerprints."""
 
-    def joined(part: np.ndarray, key: np.ndarray):
-        for p in np.unique(part):
-            keys = key[part == p].view(np.uint64) ^ np.uint64(1 << 63)
+    def joined(block: np.ndarray, part: np.ndarray, key: np.ndarray):
+        bounds = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (part[1:] != part[:-1]), [True]]))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            keys = key[lo:hi].view(np.uint64) ^ np.uint64(1 << 63)
             labels = trie_components(keys)
             at = np.flatnonzero(labels != np.arange(len(labels)))
             if len(at):
-                turn = np.uint64(WIDTH * int(p // PAIRS))
+                turn = np.uint64(WIDTH * int(block[lo]))
                 back = lambda x: ((x >> turn) | (x << (np.uint64(64) - turn)) if turn else x).view(np.int64)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(back(keys[at])), pa.array(back(keys[labels[at]]))], names=["a", "b"])
 
-    part, key = np.empty(0, np.int32), np.empty(0, np.int64)
+    block, part, key = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
-        part = np.concatenate([part, batch.column("part").to_numpy(zero_copy_only=False)])
-        key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
+        new = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "part", "key"))
+        block, part, key = (np.concatenate(x) for x in zip((block, part, key), new, strict=True))
         if len(key) >= TRIE_ROWS:
             # what is left open is the last trie
-            tries = (key >> np.int64(64 - WIDTH)) + (part.astype(np.int64) << np.int64(WIDTH + 1))
-            cut = int(np.searchsorted(tries, tries[-1]))
-            yield from joined(part[:cut], key[:cut])
-            part, key = part[cut:], key[cut:]
+            other = (block != block[-1]) | (part != part[-1]) | (key >> np.int64(64 - WIDTH) != key[-1] >> np.int64(64 - WIDTH))
+            cut = len(key) - int(np.argmax(other[::-1])) if other.any() else 0
+            yield from joined(block[:cut], part[:cut], key[:cut])
+            block, part, key = block[cut:], part[cut:], key[cut:]
     if len(key):
-        yield from joined(part, key)
+        yield from joined(block, part, key)
 
 
 def node_pairs(node: Column) -> Column:
@@ -159,16 +163,20 @@ def links(different: DataFrame) -> DataFrame:
     """a, b: stars that connect what is within the budget. different: fp, each once.
 
     A trie of over TRIE_MOST fingerprints is walked further before it is dealt out: each of its
-    pairs of nodes that can still hold a link is a part of its own.
+    pairs of nodes that can still hold a link is a part of its own, and a part that is still too
+    large is walked further in the same way, until none is or all bits are used.
     """
     turned = [F.struct(F.lit(b).alias("block"), F.shiftleft("fp", WIDTH * b).bitwiseOR(F.shiftrightunsigned("fp", 64 - WIDTH * b) if b else F.lit(0)).bitwiseXOR(F.lit(-(2**63))).alias("key")) for b in range(BLOCKS)]
-    dealt = different.select(F.inline(F.array(*turned))).withColumn("trie", F.shiftright("key", 64 - WIDTH))
-    large = dealt.groupBy("block", "trie").count().where(F.col("count") > TRIE_MOST).select("block", "trie", F.lit(True).alias("large"))
-    node = F.shiftrightunsigned("key", 64 - WIDTH - NODE_BITS).bitwiseAND(F.lit((1 << NODE_BITS) - 1)).cast("int")
-    # large: at most BLOCKS * rows / TRIE_MOST tries
-    pairs = F.when(F.col("large"), node_pairs(node)).otherwise(F.array(F.lit(0)))
-    parts = dealt.join(F.broadcast(large), ["block", "trie"], "left").select("block", F.explode(pairs).alias("pair"), "trie", "key").select((F.col("block") * PAIRS + F.col("pair")).cast("int").alias("part"), "trie", "key")
-    sorted_ = parts.repartition("part", "trie").sortWithinPartitions("part", "key").select("part", "key")
+    parts = different.select(F.inline(F.array(*turned))).select("block", F.shiftright("key", 64 - WIDTH).alias("part"), "key")
+    for depth in range(WIDTH + NODE_BITS, 65, NODE_BITS):
+        large = written(parts.groupBy("block", "part").count().where(F.col("count") > TRIE_MOST).select("block", "part"), "large")
+        if not large.count():
+            break
+        node = F.shiftrightunsigned("key", 64 - depth).bitwiseAND(F.lit((1 << NODE_BITS) - 1)).cast("int")
+        split = parts.join(large, ["block", "part"]).select("block", "part", "key", F.explode(node_pairs(node)).alias("pair"))
+        rest = parts.join(large, ["block", "part"], "left_anti")
+        parts = written(rest.unionByName(split.select("block", F.xxhash64("part", "pair").alias("part"), "key")), "parts")
+    sorted_ = parts.repartition("block", "part").sortWithinPartitions("block", "part", "key")
     return sorted_.mapInArrow(_tries, "a long, b long")
 
 
@@ -203,22 +211,39 @@ def components(fps: DataFrame) -> DataFrame:
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
 
 
+def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, row (hash of the text), fp, component_id."""
+    fps = written(fingerprints(docs, words), "fingerprints")
+    return fps.join(written(components(fps.select("doc_id", "fp")), "components"), "fp")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row per document.
 
+    An empty table gives an empty table; texts are taken whole; other columns are ignored.
     A-Z are lower-cased; words are split at ASCII white space; fewer words than a shingle make
     one shingle; none, or null text, give fingerprint zero, which links like any other. A null
     doc_id is never the smallest unless a component has no other. Repeated rows each give a row.
     """
-    fps = written(fingerprints(docs, words), "fingerprints")
-    found = fps.join(written(components(fps), "components"), "fp")
+    found = grouped(docs, words)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
+    """Of each group one row of docs with all its columns: the one with the smallest doc_id, null last.
+
+    Of rows with one id the one whose text has the smallest hash stays, of equal texts the first
+    by the other columns. Null text counts as empty; an empty table gives an empty table.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    # component_id is null where no row of the component has an id
+    kept = grouped(docs).withColumn("root", F.col("component_id")).groupBy("root").agg(F.min(order).alias("k")).select("k.*").drop("none")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    own = own.withColumns({"_i": F.col("own.doc_id").cast("long"), "_t": text_hash(F.col("own.text").cast("string"))})
+    found = own.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_row")), "left_semi")
+    others = [F.col(f"own.`{c}`") for c in docs.columns if c != "text"]
+    nth = F.row_number().over(Window.partitionBy("_i", "_t").orderBy("own.text", F.to_json(F.struct(*others))))
+    return found.withColumn("_n", nth).where("_n = 1").select("own.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

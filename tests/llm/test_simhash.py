@@ -52,7 +52,7 @@ def test_odd_rows(spark):
     assert [r.component_id for r in simhash.near_groups(twice).collect()] == [4, 4, 4]
 
 
-@pytest.mark.parametrize("most", [10**6, 3])
+@pytest.mark.parametrize("most", [10**6, 25])
 def test_trie_and_stars(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "TRIE_MOST", most)
     monkeypatch.setattr(simhash, "FRONTIER", 50)
@@ -82,3 +82,12 @@ def test_dense_group():
     for k, x in zip(fps, labels.tolist(), strict=True):
         top.setdefault(k >> 48, set()).add(x)
     assert len(top[f >> 48]) == 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c d", "x"), (5, "A b c d", "y"), (5, "other words of their own here", "z"), (5, "other words of their own here", "w"), (None, "", "e"), (None, None, "f"), (7, "x" * 300_000, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string").repartition(4)
+    for d in (docs, docs.repartition(1)):
+        assert sorted(tuple(r)[0::2] for r in simhash.deduplicate(d).collect() if r.doc_id) == [(1, "x"), (5, "w"), (7, "g")]
+        assert [r.own for r in simhash.deduplicate(d).collect() if r.doc_id is None] in (["e"], ["f"])
+    assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(docs.where("false")).count() == 0

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from heapq import heapify, heappop, heappush
 
@@ -76,6 +77,7 @@ class Codec:
         self.special = vocabulary["special"]
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.marks = regex.compile(f"({marks})") if marks else None
+        self.sign = os.path.commonprefix([*self.special])  # a text without it holds no special string
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, list[int]] = {}
 
@@ -143,7 +145,7 @@ class Codec:
         """Ids as little-endian 32-bit integers, and the decoded text."""
         ids: list[bytes] = []
         strings: list[str] = []
-        if self.marks and "<|" in text:
+        if self.marks and self.sign in text:
             for part in self.marks.split(text):
                 if part in self.special:
                     ids.append(np.asarray([self.special[part]], dtype="<u4").tobytes())

@@ -204,15 +204,15 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(fps: DataFrame) -> DataFrame:
-    """fp, component_id (smallest doc_id reachable), for each different fingerprint of doc_id, fp."""
+    """fp, root (a fingerprint for each component), component_id (smallest doc_id reachable), for each different fingerprint of doc_id, fp."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = least.join(stars(links(least.select("fp"))), F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
 def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, row (hash of the text), fp, component_id."""
+    """doc_id, row (hash of the text), fp, root, component_id."""
     fps = written(fingerprints(docs, words), "fingerprints")
     return fps.join(written(components(fps.select("doc_id", "fp")), "components"), "fp")
 
@@ -236,8 +236,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     by the other columns. Null text counts as empty; an empty table gives an empty table.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    # component_id is null where no row of the component has an id
-    kept = grouped(docs).withColumn("root", F.col("component_id")).groupBy("root").agg(F.min(order).alias("k")).select("k.*").drop("none")
+    kept = grouped(docs).groupBy("root").agg(F.min(order).alias("k")).select("k.*").drop("none")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
     own = own.withColumns({"_i": F.col("own.doc_id").cast("long"), "_t": text_hash(F.col("own.text").cast("string"))})
     found = own.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_row")), "left_semi")

@@ -58,3 +58,21 @@ def test_stages(spark, which):
 
 def test_run(spark):
     assert set(corpus_pipeline.run(spark, DATA).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_null_and_repeated_ids_and_no_rows(spark):
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    long = "word " * 40_000
+    rows = [(None, "one text of some words", "en", "a", 1), (None, "quite another text here", "en", None, 1), (3, "Same words again and again", "en", "b", 1), (3, "same words again and again", None, "b", 1), (3, "a second text with this id", "de", "b", 2), (4, None, None, None, None), (5, "", "en", "a", 0), (6, long, "en", "a", 9), (7, long + "end", "en", "a", 9), (8, "z" * 200_000, "en", "c", 9)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    columns, empty = docs.columns, docs.where("false")
+    exact = corpus_pipeline.written(stages[1](spark, stages[0](spark, docs, DATA), DATA), "e")
+    assert sorted((r.doc_id or 0, low(r.text)[:9]) for r in exact.collect()) == sorted([(0, "one text "), (0, "quite ano"), (3, "same word"), (3, "a second "), (5, ""), (6, "word word"), (7, "word word"), (8, "zzzzzzzzz")])
+    near = corpus_pipeline.written(stages[2](spark, exact, DATA), "n")
+    assert sorted((r.doc_id or 0, low(r.text)[:9]) for r in near.collect()) == sorted([(0, "one text "), (0, "quite ano"), (3, "same word"), (3, "a second "), (5, ""), (6, "word word"), (8, "zzzzzzzzz")])
+    mixed = stages[3](spark, near, DATA)
+    assert mixed.columns == columns and stages[4](spark, mixed, DATA).count() == mixed.count() > 0
+    for stage in stages[:4]:
+        empty = stage(spark, empty, DATA)
+        assert empty.columns == columns and empty.count() == 0
+    assert stages[4](spark, empty, DATA).count() == 0

@@ -12,30 +12,40 @@ from plumbline.llm.common import table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic. Learned from the labelled rows among them."""
+    """Documents not predicted toxic, learned from the labelled rows among them; without labels none goes.
+
+    Null and empty texts have no terms and stay or go by the bias alone.
+    """
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """One row for each different text (null as empty, A-Z lower-cased): the largest doc_id, null below all.
+
+    Rows that repeat one id and text leave one, the same on every run.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest doc_id."""
+    """One row of each group of linked fingerprints: the smallest doc_id, null last.
+
+    Texts without words share a fingerprint and so are one group.
+    """
     return simhash.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times."""
+    """Each row as often as the mix takes it, up to three times; null sources are one source, the last."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests, a row for each copy."""
+    """Token counts and digests, a row for each copy; null text as empty."""
     return bpe.encode_digests(docs)
 
 
+#: Each stage keeps whole texts and all columns, and gives an empty table for an empty one.
 STAGES = [("toxicity", toxic), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("encoding", encode)]
 
 #: SQL expresses neither a learned score nor the mix's rounding nor byte-pair encoding.

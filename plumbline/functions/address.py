@@ -90,8 +90,9 @@ def _places(df: DataFrame, city: str) -> DataFrame:
     # a city repeated, without a comma, before a street whose type comes last
     bare = F.transform("_seg", lambda s: F.regexp_replace(s, f"(?iuU)^\\s*(?:город|г)\\.?\\s+[а-яa-z-]+\\s+(?=\\S+\\s+{_any(STREET_TYPES)}\\.?$)", " "))
     bare = F.transform(bare, lambda s: F.regexp_replace(s, f"(?iuU)^\\s*{SETTLEMENT}\\s*[а-яa-z0-9][а-яa-z0-9 -]*?(?=\\s+{STREET}|\\s*$)", " "))
+    bare = F.transform(bare, lambda s: F.regexp_replace(s, f"{L}{_any(TERRITORIES)}\\s+[а-яa-z0-9 -]*$", " "))
     street = F.array_join(bare, " ")
-    for p in (STREET, f"{L}{_any(TERRITORIES)}\\s+[а-яa-z0-9 -]*$", f"{L}{_any(OBJECTS)}{R}\\s*(?:№\\s*)?[0-9]*", f"{L}(?:имени|им\\.?|тер\\.?|территория|участок|уч\\.?|город|г){R}\\.?", f"{L}{_any(ROOMS)}{R}\\.?"):
+    for p in (STREET, f"{L}{_any(OBJECTS)}{R}\\s*(?:№\\s*)?[0-9]*", f"{L}(?:имени|им\\.?|тер\\.?|территория|участок|уч\\.?|город|г){R}\\.?", f"{L}{_any(ROOMS)}{R}\\.?"):
         street = F.regexp_replace(street, p, " ")
     street = F.regexp_replace(street, f"(?<![0-9])([0-9]+)\\s*-?\\s*{_any(ORDINALS)}{R}", "$1")
     words = F.split(F.btrim(F.regexp_replace(street, "[^0-9a-zа-я]+", " ")), " ")

@@ -195,3 +195,45 @@ def guarded(df: DataFrame, raw: str, city: str = "") -> DataFrame:
     core = (F.col("_before.sw") != "") & (F.col("_before.hb") != "")
     keep = ~(same & core & (F.col("normalized") != ""))
     return again.select(*df.columns, F.when(keep, F.col(raw)).otherwise(F.col("normalized")).alias("output"), keep.alias("kept_original"))
+
+
+#: How an official place name is written in an address, by its first words.
+OFFICIAL_FORMS = (("г. ", "город|г"), ("с. ", "село|с"), ("д. ", "деревня|д"), ("пгт ", "пос[её]лок\\s+городского\\s+типа|пгт"), ("р. п. ", "рп|р\\.?\\s*п"), ("п. ", "пос[её]лок|п"), ("пос. ", "пос"), ("х. ", "хутор|х"), ("ст-ца ", "станица"), ("ст. ", "станция|ст"))
+
+
+def official_locality(name: Column) -> Column:
+    """An official place name as addresses write it; null for what is no place of its own."""
+    text = clean(name)
+    out = text
+    for to, spellings in reversed(OFFICIAL_FORMS):
+        pattern = f"(?iuU)^(?:{spellings})\\.?\\s+"
+        out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, to)).otherwise(out)
+    return F.when(~(text.rlike(SUBJECT) | text.rlike(MUNICIPALITY)), out)
+
+
+def locality_key(name: Column) -> Column:
+    """Letters of a place name without its kind."""
+    return F.regexp_replace(level_key(F.regexp_replace(normalized(name), "^р п ", "рп ")), " ", "")
+
+
+def official_if_same(locality: Column, official: Column) -> Column:
+    """The official name if it is the same place."""
+    return F.when(locality_key(locality) == locality_key(official), official)
+
+
+def renormalized(slot: str, value: Column) -> Column:
+    """A slot's value in the form in which votes compare it."""
+    text = clean(value)
+    if slot == "street":
+        return street_display(text)
+    if slot == "house":
+        base = F.regexp_extract(F.lower(text), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*([0-9]+)", 1)
+        tail = F.regexp_extract(F.lower(text), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*[0-9]+(.*)$", 1)
+        return house_display(base, A.house_modifiers(tail))
+    if slot == "locality":
+        return official_locality(text)
+    if slot == "municipality":
+        return F.regexp_replace(F.regexp_replace(text, f"(?iuU)\\bр-н{A.R}\\.?", "район"), f"(?iuU)\\bг\\.?\\s*о\\.(?!\\p{{L}})", "городской округ")
+    if slot == "microdistrict":
+        return F.regexp_replace(text, f"(?iuU)^(?:микрорайон|мкр){A.R}\\.?\\s*", "мкр. ")
+    return text

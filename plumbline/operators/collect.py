@@ -18,11 +18,9 @@ from plumbline.sources.scratch import settled
 WALKED_ROWS = 100_000
 #: Rows in a span of carried context, and in the larger spans around it.
 CONTEXT_SPANS = (64, 16_384, 4_194_304)
-#: Words that hint at an address, at a route, at an organisation.
+#: Words that hint at an address, and headers that are none.
 HINTS = "(?iuU)(?<![0-9a-zа-я])(?:улица|ул|переулок|пер|проспект|пр-кт|проезд|пр-д|бульвар|б-р|шоссе|набережная|площадь|тракт|мкр|микрорайон|город|г|поселок|пос|деревня|село|дом|д)(?![0-9a-zа-я])"
 HEADER_WORDS = ("адрес", "улица", "дом", "город", "населенный пункт", "муниципальное образование", "address", "street", "house")
-ORGANISATIONS = "(?iuU)(?<![0-9a-zа-я])(?:школа|лицей|гимназия|детский\\s+сад|больница|университет|колледж|ооо|мбоу|мбдоу|гбуз)(?![0-9a-zа-я])"
-ROUTES = "(?iuU)(?<![0-9a-zа-я])(?:маршрут|остановка|рейс|переход|движение|до\\s+ул|от\\s+ул)(?![0-9a-zа-я])"
 
 
 def plausible(text: Column) -> Column:
@@ -32,21 +30,6 @@ def plausible(text: Column) -> Column:
     return F.length(t).between(6, 2500) & ~F.lower(t).isin(*HEADER_WORDS) & t.rlike("(?iuU)[a-zа-я]") & hint
 
 
-def drop_reason(row: dict[str, Column]) -> Column:
-    """The first reason to reject a candidate, or null. row: address, street, house, locality."""
-    has = lambda k: F.coalesce(F.btrim(row[k]) != "", F.lit(False))
-    return (
-        F.when(~has("address"), "empty_address")
-        .when(F.length(row["address"]) > 1200, "address_too_long")
-        .when(row["address"].contains("|") & row["address"].rlike("[|].*[|]"), "table_dump")
-        .when(row["address"].rlike(ROUTES), "route_fragment")
-        .when(row["address"].rlike(ORGANISATIONS), "organisation")
-        .when(~has("street") & ~has("house") & ~has("locality"), "no_address_core")
-        .when(has("house") & row["house"].rlike("^[^0-9]*0+[^0-9]*$"), "zero_house")
-        .when(has("street") & ~has("house"), "no_house")
-    )
-
-
 def codes_conflict(a: Column, b: Column) -> Column:
     """Of two known codes: neither equal nor with the same first 8 digits."""
     return F.coalesce((a != "") & (b != "") & (a != b) & (F.substring(a, 1, 8) != F.substring(b, 1, 8)), F.lit(False))
@@ -151,12 +134,6 @@ def fragments(text: Column, pattern: str, most: int = 8) -> Column:
     return F.slice(found, F.greatest(F.lit(1), F.size(found) - most + 1), most)
 
 
-def quality(address: Column, slots: list[Column]) -> Column:
-    """Score of a candidate: filled slots, hints, a house; long and crowded texts lose."""
-    filled = reduce(lambda a, s: a + F.when(F.coalesce(F.btrim(s) != "", F.lit(False)), 10.0).otherwise(0.0), slots, F.lit(0.0))
-    return filled + F.when(address.rlike(HINTS), 5.0).otherwise(0.0) + F.when(address.rlike("[0-9]"), 5.0).otherwise(0.0) - F.when(F.length(address) > 300, 20.0).otherwise(0.0) - F.when(address.rlike(ORGANISATIONS), 15.0).otherwise(0.0)
-
-
 def dedupe_candidates(rows: DataFrame, value: str, keys: list[str], order: str) -> DataFrame:
     """The first row of each normalized value and keys."""
     return first_seen(rows.withColumn("_v", normalized(value)), ["_v", *keys], [order]).drop("_v")
@@ -258,3 +235,9 @@ def repeated_header(cells: DataFrame, headers: DataFrame, part: list[str], share
     met = cells.join(headers, [*part, "col_idx"]).where(F.col("row_idx") >= F.col("first_row"))
     same = F.avg((normalized("value") == normalized("header")).cast("double"))
     return met.groupBy(*part, "row_idx").agg(same.alias("s")).where(F.col("s") >= share).select(*part, "row_idx")
+
+
+def union_streams(streams: dict[str, DataFrame], value: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Candidates of several streams with stream, the first of each normalized value (and keys): streams as they are named, then order."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumns({"stream": F.lit(name), "_s": F.lit(i)}) for i, (name, df) in enumerate(streams.items())])
+    return first_seen(both.withColumn("_v", normalized(value)), ["_v", *(keys or [])], ["_s", *order]).drop("_v", "_s")

@@ -75,3 +75,11 @@ def benchmark(collected: DataFrame, control: DataFrame, key: str = "key") -> Dat
     out = both.agg(F.count_if(here & there).alias("matched"), F.count_if(~here & there).alias("missing"), F.count_if(here & ~there).alias("extra"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("collected_duplicates"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("control_duplicates"))
     share = lambda other: F.round(F.coalesce(F.try_divide(F.col("matched"), F.col("matched") + F.col(other)), F.lit(0.0)), 6)
     return out.withColumns({"coverage": share("missing"), "precision": share("extra")})
+
+
+def key_sets(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
+    """side (both, only_a, only_b), n_keys: the different keys of two tables, told apart in one pass."""
+    side = lambda df, name: df.where(F.col(key) != "").groupBy(key).agg(F.lit(True).alias(name))
+    both = side(a, "a").join(side(b, "b"), key, "full")
+    where = F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").otherwise("both")
+    return both.groupBy(where.alias("side")).agg(F.count("*").alias("n_keys"))

@@ -3,6 +3,12 @@
 Each pass sees only the rows that earlier ones left. Exact passes pair occurrences: of one key,
 the k-th row takes the k-th candidate from the end. Similar passes are a greedy walk in row
 order, computed as deferred acceptance in rounds, so that no pass is a driver-side loop over rows.
+Rows with equal parts want the same candidates in the same order; they share one list, and the
+k-th of them starts at its k-th place, so that an address held by very many rows is settled in
+one round and its pairs are never written out.
+
+Rows may carry a territory code and scope hits (`code`, `hits`); passes that a scope can block
+leave out pairs whose codes don't fit, and similar passes add the scope's bonus to the weight.
 """
 
 from __future__ import annotations
@@ -18,8 +24,8 @@ from plumbline.sources.scratch import settled
 INTRA_TERRITORY, ACROSS, RELAXED = 75.0, 85.0, 80.0
 SAME_HOUSE, SAME_TERRITORY, SAME_MODIFIERS, HOUSE_ONLY = 50.0, 30.0, 20.0, 100.0
 BLOCKED = -80.0
-MOST_ROUNDS = 200
-PASSES = ("text", "key", "key_without_modifiers", "street_house", "fuzzy_territory", "fuzzy", "fuzzy_relaxed")
+NO_HITS = "array<struct<value:string,role:string,weight:double,code:string,valid:boolean>>"
+PASSES = ("row", "text", "key", "key_without_modifiers", "street_house", "fuzzy_territory", "fuzzy", "fuzzy_relaxed")
 
 
 def pair_occurrences(gt: DataFrame, cand: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,82 +40,137 @@ def rest_of(df: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
 
 
 def row_core(gt: DataFrame, cand: DataFrame) -> DataFrame:
-    """Candidates that came from the same source row with equal street, numbers and house: the first of each row."""
-    met = gt.where("sw <> '' and hb <> ''").join(cand.select(F.col("source_row").alias("row_idx"), "cand_idx", "sw", "sn", "hb", "hm"), ["row_idx", "sw", "sn", "hb", "hm"])
+    """Candidates that came from the same source row with equal street, numbers and house, and codes that fit: the first of each row."""
+    c = scoped(cand).select(F.col("source_row").alias("row_idx"), "cand_idx", "sw", "sn", "hb", "hm", F.col("code").alias("code_c"))
+    met = scoped(gt).where("sw <> '' and hb <> ''").join(c, ["row_idx", "sw", "sn", "hb", "hm"]).where(compatible_codes(F.col("code"), F.col("code_c")))
     return met.groupBy("row_idx").agg(F.min("cand_idx").alias("cand_idx"))
 
 
+def scoped(side: DataFrame) -> DataFrame:
+    """side with code and hits: blank where it has none."""
+    code = F.coalesce(F.col("code"), F.lit("")) if "code" in side.columns else F.lit("")
+    hits = F.col("hits") if "hits" in side.columns else F.array().cast(NO_HITS)
+    return side.withColumns({"code": code, "hits": hits})
+
+
 def compatible_codes(a: Column, b: Column) -> Column:
     """Codes match when one is missing, they are equal, or one begins the other."""
     return F.coalesce((a == "") | (b == "") | a.startswith(b) | b.startswith(a), F.lit(True))
 
 
-def scope_score(blocked: Column, code_fits: Column, weight: Column) -> Column:
-    """Bonus of a pair for its place: a large malus if blocked, 14 for fitting codes, else a part of the weight, 16 at most."""
-    return F.when(blocked, BLOCKED).otherwise(F.least(F.lit(16.0), F.greatest(F.when(code_fits, 14.0).otherwise(0.0), F.coalesce(weight / 6, F.lit(0.0)))))
+def classed(side: DataFrame, idx: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (idx, cls) and classes of rows with equal parts: cls and the parts, once each."""
+    parts = ["sw", "sn", "hb", "hm", "ter", "code", "hits"]
+    own = scoped(side).where("sw <> '' or hb <> ''").select(idx, *parts)
+    own = own.withColumn("cls", F.xxhash64("sw", F.array_join("sn", " "), "hb", "hm", "ter", "code", F.to_json("hits")))
+    return own.select(idx, "cls"), own.select("cls", *parts).dropDuplicates(["cls"])
+
+
+def similar_streets(met: DataFrame, cutoff: float, similarity: str) -> DataFrame:
+    """sw, sw_c, similarity of the different pairs of streets that reach the cutoff; hopeless lengths are not measured."""
+    measure = {"token_set": token_set_ratio, "jaccard": word_jaccard}[similarity]
+    a, b = F.col("sw"), F.col("sw_c")
+    shared = F.arrays_overlap(F.split(a, " "), F.split(b, " "))
+    reach = 200.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+    pairs = met.where("sw <> ''").select("sw", "sw_c").distinct()
+    alike = F.when(a == b, 100.0).when(~shared & (reach < cutoff), 0.0).otherwise(measure(a, b))
+    return pairs.withColumn("similarity", alike).where(F.col("similarity") >= cutoff)
 
 
-def scored_pairs(gt: DataFrame, cand: DataFrame, within_territory: bool, cutoff: float, modifiers_bonus: float = 0.0, similarity: str = "token_set") -> DataFrame:
-    """row_idx, cand_idx, weight, similarity of pairs in one block that reach the cutoff.
+def scored_lists(gt: DataFrame, cand: DataFrame, within_territory: bool, cutoff: float, relaxed: bool = False, similarity: str = "token_set") -> tuple[DataFrame, DataFrame]:
+    """Rows (row_idx, cls) and lists (cls, cand_idx, weight, similarity) of the candidates that each class can have.
 
     A match needs equal street numbers and the same house, so these (and the territory in the
-    first pass) are the block. Rows without a house all lie in one block; there the first street
-    word is a block key as well when `similarity` is exact about words, else the block is theirs
-    alone and AQE splits it.
+    first pass) are the block in which classes meet; each pair of streets is measured once. A row
+    without a street takes what has its house: in the first pass without a bonus, in the last
+    with that of the territory.
     """
-    block = ["sn", "hb", "_hm", *(["ter"] if within_territory else [])]
-    side = lambda df, idx: df.where("sw <> '' or hb <> ''").withColumn("_hm", F.when(F.col("hb") == "", "").otherwise(F.col("hm"))).select(idx, "sw", "sn", "hb", "hm", "_hm", "ter")
-    g, c = side(gt, "row_idx"), side(cand, "cand_idx")
-    if not within_territory:
-        c = c.withColumnRenamed("ter", "ter_c")
-    met = g.join(c.withColumnsRenamed({"sw": "sw_c", "hm": "hm_c"}), block)
-    measure = {"token_set": token_set_ratio, "jaccard": word_jaccard}[similarity]
-    alike = F.when(F.col("sw") == F.col("sw_c"), 100.0).otherwise(measure(F.col("sw"), F.col("sw_c")))
-    ter_bonus = F.lit(0.0) if within_territory else F.when((F.col("ter") == F.col("ter_c")), SAME_TERRITORY).otherwise(0.0)
-    bonus = F.when(F.col("hb") != "", SAME_HOUSE).otherwise(0.0) + ter_bonus + F.when((F.col("hm") != "") & (F.col("hm") == F.col("hm_c")), modifiers_bonus).otherwise(0.0)
-    with_street = met.where((F.col("sw") != "") & same_house(F.col("hb"), F.col("hm"), F.col("hb"), F.col("hm_c"))).withColumn("similarity", alike).where(F.col("similarity") >= cutoff).withColumn("weight", F.col("similarity") + bonus)
-    house_only = met.where("sw = '' and hb <> ''").withColumns({"similarity": F.lit(0.0), "weight": F.lit(HOUSE_ONLY) + ter_bonus})
-    return with_street.select("row_idx", "cand_idx", "weight", "similarity").unionByName(house_only.select("row_idx", "cand_idx", "weight", "similarity"))
+    from plumbline.operators.registry import pair_score
 
-
-def greedy_assignment(pairs: DataFrame) -> DataFrame:
+    rows, g = classed(gt, "row_idx")
+    cands, c = classed(cand, "cand_idx")
+    block = ["sn", "hb", "_hm", *(["ter"] if within_territory else [])]
+    no_house = lambda df: df.withColumn("_hm", F.when(F.col("hb") == "", "").otherwise(F.col("hm")))
+    named = {k: f"{k}_c" for k in ("cls", "sw", "hm", "code", "hits", *(() if within_territory else ("ter",)))}
+    met = no_house(g).join(no_house(c).withColumnsRenamed(named), block)
+    scope = pair_score(F.col("hits"), F.col("hits_c"), F.col("code"), F.col("code_c"))
+    met = settled(met.withColumn("scope", scope).where(F.col("scope") > BLOCKED).drop("hits", "hits_c"))
+    same_place = F.lit(0.0) if within_territory else F.when((F.col("ter") != "") & (F.col("ter") == F.col("ter_c")), SAME_TERRITORY).otherwise(0.0)
+    same_mods = F.when((F.col("hm") != "") & (F.col("hm") == F.col("hm_c")), SAME_MODIFIERS if relaxed else 0.0).otherwise(0.0)
+    bonus = F.when(F.col("hb") != "", SAME_HOUSE).otherwise(0.0) + same_place + same_mods + F.col("scope")
+    streets = similar_streets(met, cutoff, similarity)
+    fits = same_house(F.col("hb"), F.col("hm"), F.col("hb"), F.col("hm_c"))
+    with_street = met.where(fits).join(streets, ["sw", "sw_c"]).withColumn("weight", F.col("similarity") + bonus)
+    alone = F.lit(HOUSE_ONLY) + (F.lit(0.0) if within_territory else F.col("scope") + (same_place if relaxed else F.lit(0.0)))
+    house_only = met.where("sw = '' and hb <> ''").withColumns({"similarity": F.lit(0.0), "weight": alone})
+    out = ["cls", "cls_c", "weight", "similarity"]
+    both = with_street.select(out).unionByName(house_only.select(out))
+    return rows, both.join(cands.select("cand_idx", F.col("cls").alias("cls_c")), "cls_c").select("cls", "cand_idx", "weight", "similarity")
+
+
+def greedy_assignment(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """row_idx, cand_idx, weight: what a walk in row order gives in which each row takes its best free candidate.
 
-    Deferred acceptance with one priority: each free row asks its next best candidate, a candidate
-    holds the lowest row that asked. Rows work down their list, so rounds end; each is two shuffles.
+    rows: row_idx, cls; lists: cls, cand_idx, weight, similarity; the best is that of the greatest
+    weight, then similarity, then the first. Deferred acceptance with one priority: each row asks
+    the candidate at its place of its class's list, and a candidate holds the lowest row that
+    asked. Of rows of one class a later one always ends at a later place, so the k-th starts at
+    the k-th place and is pushed on by those before it. A row that lost goes on to the next
+    candidate that no lower row holds. It ends when no row has lost; each round takes at least one
+    pair out.
     """
-    rank = F.row_number().over(Window.partitionBy("row_idx").orderBy(F.desc("weight"), F.desc("similarity"), "cand_idx"))
-    left = settled(pairs.withColumn("_rank", rank))
-    for _ in range(MOST_ROUNDS):
-        asks = left.groupBy("row_idx").agg(F.min_by(F.struct("cand_idx", "weight", "_rank"), "_rank").alias("a")).select("row_idx", "a.*")
-        holds = asks.groupBy("cand_idx").agg(F.min("row_idx").alias("holder"))
-        # a pair is out once its candidate is held by a lower row
-        keep = settled(left.join(holds, "cand_idx", "left").where(F.col("holder").isNull() | (F.col("row_idx") <= F.col("holder"))).drop("holder"))
-        if keep.count() == left.count():
-            return settled(asks.join(holds, "cand_idx").where("row_idx = holder").select("row_idx", "cand_idx", "weight"))
-        left = keep
-    raise RuntimeError(f"assignment did not settle in {MOST_ROUNDS} rounds")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("weight"), F.desc("similarity"), "cand_idx"))
+    lists = settled(lists.select("cls", "cand_idx", "weight", place.alias("pos")))
+    k = F.row_number().over(Window.partitionBy("cls").orderBy("row_idx"))
+    state = rows.join(lists.select("cls").distinct(), "cls", "left_semi").select("row_idx", "cls", k.alias("k")).withColumn("at", F.col("k"))
+    while True:
+        asks = settled(state.join(lists.select("cls", F.col("pos").alias("at"), "cand_idx", "weight"), ["cls", "at"]))
+        holds = settled(asks.groupBy("cand_idx").agg(F.min("row_idx").alias("holder")))
+        judged = settled(asks.join(holds, "cand_idx").withColumn("lost", F.col("row_idx") > F.col("holder")))
+        low = settled(judged.where("lost").groupBy("cls").agg(F.min("row_idx").alias("low_row"), F.min("at").alias("low_at")))
+        if low.isEmpty():
+            return judged.select("row_idx", "cand_idx", "weight")
+        ahead = lists.join(low, "cls").where("pos > low_at").join(holds, "cand_idx", "left").where("holder is null or holder > low_row").groupBy("cls").agg(F.min("pos").alias("next"))
+        moved = judged.join(ahead, "cls", "left").where("not lost or next is not null").withColumn("at", F.when(F.col("lost"), F.greatest(F.col("at") + 1, F.col("next"))).otherwise(F.col("at")))
+        pushed = F.col("k") + F.max(F.col("at") - F.col("k")).over(Window.partitionBy("cls").orderBy("k"))
+        state = moved.select("row_idx", "cls", "k", pushed.alias("at"))
+
+
+def unblocked_core(gt: DataFrame, cand: DataFrame) -> DataFrame:
+    """row_idx, cand_idx with equal street, numbers and house: each row the last candidate whose code fits."""
+    rows, g = classed(gt.where("hb <> '' and sw <> ''"), "row_idx")
+    cands, c = classed(cand.where("hb <> '' and sw <> ''"), "cand_idx")
+    c = c.select("sw", "sn", "hb", "hm", F.col("code").alias("code_c"), F.col("cls").alias("cls_c"))
+    met = g.join(c, ["sw", "sn", "hb", "hm"]).where(compatible_codes(F.col("code"), F.col("code_c")))
+    lists = met.select("cls", "cls_c").join(cands.withColumnRenamed("cls", "cls_c"), "cls_c").select("cls", "cand_idx", F.col("cand_idx").cast("double").alias("weight"), F.lit(0.0).alias("similarity"))
+    return greedy_assignment(rows, lists)
 
 
 def cascade(gt: DataFrame, cand: DataFrame, passes: tuple[str, ...] = PASSES, similarity: str = "token_set") -> DataFrame:
     """row_idx, cand_idx, pass, weight. gt: row_idx, text, ter, sw, sn, hb, hm; cand: cand_idx and the same.
 
-    The pass on the key without modifiers asks for equal modifiers again and so finds nothing
+    Both may have code and hits; cand may have source_row, without which the pass by row is left
+    out. The pass on the key without modifiers asks for equal modifiers again and so finds nothing
     that the pass before it left; it is kept for its count.
     """
     found: DataFrame | None = None
     full, core = ["sw", "ter", "sn", "hb", "hm"], ["sw", "sn", "hb", "hm"]
     for name in passes:
-        if name == "text":
-            now = pair_occurrences(gt, cand, ["text"]).withColumn("weight", F.lit(None).cast("double"))
+        if name == "row":
+            if "source_row" not in cand.columns:
+                continue
+            now = row_core(gt, cand)
+        elif name == "text":
+            now = pair_occurrences(gt, cand, ["text"])
         elif name in ("key", "key_without_modifiers"):
-            now = pair_occurrences(gt, cand, full).withColumn("weight", F.lit(None).cast("double"))
+            now = pair_occurrences(gt, cand, full)
         elif name == "street_house":
-            now = pair_occurrences(gt.where("hb <> ''"), cand.where("hb <> ''"), core).withColumn("weight", F.lit(None).cast("double"))
+            now = unblocked_core(gt, cand) if "code" in gt.columns and "code" in cand.columns else pair_occurrences(gt.where("hb <> ''"), cand.where("hb <> ''"), core)
         else:
-            within, cutoff, more = {"fuzzy_territory": (True, INTRA_TERRITORY, 0.0), "fuzzy": (False, ACROSS, 0.0), "fuzzy_relaxed": (False, RELAXED, SAME_MODIFIERS)}[name]
-            now = greedy_assignment(scored_pairs(gt, cand, within, cutoff, more, similarity))
-        now = settled(now.withColumn("pass", F.lit(name)))
+            within, cutoff, relaxed = {"fuzzy_territory": (True, INTRA_TERRITORY, False), "fuzzy": (False, ACROSS, False), "fuzzy_relaxed": (False, RELAXED, True)}[name]
+            now = greedy_assignment(*scored_lists(gt, cand, within, cutoff, relaxed, similarity))
+        weight = F.col("weight") if "weight" in now.columns and name.startswith("fuzzy") else F.lit(None).cast("double")
+        now = settled(now.select("row_idx", "cand_idx", weight.alias("weight"), F.lit(name).alias("pass")))
         gt, cand = rest_of(gt, now, "row_idx"), rest_of(cand, now, "cand_idx")
         found = now if found is None else found.unionByName(now)
     return found

@@ -47,24 +47,6 @@ def completeness(rows: DataFrame, slots: list[str]) -> DataFrame:
     return rows.agg(F.count_if(n == len(slots)).alias("complete"), F.count_if((n > 0) & (n < len(slots))).alias("incomplete"), F.count_if(n == 0).alias("empty"))
 
 
-def issue_codes(address: Column, street: Column, house: Column) -> Column:
-    """Codes of what is wrong with a row, in a fixed order."""
-    has = lambda c: F.coalesce(F.btrim(c) != "", F.lit(False))
-    low = normalized(address)
-    opened, closed = (F.length(address) - F.length(F.regexp_replace(address, p, "")) for p in ("[(]", "[)]"))
-    codes = F.array(
-        F.when(F.length(address) > 700, "address_too_long"),
-        F.when(has(street) & ~has(house), "street_without_house"),
-        F.when(~has(street) & ~has(house), "no_house"),
-        F.when(has(house) & house.rlike("^0+[^0-9]*$"), "invalid_house_number"),
-        F.when(has(house) & ~has(street), "house_without_street_or_territory"),
-        F.when(F.concat(F.lit(" "), low, F.lit(" ")).rlike(" (школа|лицей|гимназия|детский сад|больница|университет) "), "object_name_in_address"),
-        F.when(F.concat(F.lit(" "), low, F.lit(" ")).rlike(" (маршрут|остановка|переход|рейс) "), "route_fragment_in_address"),
-        F.when(opened != closed, "unbalanced_address_fragment"),
-    )
-    return F.when(~has(address), F.array(F.lit("empty_address"))).otherwise(F.array_compact(codes))
-
-
 def issue_summary(rows: DataFrame, issues: str = "issues") -> DataFrame:
     """issue, rows; rows without any count as clean."""
     return rows.select(F.explode(F.when(F.size(issues) == 0, F.array(F.lit("clean"))).otherwise(F.col(issues))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n_rows"))
@@ -82,3 +64,21 @@ def construct_address(levels: list[Column]) -> Column:
 
 def match_key(levels: list[Column]) -> Column:
     return F.array_join(F.filter(F.transform(F.array(*levels), normalized), lambda x: x != ""), "|")
+
+
+def updated(existing: DataFrame, new: DataFrame, key: str, fields: list[str], example: str, order: str = "row_idx") -> DataFrame:
+    """A reference brought up to date: existing rows come first, so their values win; new ones fill blanks and add keys."""
+    both = existing.withColumn("_o", F.struct(F.lit(0).alias("s"), order)).unionByName(new.withColumn("_o", F.struct(F.lit(1).alias("s"), order)), allowMissingColumns=True)
+    return merge_rows(both, key, "_o", fields, example)
+
+
+def cleaned(rows: DataFrame, key: str, issues: Column, order: str = "row_idx") -> DataFrame:
+    """Rows of a reference without issues, the first of each key."""
+    from plumbline.operators.compare import first_seen
+
+    return first_seen(rows.where(F.size(issues) == 0), [key], [order])
+
+
+def by_address(rows: DataFrame, address: str = "normalized_address") -> DataFrame:
+    """In order of the lower-cased address, blanks first, as reports have it."""
+    return rows.orderBy(F.lower(F.coalesce(address, F.lit(""))))

@@ -46,14 +46,24 @@ def name_index(registry: DataFrame) -> DataFrame:
 def lookup_names(names: DataFrame, index: DataFrame, cutoff: float = NAME_CUTOFF) -> DataFrame:
     """name, key, score: the most similar index key of each name, equal keys first.
 
-    Equal keys join at once. Only the rest is compared, and only with keys that share a word.
+    Equal keys join at once. Only the rest is compared, and only with keys that share one of the
+    rarest words that the cutoff allows to differ: two sets that reach it share one of the first
+    size - ceil(cutoff * size) + 1 words of each, in one order of all words.
     """
     asked = names.select(F.col("name")).distinct().withColumn("asked", level_key("name")).where("asked <> ''")
     keys = index.select("key").distinct()
     exact = asked.join(keys, asked["asked"] == keys["key"]).select("name", "key", F.lit(100.0).alias("score"))
     rest = asked.join(exact.select("name"), "name", "left_anti")
-    words = lambda df, c, *more: df.select(c, *more, F.explode(F.array_distinct(F.split(c, " "))).alias("_w"))
-    met = words(rest, "asked", "name").join(words(keys, "key"), "_w").select("name", "asked", "key").distinct()
+    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("_w"))
+    uses = words(keys, "key").groupBy("_w").agg(F.count("*").alias("_n"))
+
+    def rare(df: DataFrame, c: str) -> DataFrame:
+        own = words(df.select(c).distinct(), c).join(uses, "_w", "left")
+        nth = F.row_number().over(Window.partitionBy(c).orderBy(F.coalesce("_n", F.lit(0)), "_w"))
+        size = F.size(F.array_distinct(F.split(c, " ")))
+        return own.withColumn("_r", nth).where(F.col("_r") <= size - F.ceil(size * (cutoff / 100.0) - 1e-9) + 1).select(c, "_w")
+
+    met = rare(rest, "asked").join(rare(keys, "key"), "_w").select("asked", "key").distinct().join(rest, "asked")
     scored = met.withColumn("score", word_jaccard(F.col("asked"), F.col("key"))).where(F.col("score") >= cutoff)
     best = scored.groupBy("name").agg(F.max(F.struct("score", F.negative(F.length("key")).alias("_l"), "key")).alias("b")).select("name", F.col("b.key").alias("key"), F.col("b.score").alias("score"))
     return exact.unionByName(best)
@@ -174,12 +184,46 @@ def resolve_scope(asked: DataFrame, scopes: DataFrame) -> DataFrame:
     """
     s = scopes.select("scope", normalized("name").alias("n"), "ter").where("n <> ''")
     a = asked.select("value", normalized("value").alias("v")).distinct()
-    direct = a.join(s, (F.col("v") == F.col("n")) | (F.col("v") == F.col("scope").cast("string")) | (F.col("v") == F.col("ter"))).groupBy("value").agg(F.min("scope").alias("scope"))
+    known = s.select("scope", F.explode(F.array(F.col("n"), F.col("scope").cast("string"), F.col("ter"))).alias("v")).where("v <> ''").groupBy("v").agg(F.min("scope").alias("scope"))
+    direct = a.join(known, "v").select("value", "scope")
     rest = a.join(direct, "value", "left_anti").select(F.col("value").alias("id"), F.col("v").alias("text"))
     held = term_hits(rest, s.select(F.col("n").alias("term")).distinct()).join(s, F.col("term") == F.col("n"))
     return direct.unionByName(held.groupBy("id").agg(F.max_by("scope", F.struct(F.length("term"), F.col("term"))).alias("scope")).withColumnRenamed("id", "value"))
 
 
+#: Words of a municipality of the first kind, and of a settlement's own one.
+PRIMARY_WORDS = "муниципальный район|муниципальный округ|городской округ|район"
+LOCAL_WORDS = "сельское поселение|городское поселение|сельсовет|поселение"
+
+
+def row_municipalities(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows (code, parent_code, district_code) with municipality, municipality_code.
+
+    names: code, section_name, heading_name, one row for each code; a typed name is preferred. The
+    parent's name counts, but a settlement gives way to its district.
+    """
+    primary, local = (lambda c, w=w: F.coalesce(normalized(c).rlike(w), F.lit(False)) for w in (PRIMARY_WORDS, LOCAL_WORDS))
+    section, heading = F.col("section_name"), F.col("heading_name")
+    typed = F.when(section.isNull(), heading).when(heading.isNull() | primary(section), section).when(local(section) & primary(heading), heading).when(primary(heading) & contains_term(normalized(heading), level_key(section)), heading).otherwise(section)
+    n = names.select("code", typed.alias("name")).where("name is not null")
+    p, d = (n.select(F.col("code").alias(f"_{x}"), F.col("name").alias(f"_{x}_name")) for x in ("p", "d"))
+    both = rows.join(p, F.col("parent_code") == F.col("_p"), "left").join(d, F.col("district_code") == F.col("_d"), "left")
+    up = (F.col("parent_code") != F.col("district_code")) & F.col("_p_name").isNotNull() & F.col("_d_name").isNotNull() & local(F.col("_p_name")) & primary(F.col("_d_name"))
+    by_district = up | F.col("_p_name").isNull()
+    return both.select(*rows.columns, F.when(by_district, F.col("_d_name")).otherwise(F.col("_p_name")).alias("municipality"), F.when(by_district, F.when(F.col("_d_name").isNotNull(), F.col("district_code"))).otherwise(F.col("parent_code")).alias("municipality_code"))
+
+
+def term_forms(terms: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+    """term, form: a search key as it is and with one word in each of its forms; forms: word, form. A word that is not there stays."""
+    own = terms.select(F.col("term"), normalized("term").alias("_t")).where("_t <> ''").distinct()
+    same = own.select("term", F.col("_t").alias("form"))
+    if forms is None:
+        return same
+    words = own.select("term", "_t", F.posexplode(F.split("_t", " ")).alias("i", "word")).join(forms.select(normalized("word").alias("word"), normalized("form").alias("_f")), "word")
+    put = F.array_join(F.transform(F.split("_t", " "), lambda w, k: F.when(k == F.col("i"), F.col("_f")).otherwise(w)), " ")
+    return same.unionByName(words.select("term", put.alias("form"))).distinct()
+
+
 def federal_districts(registry: DataFrame, regions: DataFrame) -> DataFrame:
     """ter, subject, region_id, federal_district: top rows of the registry with their region's district. regions: region_id, name, federal_district."""
     top = registry.where(F.length("code") == 2).select("ter", F.col("name").alias("subject"))

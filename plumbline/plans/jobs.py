@@ -6,27 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import address as A
+from plumbline.functions import slots as S
 from plumbline.functions import text as T
-from plumbline.operators import collect, compare, matching, reference, registry
+from plumbline.operators import collect, compare, matching, reference, registry, sanitize
 from plumbline.sources import files
 from plumbline.sources.scratch import settled
 
 
-def prepared_side(rows: DataFrame, column: str, idx: str, city: str = "") -> DataFrame:
-    """idx, text, ter, sw, sn, hb, hm of the addresses in column."""
-    p = A.parsed(rows.select(F.col("row_idx").alias(idx), F.col(column).alias("raw")).where(F.btrim("raw") != ""), "raw", city)
-    return settled(p.select(idx, T.normalized("raw").alias("text"), "raw", "parsed.*"))
+def prepared_side(rows: DataFrame, column: str, idx: str, city: str = "", known: DataFrame | None = None, keys: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """idx, text, ter, sw, sn, hb, hm of the addresses in column; with a registry their code, with scope keys their hits."""
+    there = rows.where(F.btrim(column) != "").select(F.col("row_idx").alias(idx), F.col(column).alias("raw"), *keep)
+    if known is None and keys is None:
+        return settled(A.parsed(there, "raw", city).select(idx, T.normalized("raw").alias("text"), "raw", "parsed.*", *keep))
+    p = S.normalized_addresses(there, "raw", known, city).select(idx, T.normalized("raw").alias("text"), "raw", "parsed.*", F.coalesce("oktmo_code", F.lit("")).alias("code"), *keep)
+    p = settled(p)
+    if keys is not None:
+        records = p.select(F.col(idx).alias("id"), "text", "code", F.col("raw").rlike(collect.HINTS).alias("has_context"))
+        hits = registry.scope_hits(records, keys).select(F.col("id").alias(idx), "hits")
+        p = settled(p.join(hits, idx, "left").withColumn("hits", F.coalesce("hits", F.array().cast(matching.NO_HITS))))
+    return p
 
 
-def align(gt: DataFrame, candidates: DataFrame, gt_column: str, candidate_column: str, companions: list[str] | None = None, city: str = "", passes: tuple[str, ...] = matching.PASSES, similarity: str = "token_set") -> DataFrame:
+def align(gt: DataFrame, candidates: DataFrame, gt_column: str, candidate_column: str, companions: list[str] | None = None, city: str = "", passes: tuple[str, ...] = matching.PASSES, similarity: str = "token_set", known: DataFrame | None = None, keys: DataFrame | None = None, normalize: bool = False) -> DataFrame:
     """Rows of gt with the candidate that fits, its companions, the pass; then the unmatched tail with a null row_idx.
 
     Candidates left over whose key a row of gt has are known duplicates and stay out of the tail.
+    known (a registry) and keys (scope keys) let territories block pairs and add to their weight.
+    With normalize, aligned is the normalized address unless that would lose a part of it; then
+    kept_original is true (see sinks.normalization_audit).
     """
     companions = companions or []
-    g, c = prepared_side(gt, gt_column, "row_idx", city), prepared_side(candidates, candidate_column, "cand_idx", city)
+    keep = ("source_row",) if "source_row" in candidates.columns else ()
+    g = prepared_side(gt, gt_column, "row_idx", city, known, keys)
+    c = prepared_side(candidates, candidate_column, "cand_idx", city, known, keys, keep)
     pairs = settled(matching.cascade(g, c, passes, similarity))
     carried = candidates.select(F.col("row_idx").alias("cand_idx"), F.col(candidate_column).alias("aligned"), *companions)
+    if normalize:
+        carried = S.guarded(carried, "aligned", city).withColumn("aligned", F.col("output")).drop("output")
     matched = gt.select("row_idx", gt_column).join(pairs.select("row_idx", "cand_idx", "pass"), "row_idx", "left").join(carried, "cand_idx", "left")
     tail = matching.unmatched_tail(c, g, pairs, ["ter", "sw", "sn", "hb", "hm"]).where("not known").select("cand_idx").join(carried, "cand_idx")
     return matched.unionByName(tail, allowMissingColumns=True)
@@ -37,16 +53,22 @@ def aligned_order(result: DataFrame) -> DataFrame:
 
 
 def collected(lines: DataFrame, part: list[str], city: str = "") -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected candidates of text lines (part, n, line), each with context, parts, score and reason."""
+    """Accepted and rejected candidates of text lines (part, n, line), each with context, parts, score and reason.
+
+    Accepted ones are merged by building key: the best one's text and context, parts by vote.
+    """
     context = collect.carry_context(lines, F.col("line").rlike(collect.HINTS) & ~F.col("line").rlike("[0-9]"), "line", part, "n")
     found = context.where(collect.plausible(F.col("line"))).withColumn("address", T.without_tail("line"))
     p = A.parsed(found, "address", city)
-    slots = {"street": F.col("parsed.sw"), "house": F.col("parsed.hb"), "locality": F.col("parsed.ter")}
-    p = p.withColumns(slots | {"key": T.building_key("address")}).withColumn("reason", collect.drop_reason({"address": F.col("address"), **{k: F.col(k) for k in slots}}))
-    p = settled(p.withColumn("quality", collect.quality(F.col("address"), [F.col(k) for k in slots])))
+    slots = {"street": F.col("parsed.sw"), "house": S.house_display(F.col("parsed.hb"), F.col("parsed.hm")), "territory": F.col("parsed.ter")}
+    p = p.withColumns(slots | {"house_base": F.col("parsed.hb"), "key": T.building_key("address")})
+    row = {k: F.col(k) for k in ("address", "street", "house", "territory", "house_base")} | {"raw": F.col("line"), "normalized": F.col("address")}
+    filled = sum((F.when(F.coalesce(F.col(k), F.lit("")) != "", 1.0).otherwise(0.0) for k in slots), F.lit(0.0))
+    p = settled(p.withColumn("reason", sanitize.drop_reason(row)).withColumn("quality", sanitize.quality(row, filled, F.lit("line"))))
     clean = p.where("reason is null")
-    best = clean.groupBy("key").agg(F.max_by(F.struct("address", "street", "house", "locality", "context"), F.struct("quality", F.negative(F.length("address")), "address")).alias("b"), F.count("*").alias("source_count"))
-    return best.select("key", "b.*", "source_count"), p.where("reason is not null").select(*part, "n", "address", "reason")
+    best = clean.groupBy("key").agg(F.max_by(F.struct("address", "context"), F.struct("quality", F.negative(F.length("address")), "address")).alias("b"))
+    merged = sanitize.merged_groups(clean, "key", list(slots), "quality", "address", "n").withColumnRenamed("candidate_count", "source_count")
+    return best.select("key", "b.*").join(merged, "key"), p.where("reason is not null").select(*part, "n", "address", "reason")
 
 
 def build_reference(rows: DataFrame, column: str, city: str = "") -> tuple[DataFrame, DataFrame]:
@@ -72,12 +94,27 @@ def move_job(primary: DataFrame, source: DataFrame, primary_columns: list[str],
     return compare.move_columns(primary.withColumn("key", T.building_key(*primary_columns)), source.withColumn("key", T.building_key(*source_columns)), payload)
 
 
-def publish_registry(spark: SparkSession, snapshot: str, folder: str) -> DataFrame:
-    """Checks a snapshot, writes its registry as a version of its own and returns its statistics."""
+def publish_registry(spark: SparkSession, snapshot: str, folder: str, keep: int = 3) -> DataFrame:
+    """Checks a snapshot, writes its registry as a version of its own and returns its statistics.
+
+    The version is written beside its place and moved there when it is whole, so a reader never
+    meets a part of it; of older versions the last `keep` - 1 stay.
+    """
     raw = spark.read.format("binaryFile").load(snapshot).select(files.snapshot_problems(F.col("content")).alias("p")).where("p is not null").first()
     if raw:
         raise ValueError(f"not a registry snapshot: {raw.p}")
     built = registry.with_codes(files.registry_csv(spark, snapshot)).withColumn("name", F.coalesce(T.clean("name"), F.lit("")))
-    version = f"{folder}/{snapshot.rsplit('/', 1)[-1].rsplit('.', 1)[0]}"
-    built.write.mode("overwrite").parquet(version)
+    name = snapshot.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    new, version = f"{folder}/_new_{name}", f"{folder}/{name}"
+    built.write.mode("overwrite").parquet(new)
+    if spark.read.parquet(new).isEmpty():
+        raise ValueError(f"no registry rows in {snapshot}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(version), True)
+    fs.rename(path(new), path(version))
+    older = sorted(p.getPath().getName() for p in fs.listStatus(path(folder)) if p.isDirectory() and not p.getPath().getName().startswith(("_", ".")))
+    for old in older[: max(0, len(older) - keep)]:
+        if old != name:
+            fs.delete(path(f"{folder}/{old}"), True)
     return registry.registry_statistics(spark.read.parquet(version))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import address as A
 from plumbline.functions import slots as S
 from plumbline.functions import text as T
-from plumbline.operators import collect, compare, matching, profile, reference, registry
+from plumbline.operators import collect, compare, matching, profile, reference, registry, sanitize
 from plumbline.sources import cells as C
 from plumbline.sources.scratch import settled
 
@@ -35,7 +35,7 @@ VIEWS = {
     "addr_b": f"SELECT s_suppkey AS row_idx, {_B.format(street=_street('s_suppkey'))} AS address, s_name AS payload, {_street('s_suppkey', LOW)} AS sw, concat(1 + s_suppkey % 53, '') AS hb, CASE s_suppkey % 7 WHEN 0 THEN 'к2' ELSE '' END AS hm FROM {{supplier}}",
     "addr_blank": f"SELECT c_custkey AS row_idx, CASE WHEN c_custkey % 11 <> 0 THEN {_A.format(street=_street('c_custkey'))} END AS address, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS payload, CASE WHEN c_custkey % 5 <> 0 THEN {_street('c_custkey')} ELSE '' END AS street, CASE WHEN c_custkey % 4 <> 0 THEN concat(c_custkey % 40, '') END AS house FROM {{customer}}",
     "codes": "SELECT c_custkey AS row_idx, concat(substring(concat('00', c_nationkey), -2), substring(concat('000', c_custkey % 200), -3), substring(concat('000', c_custkey % 7), -3)) AS code FROM {customer}",
-    "known": "SELECT concat(substring(concat('00', n_nationkey), -2)) AS code FROM {nation} UNION ALL SELECT DISTINCT concat(substring(concat('00', c_nationkey), -2), substring(concat('000', c_custkey % 200), -3)) FROM {customer} WHERE c_custkey % 2 = 0",
+    "known": "SELECT concat(substring(concat('00', n_nationkey), -2)) AS code FROM {nation} UNION ALL SELECT DISTINCT concat(substring(concat('00', c_nationkey), -2), substring(concat('000', c_custkey % 200), -3)) FROM {customer} WHERE c_mktsegment <> 'FURNITURE'",
     "scopes": "SELECT n_nationkey AS scope, substring(concat('00', n_nationkey), -2) AS ter, 10 * n_regionkey AS lo, 10 * n_regionkey + 100 AS hi, 20 + n_nationkey AS no_lo, 30 + n_nationkey AS no_hi FROM {nation}",
 }
 
@@ -189,9 +189,9 @@ def match_with_companions(spark, sf_dir):
 @query()
 def match_fuzzy_greedy(spark, sf_dir):
     """Similar streets at one house, greedily. Rounds, so no SQL; held against a plain walk in the tests."""
-    gt, cand, _ = _sides(spark, sf_dir) + (None,)
     extra = {"ter": F.lit(""), "sn": F.array().cast("array<string>")}
-    return matching.greedy_assignment(matching.scored_pairs(gt.withColumns(extra), cand.withColumns(extra), False, matching.RELAXED, matching.SAME_MODIFIERS))
+    gt, cand = (x.withColumns(extra) for x in _sides(spark, sf_dir))
+    return matching.greedy_assignment(*matching.scored_lists(gt, cand, False, matching.RELAXED, True))
 
 
 @query(_BOTH + "SELECT row_idx, '' AS ter, sw, '' AS sn, hb, hm FROM addr_a UNION ALL SELECT -1 - row_idx, '', sw, '', hb, hm FROM addr_b")
@@ -251,13 +251,14 @@ def registry_jaccard_lookup(spark, sf_dir):
 
 
 @query(
-    """WITH terms AS (SELECT DISTINCT list_aggregate(list_slice(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '), 1, 3), 'string_agg', ' ') AS term FROM benchmark),
+    """WITH terms AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS term FROM benchmark),
 texts AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS text FROM documents)
 SELECT id, term FROM texts, terms WHERE term <> '' AND contains(concat(' ', text, ' '), concat(' ', term, ' '))"""
 )
 def term_containment_join(spark, sf_dir):
+    """Whole passages that documents hold."""
     plain = lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "))
-    terms = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(plain("text"), " "), 1, 3), " ").alias("term")).where("term <> ''").distinct()
+    terms = table(spark, sf_dir, "benchmark").select(plain("text").alias("term")).where("term <> ''").distinct()
     return registry.term_hits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), plain("text").alias("text")), terms)
 
 
@@ -291,12 +292,12 @@ def slot_vote(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
-r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second, sum(n) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) AS kinds FROM c WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, event_type))
-SELECT user_id, event_type, n FROM r WHERE k = 1 AND (kinds = 1 OR (n >= greatest(2, second * 2) AND n / total >= 0.45))"""
+    """WITH c AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second, sum(n) OVER (PARTITION BY o_custkey) AS total, count(*) OVER (PARTITION BY o_custkey) AS kinds FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus))
+SELECT o_custkey, o_orderstatus, n FROM r WHERE k = 1 AND (kinds = 1 OR (n >= greatest(2, second * 2) AND n / total >= 0.45))"""
 )
 def dominant_context(spark, sf_dir):
-    return collect.dominant_values(table(spark, sf_dir, "events").select("user_id", "event_type"), ["user_id"], "event_type")
+    return collect.dominant_values(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), ["o_custkey"], "o_orderstatus")
 
 
 _SLOTS = ("address", "payload", "street", "house")
@@ -325,7 +326,7 @@ SELECT issue, count(*) AS n_rows FROM (SELECT unnest(CASE WHEN len(issues) = 0 T
     ).replace(") , x AS", "), x AS")
 )
 def issue_codes_summary(spark, sf_dir):
-    rows = view(spark, sf_dir, "addr_blank").withColumn("issues", reference.issue_codes(F.col("address"), F.col("street"), F.col("house")))
+    rows = view(spark, sf_dir, "addr_blank").withColumn("issues", sanitize.issue_codes({k: F.col(k) for k in ("address", "street", "house")}))
     return reference.issue_summary(rows)
 
 
@@ -399,22 +400,20 @@ def plausible_addresses(spark, sf_dir):
 @query(
     _with(
         """SELECT coalesce(reason, 'kept') AS reason, count(*) AS n_rows FROM (SELECT CASE WHEN coalesce(address, '') = '' THEN 'empty_address'
-  WHEN coalesce(street, '') = '' AND coalesce(house, '') = '' THEN 'no_address_core' WHEN regexp_matches(house, '^[^0-9]*0+[^0-9]*$') THEN 'zero_house'
-  WHEN coalesce(street, '') <> '' AND coalesce(house, '') = '' THEN 'no_house' END AS reason FROM addr_blank) GROUP BY ALL""",
+  WHEN coalesce(house, '') = '' AND coalesce(street, '') <> '' THEN 'street_without_house' WHEN coalesce(house, '') = '' THEN 'no_house'
+  WHEN coalesce(street, '') = '' THEN 'house_without_street_or_territory' END AS reason FROM addr_blank) GROUP BY ALL""",
         "addr_blank",
     )
 )
 def sanitizer_reasons(spark, sf_dir):
-    rows = view(spark, sf_dir, "addr_blank").withColumn("locality", F.lit(""))
-    reason = collect.drop_reason({k: F.col(k) for k in ("address", "street", "house", "locality")})
+    rows = view(spark, sf_dir, "addr_blank").withColumn("house", F.concat(F.lit("д. "), "house"))
+    reason = sanitize.drop_reason({k: F.col(k) for k in ("address", "street", "house")})
     return rows.select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n_rows"))
 
 
 @query(_BOTH + "SELECT 'both' AS side, count(*) AS n_keys FROM (SELECT key FROM addr_ak INTERSECT SELECT key FROM addr_bk) UNION ALL SELECT 'only_a', count(*) FROM (SELECT key FROM addr_ak EXCEPT SELECT key FROM addr_bk) UNION ALL SELECT 'only_b', count(*) FROM (SELECT key FROM addr_bk EXCEPT SELECT key FROM addr_ak)")
 def key_sets(spark, sf_dir):
-    a, b = (keyed(spark, sf_dir, v).select("key") for v in ("addr_a", "addr_b"))
-    size = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n_keys"))
-    return size(a.intersect(b), "both").unionByName(size(a.subtract(b), "only_a")).unionByName(size(b.subtract(a), "only_b"))
+    return compare.key_sets(*(keyed(spark, sf_dir, v) for v in ("addr_a", "addr_b")))
 
 
 @query()
@@ -429,10 +428,12 @@ def text_line_candidates(spark, sf_dir):
     return C.lines_of(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text").select("conv_id", "turn", "n", "line")
 
 
-@query("SELECT scope, count(*) AS n_codes, count(DISTINCT k) AS n_kod1 FROM (SELECT c_nationkey AS scope, c_custkey % 200 AS k FROM customer) GROUP BY scope")
+@query("SELECT c_nationkey AS scope, count(*) AS n_rows FROM customer GROUP BY c_nationkey")
 def registry_statistics_by_scope(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), (F.col("c_custkey") % 200).alias("k"))
-    return c.groupBy("scope").agg(F.count("*").alias("n_codes"), F.count_distinct("k").alias("n_kod1"))
+    """Rows of the registry by subject: every code of a nation is in its scope."""
+    codes = view(spark, sf_dir, "codes")
+    scopes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scope"), F.substring(F.concat(F.lit("00"), F.col("n_nationkey").cast("string")), -2, 2).alias("ter"), *[F.array().cast("array<struct<lo:int,hi:int>>").alias(c) for c in ("include", "exclude")])
+    return registry.subject_scopes(codes, scopes)
 
 
 _LINE = "concat('г. Тюмень, ул. ', {street}, ', д. ', {house}, CASE {k} % 7 WHEN 0 THEN ', к. 2' ELSE '' END)"
@@ -472,7 +473,7 @@ def conflicting_codes(spark, sf_dir):
     return c.join(other, "district").where((F.col("code") < F.col("other")) & collect.codes_conflict(F.col("code"), F.col("other"))).select("code", "other")
 
 
-@query("SELECT role, turn_kind, count(*) AS n FROM (SELECT role, CASE WHEN contains(text, chr(10)) THEN 'lines' ELSE 'line' END AS turn_kind FROM conversations) GROUP BY ALL")
+@query("SELECT role, contains(text, chr(10)) AS valid, count(*) AS n FROM conversations GROUP BY ALL")
 def candidate_kind_summary(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("role", F.when(F.col("text").contains("\n"), "lines").otherwise("line").alias("turn_kind"))
-    return c.groupBy("role", "turn_kind").agg(F.count("*").alias("n"))
+    """Turns by role and by whether they have several lines."""
+    return collect.scope_summary(table(spark, sf_dir, "conversations").select("role", F.col("text").contains("\n").alias("valid")))

@@ -22,14 +22,21 @@ def discovered(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUF
     return files.where(F.lower(name).rlike(rf"\.({'|'.join(suffixes)})$") & ~name.startswith("~$") & ~name.startswith(".~lock"))
 
 
+def _table(codec: str) -> tuple[str, str]:
+    """The characters of bytes 128 to 255 in Latin-1 and in a Cyrillic code page, where it has them."""
+    known = [b for b in range(128, 256) if bytes([b]).decode(codec, "ignore")]
+    return "".join(map(chr, known)), bytes(known).decode(codec)
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-16 by its mark, else UTF-8 if valid, else Windows-1251 letters mapped from Latin-1."""
+    """Bytes as text: UTF-16 by its mark or by its NUL bytes, else UTF-8 if valid, else Windows-1251, or code page 866 where a byte is none of it."""
     mark = F.hex(F.substring(content, 1, 2))
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
     latin = F.decode(content, "ISO-8859-1")
-    # Windows-1251: А-я are the bytes C0-FF, Ё A8, ё B8
-    upper, letters = "".join(chr(b) for b in [*range(0xC0, 0x100), 0xA8, 0xB8, 0xB9, 0xAB, 0xBB]), "".join(chr(0x410 + i) for i in range(64)) + "Ёё№«»"
-    text = F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).otherwise(F.coalesce(utf8, F.translate(latin, upper, letters)))
+    nul = F.instr(latin, "\0")
+    wide = F.when(nul % 2 == 0, F.decode(content, "UTF-16LE")).otherwise(F.decode(content, "UTF-16BE"))
+    cyrillic = F.when(F.instr(latin, "\x98") > 0, F.translate(latin, *_table("cp866"))).otherwise(F.translate(latin, *_table("cp1251")))
+    text = F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16")).when(nul > 0, wide).otherwise(F.coalesce(utf8, cyrillic))
     return F.regexp_replace(text, "^﻿", "")
 
 
@@ -52,11 +59,16 @@ def _workbook(data: bytes):
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in E.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheets = [s.get("name") for s in E.fromstring(z.read("xl/workbook.xml")).iter() if _local(s) == "sheet"]
-        for n, sheet in enumerate(sheets, 1):
-            if f"xl/worksheets/sheet{n}.xml" not in names:
-                continue
-            for c in E.fromstring(z.read(f"xl/worksheets/sheet{n}.xml")).iter():
+        parts = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            parts = {r.get("Id"): r.get("Target") for r in E.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter() if _local(r) == "Relationship"}
+        for n, s in enumerate((s for s in E.fromstring(z.read("xl/workbook.xml")).iter() if _local(s) == "sheet"), 1):
+            sheet, own = s.get("name"), next((v for k, v in s.attrib.items() if k.rsplit("}", 1)[-1] == "id"), None)
+            target = parts.get(own, f"worksheets/sheet{n}.xml")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part not in names:
+                raise ValueError(f"sheet {sheet} has no part {part}")
+            for c in E.fromstring(z.read(part)).iter():
                 if _local(c) != "c":
                     continue
                 letters, row = re.fullmatch(r"([A-Z]+)([0-9]+)", c.get("r")).groups()

@@ -1,16 +1,18 @@
 import io
 import zipfile
 
+from plumbline.operators import registry
 from plumbline.plans import jobs
 from plumbline.sources import files
 from plumbline.streaming import append
+from pyspark.sql import functions as F
 
 
 def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, text in parts.items():
-            z.writestr(name.replace("__", "/"), text)
+            z.writestr(name.replace("___", "/_").replace("__", "/"), text)
     return out.getvalue()
 
 
@@ -21,13 +23,23 @@ def test_align(spark):
     assert got == {(0, None, None), (1, "ул Садовая, д. 2", "c"), (2, "улица Мира, 3", "b"), (None, "Ленина 10", "a")}
 
 
+def test_align_by_scope_and_normalized(spark):
+    known = spark.createDataFrame([("71701", "Тюменский район"), ("71701000001", "п. Речной"), ("71702", "Ишимский район"), ("71702000001", "с. Каменка")], "code string, name string").withColumn("ter", F.lit("71"))
+    gt = spark.createDataFrame([(0, "п. Речной, ул. Мира, д. 3"), (1, "с. Каменка, ул. Мира, д. 3")], "row_idx long, gt string")
+    cand = spark.createDataFrame([(0, "село Каменка, улица Мира, дом 3"), (1, "какие-то слова")], "row_idx long, addr string")
+    keys = registry.scope_keys(known, "71702").withColumn("code", F.lit(""))
+    got = {r.row_idx: (r.aligned, r.kept_original) for r in jobs.align(gt, cand, "gt", "addr", known=known, keys=keys, normalize=True).collect()}
+    # the first row's code blocks the candidate of the other place
+    assert got[0] == (None, None) and got[1][0].startswith("Ишимский район, с. Каменка, ул. Мира") or got[1] == ("с. Каменка, ул. Мира, д. 3", False)
+
+
 def test_collect(spark):
     lines = ["г. Тюмень", "ул. Альфа, д. 2", "улица Альфа дом 2", "ул. Бета", "маршрут до ул. Гамма, д. 4", "просто текст"]
     df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, line string")
     accepted, rejected = jobs.collected(df, ["file"])
     a = accepted.collect()
-    assert [(r.street, r.house, r.source_count, r.context) for r in a] == [("альфа", "2", 2, "г. Тюмень")]
-    assert {r.reason for r in rejected.collect()} >= {"no_house", "route_fragment"}
+    assert [(r.street, r.house, r.source_count, r.context) for r in a] == [("альфа", "д. 2", 2, "г. Тюмень")]
+    assert {r.reason for r in rejected.collect()} >= {"street_without_house", "route_fragment_in_address"}
 
 
 def test_reference(spark):
@@ -56,11 +68,21 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad.xlsx").write_bytes(b"no")
     (tmp_path / "t.txt").write_bytes("Улица Мира, дом 5\n".encode("cp1251"))
     (tmp_path / "u.txt").write_bytes("﻿ё".encode())
+    (tmp_path / "v.txt").write_bytes("Шоссе".encode("cp866") + b"\x98")
+    (tmp_path / "w.txt").write_bytes("дом 5".encode("utf-16-le"))
     found = files.discovered(spark, str(tmp_path))
-    assert found.count() == 6
+    assert found.count() == 8
     cells = {(r.kind, r.locator, r.value) for r in files.office_cells(found.where("path not like '%.txt'")).collect() if r.kind != "unreadable"}
     assert cells == {("cell", "Лист!A1", "ул. Мира"), ("cell", "Лист!C1", "7"), ("cell", "T1:R1:C1", "x"), ("cell", "T1:R1:C2", "y"), ("row", "T1:R1", "x | y"), ("paragraph", "P1", "text"), ("cell", "T1:R1:C3", "z")}
-    assert {r.line for r in files.text_lines(found.where("path like '%.txt'")).collect()} == {"Улица Мира, дом 5", "ё"}
+    assert {r.line for r in files.text_lines(found.where("path like '%.txt'")).collect()} == {"Улица Мира, дом 5", "ё", "ШоссеШ", "дом 5"}
+
+
+def test_sheets_by_relationship(spark, tmp_path):
+    sheet = lambda v: f'<worksheet><sheetData><row r="1"><c r="A1"><v>{v}</v></c></row></sheetData></worksheet>'
+    rels = '<Relationships><Relationship Id="r1" Target="worksheets/b.xml"/><Relationship Id="r2" Target="/xl/worksheets/a.xml"/></Relationships>'
+    (tmp_path / "a.xlsx").write_bytes(zipped(**{"xl__workbook.xml": '<workbook xmlns:r="x"><sheets><sheet name="One" r:id="r1"/><sheet name="Two" r:id="r2"/></sheets></workbook>', "xl___rels__workbook.xml.rels": rels, "xl__worksheets__a.xml": sheet(2), "xl__worksheets__b.xml": sheet(1)}))
+    cells = {(r.locator, r.value) for r in files.office_cells(files.discovered(spark, str(tmp_path))).collect()}
+    assert cells == {("One!A1", "1"), ("Two!A1", "2")}
 
 
 def test_registry_publish(spark, tmp_path):

@@ -21,8 +21,26 @@ def test_greedy_assignment_is_the_walk(spark):
     r = random.Random(9)
     for n in (1, 6, 25):
         pairs = [(i, j, float(r.randint(1, 4)), float(r.randint(1, 2))) for i in range(n) for j in range(n) if r.random() < 0.6]
-        df = spark.createDataFrame(pairs, "row_idx long, cand_idx long, weight double, similarity double")
-        assert {x.row_idx: x.cand_idx for x in matching.greedy_assignment(df).collect()} == walk(pairs)
+        lists = spark.createDataFrame(pairs, "cls long, cand_idx long, weight double, similarity double")
+        rows = lists.select("cls", F.col("cls").alias("row_idx")).distinct()
+        assert {x.row_idx: x.cand_idx for x in matching.greedy_assignment(rows, lists).collect()} == walk(pairs)
+
+
+def test_rows_of_one_class_share_a_list(spark):
+    r = random.Random(3)
+    cls = {i: r.randint(0, 4) for i in range(40)}
+    liked = {(c, j): (float(r.randint(1, 3)), float(r.randint(1, 2))) for c in range(5) for j in range(30) if r.random() < 0.7}
+    lists = spark.createDataFrame([(c, j, *w) for (c, j), w in liked.items()], "cls long, cand_idx long, weight double, similarity double")
+    rows = spark.createDataFrame([*cls.items()], "row_idx long, cls long")
+    pairs = [(i, j, *w) for i, c in cls.items() for (d, j), w in liked.items() if c == d]
+    assert {x.row_idx: x.cand_idx for x in matching.greedy_assignment(rows, lists).collect()} == walk(pairs)
+
+
+def test_a_thousand_ties_take_one_round(spark):
+    rows = spark.range(1000).selectExpr("id row_idx", "1L cls")
+    lists = spark.range(1200).selectExpr("1L cls", "id cand_idx", "150.0D weight", "100.0D similarity")
+    got = {x.row_idx: x.cand_idx for x in matching.greedy_assignment(rows, lists).collect()}
+    assert got == {i: i for i in range(1000)}
 
 
 def test_dedupe_by_any_key_is_the_loop(spark):

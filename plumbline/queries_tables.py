@@ -559,11 +559,11 @@ def column_scores(spark, sf_dir):
 
 def _parsed_sides(spark, sf_dir):
     """Rows and candidates with streets in two territories, numbered and misspelt ones, codes and source rows."""
-    streets = ["Ленина", "Садовая", "9 Мая", "50 лет Октября", "Центральная", "Советская"]
-    wrong = ["Ленина", "Садовоя", "9 Мая", "50 лет Октяюря", "Центральня", "Советская"]
+    streets = ["Ленина", "Мирная", "9 Мая", "50 лет Октября", "Центральная", "Советская"]
+    wrong = ["Ленена", "Мурная", "9 Мая", "50 лет Октяюря", "Центральня", "Советская"]
     pick = lambda names, k: "CASE " + k + " % 6 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(names)) + " END"
     a = spark.sql(f"SELECT c_custkey AS row_idx, concat(CASE c_custkey % 5 WHEN 0 THEN 'п. Речной, ' WHEN 1 THEN 'с. Каменка, ' ELSE 'г. Тюмень, ' END, CASE WHEN c_custkey % 17 = 3 THEN '' ELSE concat('ул. ', {pick(streets, 'c_custkey')}, ', ') END, 'д. ', 1 + c_custkey % 23, CASE c_custkey % 7 WHEN 0 THEN ' корп. 2' ELSE '' END) AS raw, CASE c_custkey % 4 WHEN 0 THEN '71701' WHEN 1 THEN '71702' ELSE '' END AS code FROM parquet.`{sf_dir}/customer.parquet`")
-    b = spark.sql(f"SELECT s_suppkey AS cand_idx, concat(CASE s_suppkey % 3 WHEN 0 THEN 'п. Речной, ' WHEN 1 THEN 'город Тюмень, ' ELSE '' END, CASE s_suppkey % 2 WHEN 0 THEN 'улица ' ELSE 'ул. ' END, CASE WHEN s_suppkey % 2 = 0 THEN {pick(streets, 's_suppkey')} ELSE {pick(wrong, 's_suppkey')} END, ', ', 1 + s_suppkey % 23, CASE s_suppkey % 7 WHEN 0 THEN ', корпус 2' ELSE '' END) AS raw, CASE s_suppkey % 3 WHEN 0 THEN '71701000' ELSE '' END AS code, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey END AS source_row FROM parquet.`{sf_dir}/supplier.parquet`")
+    b = spark.sql(f"SELECT s_suppkey AS cand_idx, CASE WHEN s_suppkey % 10 = 7 THEN concat('г. Тюмень, ул. ', {pick(streets, 's_suppkey')}, ', д. ', 1 + s_suppkey % 23, CASE s_suppkey % 7 WHEN 0 THEN ' корп. 2' ELSE '' END) ELSE concat(CASE s_suppkey % 3 WHEN 0 THEN 'п. Речной, ' WHEN 1 THEN 'город Тюмень, ' ELSE '' END, CASE s_suppkey % 2 WHEN 0 THEN 'улица ' ELSE 'ул. ' END, CASE WHEN s_suppkey % 4 > 1 THEN {pick(streets, 's_suppkey')} ELSE {pick(wrong, 's_suppkey')} END, ', ', 1 + s_suppkey % 23, CASE s_suppkey % 7 WHEN 0 THEN ', корпус 2' ELSE '' END) END AS raw, CASE s_suppkey % 3 WHEN 0 THEN '71701000' ELSE '' END AS code, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey END AS source_row FROM parquet.`{sf_dir}/supplier.parquet`")
     side = lambda df: settled(A.parsed(df, "raw", "тюмень").withColumn("text", T.normalized("raw")).select(*df.columns, "text", "parsed.*"))
     return side(a), side(b)
 

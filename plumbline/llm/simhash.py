@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop_written, slices, table, text_bytes, written
+from plumbline.llm.common import doc_key, drop_written, slices, table, text_bytes, written
 
 WORDS = 3
 SEED = 42
@@ -235,11 +235,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Of rows with one id the one whose text has the smallest hash stays, of equal texts the first
     by the other columns. Null text counts as empty; an empty table gives an empty table.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), doc_key().alias("_i"), F.col("row").alias("_t"))
     kept = grouped(docs).groupBy("root").agg(F.min(order).alias("k")).select("k.*").drop("none")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
-    own = own.withColumns({"_i": F.col("own.doc_id").cast("long"), "_t": text_hash(F.col("own.text").cast("string"))})
-    found = own.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_row")), "left_semi")
+    own = own.withColumns({"_i": doc_key("own.doc_id"), "_t": text_hash(F.col("own.text").cast("string"))})
+    found = own.join(kept, ["_i", "_t"], "left_semi")  # one shuffle of texts serves the numbers below too
     others = [F.col(f"own.`{c}`") for c in docs.columns if c != "text"]
     nth = F.row_number().over(Window.partitionBy("_i", "_t").orderBy("own.text", F.to_json(F.struct(*others))))
     return found.withColumn("_n", nth).where("_n = 1").select("own.*")

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words for kinds of streets, settlements, territories and rooms.
-STREET_TYPES = ("улица", "ул", "переулок", "пер", "пр-кт", "пр-т", "прт", "проспект", "просп", "пр-д", "проезд", "пр", "бульвар", "б-р", "бульв", "тракт", "шоссе", "ш", "тупик", "туп", "аллея", "линия", "набережная", "наб", "площадь", "пл", "квартал", "кв-л", "микрорайон", "мкр", "проул")
-SETTLEMENT_TYPES = ("городской поселок", "рабочий поселок", "поселок городского типа", "населенный пункт", "город", "поселок", "пос", "деревня", "село", "слобода", "сл", "станица", "станция", "хутор", "аул", "разъезд")
+STREET_TYPES = ("улица", "ул", "переулок", "пер", "пр-кт", "пр-т", "прт", "проспект", "просп", "пр-д", "проезд", "пр", "бульвар", "б-р", "бульв", "тракт", "шоссе", "ш", "тупик", "туп", "аллея", "линия", "набережная", "наб", "площадь", "пл", "квартал", "кв-л", "микрорайон", "мкр", "проул", "км", "автодорога")
+SETTLEMENT_TYPES = ("городской поселок", "рабочий поселок", "курортный поселок", "дачный поселок", "поселок городского типа", "поселок при станции", "поселок станции", "населенный пункт", "город", "поселок", "пос", "деревня", "село", "слобода", "сл", "станица", "станция", "хутор", "аул", "разъезд", "улус", "местечко", "кишлак", "аал", "арбан", "починок", "выселок", "выселки", "заимка", "кордон", "маяк", "погост", "слободка", "усадьба", "лесоучасток", "метеостанция")
 SHORT_SETTLEMENTS = ("г", "п", "д", "с", "х", "рп", "пгт", "нп", "кп", "дп", "ст")
-TERRITORIES = ("снт", "сосн", "днт", "тсн")
+TERRITORIES = ("снт", "сосн", "днт", "тсн", "остров")
 ADMIN_WORDS = ("область", "обл", "край", "район", "р-н", "округ", "республика", "респ")
 ROOMS = ("помещение", "помещ", "пом", "квартира", "кв", "офис", "оф", "комната", "ком")
 OBJECTS = ("школа", "сош", "оош", "лицей", "гимназия", "садик", "доу", "колледж", "техникум", "университет", "академия", "институт", "мбоу", "мбдоу", "маоу", "филиал")
@@ -30,8 +30,8 @@ def _any(words: tuple[str, ...]) -> str:
 
 L, R = "(?iuU)(?<![0-9a-zа-я])", "(?![0-9a-zа-я])"
 STREET = f"{L}{_any(STREET_TYPES)}{R}\\.?"
-RAIL = "(?:п\\.?\\s*)?ж\\s*[./-]?\\s*-?\\s*д\\.?\\s*(?:ст\\.?|рзд\\.?|станция|разъезд)"
-SPLIT_TYPES = "(?:[рпкд]\\.\\s*п\\.|р\\.?п\\.?|п\\.?г\\.?т\\.?)"
+RAIL = "(?:п\\.?\\s*)?ж\\s*[./-]?\\s*-?\\s*д\\.?\\s*(?:остановочн\\w*\\s+пункт|блокпост|будка|ветка|казарма|платформа|площадка|путевой\\s+пост|ст\\.?|рзд\\.?|станция|разъезд)"
+SPLIT_TYPES = "(?:ст\\s*[.-]?\\s*ца\\.?(?=\\s)|[рпкдгн]\\.\\s*п\\.|р\\.?п\\.?|п\\.?г\\.?т\\.?)"
 SETTLEMENT = f"(?:{RAIL}|{SPLIT_TYPES}|{_any(SETTLEMENT_TYPES)}{R}|{_any(SHORT_SETTLEMENTS)}(?:\\.|(?=\\s)))"
 _UNIT = "[0-9]+(?:[а-яa-z](?![0-9а-яa-z]))?"
 BLOCK = f"(?:корпус|корп|кор|к)\\.?\\s*{_UNIT}"

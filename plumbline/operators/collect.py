@@ -35,6 +35,14 @@ def codes_conflict(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & (a != b) & (F.substring(a, 1, 8) != F.substring(b, 1, 8)), F.lit(False))
 
 
+def code_conflicts(codes: DataFrame, part: str) -> DataFrame:
+    """codes (code, part) with n_conflicts: the number of codes of its part that codes_conflict() with it, from counts, without pairs."""
+    known = codes.where("code <> ''").withColumn("_h", F.substring("code", 1, 8))
+    heads = known.groupBy(part, "_h").agg(F.count("*").alias("_same"))
+    totals = heads.groupBy(part).agg(F.sum("_same").alias("_all"))
+    return known.join(heads.join(totals, part), [part, "_h"]).withColumn("n_conflicts", F.col("_all") - F.col("_same")).drop("_h", "_same", "_all")
+
+
 def carry_context(lines: DataFrame, is_context: Column, text: str, part: list[str], order: str, keep: int = 4, use: int = 3, spans: tuple[int, ...] = CONTEXT_SPANS) -> DataFrame:
     """lines with context: the last `use` of the last `keep` different context lines before each line.
 

@@ -465,12 +465,11 @@ def first_seen_candidates(spark, sf_dir):
     return collect.dedupe_candidates(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_name", ["p_brand"], "p_partkey")
 
 
-@query(_with("SELECT a.code, b.code AS other FROM (SELECT DISTINCT code FROM codes) a JOIN (SELECT DISTINCT code FROM codes) b ON substring(a.code, 1, 5) = substring(b.code, 1, 5) AND a.code < b.code WHERE NOT (substring(a.code, 1, 8) = substring(b.code, 1, 8))", "codes"))
+@query(_with(", c AS (SELECT DISTINCT code, substring(code, 1, 5) AS d, substring(code, 1, 8) AS h FROM codes) SELECT code, (SELECT count(*) FROM c x WHERE x.d = c.d) - (SELECT count(*) FROM c x WHERE x.d = c.d AND x.h = c.h) AS n_conflicts FROM c", "codes").replace(") , c AS", "), c AS"))
 def conflicting_codes(spark, sf_dir):
-    """Pairs of codes of one district whose first eight digits differ."""
+    """How many codes of its district each code contradicts: those with other first eight digits."""
     c = view(spark, sf_dir, "codes").select("code", F.substring("code", 1, 5).alias("district")).distinct()
-    other = c.select(F.col("code").alias("other"), "district")
-    return c.join(other, "district").where((F.col("code") < F.col("other")) & collect.codes_conflict(F.col("code"), F.col("other"))).select("code", "other")
+    return collect.code_conflicts(c, "district").select("code", "n_conflicts")
 
 
 @query("SELECT role, contains(text, chr(10)) AS valid, count(*) AS n FROM conversations GROUP BY ALL")

@@ -195,6 +195,10 @@ _SHAPES = [
     ("г. Тюмень, пер. 2-й Тихий, д. {n}", "", "тихий", "2", "{n}", ""),
     ("с. Каменка, пер. Тихий, дом {n}", "каменка", "тихий", "", "{n}", ""),
     ("г. Тюмень, ул. Совесткая, {n}", "", "советская", "", "{n}", ""),
+    ("дачный поселок Дубки, ул. Мира, д. {n}", "дубки", "мира", "", "{n}", ""),
+    ("заимка Лесная, ул. Мира, д. {n}", "лесная", "мира", "", "{n}", ""),
+    ("ст-ца Новая, ул. Мира, д. {n}", "новая", "мира", "", "{n}", ""),
+    ("ж/д платформа Озерная, ул. Мира, д. {n}", "озерная", "мира", "", "{n}", ""),
 ]
 
 

@@ -2,7 +2,7 @@ import io
 import zipfile
 
 from plumbline.operators import registry
-from plumbline.plans import jobs
+from plumbline.plans import jobs, sinks
 from plumbline.sources import files
 from plumbline.streaming import append
 from pyspark.sql import functions as F
@@ -102,3 +102,16 @@ def test_append_stream(spark, tmp_path):
         stream = spark.readStream.schema("row_idx long, address string").parquet(source)
         append.append_stream(stream, target, str(tmp_path / "c")).awaitTermination()
         assert {r.row_idx for r in spark.read.parquet(target).collect()} == {0, 2}
+
+
+def test_append_after_the_last_row(spark, tmp_path):
+    target = str(tmp_path / "t")
+    spark.createDataFrame([(0, "ул. Мира, 1"), (4, "ул. Мира, 2"), (9, None)], "row_idx long, address string").write.parquet(target)
+    new = spark.createDataFrame([(0, "Мира 1"), (1, "ул. Новая, 2"), (2, "Новая 2"), (3, "ул. Новая, 3")], "row_idx long, address string")
+    for _ in range(2):
+        sinks.append_addresses(new, target)
+        assert {(r.row_idx, r.address) for r in spark.read.parquet(target).where("address is not null").collect()} == {(0, "ул. Мира, 1"), (4, "ул. Мира, 2"), (5, "ул. Новая, 2"), (6, "ул. Новая, 3")}
+    layout = sinks.aligned_layout(new.selectExpr("row_idx", "address", "1 a", "2 b"), ["address"], {"a": ["b"]}, ["row_idx"])
+    assert layout.columns == ["address", "a", "b", "row_idx"]
+    report = sinks.report(spark, "r1", {"new": new}, mode="x").first().report
+    assert report == '{"run":"r1","mode":"x","rows":{"new":4}}'

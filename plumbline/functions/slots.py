@@ -237,3 +237,10 @@ def renormalized(slot: str, value: Column) -> Column:
     if slot == "microdistrict":
         return F.regexp_replace(text, f"(?iuU)^(?:микрорайон|мкр){A.R}\\.?\\s*", "мкр. ")
     return text
+
+
+def projected(df: DataFrame, order: list[str] | str | None = None, selected: list[str] | None = None, keep_unknown: bool = False) -> DataFrame:
+    """The slot columns that df has, in the wanted order; other columns behind them, if they are to be kept."""
+    slots = [s for s in slot_order(order, selected) if s in df.columns]
+    known = {*LINE_SLOTS, *TECHNICAL_SLOTS}
+    return df.select(*slots, *[c for c in df.columns if keep_unknown and c not in known])

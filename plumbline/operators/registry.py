@@ -110,6 +110,12 @@ def with_user_keys(keys: DataFrame, user: DataFrame) -> DataFrame:
     return both.groupBy("value", "role").agg(F.max("weight").alias("weight"), F.bool_and("context_required").alias("context_required"))
 
 
+def user_keys(texts: DataFrame, text: str, order: str) -> DataFrame:
+    """value, key: the keys of lines or of parts between semicolons, the first spelling of each normalized key."""
+    parts = texts.select(order, F.posexplode(F.split(F.col(text), "[\n\r;]+")).alias("_i", "value")).select(F.struct(order, "_i").alias("_o"), F.btrim("value").alias("value"), normalized("value").alias("key"))
+    return parts.where("key <> ''").groupBy("key").agg(F.min_by("value", "_o").alias("value")).select("value", "key")
+
+
 def contains_term(text: Column, term: Column) -> Column:
     """Whole-term containment of normalized texts."""
     return F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), term, F.lit(" ")))

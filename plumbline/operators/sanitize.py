@@ -234,3 +234,34 @@ def merged_groups(rows: DataFrame, group: str, slots: list[str], score: str, raw
         out = out.join(F.broadcast(known), F.lit(True), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in context.columns if c in slots}).drop(*known.columns)
     house = F.col("house") if "house" in slots else F.lit("")
     return out.withColumn("house", F.when(~invalid_house(F.regexp_extract(house, "([0-9]+[а-яa-z]?)", 1)), F.col("house"))) if "house" in slots else out
+
+
+def address_fragments(text: Column, most: int = 8) -> Column:
+    """The last `most` different `street, house` pieces of a text, written as cards write them.
+
+    Text of 8 to 1200 characters. A number that is a street's ordinal is no house; places in
+    brackets with an organisation, from which a route goes on, and streets that can't be right
+    are left out.
+    """
+    from plumbline.functions.slots import renormalized
+
+    t = _text(text)
+    told = F.regexp_replace(t, f"(?iuU)\\([^()]*{L[6:]}{_words(ORGANISATION_WORDS)}{R}[^()]*\\)(?=\\s+[-–—]\\s|\\s*(?:с/о|дк|жк|кп|мкр){R})", "")
+    name = "[а-яёa-z0-9 .'-]{2,80}?"
+    house = "(?:(?:дом|д|здание|зд|строение|стр)\\.?)?\\s*[0-9]{1,4}[а-яa-z]?(?![а-яa-z0-9])(?:\\s*[-/]\\s*[а-яa-z0-9]+)?(?:\\s*,?\\s*(?:корпус|корп|к|строение|стр|с|литера|лит)\\.?\\s*[0-9а-яa-z]+)?"
+    stop = "(?!\\s*[-–—]?\\s*(?:я|ая|й|ой)(?![а-яa-z]))(?=$|[),;–—-]|\\s*,\\s*[0-9])"
+    before = f"((?:{_words(STREET_WORDS)}){R}\\.?\\s*{name})\\s*,?\\s+({house}){stop}"
+    after = f"({name}\\s+{_words(STREET_ENDS)})\\s*,?\\s+({house}){stop}"
+    found = F.concat(*[F.regexp_extract_all(told, F.lit(f"{L}{p}"), F.lit(0)) for p in (before, after)])
+    one = f"(?iuU)^(?:{before}|{after})"
+
+    def piece(x: Column) -> Column:
+        part = lambda a, b: F.coalesce(F.nullif(F.regexp_extract(x, one, a), F.lit("")), F.regexp_extract(x, one, b))
+        street, number = renormalized("street", part(1, 3)), renormalized("house", part(2, 4))
+        fits = explicit_street(street) & ideal_house(number) & ~names_organisation(street) & ~route_fragment(street) & ~unbalanced(street)
+        return F.when(fits, F.concat(F.btrim(street, F.lit(" ,")), F.lit(", "), number))
+
+    # anchored again at the end of each match, where nothing follows
+    pieces = F.array_distinct(F.array_compact(F.transform(found, piece)))
+    kept = F.slice(pieces, F.greatest(F.lit(1), F.size(pieces) - most + 1), most)
+    return F.when(F.length(t).between(8, CORE_CHARS), kept).otherwise(F.array().cast("array<string>"))

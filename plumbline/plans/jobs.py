@@ -80,6 +80,20 @@ def build_reference(rows: DataFrame, column: str, city: str = "") -> tuple[DataF
     return merged, reference.staged(p, "match_key", "row_idx")
 
 
+def update_reference(existing: DataFrame, rows: DataFrame, column: str, city: str = "") -> DataFrame:
+    """A reference of build_reference() brought up to date with new rows: its own values win, blanks are filled, new keys are added."""
+    new, _ = build_reference(rows, column, city)
+    fields = ["postal_index", "territory", "street", "house", "normalized_address"]
+    numbered_ = lambda df: df.withColumn("row_idx", F.monotonically_increasing_id())  # noqa: E731  keys differ within each side
+    return reference.updated(numbered_(existing), numbered_(new), "match_key", fields, "normalized_address")
+
+
+def clean_reference(existing: DataFrame) -> DataFrame:
+    """The rows of a reference that nothing is wrong with."""
+    row = {"address": F.col("normalized_address"), "street": F.col("street"), "territory": F.col("territory"), "house_base": F.regexp_extract("house", "^([0-9]+)", 1)}
+    return existing.where(F.size(sanitize.issue_codes(row)) == 0)
+
+
 def sort_reference(rows: DataFrame, slots: list[str]) -> DataFrame:
     """By the natural order of slots, blank addresses last, ties as they came."""
     return reference.natural_order(rows, slots, "row_idx")

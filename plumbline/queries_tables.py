@@ -15,6 +15,7 @@ from plumbline.functions import slots as S
 from plumbline.functions import text as T
 from plumbline.operators import collect, matching, profile, reference, registry, sanitize
 from plumbline.queries import _duck, _with, query, table, view
+from plumbline.sources import cells as C
 from plumbline.sources import regions
 from plumbline.sources.scratch import settled
 
@@ -295,6 +296,21 @@ def regions_of_rows(spark, sf_dir):
     return rows.join(met, "name", "left").select("row_idx", "region", F.col("federal_district").alias("district"))
 
 
+_PIECES = [
+    # text, fragments
+    ("школа 5, ул. Мира, д. {n}; улица Садовая, дом 7", "ул. Мира, д. {n} | ул. Садовая, д. 7"),
+    ("ост. ул. 2-я Тихая, {n}", "ул. 2-я Тихая, д. {n}"),
+    ("Московский тракт, {n}, корп. 2", "Московский тракт, д. {n}, к. 2"),
+    ("просто текст {n}", ""),
+    ("ул. Мира {n}, ул. Мира {n}", "ул. Мира, д. {n}"),
+]
+
+
+@query(expected(_PIECES, {"fragments": 1}))
+def address_fragments(spark, sf_dir):
+    return dealt(spark, sf_dir, _PIECES, ["v"]).select("row_idx", F.array_join(sanitize.address_fragments(F.col("v")), " | ").alias("fragments"))
+
+
 # --- tables
 
 _QUALITY = f"""SELECT row_idx, (35.0 * (hb <> '')::INT + 25.0 * (sw <> '')::INT + 14.0 * (row_idx % 2 = 0)::INT + least(length(address), 140) * 0.05 + 0.8 * (row_idx % 5)
@@ -440,6 +456,13 @@ def scope_keys(spark, sf_dir):
     return registry.with_user_keys(keys, table(spark, sf_dir, "part").select(F.col("p_name").alias("value")))
 
 
+@query("WITH k AS (SELECT p_partkey, unnest([p_name, p_brand, upper(p_name)]) AS value, unnest([0, 1, 2]) AS i FROM part) SELECT arg_min(value, p_partkey * 3 + i) AS value, trim(regexp_replace(lower(value), '[^0-9a-z]+', ' ', 'g')) AS key FROM k GROUP BY 2")
+def user_keys(spark, sf_dir):
+    """Keys in lines and between semicolons, each once."""
+    t = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("; "), "p_brand", F.lit("\n\n "), F.upper("p_name")).alias("text"))
+    return registry.user_keys(t, "text", "p_partkey")
+
+
 @query(_REG + ", f AS (SELECT code, name, 100.0 AS score, count(*) OVER (PARTITION BY ter, lower(name)) = 1 AS unambiguous FROM keyed WHERE key = 'место7') SELECT * FROM f ORDER BY code LIMIT 20")
 def settlement_search(spark, sf_dir):
     """Places for a search term; the limit is the feature."""
@@ -536,6 +559,14 @@ def structured_rows(spark, sf_dir):
     return p.select("sheet", F.col("row_idx").cast("long").alias("row_idx"), F.concat_ws("|", F.element_at("payload", F.lit("Улица")), F.element_at("payload", F.lit("Номер дома"))).alias("payload"))
 
 
+@query(f"SELECT sheet, row_idx, c_mktsegment AS value, concat(sheet, '!B', row_idx + 1) AS locator FROM ({_CELLS.format(customer='customer')})")
+def column_of_sheets(spark, sf_dir):
+    """One column of every sheet below its header, with places."""
+    cells = _sheet(spark, sf_dir)
+    first = profile.header_row(cells, {"улица": 5, "дом": 6}, ["sheet"]).select("sheet", (F.col("row_idx") + 1).alias("first_row"))
+    return C.column_of_sheets(cells, 1, first, ["sheet"]).withColumn("row_idx", F.col("row_idx").cast("long"))
+
+
 @query("SELECT 0 AS col_idx, 'street' AS kind UNION ALL SELECT 1, 'house'")
 def address_columns(spark, sf_dir):
     """Columns whose headers name an address or its parts."""

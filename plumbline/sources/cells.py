@@ -46,3 +46,10 @@ def numbered(rows: DataFrame, by: str) -> DataFrame:
     offsets = dealt.groupBy("_part").count().select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each partition
     own = F.row_number().over(Window.partitionBy("_part").orderBy(by))
     return dealt.join(F.broadcast(offsets), "_part").withColumn("number", own + F.col("_before")).drop("_part", "_before")
+
+
+def column_of_sheets(cells: DataFrame, column: int, first_row: DataFrame, part: list[str]) -> DataFrame:
+    """part, row_idx, value, locator of one column of every sheet, from the sheet's first data row on. first_row: part, first_row."""
+    letters = F.concat(F.lit(chr(65 + column // 26 - 1) if column >= 26 else ""), F.lit(chr(65 + column % 26)))
+    own = cells.where((F.col("col_idx") == column) & (F.btrim("value") != "")).join(first_row, part).where("row_idx >= first_row")
+    return own.select(*part, "row_idx", F.btrim("value").alias("value"), F.concat(F.col(part[0]).cast("string"), F.lit("!"), letters, (F.col("row_idx") + 1).cast("string")).alias("locator"))

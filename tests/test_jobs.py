@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+from plumbline.functions import slots
 from plumbline.operators import registry
 from plumbline.plans import jobs, sinks
 from plumbline.sources import files
@@ -47,6 +48,12 @@ def test_reference(spark):
     merged, staged = jobs.build_reference(df.where("row_idx < 2"), "raw")
     assert [(r.postal_index, r.source_count) for r in merged.collect()] == [("625000", 2)]
     assert {r.status for r in staged.collect()} == {"ready", "duplicate"}
+    more = spark.createDataFrame([(0, "д. Патрушева, ул. Ленина, 10"), (1, "ул. Новая, 3"), (2, "ул. Новая")], "row_idx long, raw string")
+    both = jobs.update_reference(merged, more, "raw")
+    assert {(r.street, r.house, r.postal_index, r.source_count) for r in both.collect()} == {("ленина", "10", "625000", 2), ("новая", "3", None, 1), ("новая", None, None, 1)}
+    assert {r.street for r in jobs.clean_reference(both).collect()} == {"ленина", "новая"} and jobs.clean_reference(both).count() == 2
+    wide = spark.createDataFrame([("5", "Мира", "x")], "house string, street string, other string")
+    assert slots.projected(wide, ["street", "house"]).columns == ["street", "house"] and slots.projected(wide, "house", keep_unknown=True).columns == ["house", "street", "other"]
     rows = spark.createDataFrame([(1, "Бета", "10"), (2, "Альфа", "10"), (3, "Альфа", "2")], "row_idx int, street string, house string")
     assert [r.row_idx for r in jobs.sort_reference(rows, ["street", "house"]).collect()] == [3, 2, 1]
 

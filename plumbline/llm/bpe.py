@@ -16,6 +16,7 @@ import json
 import os
 import unicodedata
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -78,32 +79,37 @@ class Codec:
         marks = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.marks = regex.compile(f"({marks})") if marks else None
         self.sign = os.path.commonprefix([*self.special])  # a text without it holds no special string
+        # what is met while a memory fills is kept one more time, so common chunks stay
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, list[int]] = {}
+        self.older_words: dict[str, list[int]] = {}
 
     def merge_word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
         sym = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        n, merges = len(sym), self.merges
-        queue = [(*m, i, sym[i], sym[i + 1]) for i in range(n - 1) if (m := merges.get((sym[i], sym[i + 1])))]
+        n, get = len(sym), self.merges.get
+        # an entry is a rank and a place; it is stale unless the pair that stands there now has that rank
+        queue = [m[0] << 32 | i for i in range(n - 1) if (m := get((sym[i], sym[i + 1])))]
         if not queue:
             return sym
-        queue = [(rank, i, new, a, b) for rank, new, i, a, b in queue]
         heapify(queue)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, new, a, b = heappop(queue)
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue  # stale: one of the two has been merged since
+            if j >= n or sym[i] < 0 or (m := get((sym[i], sym[j]))) is None or m[0] != entry >> 32:
+                continue
+            new = m[1]
             sym[i], sym[j] = new, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, sym[k])):
-                    heappush(queue, (m[0], i, m[1], new, sym[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((sym[h], new))):
-                heappush(queue, (m[0], h, m[1], sym[h], new))
+                if m := get((new, sym[k])):
+                    heappush(queue, m[0] << 32 | i)
+            if (h := before[i]) >= 0 and (m := get((sym[h], new))):
+                heappush(queue, m[0] << 32 | h)
         return [s for s in sym if s >= 0]
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -115,20 +121,22 @@ class Codec:
         for word in WORDS.findall(chunk):
             ids = self.words.get(word)
             if ids is None:
-                ids = self.merge_word(word)
+                ids = self.older_words.get(word) or self.merge_word(word)
                 if len(word) <= 24:
-                    if len(self.words) >= CHUNKS_KEPT // 2:
-                        self.words.clear()
+                    if len(self.words) >= CHUNKS_KEPT // 4:
+                        self.older_words, self.words = self.words, {}
                     self.words[word] = ids
             out += ids
         return out
 
     def seen(self, chunk: str) -> tuple[bytes, str]:
-        ids = self.encode_chunk(chunk)
-        found = np.asarray(ids, dtype="<u4").tobytes(), " ".join([self.strings[i] for i in ids])
+        found = self.older.get(chunk)
+        if found is None:
+            ids = self.encode_chunk(chunk)
+            found = pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids])
         if len(chunk) <= 40:
-            if len(self.chunks) >= CHUNKS_KEPT:
-                self.chunks.clear()
+            if len(self.chunks) >= CHUNKS_KEPT // 2:
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = found
         return found
 

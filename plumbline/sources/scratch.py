@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
+#: The folder of a session that names none, by application.
+_own: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; one of our own only where none is named and driver and executors are one process."""
@@ -20,10 +23,12 @@ def folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="spark-plumbline-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        own = tempfile.mkdtemp(prefix="spark-plumbline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own[app] = f"file://{own}"
+    return _own[app]
 
 
 def place(spark: SparkSession, label: str = "table") -> str:

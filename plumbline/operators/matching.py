@@ -2,10 +2,9 @@
 
 Each pass sees only the rows that earlier ones left. Exact passes pair occurrences: of one key,
 the k-th row takes the k-th candidate from the end. Similar passes are a greedy walk in row
-order, computed as deferred acceptance in rounds, so that no pass is a driver-side loop over rows.
-Rows with equal parts want the same candidates in the same order; they share one list, and the
-k-th of them starts at its k-th place, so that an address held by very many rows is settled in
-one round and its pairs are never written out.
+order; what can meet is walked in one task, block by block or component by component (see
+assignment.py). Rows with equal parts are one class and candidates with equal parts one queue, so
+that the pairs of an address held by very many rows are never written out.
 
 Rows may carry a territory code and scope hits (`code`, `hits`); passes that a scope can block
 leave out pairs whose codes don't fit, and similar passes add the scope's bonus to the weight.
@@ -16,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.address import same_house
-from plumbline.functions.text import token_set_ratio, word_jaccard
+from plumbline.operators.assignment import LIMIT, assign
+from plumbline.operators.similar import similar_texts
 from plumbline.sources.scratch import settled
 
 #: Cut-offs and bonuses of the passes.
@@ -66,84 +65,77 @@ def classed(side: DataFrame, idx: str) -> tuple[DataFrame, DataFrame]:
     return own.select(idx, "cls"), own.select("cls", *parts).dropDuplicates(["cls"])
 
 
-def similar_streets(met: DataFrame, cutoff: float, similarity: str) -> DataFrame:
-    """sw, sw_c, similarity of the different pairs of streets that reach the cutoff; hopeless lengths are not measured."""
-    measure = {"token_set": token_set_ratio, "jaccard": word_jaccard}[similarity]
-    a, b = F.col("sw"), F.col("sw_c")
-    shared = F.arrays_overlap(F.split(a, " "), F.split(b, " "))
-    reach = 200.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-    pairs = met.where("sw <> ''").select("sw", "sw_c").distinct()
-    alike = F.when(a == b, 100.0).when(~shared & (reach < cutoff), 0.0).otherwise(measure(a, b))
-    return pairs.withColumn("similarity", alike).where(F.col("similarity") >= cutoff)
+def _block(df: DataFrame, within_territory: bool) -> Column:
+    """Classes of two blocks never match: street numbers, house, modifiers, and the territory in the first pass."""
+    return F.xxhash64(F.array_join("sn", " "), "hb", F.when(F.col("hb") == "", "").otherwise(F.col("hm")), *(["ter"] if within_territory else []))
 
 
-def scored_lists(gt: DataFrame, cand: DataFrame, within_territory: bool, cutoff: float, relaxed: bool = False, similarity: str = "token_set") -> tuple[DataFrame, DataFrame]:
-    """Rows (row_idx, cls) and lists (cls, cand_idx, weight, similarity) of the candidates that each class can have.
+def scored_links(gt: DataFrame, cand: DataFrame, within_territory: bool, cutoff: float, relaxed: bool = False, similarity: str = "token_set") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row_idx, cls), links (cls, queue, weight, similarity, grp) and queues (queue, cand_idx) as assign() wants them.
 
     A match needs equal street numbers and the same house, so these (and the territory in the
-    first pass) are the block in which classes meet; each pair of streets is measured once. A row
-    without a street takes what has its house: in the first pass without a bonus, in the last
-    with that of the territory.
+    first pass) are the block in which classes meet. Similar streets are found first, among the
+    different ones of all blocks (or of each territory), by a join that compares no hopeless pair;
+    classes then meet by (block, street). A row without a street takes what has its house: in the
+    first pass without a bonus, in the last with that of the territory. It is linked to queues of
+    all candidates of its block that have one scope (and territory, where that counts), so such
+    rows and candidates don't multiply by their streets.
     """
     from plumbline.operators.registry import pair_score
 
+    by = ["ter"] if within_territory else []
     rows, g = classed(gt, "row_idx")
     cands, c = classed(cand, "cand_idx")
-    block = ["sn", "hb", "_hm", *(["ter"] if within_territory else [])]
-    no_house = lambda df: df.withColumn("_hm", F.when(F.col("hb") == "", "").otherwise(F.col("hm")))
-    named = {k: f"{k}_c" for k in ("cls", "sw", "hm", "code", "hits", *(() if within_territory else ("ter",)))}
-    met = no_house(g).join(no_house(c).withColumnsRenamed(named), block)
+    g, c = (settled(x.withColumn("grp", _block(x, within_territory)), "classes") for x in (g, c))
+    there = c.select(*[F.col(k).alias(f"{k}_c") for k in ("cls", "sw", "hm", "ter", "code", "hits")], "grp")
     scope = pair_score(F.col("hits"), F.col("hits_c"), F.col("code"), F.col("code_c"))
-    met = settled(met.withColumn("scope", scope).where(F.col("scope") > BLOCKED).drop("hits", "hits_c"))
-    same_place = F.lit(0.0) if within_territory else F.when((F.col("ter") != "") & (F.col("ter") == F.col("ter_c")), SAME_TERRITORY).otherwise(0.0)
+    same_ter = (F.col("ter") != "") & (F.col("ter") == F.col("ter_c"))
+    same_place = F.lit(0.0) if within_territory else F.when(same_ter, SAME_TERRITORY).otherwise(0.0)
     same_mods = F.when((F.col("hm") != "") & (F.col("hm") == F.col("hm_c")), SAME_MODIFIERS if relaxed else 0.0).otherwise(0.0)
     bonus = F.when(F.col("hb") != "", SAME_HOUSE).otherwise(0.0) + same_place + same_mods + F.col("scope")
-    streets = similar_streets(met, cutoff, similarity)
-    fits = same_house(F.col("hb"), F.col("hm"), F.col("hb"), F.col("hm_c"))
-    with_street = met.where(fits).join(streets, ["sw", "sw_c"]).withColumn("weight", F.col("similarity") + bonus)
+    streets = similar_texts(g.select(*by, F.col("sw").alias("a")), c.select(*by, F.col("sw").alias("b")), cutoff, tuple(by), similarity)
+    streets = settled(streets.withColumnsRenamed({"a": "sw", "b": "sw_c"}), "streets")
+    met = g.join(streets, [*by, "sw"]).join(there.drop(*(f"{k}_c" for k in by)) if by else there, ["grp", "sw_c"]).withColumn("scope", scope).where(F.col("scope") > BLOCKED)
+    link = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
+    with_street = met.select("cls", link("class", "cls_c").alias("queue"), (F.col("similarity") + bonus).alias("weight"), "similarity", "grp")
+    # rows without a street, by the scopes (and, in the last pass, territories) of their block
+    kinds = ["grp", "code", "hits", *(["ter"] if relaxed else [])]
+    asked = g.where("sw = '' and hb <> ''").select("cls", *kinds)
+    gangs = c.join(asked.select("grp").distinct(), "grp", "left_semi").select(*kinds, "cls").withColumn("queue", link("scope", *[F.to_json("hits") if k == "hits" else F.col(k) for k in kinds]))
+    kind_of = gangs.select("queue", *[F.col(k).alias(k if k == "grp" else f"{k}_c") for k in kinds]).dropDuplicates(["queue"])
     alone = F.lit(HOUSE_ONLY) + (F.lit(0.0) if within_territory else F.col("scope") + (same_place if relaxed else F.lit(0.0)))
-    house_only = met.where("sw = '' and hb <> ''").withColumns({"similarity": F.lit(0.0), "weight": alone})
-    out = ["cls", "cls_c", "weight", "similarity"]
-    both = with_street.select(out).unionByName(house_only.select(out))
-    return rows, both.join(cands.select("cand_idx", F.col("cls").alias("cls_c")), "cls_c").select("cls", "cand_idx", "weight", "similarity")
+    house_only = asked.join(kind_of, "grp").withColumn("scope", scope).where(F.col("scope") > BLOCKED).select("cls", "queue", alone.alias("weight"), F.lit(0.0).alias("similarity"), "grp")
+    queues = cands.select(link("class", "cls").alias("queue"), "cand_idx").unionByName(cands.join(gangs.select("cls", "queue"), "cls").select("queue", "cand_idx"))
+    return rows, with_street.unionByName(house_only), queues
+
+
+def scored_lists(gt: DataFrame, cand: DataFrame, within_territory: bool, cutoff: float, relaxed: bool = False, similarity: str = "token_set") -> tuple[DataFrame, DataFrame]:
+    """scored_links() with queues written out: rows (row_idx, cls) and lists (cls, cand_idx, weight, similarity)."""
+    rows, links, queues = scored_links(gt, cand, within_territory, cutoff, relaxed, similarity)
+    return rows, links.join(queues, "queue").select("cls", "cand_idx", "weight", "similarity")
 
 
-def greedy_assignment(rows: DataFrame, lists: DataFrame) -> DataFrame:
+def greedy_assignment(rows: DataFrame, lists: DataFrame, limit: int = LIMIT) -> DataFrame:
     """row_idx, cand_idx, weight: what a walk in row order gives in which each row takes its best free candidate.
 
     rows: row_idx, cls; lists: cls, cand_idx, weight, similarity; the best is that of the greatest
-    weight, then similarity, then the first. Deferred acceptance with one priority: each row asks
-    the candidate at its place of its class's list, and a candidate holds the lowest row that
-    asked. Of rows of one class a later one always ends at a later place, so the k-th starts at
-    the k-th place and is pushed on by those before it. A row that lost goes on to the next
-    candidate that no lower row holds. It ends when no row has lost; each round takes at least one
-    pair out.
+    weight, then similarity, then the first.
     """
-    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("weight"), F.desc("similarity"), "cand_idx"))
-    lists = settled(lists.select("cls", "cand_idx", "weight", place.alias("pos")))
-    k = F.row_number().over(Window.partitionBy("cls").orderBy("row_idx"))
-    state = rows.join(lists.select("cls").distinct(), "cls", "left_semi").select("row_idx", "cls", k.alias("k")).withColumn("at", F.col("k"))
-    while True:
-        asks = settled(state.join(lists.select("cls", F.col("pos").alias("at"), "cand_idx", "weight"), ["cls", "at"]))
-        holds = settled(asks.groupBy("cand_idx").agg(F.min("row_idx").alias("holder")))
-        judged = settled(asks.join(holds, "cand_idx").withColumn("lost", F.col("row_idx") > F.col("holder")))
-        low = settled(judged.where("lost").groupBy("cls").agg(F.min("row_idx").alias("low_row"), F.min("at").alias("low_at")))
-        if low.isEmpty():
-            return judged.select("row_idx", "cand_idx", "weight")
-        ahead = lists.join(low, "cls").where("pos > low_at").join(holds, "cand_idx", "left").where("holder is null or holder > low_row").groupBy("cls").agg(F.min("pos").alias("next"))
-        moved = judged.join(ahead, "cls", "left").where("not lost or next is not null").withColumn("at", F.when(F.col("lost"), F.greatest(F.col("at") + 1, F.col("next"))).otherwise(F.col("at")))
-        pushed = F.col("k") + F.max(F.col("at") - F.col("k")).over(Window.partitionBy("cls").orderBy("k"))
-        state = moved.select("row_idx", "cls", "k", pushed.alias("at"))
+    links = lists.select("cls", F.col("cand_idx").cast("long").alias("queue"), F.col("weight").cast("double").alias("weight"), F.col("similarity").cast("double").alias("similarity"))
+    return assign(rows, links, links.select("queue", F.col("queue").alias("cand_idx")).distinct(), limit)
 
 
 def unblocked_core(gt: DataFrame, cand: DataFrame) -> DataFrame:
     """row_idx, cand_idx with equal street, numbers and house: each row the last candidate whose code fits."""
     rows, g = classed(gt.where("hb <> '' and sw <> ''"), "row_idx")
     cands, c = classed(cand.where("hb <> '' and sw <> ''"), "cand_idx")
-    c = c.select("sw", "sn", "hb", "hm", F.col("code").alias("code_c"), F.col("cls").alias("cls_c"))
-    met = g.join(c, ["sw", "sn", "hb", "hm"]).where(compatible_codes(F.col("code"), F.col("code_c")))
-    lists = met.select("cls", "cls_c").join(cands.withColumnRenamed("cls", "cls_c"), "cls_c").select("cls", "cand_idx", F.col("cand_idx").cast("double").alias("weight"), F.lit(0.0).alias("similarity"))
-    return greedy_assignment(rows, lists)
+    core = ["sw", "sn", "hb", "hm"]
+    c = c.select(*core, F.col("code").alias("code_c"), F.col("cls").alias("queue"))
+    met = g.join(c, core).where(compatible_codes(F.col("code"), F.col("code_c")))
+    links = met.select("cls", "queue", F.lit(0.0).alias("weight"), F.lit(0.0).alias("similarity"), F.xxhash64("sw", F.array_join("sn", " "), "hb", "hm").alias("grp"))
+    # the last candidate is the least when numbers change their sign
+    found = assign(rows, links, cands.select(F.col("cls").alias("queue"), F.negative("cand_idx").alias("cand_idx")))
+    return found.select("row_idx", F.negative("cand_idx").alias("cand_idx"), "weight")
 
 
 def cascade(gt: DataFrame, cand: DataFrame, passes: tuple[str, ...] = PASSES, similarity: str = "token_set") -> DataFrame:
@@ -168,7 +160,7 @@ def cascade(gt: DataFrame, cand: DataFrame, passes: tuple[str, ...] = PASSES, si
             now = unblocked_core(gt, cand) if "code" in gt.columns and "code" in cand.columns else pair_occurrences(gt.where("hb <> ''"), cand.where("hb <> ''"), core)
         else:
             within, cutoff, relaxed = {"fuzzy_territory": (True, INTRA_TERRITORY, False), "fuzzy": (False, ACROSS, False), "fuzzy_relaxed": (False, RELAXED, True)}[name]
-            now = greedy_assignment(*scored_lists(gt, cand, within, cutoff, relaxed, similarity))
+            now = assign(*scored_links(gt, cand, within, cutoff, relaxed, similarity))
         weight = F.col("weight") if "weight" in now.columns and name.startswith("fuzzy") else F.lit(None).cast("double")
         now = settled(now.select("row_idx", "cand_idx", weight.alias("weight"), F.lit(name).alias("pass")))
         gt, cand = rest_of(gt, now, "row_idx"), rest_of(cand, now, "cand_idx")
@@ -194,7 +186,5 @@ def with_companions(pairs: DataFrame, cand: DataFrame, columns: list[str]) -> Da
 
 def top_similar(queries: DataFrame, choices: DataFrame, cutoff: float, k: int) -> DataFrame:
     """query, choice, score: per query its k most similar choices that share a word and reach the cutoff."""
-    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).where("w <> ''")
-    met = words(queries, "query").join(words(choices, "choice"), "w").select("query", "choice").distinct()
-    scored = met.withColumn("score", word_jaccard(F.col("query"), F.col("choice"))).where(F.col("score") >= cutoff)
+    scored = similar_texts(queries.select(F.col("query").alias("a")), choices.select(F.col("choice").alias("b")), cutoff, similarity="jaccard").select(F.col("a").alias("query"), F.col("b").alias("choice"), F.col("similarity").alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "choice"))).where(F.col("rank") <= k)

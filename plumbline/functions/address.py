@@ -50,32 +50,62 @@ def prepared(raw: Column) -> Column:
     return F.btrim(F.regexp_replace(low, "\\s+", " "), F.lit(" ,;"))
 
 
+#: Words before a number or letter that make it a modifier, with the mark and rank that it gets.
+MODIFIER_MARKS = (("1к", ("корпус", "корп", "кор", "к", "/", "-")), ("2с", ("строение", "стр", "с")))
+LETTER_MARKS = ("литера", "лит")
+
+
 def house_modifiers(tail: Column) -> Column:
-    """Canonical modifiers: plain letters, then к, с, лит, each sorted."""
-    text = F.regexp_replace(F.lower(tail), "[\\s,;.]+", "")
-    text = F.regexp_replace(F.regexp_replace(text, "корпус|корп|кор", "к"), "строение|стр", "с")
-    text = F.regexp_replace(F.regexp_replace(text, "литера", "лит"), "[/-](?=[0-9])", "к")
-    tokens = F.regexp_extract_all(text, F.lit("лит[а-яa-z]|[кс][0-9]+(?:[а-яa-z](?![0-9]))?|[а-яa-z]"), F.lit(0))
-    rank = F.transform(tokens, lambda t: F.concat(F.when(t.startswith("лит"), "3").when(t.rlike("^к[0-9]"), "1").when(t.rlike("^с[0-9]"), "2").otherwise("0"), t))
-    return F.array_join(F.transform(F.array_sort(rank), lambda t: F.substring(t, 2, 100)), "")
+    """Canonical modifiers: plain letters, then к, с, лит, each sorted.
+
+    The tail is taken as tokens. A number counts by the word or sign before it; a letter counts as
+    a literal after `лит`, and as itself unless it is the word for the number behind it.
+    """
+    words = [w for _, ws in MODIFIER_MARKS for w in ws if len(w) > 1] + list(LETTER_MARKS)
+    token = f"[0-9]+(?:[а-яa-z](?![0-9а-яa-z]))?|{_any(tuple(words))}|[а-яa-z/-]"
+    tokens = F.regexp_extract_all(F.lower(tail), F.lit(token), F.lit(0))
+
+    def modifier(t: Column, i: Column) -> Column:
+        before, after = F.when(i > 0, F.get(tokens, i - 1)), F.get(tokens, i + 1)
+        out = F.when(t.rlike("^[а-яa-z]$") & before.isin(*LETTER_MARKS), F.concat(F.lit("3лит"), t))
+        for mark, ws in MODIFIER_MARKS:
+            out = out.when(t.rlike("^[0-9]") & before.isin(*ws), F.concat(F.lit(mark), t))
+        stands_for_number = t.isin("к", "с") & F.coalesce(after.rlike("^[0-9]"), F.lit(False))
+        return out.when(t.rlike("^[а-яa-z]$") & ~stands_for_number, F.concat(F.lit("0"), t))
+
+    return F.array_join(F.transform(F.array_sort(F.array_compact(F.transform(tokens, modifier))), lambda t: F.substring(t, 2, 100)), "")
+
+
+def _ends_with_street_type(text: Column) -> Column:
+    """The last word is a street's type, or `имени` behind one, so that a number next is part of the name."""
+    words = F.filter(F.split(F.regexp_replace(text, "[^0-9a-zа-я-]+", " "), " "), lambda w: w != "")
+    nth = lambda k: F.when(F.size(words) >= k, F.element_at(words, -k))
+    return F.coalesce(nth(1).isin(*STREET_TYPES) | (nth(1).isin("имени", "им") & nth(2).isin(*STREET_TYPES)), F.lit(False))
 
 
 def _stage(df: DataFrame, raw: str) -> DataFrame:
+    """df with _loc, _hb, _hm, _kind: the text before or behind the house, its number, modifiers and kind (д, зд, стр)."""
     text = df.withColumn("_t", prepared(F.col(raw)))
-    numbered_street = f"(?:{_any(STREET_TYPES)})\\.?\\s*(?:(?:имени|им)\\.?\\s*)?$"
+    marked = lambda words: f"(?iuU)^(.*?)(?<![-а-яa-z])({words})\\.?\\s*([0-9]+)({TAIL})\\s*(?:[,;(].*)?$"
     patterns = {
         # a house before a room, with a street or a word before it
-        "_room": f"(?iuU)^(.*?[а-яa-z].*?)[\\s,;]+(?:д\\.?\\s*|дом\\s+)?([0-9]+)({TAIL}){ROOM_TAIL}",
-        "_named": f"(?iuU)^(.*?)(?<![-а-яa-z])(?:дом|д|здание|зд)\\.?\\s*([0-9]+)({TAIL})\\s*(?:[,;(].*)?$",
-        "_last": f"(?iuU)^(.*?[а-яa-z].*?)(?<![0-9/-])([0-9]+)({TAIL})$",
-        "_front": f"(?iuU)^()([0-9]+)({TAIL})\\s*[,;]\\s*(?={_any(STREET_TYPES)}(?![0-9a-zа-я]))",
+        "_room": (f"(?iuU)^(.*?[а-яa-z].*?)[\\s,;]+(д\\.?\\s*|дом\\s+)?([0-9]+)({TAIL}){ROOM_TAIL}", (1, 3, 4, 2)),
+        "_named": (marked("дом|д|здание|зд"), (1, 3, 4, 2)),
+        "_built": (marked("строение|стр"), (1, 3, 4, 2)),
+        "_last": (f"(?iuU)^(.*?[а-яa-z].*?)(?<![0-9/-])([0-9]+)({TAIL})$", (1, 2, 3, 0)),
+        "_front": (f"(?iuU)^()([0-9]+)({TAIL})\\s*[,;]\\s*(?={_any(STREET_TYPES)}(?![0-9a-zа-я]))", (1, 2, 3, 0)),
     }
-    for name, p in patterns.items():
-        text = text.withColumn(name, F.when(F.col("_t").rlike(p), F.struct(*[F.regexp_extract("_t", p, k).alias(x) for k, x in ((1, "before"), (2, "hb"), (3, "tail"))])))
-    guarded = F.when(~F.col("_last.before").rlike(f"(?iuU)(?:^|[\\s,;]){numbered_street}") | ~F.col("_last.tail").rlike("[а-яa-z]{2,}"), F.col("_last"))
-    text = text.withColumn("_house", F.coalesce("_room", "_named", "_front", guarded))
-    rest = F.when(F.col("_front").isNotNull() & F.col("_room").isNull() & F.col("_named").isNull(), F.regexp_replace("_t", f"(?iuU)^[0-9]+{TAIL}\\s*[,;]\\s*", "")).otherwise(F.coalesce("_house.before", "_t"))
-    return text.withColumns({"_loc": F.btrim(rest, F.lit(" ,;")), "_hb": F.coalesce("_house.hb", F.lit("")), "_hm": F.coalesce(house_modifiers(F.col("_house.tail")), F.lit(""))})
+    for name, (p, groups) in patterns.items():
+        fields = [F.regexp_extract("_t", p, k).alias(x) if k else F.lit("").alias(x) for k, x in zip(groups, ("before", "hb", "tail", "mark"), strict=True)]
+        text = text.withColumn(name, F.when(F.col("_t").rlike(p), F.struct(*fields)))
+    guarded = F.when(~_ends_with_street_type(F.col("_last.before")) | ~F.col("_last.tail").rlike("[а-яa-z]{2,}"), F.col("_last"))
+    # a building's number is the house, unless a house stands before it
+    built = F.when(F.col("_last").isNull() | (F.length("_last.before") >= F.length("_built.before")), F.col("_built"))
+    text = text.withColumn("_house", F.coalesce("_room", "_named", built, "_front", guarded))
+    in_front = F.col("_front").isNotNull() & F.coalesce("_room", "_named", built).isNull()
+    rest = F.when(in_front, F.regexp_replace("_t", f"(?iuU)^[0-9]+{TAIL}\\s*[,;]\\s*", "")).otherwise(F.coalesce("_house.before", "_t"))
+    kind = F.when(F.col("_house.mark").startswith("зд"), "зд").when(F.col("_house.mark").startswith("ст"), "стр").otherwise("д")
+    return text.withColumns({"_loc": F.btrim(rest, F.lit(" ,;")), "_hb": F.coalesce("_house.hb", F.lit("")), "_hm": F.coalesce(house_modifiers(F.col("_house.tail")), F.lit("")), "_kind": kind})
 
 
 def _places(df: DataFrame, city: str) -> DataFrame:
@@ -98,11 +128,14 @@ def _places(df: DataFrame, city: str) -> DataFrame:
     words = F.split(F.btrim(F.regexp_replace(street, "[^0-9a-zа-я]+", " ")), " ")
     if city:
         words = F.filter(words, lambda w: w != city)
-    return df.withColumn("_w", words)
+    # a street that has no name but its number keeps its type as one
+    numbered = F.element_at(F.concat(F.array(F.lit("")), F.transform("_seg", lambda s: F.regexp_extract(s, f"(?iuU)^[0-9]+\\s*-?\\s*{_any(ORDINALS)}\\s+({_any(STREET_TYPES)})\\.?$", 1))), -1)
+    nameless = ~F.exists(words, lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]+$")) & (numbered != "")
+    return df.withColumn("_w", F.when(nameless, F.concat(words, F.array(numbered))).otherwise(words))
 
 
-def parse_distinct(df: DataFrame, raw: str, city: str = "") -> DataFrame:
-    """df with the struct `parsed`; raw may be null, which parses to blanks."""
+def parse_distinct(df: DataFrame, raw: str, city: str = "", kind: bool = False) -> DataFrame:
+    """df with the struct `parsed`; raw may be null, which parses to blanks. With kind also house_kind: д, зд or стр."""
     out = _places(_stage(df, raw), city)
     parsed = F.struct(
         F.array_join("_ter", " ").alias("ter"),
@@ -111,7 +144,7 @@ def parse_distinct(df: DataFrame, raw: str, city: str = "") -> DataFrame:
         F.col("_hb").alias("hb"),
         F.col("_hm").alias("hm"),
     )
-    return out.withColumn("parsed", parsed).select(*df.columns, "parsed")
+    return out.withColumn("parsed", parsed).select(*df.columns, "parsed", *([F.col("_kind").alias("house_kind")] if kind else []))
 
 
 def parsed(df: DataFrame, raw: str, city: str = "") -> DataFrame:

@@ -34,7 +34,8 @@ MUNICIPALITY = f"{A.L}(?:район|р-н|муниципальный|город
 MICRODISTRICT = f"{A.L}(?:микрорайон|мкр|квартал|кв-л){A.R}"
 TERRITORY = f"{A.L}(?:тер|территория|снт|сосн|днт|тсн){A.R}"
 ROOM = f"(?iuU)^\\s*{A._any(A.ROOMS)}{A.R}\\.?\\s*№?\\s*[0-9]"
-HOUSE = "(?iuU)^\\s*(?:(?:дом|д|здание|зд|строение|стр)\\.?\\s*)?[0-9]+"
+#: A house, but not the number of a street as in `5-я линия`.
+HOUSE = f"(?iuU)^\\s*(?:(?:дом|д|здание|зд|строение|стр)\\.?\\s*)?[0-9]+(?![0-9])(?!\\s*-?\\s*{A._any(A.ORDINALS)}{A.R})"
 
 
 def header_slot(header: Column) -> Column:
@@ -73,11 +74,17 @@ def street_display(raw: Column) -> Column:
     return _formed(F.btrim(F.regexp_replace(text, f"(?iuU)[\\s,]+(?:дом|д)\\.?\\s*[0-9].*$", "")), STREET_FORMS)
 
 
-def house_display(base: Column, mods: Column) -> Column:
-    """`д. 10А, к. 2, стр. 1, лит. Б` from a house number and canonical modifiers; null without a number."""
+def house_kind(text: Column) -> Column:
+    """д, зд or стр: what a house's own text begins with; д if with nothing."""
+    first = F.regexp_extract(F.lower(F.btrim(text)), "^([а-яa-z]+)", 1)
+    return F.when(first.isin("зд", "здание"), "зд").when(first.isin("стр", "строение"), "стр").otherwise("д")
+
+
+def house_display(base: Column, mods: Column, kind: Column | None = None) -> Column:
+    """`д. 10А, к. 2, стр. 1, лит. Б` from a house number, canonical modifiers and its kind; null without a number."""
     plain = F.upper(F.regexp_extract(mods, "^((?!лит)[а-яa-z](?![0-9]))", 1))
     parts = [F.when(F.regexp_extract(mods, p, 1) != "", F.concat(F.lit(f"{name} "), F.upper(F.regexp_extract(mods, p, 1)))) for name, p in (("к.", "к([0-9]+[а-яa-z]?)"), ("стр.", "с([0-9]+[а-яa-z]?)"), ("лит.", "лит([а-яa-z])"))]
-    return F.when(base != "", F.array_join(F.array_compact(F.array(F.concat(F.lit("д. "), base, plain), *parts)), ", "))
+    return F.when(base != "", F.array_join(F.array_compact(F.array(F.concat(F.lit("д") if kind is None else kind, F.lit(". "), base, plain), *parts)), ", "))
 
 
 def modifiers_list(mods: Column) -> Column:
@@ -94,7 +101,7 @@ def with_slots(df: DataFrame, raw: str, city: str = "") -> DataFrame:
 
     A bare name after a place is a street. Each different string is taken apart once.
     """
-    once = A.parse_distinct(df.select(F.col(raw).alias("_raw")).distinct().withColumn("_seg0", segments(F.col("_raw"))), "_raw", city)
+    once = A.parse_distinct(df.select(F.col(raw).alias("_raw")).distinct().withColumn("_seg0", segments(F.col("_raw"))), "_raw", city, True)
     seg = F.col("_seg0")
     is_place = f"(?iuU)^\\s*{A.SETTLEMENT}\\s*\\S"
     special = lambda s: s.rlike(SUBJECT) | s.rlike(MUNICIPALITY) | s.rlike(is_place) | s.rlike(MICRODISTRICT) | s.rlike(TERRITORY) | s.rlike(ROOM) | s.rlike(HOUSE)
@@ -118,7 +125,7 @@ def with_slots(df: DataFrame, raw: str, city: str = "") -> DataFrame:
         "territory": _pick(seg, lambda s: s.rlike(TERRITORY)),
         "microdistrict": _pick(seg, lambda s: s.rlike(MICRODISTRICT)),
         "street": street,
-        "house": house_display(base, mods),
+        "house": house_display(base, mods, F.col("house_kind")),
         "premise": _pick(seg, lambda s: s.rlike(ROOM)),
         "house_base": F.when(base != "", base),
         "house_mods": F.when(mods != "", mods),
@@ -229,7 +236,7 @@ def renormalized(slot: str, value: Column) -> Column:
     if slot == "house":
         base = F.regexp_extract(F.lower(text), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*([0-9]+)", 1)
         tail = F.regexp_extract(F.lower(text), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*[0-9]+(.*)$", 1)
-        return house_display(base, A.house_modifiers(tail))
+        return house_display(base, A.house_modifiers(tail), house_kind(text))
     if slot == "locality":
         return official_locality(text)
     if slot == "municipality":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import level_key, normalized, region_key, word_jaccard
+from plumbline.operators.similar import similar_texts
 
 #: Weights of scope keys by what they name, and the least similarity of a name.
 MUNICIPALITY_WEIGHT, LOCALITY_WEIGHT, FREQUENT_WEIGHT, MANUAL_WEIGHT = 45.0, 90.0, 20.0, 35.0
@@ -75,13 +76,28 @@ def municipalities(codes: DataFrame, registry: DataFrame) -> DataFrame:
     return codes.join(district, F.substring("code", 1, 5) == F.col("d"), "left").drop("d")
 
 
+#: Kinds of subjects; two names with different kinds are never the same subject.
+SUBJECT_KINDS = {"область": ("область", "области", "обл"), "край": ("край", "края"), "республика": ("республика", "республики", "респ"), "округ": ("округ", "округа", "ао"), "город": ("город", "города", "г")}
+
+
+def subject_kinds(name: Column | str) -> Column:
+    """The kinds of subject that a name holds."""
+    words = F.split(normalized(name), " ")
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, forms))), kind) for kind, forms in SUBJECT_KINDS.items()]))
+
+
 def match_regions(names: DataFrame, regions: DataFrame, cutoff: float = REGION_CUTOFF) -> DataFrame:
-    """name, region_id, score. regions: region_id, name (a row for each variant), compared where they share a word."""
-    a = names.select("name").distinct().withColumn("k", region_key("name"))
-    b = regions.select("region_id", region_key("name").alias("v")).distinct()
-    met = a.select("name", "k", F.explode(F.split("k", " ")).alias("w")).join(b.select("region_id", "v", F.explode(F.split("v", " ")).alias("w")), "w").select("name", "k", "region_id", "v").distinct()
-    scored = met.withColumn("score", word_jaccard(F.col("k"), F.col("v"))).where(F.col("score") >= cutoff)
-    return scored.groupBy("name").agg(F.max(F.struct("score", F.negative("region_id").alias("n"))).alias("b")).select("name", F.negative("b.n").alias("region_id"), F.col("b.score").alias("score"))
+    """name, region_id, score: the region of the greatest word similarity that reaches the cutoff, the first of equals.
+
+    regions: region_id, name (a row for each variant). Names whose kinds of subject have nothing in
+    common score 0. Only names that share a rare enough word meet.
+    """
+    a = names.select("name").distinct().withColumns({"a": region_key("name"), "kinds": subject_kinds("name")})
+    b = regions.select("region_id", region_key("name").alias("b"), subject_kinds("name").alias("kinds_b")).distinct()
+    alike = similar_texts(a.select("a"), b.select("b"), cutoff, similarity="jaccard")
+    other = (F.size("kinds") > 0) & (F.size("kinds_b") > 0) & ~F.arrays_overlap("kinds", "kinds_b")
+    scored = alike.join(a, "a").join(b, "b").where(~other)
+    return scored.groupBy("name").agg(F.max(F.struct(F.col("similarity").alias("score"), F.negative("region_id").alias("n"))).alias("b")).select("name", F.negative("b.n").alias("region_id"), F.col("b.score").alias("score"))
 
 
 def settlement_search(index: DataFrame, term: str, limit: int = 20, cutoff: float = SETTLEMENT_CUTOFF) -> DataFrame:

@@ -7,8 +7,13 @@ not given count as blank, and null, blank and `nan` are one.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.address import L, R
 from plumbline.functions.text import clean, normalized
@@ -115,7 +120,10 @@ def ideal_municipality(text: Column) -> Column:
 
 
 def ideal_locality(text: Column) -> Column:
-    return text.rlike(f"(?iuU)^\\s*{_words(PLACE_KINDS)}\\.?\\s+[а-яёa-z0-9 .'-]+\\s*$") & ~has_street_word(text) & ~has_district_word(text)
+    """The kind of a place and then its name, of letters, digits, dashes, dots and apostrophes; no street, no district."""
+    words = F.split(F.btrim(F.lower(text)), "\\s+")
+    named = F.forall(F.slice(words, 2, 1000), lambda w: w.rlike("^[а-яёa-z0-9.'-]+$"))
+    return (F.size(words) > 1) & F.rtrim(words[0], F.lit(".")).isin(*PLACE_KINDS) & named & ~has_street_word(text) & ~has_district_word(text)
 
 
 def explicit_street(text: Column) -> Column:
@@ -129,9 +137,19 @@ def plain_street(text: Column) -> Column:
     return F.size(words).between(1, 4) & normalized(text).rlike("[а-яa-z]") & ~text.rlike("[()|;:]") & ~names_organisation(text) & ~route_fragment(text) & ~normalized(text).rlike(_words(GENERAL_WORDS[:8]))
 
 
+#: How a card writes what stands before a house's number, and before the numbers of its parts.
+HOUSE_KINDS, PART_KINDS = ("д.", "зд.", "стр."), ("к", "корп", "стр", "с", "лит")
+
+
 def ideal_house(text: Column) -> Column:
-    more = "(?:\\s*,\\s*(?:к|корп|стр|с|лит)\\.?\\s*[0-9]{0,4}[а-яa-z]?)*"
-    return text.rlike(f"(?iuU)^(?:д|зд|стр)\\.\\s*[0-9]{{1,4}}[а-яa-z]?{more}$")
+    """As cards write it: a kind with its dot and a number; then, behind commas, parts with a kind and a number or letter."""
+    parts = F.transform(F.split(F.lower(text), ","), lambda p: F.btrim(p))
+    number = lambda x, least: F.regexp_replace(x, "[а-яa-z]$", "").rlike(f"^[0-9]{{{least},4}}$")
+    behind = lambda x, kind: F.btrim(F.substring(x, F.lit(len(kind) + 1), F.length(x)))
+    one_of = lambda x, kinds, fits: reduce(lambda a, b: a | b, [x.startswith(k) & fits(behind(x, k)) for k in kinds])
+    house = one_of(parts[0], HOUSE_KINDS, lambda x: number(x, 1))
+    more = F.forall(F.slice(parts, 2, 1000), lambda p: one_of(p, PART_KINDS, lambda x: number(F.ltrim(F.ltrim(x, F.lit("."))), 0)))
+    return house & more
 
 
 def slot_reason(row: dict[str, Column]) -> Column:
@@ -236,6 +254,56 @@ def merged_groups(rows: DataFrame, group: str, slots: list[str], score: str, raw
     return out.withColumn("house", F.when(~invalid_house(F.regexp_extract(house, "([0-9]+[а-яa-z]?)", 1)), F.col("house"))) if "house" in slots else out
 
 
+def street_houses(text: str) -> list[tuple[str, str]]:
+    """Streets with a house behind them: word by word between stops, streets whose kind comes first before the others.
+
+    Brackets, semicolons and dashes with blanks end a clause, commas a part of it. A street is its
+    kind and a name, or a name and its kind; its house ends the part, or is all of the next one.
+    Parts that only name buildings or blocks of the house go on with it.
+    """
+    first, last = [], []
+    for clause in CLAUSES.split(re.sub(r"(?<=[^\W\d])\.(?=\w)", ". ", text)):
+        parts = [p.split() for p in clause.split(",")]
+        for i, words in enumerate(parts):
+            bare = [w.lower().strip(".") for w in words]
+            at = next((k for k, w in enumerate(bare) if w in STREET_WORDS), None)
+            end = next((k for k, w in enumerate(bare) if k and w in STREET_ENDS), None)
+            for out, start, name_end in ((first, at, None if at is None else at + 2), (last, 0, None if end is None else end + 1)):
+                if name_end is None or name_end > len(words):
+                    continue
+                k = next((k for k in range(name_end, len(words)) if _is_house(bare[k:])), len(words))
+                house, more = words[k:], i + 1
+                if not house and more < len(parts) and _is_house([w.lower().strip(".") for w in parts[more]]):
+                    house, more = parts[more], more + 1
+                if house:
+                    while more < len(parts) and parts[more] and parts[more][0].lower().strip(".") in PART_WORDS and len(parts[more]) < 3:
+                        house, more = [*house, *parts[more]], more + 1
+                    out.append((" ".join(words[start:k]), " ".join(house)))
+                    break
+    return first + last
+
+
+CLAUSES = re.compile(r"[;()\n]|\s[-–—]\s")
+PART_WORDS = ("корпус", "корп", "к", "строение", "стр", "с", "литера", "лит")
+NUMBER = re.compile(r"[0-9]{1,4}[а-яa-z]?(?:[-/][0-9а-яa-z]+)?")
+
+
+def _is_house(words: list[str]) -> bool:
+    """A number, with or without its word, that is no ordinal; then only parts of the house."""
+    words = words[1:] if words and words[0] in HOUSE_WORDS else words
+    if not words or not NUMBER.fullmatch(words[0]) or words[0].rpartition("-")[2] in ORDINAL_ENDS:
+        return False
+    return all(w in PART_WORDS or NUMBER.fullmatch(w) or len(w) == 1 for w in words[1:]) and (len(words) < 2 or words[1] not in ORDINAL_ENDS)
+
+
+ORDINAL_ENDS = ("я", "ая", "й", "ой")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("street", T.StringType()).add("house", T.StringType())))
+def _told_houses(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{"street": s, "house": h} for s, h in street_houses(t or "")])
+
+
 def address_fragments(text: Column, most: int = 8) -> Column:
     """The last `most` different `street, house` pieces of a text, written as cards write them.
 
@@ -247,21 +315,12 @@ def address_fragments(text: Column, most: int = 8) -> Column:
 
     t = _text(text)
     told = F.regexp_replace(t, f"(?iuU)\\([^()]*{L[6:]}{_words(ORGANISATION_WORDS)}{R}[^()]*\\)(?=\\s+[-–—]\\s|\\s*(?:с/о|дк|жк|кп|мкр){R})", "")
-    name = "[а-яёa-z0-9 .'-]{2,80}?"
-    house = "(?:(?:дом|д|здание|зд|строение|стр)\\.?)?\\s*[0-9]{1,4}[а-яa-z]?(?![а-яa-z0-9])(?:\\s*[-/]\\s*[а-яa-z0-9]+)?(?:\\s*,?\\s*(?:корпус|корп|к|строение|стр|с|литера|лит)\\.?\\s*[0-9а-яa-z]+)?"
-    stop = "(?!\\s*[-–—]?\\s*(?:я|ая|й|ой)(?![а-яa-z]))(?=$|[),;–—-]|\\s*,\\s*[0-9])"
-    before = f"((?:{_words(STREET_WORDS)}){R}\\.?\\s*{name})\\s*,?\\s+({house}){stop}"
-    after = f"({name}\\s+{_words(STREET_ENDS)})\\s*,?\\s+({house}){stop}"
-    found = F.concat(*[F.regexp_extract_all(told, F.lit(f"{L}{p}"), F.lit(0)) for p in (before, after)])
-    one = f"(?iuU)^(?:{before}|{after})"
-
     def piece(x: Column) -> Column:
-        part = lambda a, b: F.coalesce(F.nullif(F.regexp_extract(x, one, a), F.lit("")), F.regexp_extract(x, one, b))
-        street, number = renormalized("street", part(1, 3)), renormalized("house", part(2, 4))
+        street, number = renormalized("street", x["street"]), renormalized("house", x["house"])
         fits = explicit_street(street) & ideal_house(number) & ~names_organisation(street) & ~route_fragment(street) & ~unbalanced(street)
         return F.when(fits, F.concat(F.btrim(street, F.lit(" ,")), F.lit(", "), number))
 
-    # anchored again at the end of each match, where nothing follows
+    found = _told_houses(told)
     pieces = F.array_distinct(F.array_compact(F.transform(found, piece)))
     kept = F.slice(pieces, F.greatest(F.lit(1), F.size(pieces) - most + 1), most)
     return F.when(F.length(t).between(8, CORE_CHARS), kept).otherwise(F.array().cast("array<string>"))

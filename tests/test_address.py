@@ -15,6 +15,16 @@ CASES = [
     ("г. Тюмень, г. Тюмень Червишевский тракт, д. 1", "", "червишевский", [], "1", ""),
     ("г. Тюмень, ул. совсетов, д. 4", "", "советов", [], "4", ""),
     ("12, ул. Ленина", "", "ленина", [], "12", ""),
+    ("г. Тюмень, ул. Мира, строение 5", "", "мира", [], "5", ""),
+    ("г. Тюмень, ул. Мира, стр. 5, корп. 2", "", "мира", [], "5", "к2"),
+    ("г. Тюмень, ул. Мира, 7, строение 5", "", "мира", [], "7", "с5"),
+    ("г. Тюмень, ул. Мира, д. 7, стр. 5", "", "мира", [], "7", "с5"),
+    ("г. Тюмень, ул. Мира, здание 10А", "", "мира", [], "10", "а"),
+    ("г. Тюмень, ул. 2-я Строителей, 5", "", "строителей", ["2"], "5", ""),
+    ("5-я линия, 3", "", "линия", ["5"], "3", ""),
+    ("ул. Мира, д. 10/2 лит. А", "", "мира", [], "10", "к2лита"),
+    ("ул. Мира, д. 10с", "", "мира", [], "10", "с"),
+    ("ул. Мира, д. 10к2с3", "", "мира", [], "10", "к2с3"),
     (None, "", "", [], "", ""),
     ("", "", "", [], "", ""),
 ]

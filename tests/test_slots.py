@@ -57,3 +57,12 @@ def test_scope_hits_and_score(spark):
     pair = h.crossJoin(h.withColumnRenamed("hits", "other"))
     got = pair.select(R.pair_score(F.col("hits"), F.col("other"), F.lit(""), F.lit("")).alias("a"), R.pair_score(F.col("hits"), F.col("other"), F.lit("71"), F.lit("72")).alias("b"), R.pair_score(F.col("hits"), F.col("other"), F.lit("71"), F.lit("7100")).alias("c")).first()
     assert tuple(got) == (9.0, -80.0, 14.0)
+
+
+def test_house_kinds_and_numbered_lines(spark):
+    want = [("ул. Мира, зд. 10А", "ул. Мира", "зд. 10А"), ("ул. Мира, строение 5", "ул. Мира", "стр. 5"), ("ул. Мира, д. 5, стр. 2", "ул. Мира", "д. 5, стр. 2"), ("г. Тюмень, 5-я линия, 3", "5-я линия", "д. 3")]
+    df = spark.createDataFrame([(w[0],) for w in want], "raw string")
+    got = {r.raw: (r.street, r.house) for r in S.with_slots(df, "raw", "тюмень").select("raw", "slots.street", "slots.house").collect()}
+    assert got == {raw: (street, house) for raw, street, house in want}
+    forms = spark.createDataFrame([("здание 7б",), ("строение 3",), ("дом 4 корп 1",), ("12",)], "h string").select("h", S.renormalized("house", F.col("h")).alias("r"))
+    assert {r.h: r.r for r in forms.collect()} == {"здание 7б": "зд. 7Б", "строение 3": "стр. 3", "дом 4 корп 1": "д. 4, к. 1", "12": "д. 12"}

@@ -77,8 +77,8 @@ def house_modifiers(tail: Column) -> Column:
 
 
 def _ends_with_street_type(text: Column) -> Column:
-    """The last word is a street's type, or `имени` behind one, so that a number next is part of the name."""
-    words = F.filter(F.split(F.regexp_replace(text, "[^0-9a-zа-я-]+", " "), " "), lambda w: w != "")
+    """The last word, with no comma behind it, is a street's type, or `имени` behind one, so that a number next is part of the name."""
+    words = F.filter(F.split(F.regexp_replace(F.element_at(F.split(text, ","), -1), "[^0-9a-zа-я-]+", " "), " "), lambda w: w != "")
     nth = lambda k: F.when(F.size(words) >= k, F.element_at(words, -k))
     return F.coalesce(nth(1).isin(*STREET_TYPES) | (nth(1).isin("имени", "им") & nth(2).isin(*STREET_TYPES)), F.lit(False))
 

@@ -44,6 +44,18 @@ def level_key(value: Column | str) -> Column:
     return F.array_join(F.filter(words, lambda w: ~w.isin(*LEVEL_WORDS)), " ")
 
 
+#: Kinds of municipalities and places that a comparison of places leaves out, longest first.
+GEO_WORDS = ("муниципальное образование", "городской округ", "муниципальный округ", "муниципальный район", "городское поселение", "сельское поселение", "поселок городского типа", "рабочий поселок", "город", "село", "деревня", "поселок", "район", "округ", "пгт", "рп", "г", "с", "д", "п")
+
+
+def geo_key(value: Column | str) -> Column:
+    """normalized() without kinds of municipalities and places."""
+    text = F.concat(F.lit(" "), F.regexp_replace(normalized(value), " ", "  "), F.lit(" "))
+    for words in GEO_WORDS:
+        text = F.replace(text, F.lit(f" {words.replace(' ', '  ')} "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, " +", " "))
+
+
 def named_words(value: Column | str) -> Column:
     """Words longer than a letter, and numbers, sorted."""
     low = F.translate(F.lower(F.coalesce(_col(value), F.lit(""))), "ё\"'«»“”‘’", "е")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import address as A
 from plumbline.functions import slots as S
 from plumbline.functions import text as T
-from plumbline.operators import collect, matching, profile, reference, registry, sanitize
-from plumbline.queries import _duck, _with, query, table, view
+from plumbline.operators import assembly, collect, matching, profile, reference, registry, sanitize
+from plumbline.queries import LOW, STREETS, _duck, _street, _with, query, table, view
 from plumbline.sources import cells as C
 from plumbline.sources import regions
 from plumbline.sources.scratch import settled
@@ -608,3 +608,71 @@ def match_all_passes(spark, sf_dir):
     """All passes on parsed addresses. Greedy, so no SQL; held against a plain walk in the tests."""
     gt, cand = _parsed_sides(spark, sf_dir)
     return matching.cascade(gt, cand).select("row_idx", "cand_idx", "pass", "weight")
+
+
+# --- assembly: keys, votes and the final dedupe on addresses made from keys of tables
+
+_RAW = f"""SELECT c_custkey AS row_idx, concat(CASE c_custkey % 3 WHEN 0 THEN 'ул. ' ELSE 'улица ' END, {_street('c_custkey', STREETS)}) AS street,
+  concat(CASE c_custkey % 4 WHEN 0 THEN 'зд. ' WHEN 1 THEN 'дом ' WHEN 2 THEN 'д. ' ELSE 'строение ' END, 1 + c_custkey % 25, CASE c_custkey % 5 WHEN 0 THEN ', корп. 2' ELSE '' END) AS house,
+  CASE c_custkey % 6 WHEN 0 THEN concat('кв. ', c_custkey % 2) END AS premise, concat(70 + c_nationkey % 3, ' 701 ', 100 + c_nationkey % 2) AS oktmo_code,
+  CASE c_custkey % 7 WHEN 0 THEN 'г. Ишим' END AS locality, c_mktsegment AS raw_examples, CASE c_custkey % 9 WHEN 0 THEN NULL ELSE c_custkey % 4 END AS source_count FROM {{customer}}"""
+_RAW_DUCK = _RAW.format(customer="customer")
+#: The rule in SQL: what the parts of the key are, from the same keys of the table and not from the texts.
+_CORE = f"""SELECT *, concat_ws('|', {_street('row_idx', LOW)}, CASE row_idx % 4 WHEN 0 THEN 'зд' WHEN 3 THEN 'стр' ELSE 'д' END,
+  (1 + row_idx % 25)::VARCHAR, CASE WHEN row_idx % 5 = 0 THEN 'к2' END, 'кв ' || CASE WHEN row_idx % 6 = 0 THEN (row_idx % 2)::VARCHAR END) AS core,
+  'oktmo:' || replace(oktmo_code, ' ', '') AS scope FROM ({_RAW_DUCK})"""
+
+
+def _raw(spark, sf_dir):
+    df = spark.sql(_RAW.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
+    return df.withColumn("address", F.concat_ws(", ", "street", "house", "premise"))
+
+
+@query(f"SELECT row_idx, concat('core|', scope, '|', core) AS assembly_key FROM ({_CORE})")
+def assembly_keys(spark, sf_dir):
+    return assembly.with_assembly_key(_raw(spark, sf_dir), "address").select("row_idx", "assembly_key")
+
+
+@query(
+    f"""WITH RECURSIVE k AS (
+  SELECT *, concat('core|', scope, '|street|', core) AS core_key, concat('address|', row_idx % 700) AS text_key, row_number() OVER (ORDER BY row_idx) AS i FROM ({_CORE})),
+walk AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS row_idx, NULL::BIGINT AS target, []::VARCHAR[] AS names, []::BIGINT[] AS owners
+  UNION ALL
+  SELECT i, row_idx, target, CASE WHEN target IS NULL THEN list_concat(names, [core_key, text_key]) ELSE names END, CASE WHEN target IS NULL THEN list_concat(owners, [row_idx, row_idx]) ELSE owners END
+  FROM (SELECT k.i, k.row_idx, k.core_key, k.text_key, names, owners, coalesce(owners[list_position(names, k.core_key)], owners[list_position(names, k.text_key)]) AS target FROM walk JOIN k ON k.i = walk.i + 1)),
+t AS (SELECT row_idx, coalesce(target, row_idx) AS target FROM walk WHERE i > 0),
+n AS (SELECT target, sum(CASE WHEN coalesce(source_count, 0) = 0 THEN 1 ELSE source_count END)::BIGINT AS source_count FROM t JOIN k USING (row_idx) GROUP BY target),
+e AS (SELECT target, raw_examples, min(row_idx) AS first FROM t JOIN k USING (row_idx) GROUP BY ALL),
+x AS (SELECT target, string_agg(raw_examples, ' | ' ORDER BY first) AS raw_examples FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY first) AS r FROM e) WHERE r <= 5 GROUP BY target)
+SELECT target AS row_idx, source_count, raw_examples FROM n JOIN x USING (target)"""
+)
+def final_output_merge(spark, sf_dir):
+    rows = assembly.with_final_keys(_raw(spark, sf_dir), "address")
+    rows = rows.withColumn("text_key", F.concat(F.lit("address|"), (F.col("row_idx") % 700).cast("string")))
+    out = assembly.dedupe_merging(rows, "row_idx", ["core_key", "text_key"], "source_count", {"raw_examples": assembly.EXAMPLES})
+    return out.select("row_idx", "source_count", "raw_examples")
+
+
+_VOTES = f"""SELECT c_custkey AS row_idx, c_nationkey AS place, c_acctbal / 100.0 AS quality,
+  CASE c_custkey % 5 WHEN 0 THEN concat('школа ', c_custkey % 3) WHEN 1 THEN concat('ул. ', {_street('c_nationkey', STREETS)}) WHEN 2 THEN concat('улица ', {_street('c_nationkey', STREETS)}) ELSE concat('пер. ', {_street('(c_custkey % 3)', STREETS)}) END AS street,
+  CASE c_custkey % 4 WHEN 0 THEN '625' || (100 + c_nationkey) WHEN 1 THEN 'нет' ELSE '999999' END AS postal_index FROM {{customer}}"""
+
+
+@query(
+    f"""WITH r AS ({_VOTES.format(customer='customer')}),
+s AS (SELECT row_idx, place, 'street' AS slot, CASE WHEN row_idx % 5 = 2 THEN replace(street, 'улица', 'ул.') ELSE street END AS value,
+        CASE WHEN row_idx % 5 = 0 THEN street WHEN row_idx % 5 < 3 THEN {_street('place', LOW)} ELSE {_street('(row_idx % 3)', LOW)} END AS vote,
+        quality + CASE WHEN row_idx % 5 = 0 THEN -80.0 ELSE 5.0 END AS v FROM r),
+p AS (SELECT row_idx, place, 'postal_index' AS slot, postal_index AS value, postal_index AS vote, quality + CASE WHEN row_idx % 4 = 0 THEN 8.0 ELSE 0.0 END AS v FROM r),
+e AS (SELECT * FROM s UNION ALL SELECT * FROM p),
+e2 AS (SELECT * REPLACE (CASE WHEN slot = 'street' AND vote LIKE 'школа%' THEN '' ELSE vote END AS vote), CASE WHEN v >= 0 THEN v END AS able FROM e),
+g AS (SELECT place, slot, vote, count(*) AS votes, min(row_idx) AS first, arg_min(value, row_idx) AS first_value, coalesce(max(able), 0) AS score FROM e2 GROUP BY ALL),
+b AS (SELECT place, slot, vote, value, row_number() OVER (PARTITION BY place, slot, vote ORDER BY able DESC, length(value) DESC, row_idx) AS r FROM e2 WHERE able IS NOT NULL),
+t AS (SELECT g.*, coalesce(b.value, first_value) AS value, CASE WHEN b.value IS NULL THEN 0 ELSE length(b.value) END AS len FROM g LEFT JOIN b ON g.place = b.place AND g.slot = b.slot AND g.vote = b.vote AND b.r = 1)
+SELECT place, slot, value, votes FROM (SELECT *, row_number() OVER (PARTITION BY place, slot ORDER BY votes DESC, score DESC, len DESC, first) AS r FROM t) WHERE r = 1"""
+)
+def votes_with_penalties(spark, sf_dir):
+    """Streets that name a school never win by their score; spellings of one street are one vote."""
+    rows = spark.sql(_VOTES.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
+    return assembly.voted_slots(rows, "place", ["street", "postal_index"], "quality", "row_idx")

@@ -39,6 +39,91 @@ def scopes_of_codes(codes: DataFrame, scopes: DataFrame) -> DataFrame:
     return c.join(scopes, "ter").where(inside & ~in_ranges(F.col("kod1"), F.col("exclude"))).select("code", "scope")
 
 
+def values_of_codes(codes: DataFrame, rules: DataFrame) -> DataFrame:
+    """code, value: what the first rule that fits says of a code, or null.
+
+    rules: ter, lo, hi (a range of the three digits behind ter), block (ter and three digits), prefix
+    (of the code), value, n (their order); each row is of one kind, its other fields null. Ranges go
+    before blocks, blocks before prefixes; of ranges and blocks the first, of prefixes the longest.
+    A range is unfolded into the blocks it covers (at most 1,000) and a code into its head and its
+    prefixes, so all three are one equi-join.
+    """
+    digits = F.regexp_replace("code", "[^0-9]+", "")
+    three = lambda c: F.lpad(c.cast("string"), 3, "0")
+    inside = F.transform(F.sequence(F.greatest(F.lit(0), F.col("lo")), F.least(F.lit(999), F.col("hi"))), lambda k: F.concat("ter", three(k)))
+    r = rules.select(F.when(F.col("lo").isNotNull(), 0).when(F.col("block").isNotNull(), 1).otherwise(2).alias("kind"), F.when(F.col("lo") > F.col("hi"), F.array().cast("array<string>")).when(F.col("lo").isNotNull(), inside).otherwise(F.array(F.coalesce("block", "prefix"))).alias("keys"), "value", "n")
+    r = r.select("kind", F.explode("keys").alias("_k"), "value", "n")
+    c = codes.select("code").distinct().withColumn("_d", digits)
+    head = F.when(F.length("_d") >= 5, F.array(F.struct(F.lit(0).alias("kind"), F.substring("_d", 1, 5).alias("k")), F.struct(F.lit(1).alias("kind"), F.substring("_d", 1, 5).alias("k")))).otherwise(F.array().cast("array<struct<kind:int,k:string>>"))
+    prefixes = F.when(F.length("_d") > 0, F.transform(F.sequence(F.lit(1), F.length("_d")), lambda i: F.struct(F.lit(2).alias("kind"), F.substring(F.col("_d"), F.lit(1), i).alias("k")))).otherwise(F.array().cast("array<struct<kind:int,k:string>>"))
+    asked = c.select("code", F.explode(F.concat(head, prefixes)).alias("e")).select("code", F.col("e.kind").alias("kind"), F.col("e.k").alias("_k"))
+    best = asked.join(r, ["kind", "_k"]).groupBy("code").agg(F.min(F.struct("kind", F.negative(F.length("_k")).alias("l"), "n", "value")).alias("b"))
+    return codes.select("code").distinct().join(best, "code", "left").select("code", F.col("b.value").alias("value"))
+
+
+def subject_scope_of_codes(codes: DataFrame, ranges: DataFrame, parents: DataFrame) -> DataFrame:
+    """code, scope: the scope whose range holds a code, else the one of its parent subject in its territory, else the territory.
+
+    codes: code, parent (a subject's name, may be null); ranges: ter, lo, hi, value, n; parents: ter,
+    stem (of the parent's normalized name), value.
+    """
+    rules = ranges.select("ter", "lo", "hi", F.lit(None).cast("string").alias("block"), F.lit(None).cast("string").alias("prefix"), "value", "n")
+    first = values_of_codes(codes, rules)
+    ter = F.substring(F.regexp_replace("code", "[^0-9]+", ""), 1, 2)
+    c = codes.withColumns({"_t": ter, "_p": region_key("parent")})
+    # a territory has a few rules for parents, so this join adds a few rows to a code at most
+    by_parent = c.join(parents.select(F.col("ter").alias("_t"), "stem", F.col("value").alias("_v")), "_t").where(F.col("_p").contains(F.col("stem"))).groupBy("code").agg(F.min("_v").alias("_v"))
+    return c.select("code", "_t").distinct().join(first, "code").join(by_parent, "code", "left").select("code", F.coalesce("value", "_v", "_t").alias("scope"))
+
+
+#: What a parent territory's name holds; a place of its own goes before it.
+PARENT_WORDS = "муниципальн|городской округ|район|сельское поселение|городское поселение|сельсовет|поссовет"
+#: Words that a comparison of municipalities leaves out, in all their forms.
+MUNICIPALITY_STEMS = "муниципальн\\w*|городск\\w*|округ\\w*|район\\w*|сельск\\w*|поселени[ея]|сельсовет|поссовет"
+
+
+def municipality_key(name: Column | str) -> Column:
+    return F.btrim(F.regexp_replace(F.regexp_replace(normalized(name), f"(?iuU)(?<![0-9a-zа-я])(?:{MUNICIPALITY_STEMS})(?![0-9a-zа-я])", " "), " +", " "))
+
+
+def lookup_scoped(asked: DataFrame, index: DataFrame, cutoff: float = NAME_CUTOFF) -> DataFrame:
+    """name, scope, hint, code, found, municipality, score: the registry row that fits each name in its scope.
+
+    asked: name, scope (null: all), hint (a municipality, may be null); index: scope, code, name,
+    municipality (null if none). First the key most similar to the name among the scope's keys (equal
+    keys meet at once, the shortest of equals), then among its rows those of the hinted municipality,
+    if it has any, then a place before a parent territory, then the longest code, then the first.
+    Keys meet by (scope, rare word), so equal names in two scopes don't.
+    """
+    idx = index.select("scope", "code", F.col("name").alias("found"), "municipality", level_key("name").alias("b")).where("b <> ''")
+    everywhere = idx.withColumn("scope", F.lit(""))
+    idx = idx.where("scope is not null").unionByName(everywhere).distinct() if asked.where("scope is null").limit(1).count() else idx.where("scope is not null")
+    q = asked.select("name", "scope", "hint").distinct().withColumns({"_s": F.coalesce("scope", F.lit("")), "a": level_key("name")}).where("a <> ''")
+    keys = idx.select(F.col("scope").alias("_s"), "b").distinct()
+    alike = similar_texts(q.select("_s", "a"), keys, cutoff, ("_s",), "jaccard")
+    best = alike.groupBy("_s", "a").agg(F.max(F.struct("similarity", (F.col("a") == F.col("b")).alias("_e"), F.negative(F.length("b")).alias("_l"), "b")).alias("k")).select("_s", "a", F.col("k.b").alias("b"), F.col("k.similarity").alias("score"))
+    met = q.join(best, ["_s", "a"]).join(idx.withColumnRenamed("scope", "_s"), ["_s", "b"])
+    fits = F.coalesce((F.col("hint") != "") & (municipality_key("municipality") == municipality_key("hint")), F.lit(False))
+    own = ~normalized("found").rlike(PARENT_WORDS)
+    rank = F.struct(fits.alias("_f"), own.alias("_w"), F.length("code").alias("_n"), F.negative(F.conv("code", 10, 10).cast("decimal(38,0)")).alias("_c"))
+    return met.groupBy("name", "scope", "hint").agg(F.max_by(F.struct("code", "found", "municipality", "score"), rank).alias("r")).select("name", "scope", "hint", "r.*")
+
+
+def lookup_municipality(asked: DataFrame, index: DataFrame, cutoff: float = NAME_CUTOFF) -> DataFrame:
+    """name, scope, hint, code, municipality: that of the code, if the scope has it, else that of the place found by name.
+
+    asked: name, scope, hint, code (all but one may be null); index as in lookup_scoped().
+    """
+    known = index.where("municipality is not null").groupBy("scope", F.col("code").alias("_c")).agg(F.min("municipality").alias("_m"))
+    ids = ["name", "scope", "hint", "code"]
+    digits = F.regexp_replace("code", "[^0-9]+", "")
+    q = asked.select(*ids).distinct().withColumn("_d", digits)
+    held = (F.col("_d") == F.col("_c")) & (F.col("scope").isNull() | (F.col("scope") == F.col("_s")))
+    out = q.join(known.withColumnRenamed("scope", "_s"), held, "left").groupBy(*ids).agg(F.min("_m").alias("_by_code"))
+    by_name = lookup_scoped(asked.where("name is not null"), index.where("municipality is not null"), cutoff).select("name", F.col("scope").alias("_s2"), F.col("hint").alias("_h2"), F.col("municipality").alias("_by_name")).withColumnRenamed("name", "_n2")
+    return out.join(by_name, F.col("name").eqNullSafe(F.col("_n2")) & F.col("scope").eqNullSafe(F.col("_s2")) & F.col("hint").eqNullSafe(F.col("_h2")), "left").select(*ids, F.coalesce("_by_code", "_by_name").alias("municipality"))
+
+
 def name_index(registry: DataFrame) -> DataFrame:
     """key, code, name, ter: different, by level key."""
     return registry.select(level_key("name").alias("key"), "code", "name", "ter").where("key <> ''").dropDuplicates(["key", "code"])

@@ -9,6 +9,7 @@ from plumbline.functions import address as A
 from plumbline.functions import slots as S
 from plumbline.functions import text as T
 from plumbline.operators import collect, compare, matching, reference, registry, sanitize
+from plumbline.plans import versions
 from plumbline.sources import files
 from plumbline.sources.scratch import settled
 
@@ -109,26 +110,30 @@ def move_job(primary: DataFrame, source: DataFrame, primary_columns: list[str],
 
 
 def publish_registry(spark: SparkSession, snapshot: str, folder: str, keep: int = 3) -> DataFrame:
-    """Checks a snapshot, writes its registry as a version of its own and returns its statistics.
+    """Checks a snapshot, writes its registry and name index as a version of their own and returns its statistics.
 
-    The version is written beside its place and moved there when it is whole, so a reader never
-    meets a part of it; of older versions the last `keep` - 1 stay.
+    A version counts when the pointer to it is in place (see versions.py); published() reads it. Of
+    versions that counted the last `keep` stay.
     """
     raw = spark.read.format("binaryFile").load(snapshot).select(files.snapshot_problems(F.col("content")).alias("p")).where("p is not null").first()
     if raw:
         raise ValueError(f"not a registry snapshot: {raw.p}")
     built = registry.with_codes(files.registry_csv(spark, snapshot)).withColumn("name", F.coalesce(T.clean("name"), F.lit("")))
-    name = snapshot.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    new, version = f"{folder}/_new_{name}", f"{folder}/{name}"
-    built.write.mode("overwrite").parquet(new)
-    if spark.read.parquet(new).isEmpty():
-        raise ValueError(f"no registry rows in {snapshot}")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(version), True)
-    fs.rename(path(new), path(version))
-    older = sorted(p.getPath().getName() for p in fs.listStatus(path(folder)) if p.isDirectory() and not p.getPath().getName().startswith(("_", ".")))
-    for old in older[: max(0, len(older) - keep)]:
-        if old != name:
-            fs.delete(path(f"{folder}/{old}"), True)
-    return registry.registry_statistics(spark.read.parquet(version))
+
+    def write(path: str) -> None:
+        built.write.parquet(f"{path}/registry")
+        whole = spark.read.parquet(f"{path}/registry")
+        if whole.isEmpty():
+            raise ValueError(f"no registry rows in {snapshot}")
+        registry.name_index(whole).write.parquet(f"{path}/names")
+
+    version = versions.publish(spark, folder, snapshot.rsplit("/", 1)[-1].rsplit(".", 1)[0], write, keep)
+    return registry.registry_statistics(spark.read.parquet(f"{version}/registry"))
+
+
+def published(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The registry that counts, and its name index."""
+    version = versions.current(spark, folder)
+    if version is None:
+        raise ValueError(f"nothing is published in {folder}")
+    return spark.read.parquet(f"{version}/registry"), spark.read.parquet(f"{version}/names")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import address as A
 from plumbline.functions import slots as S
 from plumbline.functions import text as T
-from plumbline.operators import assembly, collect, matching, profile, reference, registry, sanitize
+from plumbline.operators import assembly, collect, matching, observations, profile, reference, registry, sanitize
 from plumbline.queries import LOW, STREETS, _duck, _street, _with, query, table, view
 from plumbline.sources import cells as C
 from plumbline.sources import regions
@@ -676,3 +676,68 @@ def votes_with_penalties(spark, sf_dir):
     """Streets that name a school never win by their score; spellings of one street are one vote."""
     rows = spark.sql(_VOTES.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
     return assembly.voted_slots(rows, "place", ["street", "postal_index"], "quality", "row_idx")
+
+
+# --- registry: what rules say of a code, names in scopes
+
+_RANGES = "SELECT substring(concat('00', n_nationkey), -2) AS ter, 10 * n_regionkey AS lo, 10 * n_regionkey + 60 AS hi, n_name AS value, n_nationkey AS n FROM {nation}"
+_RULES_DUCK = f"WITH codes AS ({_duck('codes')}), ranges AS ({_RANGES.format(nation='nation')}), blocks AS (SELECT DISTINCT substring(code, 1, 5) AS block FROM codes WHERE row_idx % 4 = 0)"
+
+
+@query(
+    _RULES_DUCK
+    + """SELECT DISTINCT code, coalesce(r.value, 'block ' || b.block, CASE WHEN code LIKE '1%' THEN 'prefix ' || CASE WHEN code LIKE '111%' THEN '111' WHEN code LIKE '11%' THEN '11' ELSE '1' END END) AS value
+FROM codes LEFT JOIN ranges r ON substring(code, 1, 2) = r.ter AND substring(code, 3, 3)::INT BETWEEN r.lo AND r.hi LEFT JOIN blocks b ON substring(code, 1, 5) = b.block"""
+)
+def rules_of_codes(spark, sf_dir):
+    codes = view(spark, sf_dir, "codes")
+    none = F.lit(None).cast("string")
+    ranges = spark.sql(_RANGES.format(nation=f"parquet.`{sf_dir}/nation.parquet`")).select("ter", "lo", "hi", none.alias("block"), none.alias("prefix"), "value", F.col("n").cast("long").alias("n"))
+    block = codes.where("row_idx % 4 = 0").select(F.substring("code", 1, 5).alias("block")).distinct()
+    blocks = block.select(none.alias("ter"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), "block", none.alias("prefix"), F.concat(F.lit("block "), "block").alias("value"), F.lit(0).cast("long").alias("n"))
+    prefix = spark.sql("SELECT explode(array('1', '11', '111')) AS prefix")
+    prefixes = prefix.select(none.alias("ter"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), none.alias("block"), "prefix", F.concat(F.lit("prefix "), "prefix").alias("value"), F.lit(0).cast("long").alias("n"))
+    rules = ranges.withColumns({"lo": F.col("lo").cast("int"), "hi": F.col("hi").cast("int")}).unionByName(blocks).unionByName(prefixes)
+    return registry.values_of_codes(codes, rules)
+
+
+_PLACES = f"""SELECT concat(c_nationkey, '') AS scope, concat(substring(concat('00', c_nationkey), -2), substring(concat('000000', c_custkey), -6)) AS code,
+  concat(CASE c_custkey % 3 WHEN 0 THEN 'село ' WHEN 1 THEN 'деревня ' ELSE '' END, {_street('c_custkey', STREETS)}, CASE c_custkey % 3 WHEN 2 THEN ' сельское поселение' ELSE '' END) AS name,
+  concat(c_mktsegment, ' район') AS municipality FROM {{customer}}"""
+_ASKED = f"SELECT DISTINCT concat('с. ', {_street('s_suppkey', STREETS)}) AS name, concat(s_nationkey, '') AS scope, CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING муниципальный округ' WHEN 1 THEN 'нет такого' END AS hint FROM {{supplier}}"
+
+
+@query(
+    f"""WITH i AS ({_PLACES.format(customer='customer')}), q AS ({_ASKED.format(supplier='supplier')}),
+m AS (SELECT q.name, q.scope, q.hint, i.code, i.name AS found, i.municipality,
+        row_number() OVER (PARTITION BY q.name, q.scope, coalesce(q.hint, '') ORDER BY (coalesce(q.hint, '') LIKE 'BUILDING%' AND i.municipality LIKE 'BUILDING%') DESC, (i.name LIKE '%сельское поселение') ASC, i.code::BIGINT) AS r
+      FROM q JOIN i ON q.scope = i.scope AND lower(substring(q.name, 4)) = lower(trim(replace(replace(replace(i.name, 'село ', ''), 'деревня ', ''), ' сельское поселение', '')))
+      WHERE i.name NOT LIKE '%поселение')
+SELECT name, scope, hint, code, found, municipality, 100.0::DOUBLE AS score FROM m WHERE r = 1"""
+)
+def names_in_scopes(spark, sf_dir):
+    """Equal names in many scopes: each meets its own only, the hinted municipality's first."""
+    index = spark.sql(_PLACES.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
+    asked = spark.sql(_ASKED.format(supplier=f"parquet.`{sf_dir}/supplier.parquet`"))
+    return registry.lookup_scoped(asked, index)
+
+
+# --- observation rows: a sheet for each nation with a header, its customers, a line of places, another header
+
+_SHEET = f"""SELECT concat(c_nationkey, '') AS sheet, 10 * c_custkey + 10 AS row_idx, 0 AS col_idx, concat(c_custkey, '') AS value FROM {{customer}}
+UNION ALL SELECT concat(c_nationkey, ''), 10 * c_custkey + 10, 1, concat('ул. ', {_street('c_custkey', STREETS)}) FROM {{customer}}
+UNION ALL SELECT concat(c_nationkey, ''), 10 * c_custkey + 10, 2, concat(1 + c_custkey % 40, '') FROM {{customer}}
+UNION ALL SELECT concat(c_nationkey, ''), 10 * c_custkey + 15, 1, concat('г. ', c_mktsegment) FROM {{customer}} WHERE c_custkey % 11 = 0
+UNION ALL SELECT concat(n_nationkey, ''), row_idx, col_idx, value FROM {{nation}}, (VALUES (0, 0, '№'), (0, 1, 'Улица'), (0, 2, 'Дом'), (2001, 0, 'Код'), (2001, 1, 'Адрес'), (2001, 2, 'Номер дома')) AS h(row_idx, col_idx, value)"""
+
+
+@query(
+    f"""WITH c AS (SELECT concat(c_nationkey, '') AS sheet, 10 * c_custkey + 10 AS row_idx, c_custkey AS k, {_street('c_custkey', STREETS)} AS street FROM customer)
+SELECT c.sheet, c.row_idx, CASE WHEN c.row_idx < 2001 THEN 'Улица' ELSE 'Адрес' END AS street_header, 'ул. ' || c.street AS street, (1 + c.k % 40)::VARCHAR AS house FROM c"""
+)
+def observed_rows(spark, sf_dir):
+    """Rows of sheets under the header that holds for them; lines of places are no rows."""
+    cells = spark.sql(_SHEET.format(customer=f"parquet.`{sf_dir}/customer.parquet`", nation=f"parquet.`{sf_dir}/nation.parquet`"))
+    found = observations.observation_rows(cells, ["sheet"], "every")
+    e = found.select("sheet", "row_idx", F.map_entries("payload").alias("e"))
+    return e.select("sheet", "row_idx", F.col("e")[1]["key"].alias("street_header"), F.col("e")[1]["value"].alias("street"), F.col("e")[2]["value"].alias("house"))

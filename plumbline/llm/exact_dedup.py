@@ -21,7 +21,7 @@ import hashlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import doc_key, null_id, slices, table, text_bytes, written
@@ -105,13 +105,18 @@ def nodes_to_split(texts: DataFrame, leaf_bytes: int) -> list[tuple[int, int, Da
     return levels
 
 
+MEMBERS = "array<struct<doc: long, row: long>>"
+MEMBER = pa.list_(pa.struct([("doc", pa.int64()), ("row", pa.int64())]))
+
+
 def _fold(batches):
-    """Slices of documents to one row for each different text in the slice."""
+    """Slices of documents to one row for each different text in the slice; members: the largest doc_id first."""
     for batch in slices(batches):
-        ids, texts = batch.column("doc_id").to_pylist(), [t.lower() for t in text_bytes(batch.column("text"))]
+        ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+        texts = [t.lower() for t in text_bytes(batch.column("text"))]
         groups = radix_groups(texts)
-        members = [sorted((ids[i] for i in g), reverse=True) for g in groups]
-        yield pa.RecordBatch.from_arrays([pa.array([texts[g[0]] for g in groups], pa.binary()), pa.array(members, pa.list_(pa.int64()))], names=["text", "members"])
+        members = [[{"doc": ids[i], "row": rows[i]} for i in sorted(g, key=lambda i: (-ids[i], rows[i]))] for g in groups]
+        yield pa.RecordBatch.from_arrays([pa.array([texts[g[0]] for g in groups], pa.binary()), pa.array(members, MEMBER)], names=["text", "members"])
 
 
 def _classes(batches):
@@ -145,42 +150,57 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pieces, pa.array(digests, pa.string()), batch.column("members")], names=["class_id", "piece", "text_sha256", "members"])
 
 
-def exact_groups(docs: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per document.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest
-    doc_id stays. Repeated rows are copies of each other, of which one stays. A null doc_id is
-    below all others. Other columns are ignored; an empty table gives an empty table.
-    """
-    source = docs.select(doc_key().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def classes(source: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """class_id, piece, text_sha256, members (doc, row): slices' representatives of source (doc_id, row, text), equal ones in one class."""
     levels = nodes_to_split(source.select("text"), leaf_bytes)
-    placed = source.mapInArrow(_fold, "text binary, members array<long>").withColumns({"node": F.lit(0).cast("long"), "depth": F.lit(0)})
+    placed = source.select("doc_id", "row", "text").mapInArrow(_fold, f"text binary, members {MEMBERS}").withColumns({"node": F.lit(0).cast("long"), "depth": F.lit(0)})
     for depth, width, nodes in levels:
         placed = stepped(placed, nodes, depth, width, "left", F.substring("text", depth + 1, width))
     # a leaf is a node with the next bytes, as many as its level looks at; texts are sorted by some more
     width = F.when(F.col("depth") == 0, FIRST_DIGIT).otherwise((GROWTH - 1) * F.col("depth"))
     dealt = placed.repartition("node", F.substring("text", F.col("depth") + 1, width))
     sorted_ = dealt.withColumn("leading", F.substring("text", F.col("depth") + 1, width + 64)).sortWithinPartitions("node", "leading").select("node", "leading", "text", "members")
-    pieces = written(sorted_.mapInArrow(_classes, "class_id long, piece long, text_sha256 string, members array<long>"), "exact")
-    pieces = pieces.withColumn("top", F.element_at("members", 1))
+    return written(sorted_.mapInArrow(_classes, f"class_id long, piece long, text_sha256 string, members {MEMBERS}"), "exact")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (never null), row, text (never null). row tells the rows of one reading of docs apart."""
+    return docs.select(doc_key().alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def exact_groups(docs: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per document.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest
+    doc_id stays. Repeated rows are copies of each other, of which one stays. A null doc_id is
+    below all others. Other columns are ignored; an empty table gives an empty table.
+    """
+    pieces = classes(keyed(docs), leaf_bytes).withColumn("top", F.element_at("members", 1)["doc"])
     totals = pieces.groupBy("class_id").agg(F.sum(F.size("members").cast("long")).alias("group_size"), F.max(F.struct("top", "piece")).alias("best"))
-    joined = pieces.join(totals, "class_id").select(F.posexplode("members").alias("nth", "doc_id"), "group_size", "text_sha256", F.col("best.top").alias("keep_id"), (F.col("best.piece") == F.col("piece")).alias("first"))
-    return joined.select(null_id("doc_id").alias("doc_id"), null_id("keep_id").alias("keep_id"), "group_size", (F.col("first") & (F.col("nth") == 0)).alias("kept"), "text_sha256")
+    joined = pieces.join(totals, "class_id").select(F.posexplode("members").alias("nth", "member"), "group_size", "text_sha256", F.col("best.top").alias("keep_id"), (F.col("best.piece") == F.col("piece")).alias("first"))
+    return joined.select(null_id("member.doc").alias("doc_id"), null_id("keep_id").alias("keep_id"), "group_size", (F.col("first") & (F.col("nth") == 0)).alias("kept"), "text_sha256")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """The rows of docs that stay, with all their columns: one for each different text, whatever else repeats.
 
     Null text counts as empty; a null doc_id is below all others. Of rows with one id and equal
     texts the first by text, then by the other columns, stays, so a rerun keeps the same rows.
+    Rows go through the classes by numbers of their own, so that equality is that of bytes.
     """
-    kept = exact_groups(docs).where("kept").select(doc_key().alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
-    sha = F.sha2(ascii_lower(F.coalesce("own.text", F.lit(""))).cast("binary"), 256)
-    found = own.withColumns({"_id": doc_key("own.doc_id"), "_sha": sha}).join(kept, ["_id", "_sha"], "left_semi")
-    others = [F.col(f"own.`{c}`") for c in docs.columns if c != "text"]
-    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy("own.text", F.to_json(F.struct(*others))))  # rows repeated under one doc_id
-    return found.withColumn("_nth", nth).where("_nth = 1").select("own.*")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.monotonically_increasing_id().alias("row"))
+    own = written(own, "numbered")  # a row keeps its number from here on
+    pieces = classes(own.select(doc_key("own.doc_id").alias("doc_id"), "row", F.coalesce(F.col("own.text").cast("string"), F.lit("")).alias("text")), leaf_bytes)
+    tops = pieces.groupBy("class_id").agg(F.max(F.element_at("members", 1)["doc"]).alias("top"))
+    able = pieces.join(tops, "class_id").select("class_id", F.explode(F.filter("members", lambda m: m["doc"] == F.col("top"))).alias("m")).select("class_id", "m.row")
+    able = written(able, "able")
+    counts = able.groupBy("class_id").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    # rows repeated under one id: the least of them, folded before it is shuffled
+    tied = own.join(able.join(counts.where("n > 1").select("class_id"), "class_id"), "row")
+    others = F.to_json(F.struct(*[F.col(f"own.`{c}`") for c in docs.columns if c != "text"]))
+    least = tied.groupBy("class_id").agg(F.min(F.struct(F.col("own.text").alias("t"), others.alias("o"), "row")).alias("m")).select("m.row")
+    stays = counts.where("n = 1").select("row").unionByName(least)
+    return own.join(stays, "row", "left_semi").select("own.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

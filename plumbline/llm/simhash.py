@@ -152,31 +152,55 @@ def _tries(batches):
         yield from joined(block, part, key)
 
 
-def node_pairs(node: Column) -> Column:
-    """The pairs of nodes NODE_BITS down that a node takes part in within the budget, numbered from 1."""
-    others = [F.lit(x) for x in range(1 << NODE_BITS)]
-    near = F.filter(F.array(*others), lambda x: (x != node) & (F.bit_count(x.bitwiseXOR(node)) <= BITS))
-    return F.transform(near, lambda x: 1 + F.least(x, node) * (1 << NODE_BITS) + F.greatest(x, node))
+def node_pairs(node: Column, side: Column, err: Column) -> Column:
+    """The pairs of nodes NODE_BITS down that a key takes part in: their number (from 1), the key's side in them, the bits in which they differ so far.
 
+    Of a node with itself (side 0) come that of each of its nodes with itself and those of two
+    different ones; of a pair of two nodes (sides 1 and 2) those that what is left of the budget
+    allows.
+    """
+    size = 1 << NODE_BITS
+    others = F.array(*[F.lit(x) for x in range(size)])
+    near = F.filter(others, lambda y: err + F.bit_count(y.bitwiseXOR(node)) <= BITS)
 
-def links(different: DataFrame) -> DataFrame:
-    """a, b: stars that connect what is within the budget. different: fp, each once.
+    def pair(y: Column) -> Column:
+        first = F.when(side == 0, node <= y).otherwise(side == 1)
+        number = 1 + F.when(first, node).otherwise(y) * size + F.when(first, y).otherwise(node)
+        at = F.when((side == 0) & (y == node), 0).when(first, 1).otherwise(2)
+        return F.struct(number.alias("pair"), at.alias("side"), (err + F.bit_count(y.bitwiseXOR(node))).cast("int").alias("err"))
+
+    return F.transform(near, pair)
 
-    A trie of over TRIE_MOST fingerprints is walked further before it is dealt out: each of its
-    pairs of nodes that can still hold a link is a part of its own, and a part that is still too
-    large is walked further in the same way, until none is or all bits are used.
+
+def split_parts(parts: DataFrame, most: int) -> DataFrame:
+    """parts (block, part, key, side, err) until none that can hold a link has over `most` keys, or all bits are used.
+
+    A pair of nodes remembers the bits in which they differ, so a key goes to 15 pairs from a node
+    with itself, to 11, 5 or 1 from a pair that has spent 1, 2 or 3 bits. A pair with keys on one
+    side only holds no link and goes.
     """
-    turned = [F.struct(F.lit(b).alias("block"), F.shiftleft("fp", WIDTH * b).bitwiseOR(F.shiftrightunsigned("fp", 64 - WIDTH * b) if b else F.lit(0)).bitwiseXOR(F.lit(-(2**63))).alias("key")) for b in range(BLOCKS)]
-    parts = different.select(F.inline(F.array(*turned))).select("block", F.shiftright("key", 64 - WIDTH).alias("part"), "key")
     for depth in range(WIDTH + NODE_BITS, 65, NODE_BITS):
-        large = written(parts.groupBy("block", "part").count().where(F.col("count") > TRIE_MOST).select("block", "part"), "large")
+        sizes = parts.groupBy("block", "part").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+        large = written(sizes.where(F.col("n") > most).select("block", "part", ((F.col("lo") == F.col("hi")) & (F.col("lo") > 0)).alias("idle")), "large")
         if not large.count():
             break
         node = F.shiftrightunsigned("key", 64 - depth).bitwiseAND(F.lit((1 << NODE_BITS) - 1)).cast("int")
-        split = parts.join(large, ["block", "part"]).select("block", "part", "key", F.explode(node_pairs(node)).alias("pair"))
+        crowded = parts.join(large.where("not idle").select("block", "part"), ["block", "part"])
+        split = crowded.select("block", "part", "key", F.explode(node_pairs(node, F.col("side"), F.col("err"))).alias("p"))
         rest = parts.join(large, ["block", "part"], "left_anti")
-        parts = written(rest.unionByName(split.select("block", F.xxhash64("part", "pair").alias("part"), "key")), "parts")
-    sorted_ = parts.repartition("block", "part").sortWithinPartitions("block", "part", "key")
+        parts = written(rest.unionByName(split.select("block", F.xxhash64("part", "p.pair").alias("part"), "key", "p.side", "p.err")), "parts")
+    return parts
+
+
+def links(different: DataFrame, most: int = TRIE_MOST) -> DataFrame:
+    """a, b: stars that connect what is within the budget. different: fp, each once.
+
+    A trie of over `most` fingerprints is walked further before it is dealt out: each of its pairs
+    of nodes that can still hold a link is a part of its own, and so on (see split_parts).
+    """
+    turned = [F.struct(F.lit(b).alias("block"), F.shiftleft("fp", WIDTH * b).bitwiseOR(F.shiftrightunsigned("fp", 64 - WIDTH * b) if b else F.lit(0)).bitwiseXOR(F.lit(-(2**63))).alias("key")) for b in range(BLOCKS)]
+    parts = different.select(F.inline(F.array(*turned))).select("block", F.shiftright("key", 64 - WIDTH).alias("part"), "key", F.lit(0).alias("side"), F.lit(0).alias("err"))
+    sorted_ = split_parts(parts, most).select("block", "part", "key").repartition("block", "part").sortWithinPartitions("block", "part", "key")
     return sorted_.mapInArrow(_tries, "a long, b long")
 
 

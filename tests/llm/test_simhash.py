@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from plumbline.llm import simhash
+from pyspark.sql import functions as F
 
 from tests.llm.held import DATA, odd_docs
 
@@ -91,3 +92,29 @@ def test_one_row_of_each_group_stays(spark):
         assert sorted(tuple(r)[0::2] for r in simhash.deduplicate(d).collect() if r.doc_id) == [(1, "x"), (5, "w"), (7, "g")]
         assert [r.own for r in simhash.deduplicate(d).collect() if r.doc_id is None] in (["e"], ["f"])
     assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(docs.where("false")).count() == 0
+
+
+def test_crowded_parts_over_several_levels(spark):
+    """Fingerprints that share their first bits for long, so that parts stay crowded, against all pairs."""
+    r = np.random.default_rng(9)
+    base = [0xABCDEF << 40 | int(x) for x in r.integers(0, 1 << 40, 150)]
+    keys = {*base} | {x ^ (1 << int(b)) ^ (1 << int(c)) for x, b, c in zip(base, r.integers(0, 64, 150), r.integers(0, 64, 150), strict=True)}
+    fps = np.array(sorted(keys), dtype=np.uint64).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    u = fps.view(np.uint64)
+    labels = np.arange(len(u))
+    i, j = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= simhash.BITS)
+    simhash.smallest_labels(labels, i, j)
+    for most in (60, 10**6):
+        rooted = {x.v: x.root for x in simhash.stars(simhash.links(df, most)).collect()}
+        got = [rooted.get(int(x), int(x)) for x in fps]
+        groups = {}
+        for k, g in enumerate(got):
+            groups.setdefault(g, set()).add(k)
+        want = {}
+        for k, g in enumerate(labels.tolist()):
+            want.setdefault(g, set()).add(k)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    # 15 pairs at the first split, and fewer from then on, as pairs remember what they have spent
+    parts = df.select(F.lit(0).alias("block"), F.lit(0).cast("long").alias("part"), F.col("fp").alias("key"), F.lit(0).alias("side"), F.lit(0).alias("err"))
+    assert simhash.split_parts(parts, 60).count() < 15 * 11 * len(fps)

@@ -147,9 +147,9 @@ def parse_distinct(df: DataFrame, raw: str, city: str = "", kind: bool = False)
     return out.withColumn("parsed", parsed).select(*df.columns, "parsed", *([F.col("_kind").alias("house_kind")] if kind else []))
 
 
-def parsed(df: DataFrame, raw: str, city: str = "") -> DataFrame:
+def parsed(df: DataFrame, raw: str, city: str = "", kind: bool = False) -> DataFrame:
     """As parse_distinct(), but each different string is parsed once."""
-    once = parse_distinct(df.select(F.col(raw).alias("_raw")).distinct(), "_raw", city)
+    once = parse_distinct(df.select(F.col(raw).alias("_raw")).distinct(), "_raw", city, kind)
     return df.join(once, df[raw].eqNullSafe(once["_raw"]), "left").drop("_raw")
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import address as A
 from plumbline.functions import slots as S
 from plumbline.functions import text as T
-from plumbline.operators import collect, compare, matching, reference, registry, sanitize
+from plumbline.operators import assembly, collect, compare, matching, profile, reference, registry, sanitize
 from plumbline.plans import versions
-from plumbline.sources import files
+from plumbline.sources import cells, files
+from plumbline.sources.cells import numbered
 from plumbline.sources.scratch import settled
 
 
@@ -53,27 +54,42 @@ def aligned_order(result: DataFrame) -> DataFrame:
     return result.orderBy(F.col("row_idx").asc_nulls_last(), "cand_idx")
 
 
-def collected(lines: DataFrame, part: list[str], city: str = "") -> tuple[DataFrame, DataFrame]:
+def collected(lines: DataFrame, part: list[str], city: str = "", scope: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected candidates of text lines (part, n, line), each with context, parts, score and reason.
 
-    Accepted ones are merged by building key: the best one's text and context, parts by vote.
+    Accepted ones are merged by assembly key: the best one's text and context, slots by vote. scope
+    (oktmo_code, municipality, locality) is what the rows are known to belong to.
     """
     context = collect.carry_context(lines, F.col("line").rlike(collect.HINTS) & ~F.col("line").rlike("[0-9]"), "line", part, "n")
     found = context.where(collect.plausible(F.col("line"))).withColumn("address", T.without_tail("line"))
-    p = A.parsed(found, "address", city)
-    slots = {"street": F.col("parsed.sw"), "house": S.house_display(F.col("parsed.hb"), F.col("parsed.hm")), "territory": F.col("parsed.ter")}
-    p = p.withColumns(slots | {"house_base": F.col("parsed.hb"), "key": T.building_key("address")})
+    p = A.parsed(found, "address", city, True)
+    slots = {"street": F.col("parsed.sw"), "house": S.house_display(F.col("parsed.hb"), F.col("parsed.hm"), F.col("house_kind")), "territory": F.col("parsed.ter")}
+    p = p.withColumns(slots | {"house_base": F.col("parsed.hb")}).drop("parsed", "house_kind")
     row = {k: F.col(k) for k in ("address", "street", "house", "territory", "house_base")} | {"raw": F.col("line"), "normalized": F.col("address")}
     filled = sum((F.when(F.coalesce(F.col(k), F.lit("")) != "", 1.0).otherwise(0.0) for k in slots), F.lit(0.0))
+    p = numbered(p.withColumn("_by", F.struct(*part, "n")), "_by").drop("_by")
     p = settled(p.withColumn("reason", sanitize.drop_reason(row)).withColumn("quality", sanitize.quality(row, filled, F.lit("line"))))
     clean = p.where("reason is null")
-    best = clean.groupBy("key").agg(F.max_by(F.struct("address", "context"), F.struct("quality", F.negative(F.length("address")), "address")).alias("b"))
-    merged = sanitize.merged_groups(clean, "key", list(slots), "quality", "address", "n").withColumnRenamed("candidate_count", "source_count")
-    return best.select("key", "b.*").join(merged, "key"), p.where("reason is not null").select(*part, "n", "address", "reason")
+    merged = assembly.assembled(clean, "address", list(slots), "quality", "number", scope)
+    merged = merged.join(clean.select("number", "context"), "number").withColumnsRenamed({"assembly_key": "key", "candidate_count": "source_count"})
+    return merged.drop("number"), p.where("reason is not null").select(*part, "n", "address", "reason")
 
 
-def build_reference(rows: DataFrame, column: str, city: str = "") -> tuple[DataFrame, DataFrame]:
-    """The reference (one row for each match key) and its staging rows."""
+def reference_rows(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """The data rows of a sheet (row_idx and columns) and the column that holds its addresses, as headers and content tell."""
+    found = profile.reference_column(cells.cells_of(rows, columns), rows.count()).first()
+    if found is None:
+        raise ValueError("the sheet has no cells")
+    return rows.where(F.col("row_idx") >= found.first_row), columns[found.col_idx]
+
+
+def build_reference(rows: DataFrame, column: str | None = None, city: str = "") -> tuple[DataFrame, DataFrame]:
+    """The reference (one row for each match key) and its staging rows.
+
+    Without a column, rows are a sheet as it was read: the column and its first data row are found.
+    """
+    if column is None:
+        rows, column = reference_rows(rows, [c for c in rows.columns if c != "row_idx"])
     p = A.parsed(rows.select("row_idx", F.col(column).alias("raw")), "raw", city)
     p = p.where((F.col("parsed.sw") != "") | (F.col("parsed.ter") != "")).withColumn("match_key", reference.match_key([F.col(f"parsed.{x}") for x in ("ter", "sw", "hb", "hm")]))
     p = settled(p.select("row_idx", "raw", "match_key", T.postal_index("raw").alias("postal_index"), F.col("parsed.ter").alias("territory"), F.col("parsed.sw").alias("street"), F.concat("parsed.hb", "parsed.hm").alias("house"), A.rendered(F.col("parsed"), F.lit(city)).alias("normalized_address")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from xml.etree import ElementTree as E
@@ -52,13 +53,34 @@ def _local(e) -> str:
     return e.tag.rsplit("}", 1)[-1]
 
 
-def _workbook(data: bytes):
-    """sheet, row, column, value of a workbook's cells."""
+def _elements(file, name: str):
+    """Elements of that name, one after another; each is gone when the next one is read."""
+    path = []
+    for event, e in E.iterparse(file, events=("start", "end")):
+        if event == "start":
+            path.append(e)
+            continue
+        path.pop()
+        if _local(e) == name:
+            yield e
+        elif any(_local(x) == name for x in path):
+            continue  # a part of what comes next
+        e.clear()
+        if path:
+            del path[-1][:]
+
+
+def _workbook(data: bytes, columns: frozenset[int] | None = None):
+    """sheet, row, column, value, locator of a workbook's cells; of all columns or those named (from 1).
+
+    Sheets are read cell by cell, so memory holds the file, its shared strings and one cell.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in E.fromstring(z.read("xl/sharedStrings.xml"))]
+            with z.open("xl/sharedStrings.xml") as file:
+                shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in _elements(file, "si")]
         parts = {}
         if "xl/_rels/workbook.xml.rels" in names:
             parts = {r.get("Id"): r.get("Target") for r in E.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter() if _local(r) == "Relationship"}
@@ -68,16 +90,17 @@ def _workbook(data: bytes):
             part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             if part not in names:
                 raise ValueError(f"sheet {sheet} has no part {part}")
-            for c in E.fromstring(z.read(part)).iter():
-                if _local(c) != "c":
-                    continue
-                letters, row = re.fullmatch(r"([A-Z]+)([0-9]+)", c.get("r")).groups()
-                raw = "".join(t.text or "" for t in c.iter() if _local(t) in ("v", "t"))
-                value = shared[int(raw)] if c.get("t") == "s" and raw else raw
-                column = 0
-                for x in letters:
-                    column = column * 26 + ord(x) - 64
-                yield sheet, int(row), column, value, f"{sheet}!{letters}{row}"
+            with z.open(part) as file:
+                for c in _elements(file, "c"):
+                    letters, row = re.fullmatch(r"([A-Z]+)([0-9]+)", c.get("r")).groups()
+                    column = 0
+                    for x in letters:
+                        column = column * 26 + ord(x) - 64
+                    if columns is not None and column not in columns:
+                        continue
+                    raw = "".join(t.text or "" for t in c.iter() if _local(t) in ("v", "t"))
+                    value = shared[int(raw)] if c.get("t") == "s" and raw else raw
+                    yield sheet, int(row), column, value, f"{sheet}!{letters}{row}"
 
 
 def _tables(body, table: str, row: str, cell: str, paragraph: str, repeat: str | None = None):
@@ -104,12 +127,12 @@ def _tables(body, table: str, row: str, cell: str, paragraph: str, repeat: str |
             yield "paragraph", "", n, 1, value, f"P{n}"
 
 
-def cells_of_file(path: str, data: bytes):
-    """(kind, sheet, row, column, value, locator) of one office file; nothing if it can't be opened."""
+def cells_of_file(path: str, data: bytes, columns: frozenset[int] | None = None):
+    """(kind, sheet, row, column, value, locator) of one office file; nothing if it can't be opened. columns (from 1) choose among those of a workbook."""
     kind = path.rsplit(".", 1)[-1].lower()
     try:
         if kind in ("xlsx", "xlsm"):
-            for sheet, row, column, value, locator in _workbook(data):
+            for sheet, row, column, value, locator in _workbook(data, columns):
                 yield "cell", sheet, row, column, value, locator
         elif kind == "docx":
             with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -121,16 +144,26 @@ def cells_of_file(path: str, data: bytes):
         yield "unreadable", "", 0, 0, path, path
 
 
-def office_cells(files: DataFrame) -> DataFrame:
-    """Cells, rows and paragraphs of xlsx, docx and odt files; an unreadable file gives a row of that kind."""
+#: Cells that leave a task in one batch.
+BATCH = 10_000
+
+
+def office_cells(files: DataFrame, columns: list[int] | None = None) -> DataFrame:
+    """Cells, rows and paragraphs of xlsx, docx and odt files; an unreadable file gives a row of that kind.
+
+    columns: those of a workbook that are wanted, from 1; all, if not given. Cells leave a task in
+    batches, so a sheet may have any number of rows.
+    """
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+    names = [c.split()[0] for c in CELLS.split(", ")]
+    wanted = None if columns is None else frozenset(columns)
 
     def run(batches):
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-        names = [c.split()[0] for c in CELLS.split(", ")]
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(path, k, s, r - 1, c - 1, at, v.strip()) for k, s, r, c, v, at in cells_of_file(path, data) if v.strip()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
+                found = ((path, k, s, r - 1, c - 1, at, v.strip()) for k, s, r, c, v, at in cells_of_file(path, data, wanted) if v.strip())
+                while rows := list(itertools.islice(found, BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return files.select("path", "content").mapInArrow(run, CELLS)
 

@@ -122,3 +122,34 @@ def test_append_after_the_last_row(spark, tmp_path):
     assert layout.columns == ["address", "a", "b", "row_idx"]
     report = sinks.report(spark, "r1", {"new": new}, mode="x").first().report
     assert report == '{"run":"r1","mode":"x","rows":{"new":4}}'
+
+
+def test_a_long_workbook_in_bounded_memory(spark, tmp_path):
+    """A sheet of 200,000 rows: its cells pass one by one, and only the wanted column comes out."""
+    import tracemalloc
+
+    rows = 200_000
+    sheet = "<worksheet><sheetData>" + "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c><c r="B{i}" t="s"><v>0</v></c></row>' for i in range(1, rows + 1)) + "</sheetData></worksheet>"
+    data = zipped(**{"xl__workbook.xml": '<workbook><sheets><sheet name="Лист"/></sheets></workbook>', "xl__sharedStrings.xml": "<sst><si><t>ул. Мира</t></si></sst>", "xl__worksheets__sheet1.xml": sheet})
+    tracemalloc.start()
+    n = sum(1 for _ in files.cells_of_file("a.xlsx", data, frozenset([2])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == rows and peak < 8 << 20
+    (tmp_path / "a.xlsx").write_bytes(data)
+    got = files.office_cells(files.discovered(spark, str(tmp_path)), [1])
+    assert got.count() == rows and got.where("col_idx <> 0").count() == 0
+
+
+def test_reference_finds_its_column(spark):
+    rows = [(0, "Список домов", None, None), (1, "№", "Адрес", "Прим."), (2, "1", "г. Тюмень, ул. Ленина, д. 10", "x"), (3, "2", "г. Тюмень, ул. Мира, д. 5", "y"), (4, "3", "Тюмень, улица Мира, 5", None)]
+    merged, staged = jobs.build_reference(spark.createDataFrame(rows, "row_idx long, a string, b string, c string"), city="тюмень")
+    assert {(r.street, r.house, r.source_count) for r in merged.collect()} == {("ленина", "10", 1), ("мира", "5", 2)}
+    assert staged.count() == 3
+
+
+def test_collecting_tells_kinds_of_houses_apart(spark):
+    lines = ["ул. Альфа, д. 2", "улица Альфа дом 2", "ул. Альфа, зд. 2", "ул. Альфа, д. 2, корп. 1"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, line string")
+    accepted, _ = jobs.collected(df, ["file"], scope={"oktmo_code": "71701"})
+    assert {r.key: r.source_count for r in accepted.collect()} == {"core|oktmo:71701|альфа|д|2": 2, "core|oktmo:71701|альфа|зд|2": 1, "core|oktmo:71701|альфа|д|2|к1": 1}

@@ -94,15 +94,6 @@ def building_key(*parts: Column | str) -> Column:
     return F.btrim(F.regexp_replace(no_type, "[^0-9a-zа-я]+", " "))
 
 
-def building_key_sql(part: str) -> str:
-    """building_key() of one part as DuckDB SQL."""
-    low = f"translate(lower(coalesce(trim({part}), '')), 'ё', 'е')"
-    out = f"regexp_replace({low}, '{ROOM_PATTERN}', '\\1', 'g')"
-    for _ in range(2):
-        out = f"regexp_replace({out}, '{KEY_PATTERN}', '\\1 ', 'g')"
-    return f"trim(regexp_replace({out}, '[^0-9a-zа-я]+', ' ', 'g'))"
-
-
 def natural_key(value: Column | str, width: int = 12) -> Column:
     """An array that sorts digit runs as numbers, before letters; blank texts sort last."""
     runs = F.regexp_extract_all(normalized(value), F.lit("[0-9]+|[^0-9]+"), F.lit(0))

@@ -16,6 +16,8 @@ from plumbline.sources.scratch import settled
 
 #: So many undecided rows are walked in one task at a time.
 WALKED_ROWS = 100_000
+#: Rows of a part that one task may read as a stream, to carry context.
+PART_ROWS = 20_000
 #: Rows in a span of carried context, and in the larger spans around it.
 CONTEXT_SPANS = (64, 16_384, 4_194_304)
 #: Words that hint at an address, and headers that are none.
@@ -43,9 +45,48 @@ def code_conflicts(codes: DataFrame, part: str) -> DataFrame:
     return known.join(heads.join(totals, part), [part, "_h"]).withColumn("n_conflicts", F.col("_all") - F.col("_same")).drop("_h", "_same", "_all")
 
 
-def carry_context(lines: DataFrame, is_context: Column, text: str, part: list[str], order: str, keep: int = 4, use: int = 3, spans: tuple[int, ...] = CONTEXT_SPANS) -> DataFrame:
+def streamed_context(lines: DataFrame, is_context: Column, text: str, part: list[str], order: str, keep: int, use: int) -> DataFrame:
+    """carry_context() of parts that one task can read: dealt by part, sorted, and passed once with a state of `keep` lines."""
+    told = F.when(is_context & F.col(text).isNotNull(), F.col(text).cast("string"))
+    dealt = lines.withColumn("_told", told).repartition(*part).sortWithinPartitions(*part, order)
+
+    def run(batches):
+        key, last = None, []
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(p).to_pylist() for p in part), strict=True)
+            for own, line in zip(keys, batch.column("_told").to_pylist(), strict=True):
+                if own != key:
+                    key, last = own, []
+                out.append(" > ".join(last[-use:]))
+                if line is not None:
+                    last = [*(x for x in last if x != line), line][-keep:]
+            names = [n for n in batch.schema.names if n != "_told"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string())], names=[*names, "context"])
+
+    return dealt.mapInArrow(run, T.StructType([*lines.schema.fields, T.StructField("context", T.StringType())]))
+
+
+def carry_context(lines: DataFrame, is_context: Column, text: str, part: list[str], order: str, keep: int = 4, use: int = 3, spans: tuple[int, ...] = CONTEXT_SPANS, most: int = PART_ROWS) -> DataFrame:
     """lines with context: the last `use` of the last `keep` different context lines before each line.
 
+    Parts of up to `most` lines are streams of their own, so they take one shuffle. Only the lines
+    of longer ones are numbered and cut into spans (see spanned_context). Lines may be in any part
+    of null and other columns of any kind.
+    """
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[p].eqNullSafe(b[f"_p{i}"]) for i, p in enumerate(part)])
+    sizes = lines.groupBy(*part).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    long = settled(sizes.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)]), "long-parts")
+    if long.isEmpty():
+        return streamed_context(lines, is_context, text, part, order, keep, use)
+    # each of these parts has over `most` lines, so there are few
+    few, many = lines.join(long, same(lines, long), "left_anti"), lines.join(long, same(lines, long), "left_semi")
+    return streamed_context(few, is_context, text, part, order, keep, use).unionByName(spanned_context(many, is_context, text, part, order, keep, use, spans))
+
+
+def spanned_context(lines: DataFrame, is_context: Column, text: str, part: list[str], order: str, keep: int, use: int, spans: tuple[int, ...] = CONTEXT_SPANS) -> DataFrame:
+    """carry_context() of parts of any length.
+
     Lines are numbered over all parts and cut into spans by number, small ones inside larger ones.
     A span comes down to its last `keep` different context lines; the state before a span is carried
     within the next larger span only, so no row holds more than a small span's lines or one state a

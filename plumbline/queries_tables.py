@@ -741,3 +741,56 @@ def observed_rows(spark, sf_dir):
     found = observations.observation_rows(cells, ["sheet"], "every")
     e = found.select("sheet", "row_idx", F.map_entries("payload").alias("e"))
     return e.select("sheet", "row_idx", F.col("e")[1]["key"].alias("street_header"), F.col("e")[1]["value"].alias("street"), F.col("e")[2]["value"].alias("house"))
+
+
+# --- houses of all kinds, predicates, cleaned references, on addresses made from keys of tables
+
+_HOUSES = f"""SELECT c_custkey AS row_idx, concat('г. Тюмень, ', CASE c_custkey % 6 WHEN 5 THEN concat(1 + c_custkey % 9, '-я линия') ELSE concat('ул. ', {_street('c_custkey', STREETS)}) END, ', ',
+  CASE c_custkey % 6 WHEN 0 THEN 'строение ' WHEN 1 THEN 'зд. ' WHEN 2 THEN 'д. ' WHEN 3 THEN 'стр. ' ELSE '' END, 1 + c_custkey % 70, CASE c_custkey % 4 WHEN 0 THEN 'А' WHEN 1 THEN ', стр. 3' ELSE '' END) AS address FROM {{customer}}"""
+
+
+@query(
+    f"""SELECT c_custkey AS row_idx, CASE c_custkey % 6 WHEN 5 THEN 'линия' ELSE {_street('c_custkey', LOW)} END AS sw, CASE c_custkey % 6 WHEN 5 THEN (1 + c_custkey % 9)::VARCHAR ELSE '' END AS sn,
+  (1 + c_custkey % 70)::VARCHAR AS hb, CASE c_custkey % 4 WHEN 0 THEN 'а' WHEN 1 THEN 'с3' ELSE '' END AS hm,
+  CASE c_custkey % 6 WHEN 5 THEN (1 + c_custkey % 9) || '-я линия' ELSE 'ул. ' || {_street('c_custkey', STREETS)} END AS street,
+  concat(CASE c_custkey % 6 WHEN 0 THEN 'стр. ' WHEN 1 THEN 'зд. ' WHEN 3 THEN 'стр. ' ELSE 'д. ' END, 1 + c_custkey % 70, CASE c_custkey % 4 WHEN 0 THEN 'А' WHEN 1 THEN ', стр. 3' ELSE '' END) AS house FROM customer"""
+)
+def house_kinds(spark, sf_dir):
+    """Buildings without a house, houses with a building, houses of all kinds, streets that are a number and a kind."""
+    rows = spark.sql(_HOUSES.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
+    s = S.with_slots(rows, "address", "тюмень")
+    return s.select("row_idx", "parsed.sw", F.array_join("parsed.sn", " ").alias("sn"), "parsed.hb", "parsed.hm", "slots.street", "slots.house")
+
+
+@query(
+    _with(
+        """SELECT row_idx, coalesce(address, '') <> '' AND ((address LIKE '%ул. %' OR address LIKE '%улица %') AND (street <> '' OR house IS NOT NULL) OR street <> '' AND house IS NOT NULL) AS looks, address IS NOT NULL AND house IS NOT NULL AND street <> '' AS core FROM addr_blank""",
+        "addr_blank",
+    )
+)
+def address_predicates(spark, sf_dir):
+    rows = view(spark, sf_dir, "addr_blank").withColumn("there", F.coalesce("address", F.lit("")))
+    looks = sanitize.looks_like_address(F.col("there"), F.col("street"), F.col("house")) & (F.col("there") != "")
+    core = sanitize.address_core(F.col("there"), F.col("street"), F.col("house"), F.lit(None)) & (F.col("there") != "")
+    return rows.select("row_idx", looks.alias("looks"), core.alias("core"))
+
+
+@query(
+    _with(
+        """SELECT min(row_idx) AS row_idx, street, house FROM (SELECT row_idx, street, house FROM addr_blank WHERE address IS NOT NULL AND street <> '' AND house IS NOT NULL AND house <> '0') GROUP BY street, house""",
+        "addr_blank",
+    )
+)
+def cleaned_reference(spark, sf_dir):
+    """Rows without issues, the first of each street and house."""
+    rows = view(spark, sf_dir, "addr_blank").withColumn("key", F.concat_ws("|", "street", "house"))
+    issues = sanitize.issue_codes({"address": F.col("address"), "street": F.col("street"), "house_base": F.col("house")})
+    return reference.cleaned(rows, "key", issues).select("row_idx", "street", "house")
+
+
+_REGIONS = "SELECT c_custkey AS region_id, CASE c_custkey % 4 WHEN 0 THEN 'Тюменская область' WHEN 1 THEN 'Алтайский край' WHEN 2 THEN 'Республика Алтай' ELSE 'Неизвестная земля' END AS name, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE ' ' END AS federal_district FROM {customer}"
+
+
+@query(f"SELECT region_id, name, CASE WHEN federal_district <> ' ' THEN federal_district WHEN name LIKE 'Тюм%' THEN 'Уральский федеральный округ' WHEN name LIKE '%Алта%' THEN 'Сибирский федеральный округ' END AS federal_district FROM ({_REGIONS.format(customer='customer')})")
+def regions_with_districts(spark, sf_dir):
+    return regions.with_districts(spark.sql(_REGIONS.format(customer=f"parquet.`{sf_dir}/customer.parquet`")))

@@ -31,8 +31,9 @@ def test_context_holds_bounded_state(spark):
         if t and t.isupper():
             state[f] = [*(x for x in last if x != t), t][-4:]
     df = spark.createDataFrame(rows, "f string, n int, line string")
-    for spans in ((64, 16_384), (3, 12, 60)):
-        got = collect.carry_context(df, F.col("line").rlike("^[A-Z]$"), "line", ["f"], "n", spans=spans)
+    # all parts in spans, all of them as streams, some of both
+    for spans, most in (((64, 16_384), 0), ((3, 12, 60), 0), (collect.CONTEXT_SPANS, collect.PART_ROWS), ((3, 12, 60), 135)):
+        got = collect.carry_context(df, F.col("line").rlike("^[A-Z]$"), "line", ["f"], "n", spans=spans, most=most)
         assert {x.n: x.context for x in got.collect()} == want
     # no window over a whole part of the lines
     long = spark.range(30_000).selectExpr("1 f", "id n", "string(id % 1000) line")

@@ -317,7 +317,9 @@ def thinned(regions: DataFrame, least: int, gram: int, crowd: int) -> tuple[Data
 
 
 def repeated_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc, row, start, size: runs of bytes that go; they may overlap."""
+    """doc, row, start, size: runs of bytes that go; they may overlap. Strings of `least` bytes hold a gram, so it is `gram` at least."""
+    if not 0 < gram <= least:
+        raise ValueError(f"least ({least}) must be gram ({gram}) or more")
     keyed = _keyed(docs)
     sent = written(keyed.mapInArrow(_anchors(least, gram), ANCHORS), "anchors")
     dealt = sent.where("place >= 0").repartitionByRange("h", "c").sortWithinPartitions("h", "c", "doc", "row", "place")
@@ -369,7 +371,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
     a character. Matches never cross documents. Order is by doc_id, a null one first, then place;
     rows that repeat an id with the same text are one document, with another text they follow
     each other in the order of their texts' hashes. Each row gives a row. Other columns are
-    ignored; an empty table gives an empty table.
+    ignored; an empty table gives an empty table. `least` under `gram` is a ValueError; shorter
+    strings need a smaller gram.
     """
     runs = repeated_runs(docs, least, gram, crowd).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     both = _packed(_keyed(docs)).join(runs.hint("shuffle_hash"), ["doc", "row"], "left").select("doc", "packed", "runs")

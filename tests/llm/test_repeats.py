@@ -107,3 +107,10 @@ def test_longest_previous_factor():
         for x, i in enumerate(starts):
             lengths = [next((k for k in range(n) if i + k >= n or j + k >= n or text[i + k] != text[j + k]), n) for y, j in enumerate(starts) if order[y] < order[x]]
             assert got[x] == max(lengths, default=0)
+
+
+def test_strings_shorter_than_a_gram(spark):
+    docs = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz" * 2), (2, "xx abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="gram"):
+        repeats.remove_repeats(docs, 20)
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, 20, 8).collect()} == {1: 26, 2: 26}

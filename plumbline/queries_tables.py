@@ -724,10 +724,11 @@ def names_in_scopes(spark, sf_dir):
 
 # --- observation rows: a sheet for each nation with a header, its customers, a line of places, another header
 
+_PLACE = "CASE c_custkey % 3 WHEN 0 THEN 'Северный' WHEN 1 THEN 'Южный' ELSE 'Восточный' END"
 _SHEET = f"""SELECT concat(c_nationkey, '') AS sheet, 10 * c_custkey + 10 AS row_idx, 0 AS col_idx, concat(c_custkey, '') AS value FROM {{customer}}
 UNION ALL SELECT concat(c_nationkey, ''), 10 * c_custkey + 10, 1, concat('ул. ', {_street('c_custkey', STREETS)}) FROM {{customer}}
 UNION ALL SELECT concat(c_nationkey, ''), 10 * c_custkey + 10, 2, concat(1 + c_custkey % 40, '') FROM {{customer}}
-UNION ALL SELECT concat(c_nationkey, ''), 10 * c_custkey + 15, 1, concat('г. ', c_mktsegment) FROM {{customer}} WHERE c_custkey % 11 = 0
+UNION ALL SELECT concat(c_nationkey, ''), 10 * c_custkey + 15, 1, concat('г. ', {_PLACE}) FROM {{customer}} WHERE c_custkey % 11 = 0
 UNION ALL SELECT concat(n_nationkey, ''), row_idx, col_idx, value FROM {{nation}}, (VALUES (0, 0, '№'), (0, 1, 'Улица'), (0, 2, 'Дом'), (2001, 0, 'Код'), (2001, 1, 'Адрес'), (2001, 2, 'Номер дома')) AS h(row_idx, col_idx, value)"""
 
 
@@ -794,3 +795,15 @@ _REGIONS = "SELECT c_custkey AS region_id, CASE c_custkey % 4 WHEN 0 THEN 'Тю
 @query(f"SELECT region_id, name, CASE WHEN federal_district <> ' ' THEN federal_district WHEN name LIKE 'Тюм%' THEN 'Уральский федеральный округ' WHEN name LIKE '%Алта%' THEN 'Сибирский федеральный округ' END AS federal_district FROM ({_REGIONS.format(customer='customer')})")
 def regions_with_districts(spark, sf_dir):
     return regions.with_districts(spark.sql(_REGIONS.format(customer=f"parquet.`{sf_dir}/customer.parquet`")))
+
+
+@query(
+    f"""WITH c AS (SELECT concat(c_nationkey, '') AS sheet, 10 * c_custkey + 10 AS row_idx, 'ул. ' || {_street('c_custkey', STREETS)} || ', д. ' || (1 + c_custkey % 40) AS address FROM customer),
+f AS (SELECT concat(c_nationkey, '') AS sheet, 'г. ' || {_PLACE} AS line, min(10 * c_custkey + 15) AS first FROM customer WHERE c_custkey % 11 = 0 GROUP BY ALL),
+w AS (SELECT c.sheet, c.row_idx, string_agg(f.line, ', ' ORDER BY f.first) AS lines FROM c JOIN f ON c.sheet = f.sheet AND f.first < c.row_idx GROUP BY ALL)
+SELECT c.sheet, c.row_idx, concat_ws(', ', w.lines, c.address) AS address FROM c LEFT JOIN w ON c.sheet = w.sheet AND c.row_idx = w.row_idx"""
+)
+def observed_addresses(spark, sf_dir):
+    """Addresses of the same rows: street and house of two columns, or an address and a house, behind the last lines of places."""
+    cells = spark.sql(_SHEET.format(customer=f"parquet.`{sf_dir}/customer.parquet`", nation=f"parquet.`{sf_dir}/nation.parquet`"))
+    return observations.observation_addresses(observations.observation_rows(cells, ["sheet"], "every"), ["sheet"])

@@ -48,12 +48,29 @@ def level_key(value: Column | str) -> Column:
 GEO_WORDS = ("муниципальное образование", "городской округ", "муниципальный округ", "муниципальный район", "городское поселение", "сельское поселение", "поселок городского типа", "рабочий поселок", "город", "село", "деревня", "поселок", "район", "округ", "пгт", "рп", "г", "с", "д", "п")
 
 
+#: Kinds of places, territories and streets that a registry's name keys leave out; those of several words first.
+REGISTRY_PHRASES = ("ж д станция", "ж д разъезд", "ж д ст", "ж д рзд", "поселок городского типа", "поселок при станции", "поселок станции", "рабочий поселок", "городской поселок", "курортный поселок", "дачный поселок", "населенный пункт", "п г т", "п ст", "г п", "р п", "к п", "д п", "н п")
+REGISTRY_WORDS = ("гп", "дп", "кп", "г", "гор", "город", "район", "обл", "область", "кр", "край", "мо", "мун", "округ", "ао", "мкр", "пгт", "рп", "пос", "поселок", "с", "село", "д", "деревня", "ст", "станица", "х", "хутор", "рзд", "разъезд", "аул", "аал", "арбан", "улус", "у", "нп", "н", "п", "м", "местечко", "кишлак", "к", "ул")
+#: The same kinds where they are written with a dash.
+REGISTRY_DASHED = ("р н", "ст ца", "пр т", "пр кт", "пр д")
+
+
+def without_phrases(text: Column, phrases: tuple[str, ...]) -> Column:
+    """A normalized text without these whole words and phrases, in their order."""
+    out = F.concat(F.lit(" "), F.regexp_replace(text, " ", "  "), F.lit(" "))
+    for words in phrases:
+        out = F.replace(out, F.lit(f" {words.replace(' ', '  ')} "), F.lit(" "))
+    return F.btrim(F.regexp_replace(out, " +", " "))
+
+
 def geo_key(value: Column | str) -> Column:
     """normalized() without kinds of municipalities and places."""
-    text = F.concat(F.lit(" "), F.regexp_replace(normalized(value), " ", "  "), F.lit(" "))
-    for words in GEO_WORDS:
-        text = F.replace(text, F.lit(f" {words.replace(' ', '  ')} "), F.lit(" "))
-    return F.btrim(F.regexp_replace(text, " +", " "))
+    return without_phrases(normalized(value), GEO_WORDS)
+
+
+def registry_key(value: Column | str) -> Column:
+    """What a registry's name is looked up by: normalized() without kinds of places, stations and territories."""
+    return without_phrases(normalized(value), (*REGISTRY_PHRASES, *REGISTRY_DASHED, *REGISTRY_WORDS))
 
 
 def named_words(value: Column | str) -> Column:

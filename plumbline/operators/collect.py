@@ -32,6 +32,19 @@ def plausible(text: Column) -> Column:
     return F.length(t).between(6, 2500) & ~F.lower(t).isin(*HEADER_WORDS) & t.rlike("(?iuU)[a-zа-я]") & hint
 
 
+#: Words of lines that name places only.
+ADMIN_WORDS = "(?iuU)(?<![0-9a-zа-я])(?:федеральн(?:ый|ого)\\s+округ|область|край|республика|автономн\\w+\\s+округ|муниципальн\\w+|городской\\s+округ|район|р-н|г|город|с|село|д|деревня|п|пос|пос[её]лок|пгт|рп)(?![0-9a-zа-я])"
+
+
+def place_line(text: Column) -> Column:
+    """A line that names places, or has a registry code of 11 digits, and neither a street nor a house: context for those below."""
+    from plumbline.functions.address import STREET, L
+    from plumbline.operators.sanitize import dumped_table
+
+    told = text.rlike(STREET) | text.rlike(f"{L}(?:дом|д|здание|зд|строение|стр)\\.?\\s*[0-9]")
+    return F.coalesce((F.length(text) <= 500) & ~dumped_table(text) & (text.rlike(ADMIN_WORDS) | text.rlike("(?<![0-9])[0-9]{11}(?![0-9])")) & ~told, F.lit(False))
+
+
 def codes_conflict(a: Column, b: Column) -> Column:
     """Of two known codes: neither equal nor with the same first 8 digits."""
     return F.coalesce((a != "") & (b != "") & (a != b) & (F.substring(a, 1, 8) != F.substring(b, 1, 8)), F.lit(False))

@@ -27,7 +27,6 @@ CONTEXT_KEPT, CONTEXT_USED, CONTEXT_CHARS = 4, 3, 350
 #: Words of headers that earn points, and of columns that are no address.
 ADDRESS_WORDS, PART_WORDS, PLACE_WORDS = "адрес|местоположение|местонахождение", "улица|номер дома|дом", "населенный пункт|город|муницип"
 NO_ADDRESS_WORDS = "планируемый срок|примеч|количество|потребность|мощность"
-ADMIN_WORDS = f"{A.L}(?:федеральн(?:ый|ого)\\s+округ|область|край|республика|автономн\\w+\\s+округ|муниципальн\\w+|городской\\s+округ|район|р-н|г|город|с|село|д|деревня|п|пос|пос[её]лок|пгт|рп){A.R}"
 PLACES = ("postal_index", "subject", "municipality", "locality", "territory", "microdistrict")
 
 
@@ -54,10 +53,7 @@ def marked_rows(rows: DataFrame, part: list[str]) -> DataFrame:
     norm = normalized(text)
     slots = F.transform(v, lambda x: F.when(x.isNotNull(), header_slot(x)))
     points = 2 * F.size(F.filter(slots, lambda s: s.isNotNull())) + F.when(norm.rlike(ADDRESS_WORDS), 4).otherwise(0) + F.when(norm.rlike(PART_WORDS), 2).otherwise(0) + F.when(norm.rlike(PLACE_WORDS), 1).otherwise(0) + F.when(F.size(some) >= 5, 1).otherwise(0)
-    # a house is told by a number behind a house word, a street by its kind; else a line of places is context
-    told = text.rlike(A.STREET) | text.rlike(f"{A.L}(?:дом|д|здание|зд|строение|стр)\\.?\\s*[0-9]")
-    admin = (F.length(text) <= 500) & ~sanitize.dumped_table(text) & (text.rlike(ADMIN_WORDS) | text.rlike("(?<![0-9])[0-9]{11}(?![0-9])"))
-    return rows.select(*part, "row_idx", "values", F.transform(v, lambda x: F.when(x.isNotNull(), normalized(x))).alias("keys"), F.transform(slots, lambda s: s.isNotNull()).alias("slotted"), F.transform(v, data_value).alias("data"), F.when(F.size(some) >= 2, points).otherwise(0).alias("points"), text.alias("text"), (admin & ~told).alias("is_context"))
+    return rows.select(*part, "row_idx", "values", F.transform(v, lambda x: F.when(x.isNotNull(), normalized(x))).alias("keys"), F.transform(slots, lambda s: s.isNotNull()).alias("slotted"), F.transform(v, data_value).alias("data"), F.when(F.size(some) >= 2, points).otherwise(0).alias("points"), text.alias("text"), collect.place_line(text).alias("is_context"))
 
 
 def numbered(names: Iterable[str | None]) -> list[str]:
@@ -230,7 +226,7 @@ def observation_addresses(rows: DataFrame, part: list[str]) -> DataFrame:
     entry = rows.select(*ids, F.posexplode(F.map_entries("payload")).alias("i", "e")).select(*ids, "i", F.col("e.key").alias("header"), clean(F.col("e.value")).alias("value")).where("value is not null")
     entry = settled(A.parsed(entry.withColumn("slot", header_slot("header")), "value"), "entries")
     h, v, p = normalized("header"), F.col("value"), F.col("parsed")
-    titled, hint = h.rlike(ADDRESS_WORDS), v.rlike(ADMIN_WORDS)
+    titled, hint = h.rlike(ADDRESS_WORDS), v.rlike(collect.ADMIN_WORDS)
     points = lambda c, n: F.when(c, n).otherwise(0)
     first = 20 + points(h.contains("местоположение"), 4) - points(h.contains("кадастр"), 8) + points(collect.plausible(v) | hint, 8) + points((p["sw"] != "") | (p["ter"] != ""), 6) + points(p["hb"] != "", 10) + points(p["hm"] != "", 4) - points(sanitize.dumped_table(v), 20)
     other = points(titled, 10) + points(collect.plausible(v), 7) + points(hint, 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import natural_key, normalized
+from plumbline.functions.text import clean, natural_key, normalized
 
 
 def first_filled(column: str, order: Column) -> Column:
@@ -41,6 +41,23 @@ def fill_summary(rows: DataFrame, slots: list[str]) -> DataFrame:
     return one.select("total", F.inline(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("filled")) for s in slots]))).select("slot", "filled", F.round(F.coalesce(F.try_divide("filled", "total"), F.lit(0.0)), 4).alias("fill_rate"))
 
 
+def fill_samples(rows: DataFrame, slots: list[str], order: str, most: int = 5) -> DataFrame:
+    """slot, samples: the first `most` different values of each slot, in order of rows, cut before they meet."""
+    each = rows.select(order, F.inline(F.array(*[F.struct(F.lit(s).alias("slot"), clean(F.col(s).cast("string")).alias("value")) for s in slots]))).where("value is not null")
+    first = each.groupBy("slot", "value").agg(F.min(order).alias("_o"))
+    # in parts first, so that a slot of very many values is no task of its own
+    for part in (["slot", "_part"], ["slot"]):
+        first = first.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy("_o", "value"))).where(F.col("_n") <= most)
+    return first.groupBy("slot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"]), " | ").alias("samples"))
+
+
+def incomplete_rows(rows: DataFrame, slots: list[str], order: str, most: int = 5) -> DataFrame:
+    """order, missing: the first `most` rows that lack some of the slots, with these; the limit is the feature."""
+    missing = F.array_compact(F.array(*[F.when(clean(F.col(s).cast("string")).isNull(), s) for s in slots]))
+    there = rows.select(order, missing.alias("m")).where((F.size("m") > 0) & (F.size("m") < len(slots)))
+    return there.orderBy(order).limit(most).select(order, F.array_join("m", ", ").alias("missing"))
+
+
 def completeness(rows: DataFrame, slots: list[str]) -> DataFrame:
     """One row: complete, incomplete and empty rows."""
     n = sum((F.coalesce(F.btrim(F.col(s).cast("string")) != "", F.lit(False)).cast("int") for s in slots), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import level_key, normalized, region_key, word_jaccard
+from plumbline.functions.text import level_key, normalized, region_key, registry_key, word_jaccard
 from plumbline.operators.similar import similar_texts
 
 #: Weights of scope keys by what they name, and the least similarity of a name.
@@ -95,10 +95,10 @@ def lookup_scoped(asked: DataFrame, index: DataFrame, cutoff: float = NAME_CUTOF
     if it has any, then a place before a parent territory, then the longest code, then the first.
     Keys meet by (scope, rare word), so equal names in two scopes don't.
     """
-    idx = index.select("scope", "code", F.col("name").alias("found"), "municipality", level_key("name").alias("b")).where("b <> ''")
+    idx = index.select("scope", "code", F.col("name").alias("found"), "municipality", registry_key("name").alias("b")).where("b <> ''")
     everywhere = idx.withColumn("scope", F.lit(""))
     idx = idx.where("scope is not null").unionByName(everywhere).distinct() if asked.where("scope is null").limit(1).count() else idx.where("scope is not null")
-    q = asked.select("name", "scope", "hint").distinct().withColumns({"_s": F.coalesce("scope", F.lit("")), "a": level_key("name")}).where("a <> ''")
+    q = asked.select("name", "scope", "hint").distinct().withColumns({"_s": F.coalesce("scope", F.lit("")), "a": registry_key("name")}).where("a <> ''")
     keys = idx.select(F.col("scope").alias("_s"), "b").distinct()
     alike = similar_texts(q.select("_s", "a"), keys, cutoff, ("_s",), "jaccard")
     best = alike.groupBy("_s", "a").agg(F.max(F.struct("similarity", (F.col("a") == F.col("b")).alias("_e"), F.negative(F.length("b")).alias("_l"), "b")).alias("k")).select("_s", "a", F.col("k.b").alias("b"), F.col("k.similarity").alias("score"))

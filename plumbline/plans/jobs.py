@@ -60,7 +60,7 @@ def collected(lines: DataFrame, part: list[str], city: str = "", scope: dict[str
     Accepted ones are merged by assembly key: the best one's text and context, slots by vote. scope
     (oktmo_code, municipality, locality) is what the rows are known to belong to.
     """
-    context = collect.carry_context(lines, F.col("line").rlike(collect.HINTS) & ~F.col("line").rlike("[0-9]"), "line", part, "n")
+    context = collect.carry_context(lines, collect.place_line(F.col("line")), "line", part, "n")
     found = context.where(collect.plausible(F.col("line"))).withColumn("address", T.without_tail("line"))
     p = A.parsed(found, "address", city, True)
     slots = {"street": F.col("parsed.sw"), "house": S.house_display(F.col("parsed.hb"), F.col("parsed.hm"), F.col("house_kind")), "territory": F.col("parsed.ter")}

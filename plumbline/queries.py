@@ -305,6 +305,18 @@ def dominant_context(spark, sf_dir):
 _SLOTS = ("address", "payload", "street", "house")
 
 
+@query(
+    _with(
+        "SELECT slot, string_agg(value, ' | ' ORDER BY first) AS samples FROM (SELECT slot, value, first, row_number() OVER (PARTITION BY slot ORDER BY first) AS r FROM ("
+        + " UNION ALL ".join(f"SELECT '{s}' AS slot, trim({s}, ' ,') AS value, min(row_idx) AS first FROM addr_blank WHERE trim({s}, ' ,') <> '' GROUP BY 1, 2" for s in _SLOTS)
+        + ")) WHERE r <= 5 GROUP BY slot",
+        "addr_blank",
+    )
+)
+def slot_fill_samples(spark, sf_dir):
+    return reference.fill_samples(view(spark, sf_dir, "addr_blank"), list(_SLOTS), "row_idx")
+
+
 @query(_with(" UNION ALL ".join(f"SELECT '{s}' AS slot, count(*) FILTER (WHERE trim({s}) <> '') AS filled, round(count(*) FILTER (WHERE trim({s}) <> '') / count(*), 4) AS fill_rate FROM addr_blank" for s in _SLOTS), "addr_blank"))
 def slot_fill_summary(spark, sf_dir):
     return reference.fill_summary(view(spark, sf_dir, "addr_blank"), list(_SLOTS))

@@ -1,4 +1,5 @@
 from plumbline.operators import registry as R
+from pyspark.sql import functions as F
 
 RULES = [("10", 100, 200, None, None, "range", 0), ("10", 150, 160, None, None, "later", 1), (None, None, None, "10300", None, "block", 2), (None, None, None, None, "10", "short", 3), (None, None, None, None, "10300", "long", 4), (None, None, None, None, "1030", "mid", 5), ("20", 9, 5, None, None, "none", 6)]
 
@@ -33,3 +34,26 @@ def test_municipality_by_code_or_name(spark):
     asked = [("что угодно", "a", None, "71 002 001"), ("Старая Роща", "a", None, None), (None, None, None, "65001001"), ("Мирное", "a", None, "65001001"), ("нет такого", "a", None, "99")]
     got = {(r.name, r.code): r.municipality for r in R.lookup_municipality(spark.createDataFrame(asked, "name string, scope string, hint string, code string"), index).collect()}
     assert got == {("что угодно", "71 002 001"): "Речной муниципальный район", ("Старая Роща", None): "Лесной район", (None, "65001001"): "Горный район", ("Мирное", "65001001"): "Лесной район", ("нет такого", "99"): None}
+
+
+def test_registry_keys(spark):
+    from plumbline.functions.text import registry_key
+
+    want = {"ж/д ст. Озерная": "озерная", "п. ст. Луговая": "луговая", "р.п. Боровский": "боровский", "посёлок городского типа Новый Уренгой": "новый уренгой", "ст-ца Вешенская": "вешенская", "Тюменский р-н": "тюменский", "г. г. Тюмень": "тюмень", "Дальний": "дальний", None: ""}
+    got = spark.createDataFrame([(w,) for w in want], "n string").select("n", registry_key("n").alias("k"))
+    assert {r.n: r.k for r in got.collect()} == want
+
+
+def test_lines_of_places(spark):
+    from plumbline.operators.collect import place_line
+
+    want = {"г. Тюмень": True, "Тюменский район": True, "71701000001": True, "г. Тюмень, ул. Мира": False, "д. 5": False, "просто слова": False, "п. Речной | Кадастровый номер | 5": False, None: False, "": False}
+    got = spark.createDataFrame([(w,) for w in want], "t string").select("t", place_line(F.col("t")).alias("p"))
+    assert {r.t: r.p for r in got.collect()} == want
+
+
+def test_incomplete_rows(spark):
+    from plumbline.operators.reference import incomplete_rows
+
+    rows = spark.createDataFrame([(3, "a", None), (1, " ", "nan"), (2, None, "b"), (4, "a", "b")], "i int, x string, y string")
+    assert [tuple(r) for r in incomplete_rows(rows, ["x", "y"], "i").orderBy("i").collect()] == [(2, "x"), (3, "y")]

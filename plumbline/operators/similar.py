@@ -87,7 +87,7 @@ def _measured(measure):
 
 
 def token_set_similarity(a: Column, b: Column) -> Column:
-    """token_set() of pairs that a filter has left, in Arrow batches: some hundred times less work than letter by letter in an expression."""
+    """token_set() of pairs that a filter has left, in Arrow batches: some fifty times less work than letter by letter in an expression."""
     return _measured(token_set)(a, b)
 
 

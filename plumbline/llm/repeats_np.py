@@ -136,19 +136,49 @@ def longest_previous_factor(data: np.ndarray, starts: np.ndarray, order_of: np.n
     """For each of starts: the longest prefix of its suffix that also begins at a start of smaller order.
 
     The nearest starts of smaller order before and after it in suffix order have the longest one.
-    Starts may share an order; they don't count for each other. Lengths are exact up to the power
-    of two from `least` on, and at least that beyond it.
+    Starts may share an order; they don't count for each other. A start may be given several times
+    with different orders: bytes that stand in several places are sorted once. Lengths are exact
+    up to the power of two from `least` on, and at least that beyond it.
     """
     if len(starts) < 2:
         return np.zeros(len(starts), dtype=np.int64)
     suffixes, kept = suffix_order(data, least)
-    number = np.full(len(data), -1, dtype=np.int64)
-    number[starts] = np.arange(len(starts))
-    suffixes = suffixes[number[suffixes] >= 0]
-    common = common_prefixes(suffixes[:-1], suffixes[1:], kept, data)
-    value = order_of[number[suffixes]]
+    rank = np.empty(len(data), dtype=np.int64)
+    rank[suffixes] = np.arange(len(data))
+    at = np.argsort(rank[starts], kind="stable")
+    suffixes = starts[at]
+    same = suffixes[:-1] == suffixes[1:]
+    common = np.where(same, len(data) - suffixes[1:], common_prefixes(suffixes[:-1], suffixes[1:], kept, data))
+    value = order_of[at]
     before = _smaller_before(value, np.concatenate([[0], common]))
     after = _smaller_before(value[::-1], np.concatenate([[0], common[::-1]]))[::-1]
     found = np.empty(len(starts), dtype=np.int64)
-    found[number[suffixes]] = np.maximum(before, after)
+    found[at] = np.maximum(before, after)
     return found
+
+
+def strings(size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place in the joined regions and region of each string of `least` bytes; size: bytes of the regions."""
+    first = np.cumsum(size) - size
+    count = size - least + 1
+    region = np.repeat(np.arange(len(size)), count)
+    return first[region] + np.arange(len(region)) - (np.cumsum(count) - count)[region], region
+
+
+def strings_that_go(data: list[bytes], document: np.ndarray, start: np.ndarray, copied: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Region and offset in it of the strings that go: where the region stands first, and where its later copies stand.
+
+    document and start: where a region stands first; document grows with the order of documents.
+    A copied region has later copies. It is sorted once and its strings are given twice, the second
+    time right behind the first place, so what goes there goes from every later copy.
+    """
+    size = np.array([len(x) for x in data], dtype=np.int64)
+    place, region = strings(size, least)
+    offset = place - (np.cumsum(size) - size)[region]
+    order_of = (document[region] * np.int64(1 << 40) + start[region] + offset) * 2
+    later = copied[region]
+    factor = longest_previous_factor(
+        np.frombuffer(b"".join(data), np.uint8), np.concatenate([place, place[later]]), np.concatenate([order_of, order_of[later] + 1]), least
+    )
+    first, again = np.split(factor >= least, [len(place)])
+    return region[first], offset[first], region[later][again], offset[later][again]

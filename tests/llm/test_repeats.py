@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plumbline.llm import repeats, repeats_np
 
@@ -95,6 +96,32 @@ def test_repeated_rows(spark):
     assert got == [(0, 0), (1, 180), (1, 180), (2, 150)]
 
 
+def test_nothing_goes_without_factors(spark, monkeypatch):
+    """Every removed byte is decided by the arrays: with empty ones all texts stay whole."""
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefgh") for _ in range(400))
+    rows = [(i, text if i % 2 else f"{i:03d}{text[i : i + 200]}{text}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(4)
+    held(docs, crowd=3)
+    keyed = repeats._keyed(docs).toPandas()
+    none = lambda data, starts, order_of, least: np.zeros(len(starts), np.int64)
+    monkeypatch.setattr(repeats_np, "longest_previous_factor", none)
+    batch = pa.RecordBatch.from_pandas(keyed)
+    alone = [b for b in repeats._anchors(100, 32)([batch])]
+    assert alone and all((b.column("place").to_numpy() >= 0).all() for b in alone)
+    regions = pa.RecordBatch.from_pydict({"part": [1, 1], "h": [1, 1], "c": [1, 2], "doc": [1, 2], "row": [1, 2], "start": [0, 0], "copied": [True, True], "data": [text.encode(), text[:200].encode()]})
+    assert sum(b.num_rows for b in repeats._factors(100)([regions])) == 0
+    monkeypatch.undo()
+    found = pa.Table.from_batches(repeats._factors(100)([regions])).to_pylist()
+    assert sorted((f["kind"], f["c"], f["doc"], f["start"], f["size"]) for f in found) == [(0, 0, 2, 0, 200), (6, 1, 0, 0, 400), (6, 2, 0, 0, 200)]
+
+
+def test_copied_strings():
+    """A start given twice: the second time its factor reaches back to the first, to the end of the bytes."""
+    data = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    assert repeats_np.longest_previous_factor(data, np.array([3, 3, 7]), np.array([0, 1, 2]), 16).tolist() == [0, 23, 0]
+
+
 def test_longest_previous_factor():
     r = random.Random(0)
     for _ in range(200):

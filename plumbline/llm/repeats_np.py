@@ -73,23 +73,35 @@ def gram_hashes_of(data: np.ndarray, least: int) -> np.ndarray:
 
 
 def suffix_order(data: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix array by the first `least` bytes at least, by prefix doubling from 8 bytes on; and the ranks of each length."""
+    """Suffix array by the first `least` bytes at least, by prefix doubling from 8 bytes on; and the ranks of each length.
+
+    A rank is the place of the first suffix with the same prefix, so that a suffix whose prefix
+    no other has keeps its place and each doubling sorts the others only.
+    """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(key)
+    rank, key, open_ = np.empty(n, dtype=np.int32), key[order], np.arange(n)
     w, kept = 8, []
     while True:
-        order = np.argsort(key)
-        sorted_ = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-        rank = np.empty(n, dtype=np.int32)
-        rank[order] = new
+        new = np.ones(len(open_), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        heads = np.flatnonzero(new)
+        rank = rank.copy()
+        rank[order[open_]] = open_[heads][np.cumsum(new) - 1]
         kept.append((w, rank))
-        if w >= least or new[-1] == n - 1:
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        open_ = open_[~alone]
+        if w >= least or not len(open_):
             return order, kept
-        del sorted_, new
-        key = (rank.astype(np.int64) + 1) * (n + 2)
-        key[: n - w] += rank[w:] + 1
+        suffix = order[open_]
+        key = rank[suffix].astype(np.int64) * (n + 2)
+        inside = suffix < n - w
+        key[inside] += rank[suffix[inside] + w] + 1
+        by = np.argsort(key)
+        order[open_], key = suffix[by], key[by]
         w *= 2
 
 
@@ -147,8 +159,9 @@ def longest_previous_factor(data: np.ndarray, starts: np.ndarray, order_of: np.n
     rank[suffixes] = np.arange(len(data))
     at = np.argsort(rank[starts], kind="stable")
     suffixes = starts[at]
-    same = suffixes[:-1] == suffixes[1:]
-    common = np.where(same, len(data) - suffixes[1:], common_prefixes(suffixes[:-1], suffixes[1:], kept, data))
+    common = len(data) - suffixes[1:]
+    other = suffixes[:-1] != suffixes[1:]
+    common[other] = common_prefixes(suffixes[:-1][other], suffixes[1:][other], kept, data)
     value = order_of[at]
     before = _smaller_before(value, np.concatenate([[0], common]))
     after = _smaller_before(value[::-1], np.concatenate([[0], common[::-1]]))[::-1]

@@ -701,14 +701,14 @@ def rules_of_codes(spark, sf_dir):
     return registry.values_of_codes(codes, rules)
 
 
-_PLACES = f"""SELECT concat(c_nationkey, '') AS scope, concat(substring(concat('00', c_nationkey), -2), substring(concat('000000', c_custkey), -6)) AS code,
+_PLACE_ROWS = f"""SELECT concat(c_nationkey, '') AS scope, concat(substring(concat('00', c_nationkey), -2), substring(concat('000000', c_custkey), -6)) AS code,
   concat(CASE c_custkey % 3 WHEN 0 THEN 'село ' WHEN 1 THEN 'деревня ' ELSE '' END, {_street('c_custkey', STREETS)}, CASE c_custkey % 3 WHEN 2 THEN ' сельское поселение' ELSE '' END) AS name,
   concat(c_mktsegment, ' район') AS municipality FROM {{customer}}"""
 _ASKED = f"SELECT DISTINCT concat('с. ', {_street('s_suppkey', STREETS)}) AS name, concat(s_nationkey, '') AS scope, CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING муниципальный округ' WHEN 1 THEN 'нет такого' END AS hint FROM {{supplier}}"
 
 
 @query(
-    f"""WITH i AS ({_PLACES.format(customer='customer')}), q AS ({_ASKED.format(supplier='supplier')}),
+    f"""WITH i AS ({_PLACE_ROWS.format(customer='customer')}), q AS ({_ASKED.format(supplier='supplier')}),
 m AS (SELECT q.name, q.scope, q.hint, i.code, i.name AS found, i.municipality,
         row_number() OVER (PARTITION BY q.name, q.scope, coalesce(q.hint, '') ORDER BY (coalesce(q.hint, '') LIKE 'BUILDING%' AND i.municipality LIKE 'BUILDING%') DESC, (i.name LIKE '%сельское поселение') ASC, i.code::BIGINT) AS r
       FROM q JOIN i ON q.scope = i.scope AND lower(substring(q.name, 4)) = lower(trim(replace(replace(replace(i.name, 'село ', ''), 'деревня ', ''), ' сельское поселение', '')))
@@ -717,7 +717,7 @@ SELECT name, scope, hint, code, found, municipality, 100.0::DOUBLE AS score FROM
 )
 def names_in_scopes(spark, sf_dir):
     """Equal names in many scopes: each meets its own only, the hinted municipality's first."""
-    index = spark.sql(_PLACES.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
+    index = spark.sql(_PLACE_ROWS.format(customer=f"parquet.`{sf_dir}/customer.parquet`"))
     asked = spark.sql(_ASKED.format(supplier=f"parquet.`{sf_dir}/supplier.parquet`"))
     return registry.lookup_scoped(asked, index)
 
@@ -789,12 +789,12 @@ def cleaned_reference(spark, sf_dir):
     return reference.cleaned(rows, "key", issues).select("row_idx", "street", "house")
 
 
-_REGIONS = "SELECT c_custkey AS region_id, CASE c_custkey % 4 WHEN 0 THEN 'Тюменская область' WHEN 1 THEN 'Алтайский край' WHEN 2 THEN 'Республика Алтай' ELSE 'Неизвестная земля' END AS name, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE ' ' END AS federal_district FROM {customer}"
+_REGION_ROWS = "SELECT c_custkey AS region_id, CASE c_custkey % 4 WHEN 0 THEN 'Тюменская область' WHEN 1 THEN 'Алтайский край' WHEN 2 THEN 'Республика Алтай' ELSE 'Неизвестная земля' END AS name, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE ' ' END AS federal_district FROM {customer}"
 
 
-@query(f"SELECT region_id, name, CASE WHEN federal_district <> ' ' THEN federal_district WHEN name LIKE 'Тюм%' THEN 'Уральский федеральный округ' WHEN name LIKE '%Алта%' THEN 'Сибирский федеральный округ' END AS federal_district FROM ({_REGIONS.format(customer='customer')})")
+@query(f"SELECT region_id, name, CASE WHEN federal_district <> ' ' THEN federal_district WHEN name LIKE 'Тюм%' THEN 'Уральский федеральный округ' WHEN name LIKE '%Алта%' THEN 'Сибирский федеральный округ' END AS federal_district FROM ({_REGION_ROWS.format(customer='customer')})")
 def regions_with_districts(spark, sf_dir):
-    return regions.with_districts(spark.sql(_REGIONS.format(customer=f"parquet.`{sf_dir}/customer.parquet`")))
+    return regions.with_districts(spark.sql(_REGION_ROWS.format(customer=f"parquet.`{sf_dir}/customer.parquet`")))
 
 
 @query(

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
+
 #: Words for kinds of streets, settlements, territories and rooms.
 STREET_TYPES = ("улица", "ул", "переулок", "пер", "пр-кт", "пр-т", "прт", "проспект", "просп", "пр-д", "проезд", "пр", "бульвар", "б-р", "бульв", "тракт", "шоссе", "ш", "тупик", "туп", "аллея", "линия", "набережная", "наб", "площадь", "пл", "квартал", "кв-л", "микрорайон", "мкр", "проул", "км", "автодорога")
 SETTLEMENT_TYPES = ("городской поселок", "рабочий поселок", "курортный поселок", "дачный поселок", "поселок городского типа", "поселок при станции", "поселок станции", "населенный пункт", "город", "поселок", "пос", "деревня", "село", "слобода", "сл", "станица", "станция", "хутор", "аул", "разъезд", "улус", "местечко", "кишлак", "аал", "арбан", "починок", "выселок", "выселки", "заимка", "кордон", "маяк", "погост", "слободка", "усадьба", "лесоучасток", "метеостанция")
@@ -65,15 +67,16 @@ def house_modifiers(tail: Column) -> Column:
     token = f"[0-9]+(?:[а-яa-z](?![0-9а-яa-z]))?|{_any(tuple(words))}|[а-яa-z/-]"
     tokens = F.regexp_extract_all(F.lower(tail), F.lit(token), F.lit(0))
 
-    def modifier(t: Column, i: Column) -> Column:
-        before, after = F.when(i > 0, F.get(tokens, i - 1)), F.get(tokens, i + 1)
+    def modifier(ts: Column, t: Column, i: Column) -> Column:
+        before, after = F.when(i > 0, F.get(ts, i - 1)), F.get(ts, i + 1)
         out = F.when(t.rlike("^[а-яa-z]$") & before.isin(*LETTER_MARKS), F.concat(F.lit("3лит"), t))
         for mark, ws in MODIFIER_MARKS:
             out = out.when(t.rlike("^[0-9]") & before.isin(*ws), F.concat(F.lit(mark), t))
         stands_for_number = t.isin("к", "с") & F.coalesce(after.rlike("^[0-9]"), F.lit(False))
         return out.when(t.rlike("^[а-яa-z]$") & ~stands_for_number, F.concat(F.lit("0"), t))
 
-    return F.array_join(F.transform(F.array_sort(F.array_compact(F.transform(tokens, modifier))), lambda t: F.substring(t, 2, 100)), "")
+    found = let(tokens, lambda ts: F.transform(ts, lambda t, i: modifier(ts, t, i)))
+    return F.array_join(F.transform(F.array_sort(F.array_compact(found)), lambda t: F.substring(t, 2, 100)), "")
 
 
 def _ends_with_street_type(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import address as A
-from plumbline.functions.text import clean, level_key, normalized, postal_index
+from plumbline.functions.text import clean, let, level_key, normalized, postal_index
 from plumbline.operators.reference import construct_address
 
 #: Slots of a line in order, and technical ones.
@@ -40,14 +40,17 @@ HOUSE = f"(?iuU)^\\s*(?:(?:дом|д|здание|зд|строение|стр)\
 
 def header_slot(header: Column) -> Column:
     """The slot that a header names, or null."""
-    h = normalized(header)
-    out = F.lit(None).cast("string")
-    for slot, words in reversed(HEADER_SLOTS):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | h.contains(w)
-        out = F.when(hit, slot).otherwise(out)
-    return out
+
+    def named(h: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for slot, words in reversed(HEADER_SLOTS):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | h.contains(w)
+            out = F.when(hit, slot).otherwise(out)
+        return out
+
+    return let(normalized(header), named)
 
 
 def segments(raw: Column) -> Column:
@@ -234,9 +237,9 @@ def renormalized(slot: str, value: Column) -> Column:
     if slot == "street":
         return street_display(text)
     if slot == "house":
-        base = F.regexp_extract(F.lower(text), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*([0-9]+)", 1)
-        tail = F.regexp_extract(F.lower(text), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*[0-9]+(.*)$", 1)
-        return house_display(base, A.house_modifiers(tail), house_kind(text))
+        base = lambda t: F.regexp_extract(F.lower(t), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*([0-9]+)", 1)
+        tail = lambda t: F.regexp_extract(F.lower(t), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*[0-9]+(.*)$", 1)
+        return let(text, lambda t: let(A.house_modifiers(tail(t)), lambda mods: house_display(base(t), mods, house_kind(t))))
     if slot == "locality":
         return official_locality(text)
     if slot == "municipality":

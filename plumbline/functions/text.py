@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What body makes of a value that is worked out once, however often body names it: an expression in a lambda or behind a condition is not shared."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(value: Column | str) -> Column:
     """One blank for any white space, ends without blanks and commas; blank and `nan` are null."""
     text = F.btrim(F.regexp_replace(_col(value), "(?U)\\s+", " "), F.lit(" ,"))

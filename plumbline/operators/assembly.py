@@ -49,9 +49,11 @@ def joined(*parts: Column) -> Column:
 
 def with_parts(df: DataFrame) -> DataFrame:
     """df with _st and _ho: the street and house slots, in the form of cards, taken apart. Each different text once."""
-    df = df.withColumns({"_street": F.coalesce(renormalized("street", column(df, "street")), F.lit("")), "_house": F.coalesce(renormalized("house", column(df, "house")), column(df, "house"))})
-    for text, to in (("_street", "_st"), ("_house", "_ho")):
-        df = A.parsed(df, text).withColumnRenamed("parsed", to)
+    for slot, text, to in (("street", "_street", "_st"), ("house", "_house", "_ho")):
+        df = df.withColumn("_own", column(df, slot))
+        forms = df.select(F.col("_own").alias("_raw")).distinct().withColumn("_form", F.coalesce(renormalized(slot, F.col("_raw")), F.col("_raw") if slot == "house" else F.lit("")))
+        forms = A.parse_distinct(forms, "_form").withColumnsRenamed({"_form": text, "parsed": to})
+        df = df.join(forms, F.col("_own") == F.col("_raw")).drop("_own", "_raw")
     return df
 
 

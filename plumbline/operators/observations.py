@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import address as A
 from plumbline.functions.slots import header_slot, renormalized
-from plumbline.functions.text import clean, normalized, without_tail
+from plumbline.functions.text import clean, let, normalized, without_tail
 from plumbline.operators import collect, sanitize
 from plumbline.sources.scratch import settled
 
@@ -31,11 +31,17 @@ PLACES = ("postal_index", "subject", "municipality", "locality", "territory", "m
 
 
 def sheet_rows(cells: DataFrame, part: list[str]) -> DataFrame:
-    """part, row_idx, values: the cells (col_idx, value) of each row that has any, blanks between them null; of two at one place the smaller."""
-    there = cells.where(clean("value").isNotNull())
-    held = there.groupBy(*part, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", clean("value").alias("value")))).alias("_m"))
+    """part, row_idx, cells: what is told of the cells (col_idx, value) of each row that has any, blanks between them null; of two at one place the smaller.
+
+    Of each cell its value and key, whether it names a slot and whether it is data: worked out
+    where the cells are read, not in the arrays of rows.
+    """
+    there = cells.select(*part, "row_idx", "col_idx", clean("value").alias("value")).where("value is not null")
+    cell = F.struct("col_idx", "value", normalized("value").alias("key"), header_slot(F.col("value")).isNotNull().alias("slotted"), data_value(F.col("value")).alias("data"))
+    held = there.select(*part, "row_idx", cell.alias("c")).groupBy(*part, "row_idx").agg(F.array_sort(F.collect_list("c")).alias("_m"))
     width = there.groupBy(*part).agg(F.max("col_idx").alias("_w"))
-    return held.join(width, part).select(*part, "row_idx", F.transform(F.sequence(F.lit(0), F.col("_w")), lambda i: F.get(F.filter("_m", lambda x: x["col_idx"] == i), F.lit(0))["value"]).alias("values"))
+    at = lambda i: F.get(F.filter("_m", lambda x: x["col_idx"] == i), F.lit(0))
+    return held.join(width, part).select(*part, "row_idx", F.transform(F.sequence(F.lit(0), F.col("_w")), at).alias("cells"))
 
 
 def data_value(v: Column) -> Column:
@@ -47,13 +53,13 @@ def data_value(v: Column) -> Column:
 
 def marked_rows(rows: DataFrame, part: list[str]) -> DataFrame:
     """rows with what the stream asks of them: keys and slots of cells, data, points as a header, text, is_context."""
-    v = F.col("values")
-    some = F.filter(v, lambda x: x.isNotNull())
-    text = F.array_join(some, " | ")
+    each = lambda name: F.transform("cells", lambda x: x[name])
+    rows = rows.withColumns({"values": each("value"), "keys": each("key"), "slotted": F.transform("cells", lambda x: F.coalesce(x["slotted"], F.lit(False))), "data": F.transform("cells", lambda x: F.coalesce(x["data"], F.lit(False)))})
+    some = F.filter("values", lambda x: x.isNotNull())
+    text = F.array_join("values", " | ")
     norm = normalized(text)
-    slots = F.transform(v, lambda x: F.when(x.isNotNull(), header_slot(x)))
-    points = 2 * F.size(F.filter(slots, lambda s: s.isNotNull())) + F.when(norm.rlike(ADDRESS_WORDS), 4).otherwise(0) + F.when(norm.rlike(PART_WORDS), 2).otherwise(0) + F.when(norm.rlike(PLACE_WORDS), 1).otherwise(0) + F.when(F.size(some) >= 5, 1).otherwise(0)
-    return rows.select(*part, "row_idx", "values", F.transform(v, lambda x: F.when(x.isNotNull(), normalized(x))).alias("keys"), F.transform(slots, lambda s: s.isNotNull()).alias("slotted"), F.transform(v, data_value).alias("data"), F.when(F.size(some) >= 2, points).otherwise(0).alias("points"), text.alias("text"), collect.place_line(text).alias("is_context"))
+    points = 2 * F.size(F.filter("slotted", lambda s: s)) + F.when(norm.rlike(ADDRESS_WORDS), 4).otherwise(0) + F.when(norm.rlike(PART_WORDS), 2).otherwise(0) + F.when(norm.rlike(PLACE_WORDS), 1).otherwise(0) + F.when(F.size(some) >= 5, 1).otherwise(0)
+    return rows.select(*part, "row_idx", "values", "keys", "slotted", "data", F.when(F.size(some) >= 2, points).otherwise(0).alias("points"), text.alias("text"), collect.place_line(text).alias("is_context"))
 
 
 def numbered(names: Iterable[str | None]) -> list[str]:
@@ -210,8 +216,9 @@ def observation_rows(cells: DataFrame, part: list[str], mode: str = "best") -> D
 
 def _unique(parts: Column) -> Column:
     """Parts whose normalized text is new, in order."""
-    keys = F.transform(parts, normalized)
-    return F.filter(F.transform(parts, lambda p, i: F.when((p != "") & (F.array_position(keys, normalized(p)) == i + 1), p)), lambda p: p.isNotNull())
+    told = F.filter(F.transform(parts, lambda p: F.struct(p.alias("p"), normalized(p).alias("k"))), lambda x: x["p"].isNotNull())
+    first = let(told, lambda xs: F.filter(xs, lambda x, i: (x["p"] != "") & (F.array_position(F.transform(xs, lambda y: y["k"]), x["k"]) == i + 1)))
+    return F.transform(first, lambda x: x["p"])
 
 
 def observation_addresses(rows: DataFrame, part: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.address import L, R
-from plumbline.functions.text import clean, normalized
+from plumbline.functions.text import clean, let, normalized
 from plumbline.operators.collect import codes_conflict
 
 MOST_CHARS, CORE_CHARS = 700, 1200
@@ -316,9 +316,11 @@ def address_fragments(text: Column, most: int = 8) -> Column:
     t = _text(text)
     told = F.regexp_replace(t, f"(?iuU)\\([^()]*{L[6:]}{_words(ORGANISATION_WORDS)}{R}[^()]*\\)(?=\\s+[-–—]\\s|\\s*(?:с/о|дк|жк|кп|мкр){R})", "")
     def piece(x: Column) -> Column:
-        street, number = renormalized("street", x["street"]), renormalized("house", x["house"])
-        fits = explicit_street(street) & ideal_house(number) & ~names_organisation(street) & ~route_fragment(street) & ~unbalanced(street)
-        return F.when(fits, F.concat(F.btrim(street, F.lit(" ,")), F.lit(", "), number))
+        def written(street: Column, number: Column) -> Column:
+            fits = explicit_street(street) & ideal_house(number) & ~names_organisation(street) & ~route_fragment(street) & ~unbalanced(street)
+            return F.when(fits, F.concat(F.btrim(street, F.lit(" ,")), F.lit(", "), number))
+
+        return let(renormalized("street", x["street"]), lambda s: let(renormalized("house", x["house"]), lambda n: written(s, n)))
 
     found = _told_houses(told)
     pieces = F.array_distinct(F.array_compact(F.transform(found, piece)))

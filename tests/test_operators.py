@@ -156,3 +156,11 @@ def test_comparison_order_and_benchmark(spark):
     m = compare.benchmark(b, a).first()
     assert (m.matched, m.missing, m.extra, m.coverage, m.precision) == (1, 1, 1, 0.5, 0.5)
     assert compare.benchmark(b.where("false"), a.where("false")).first().coverage == 0.0
+
+
+def test_key_sets_of_one_side(spark):
+    a, b = (spark.createDataFrame([(k,) for k in keys], "key string") for keys in (["x", "x", ""], ["x", "y", "z", None]))
+    told = lambda *sides: {r.side: r.n_keys for r in compare.key_sets(*sides).collect()}
+    assert told(a, b) == {"both": 1, "only_a": 0, "only_b": 2}
+    assert told(b, a) == {"both": 1, "only_a": 2, "only_b": 0}
+    assert told(a.where("key = ''"), b.where("key is null")) == {"both": 0, "only_a": 0, "only_b": 0}

@@ -90,10 +90,13 @@ def updated(existing: DataFrame, new: DataFrame, key: str, fields: list[str], ex
 
 
 def cleaned(rows: DataFrame, key: str, issues: Column, order: str = "row_idx") -> DataFrame:
-    """Rows of a reference without issues, the first of each key."""
-    from plumbline.operators.compare import first_seen
+    """Rows of a reference without issues, the first of each key.
 
-    return first_seen(rows.where(F.size(issues) == 0), [key], [order])
+    The issues are asked for in the aggregate: as a filter they would move ahead of the shuffle that
+    deals rows over tasks.
+    """
+    first = F.min_by(F.struct(*rows.columns), F.when(F.size(issues) == 0, F.struct(order)))
+    return rows.groupBy(F.col(key).alias("_k")).agg(first.alias("_r")).where("_r is not null").select("_r.*")
 
 
 def by_address(rows: DataFrame, address: str = "normalized_address") -> DataFrame:

@@ -8,6 +8,7 @@ not given count as blank, and null, blank and `nan` are one.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -47,13 +48,45 @@ def _text(c: Column | None) -> Column:
     return F.lit("") if c is None else F.coalesce(clean(c.cast("string")), F.lit(""))
 
 
-def _row(row: dict[str, Column]) -> dict[str, Column]:
-    out = {k: _text(row.get(k)) for k in SLOTS}
+def _row(row: dict[str, Column], text: Callable[[Column | None], Column] = _text) -> dict[str, Column]:
+    out = {k: text(row.get(k)) for k in SLOTS}
     out["raw"] = F.when(out["raw"] != "", out["raw"]).otherwise(out["address"])
     out["house_base"] = F.when(out["house_base"] != "", F.lower(out["house_base"])).otherwise(F.lower(F.regexp_extract(out["house"], "(?iuU)\\b(?:д\\.?|дом)?\\s*([0-9]+[а-яa-z]?)\\b", 1)))
     return out
 
 
+#: Slots whose normalized texts the rules of rows ask for.
+KEYED = ("address", "raw", "street", "territory", "microdistrict", "municipality", "locality", "sources")
+
+
+def _asked(row: dict[str, Column], rule: Callable[[dict[str, Column], dict[str, Column]], Column], either: bool = False) -> Column:
+    """What a rule makes of a row's slots and their normalized texts, all worked out once a row, however many questions it asks.
+
+    either: a row without an address has its raw text as one.
+    """
+    given = [k for k in SLOTS if row.get(k) is not None]
+    there = {*given, "address", "raw", "house_base"}
+    blank = {k: F.lit("") for k in SLOTS}
+
+    def of_texts(texts: Column) -> Column:
+        r = _row({k: texts[k] for k in given}, lambda c: F.lit("") if c is None else c)
+        if either:
+            r["address"] = F.when(r["address"] != "", r["address"]).otherwise(r["raw"])
+        made = F.struct(*[r[k].alias(k) for k in SLOTS if k in there])
+        return let(made, of_row)
+
+    def of_row(r: Column) -> Column:
+        made = F.struct(*[normalized(r[k]).alias(k) for k in KEYED if k in there])
+        return let(made, lambda k: rule(blank | {x: r[x] for x in there}, blank | {x: k[x] for x in KEYED if x in there}))
+
+    squeezed = lambda c: F.coalesce(let(c.cast("string"), clean), F.lit(""))
+    return let(F.struct(*([squeezed(row[k]).alias(k) for k in given] or [F.lit("").alias("address")])), of_texts)
+
+
+def _key(text: Column, key: Column | None) -> Column:
+    return normalized(text) if key is None else key
+
+
 def has_street_word(text: Column) -> Column:
     return text.rlike(f"{L}{_words(STREET_WORDS)}{R}")
 
@@ -62,15 +95,15 @@ def has_district_word(text: Column) -> Column:
     return text.rlike(f"{L}{_words(DISTRICT_WORDS)}{R}")
 
 
-def names_organisation(text: Column) -> Column:
-    """A word of ORGANISATION_WORDS stands in the normalized text."""
-    return F.concat(F.lit(" "), normalized(text), F.lit(" ")).rlike(f" {_words(ORGANISATION_WORDS)} ")
+def names_organisation(text: Column, key: Column | None = None) -> Column:
+    """A word of ORGANISATION_WORDS stands in the normalized text (key, if it is known)."""
+    return F.concat(F.lit(" "), _key(text, key), F.lit(" ")).rlike(f" {_words(ORGANISATION_WORDS)} ")
 
 
-def route_fragment(text: Column) -> Column:
+def route_fragment(text: Column, key: Column | None = None) -> Column:
     """Words of a route, a dash between two places one of which is an organisation, or a numbered one."""
-    dashed = text.rlike("(?U)\\s[-–—]\\s") & (names_organisation(text) | text.rlike(f"{L}(?:с/о|дк|жк){R}"))
-    return normalized(text).rlike(_words(ROUTE_WORDS)) | dashed | (text.rlike("(?U)^\\s*[0-9]+\\.\\s+") & names_organisation(text))
+    dashed = text.rlike("(?U)\\s[-–—]\\s") & (names_organisation(text, key) | text.rlike(f"{L}(?:с/о|дк|жк){R}"))
+    return _key(text, key).rlike(_words(ROUTE_WORDS)) | dashed | (text.rlike("(?U)^\\s*[0-9]+\\.\\s+") & names_organisation(text, key))
 
 
 def unbalanced(text: Column, pairs: tuple[str, ...] = ("()", "«»")) -> Column:
@@ -80,22 +113,25 @@ def unbalanced(text: Column, pairs: tuple[str, ...] = ("()", "«»")) -> Column:
     return out
 
 
-def dumped_table(text: Column) -> Column:
+def dumped_table(text: Column, key: Column | None = None) -> Column:
     """A row of a table written into one cell."""
     marked = text.contains("|") | F.lower(text).contains("column_")
-    return marked & F.coalesce(normalized(text).rlike(_words(DUMP_WORDS)), F.lit(False))
+    return marked & F.coalesce(_key(text, key).rlike(_words(DUMP_WORDS)), F.lit(False))
 
 
-def subject_only(text: Column) -> Column:
-    return normalized(text).rlike(f"^(?:[а-я ]+ )?{_words(SUBJECT_KINDS)}$")
+def subject_only(text: Column, key: Column | None = None) -> Column:
+    return _key(text, key).rlike(f"^(?:[а-я ]+ )?{_words(SUBJECT_KINDS)}$")
 
 
 def too_general(row: dict[str, Column]) -> Column:
     """A place with no street, territory, district or house."""
-    r = _row(row)
+    return _asked(row, _too_general)
+
+
+def _too_general(r: dict[str, Column], k: dict[str, Column]) -> Column:
     empty = (r["street"] == "") & (r["territory"] == "") & (r["microdistrict"] == "") & (r["house_base"] == "")
     told = has_street_word(r["address"]) | has_district_word(r["address"]) | r["address"].rlike(f"{L}{_words(HOUSE_WORDS)}\\.?\\s*[0-9]")
-    return empty & ~told & normalized(r["address"]).rlike(_words(GENERAL_WORDS))
+    return empty & ~told & k["address"].rlike(_words(GENERAL_WORDS))
 
 
 def invalid_house(base: Column) -> Column:
@@ -113,8 +149,8 @@ def looks_like_address(text: Column, street: Column, house_base: Column) -> Colu
     return F.coalesce((has_street_word(text) & (s | h)) | (s & h), F.lit(False))
 
 
-def ideal_municipality(text: Column) -> Column:
-    key = normalized(text)
+def ideal_municipality(text: Column, key: Column | None = None) -> Column:
+    key = _key(text, key)
     kind = key.contains("муниципаль") | key.contains("городской округ") | F.concat(F.lit(" "), key, F.lit(" ")).rlike(" (?:район|округ) ") | key.rlike("^(?:город|г) [а-яa-z0-9 ]+$")
     return kind & ~has_street_word(text) & ~has_district_word(text)
 
@@ -126,15 +162,15 @@ def ideal_locality(text: Column) -> Column:
     return (F.size(words) > 1) & F.rtrim(words[0], F.lit(".")).isin(*PLACE_KINDS) & named & ~has_street_word(text) & ~has_district_word(text)
 
 
-def explicit_street(text: Column) -> Column:
+def explicit_street(text: Column, key: Column | None = None) -> Column:
     """A street word before the name, or after it."""
-    return text.rlike(f"(?iuU)^\\s*{_words(STREET_WORDS)}\\.?\\s+") | (text.rlike(f"{L}{_words(STREET_ENDS)}\\s*$") & ~names_organisation(text))
+    return text.rlike(f"(?iuU)^\\s*{_words(STREET_WORDS)}\\.?\\s+") | (text.rlike(f"{L}{_words(STREET_ENDS)}\\s*$") & ~names_organisation(text, key))
 
 
-def plain_street(text: Column) -> Column:
+def plain_street(text: Column, key: Column | None = None) -> Column:
     """One to four words of a name, not all of them numbers."""
-    words = F.split(normalized(text), " ")
-    return F.size(words).between(1, 4) & normalized(text).rlike("[а-яa-z]") & ~text.rlike("[()|;:]") & ~names_organisation(text) & ~route_fragment(text) & ~normalized(text).rlike(_words(GENERAL_WORDS[:8]))
+    key = _key(text, key)
+    return F.size(F.split(key, " ")).between(1, 4) & key.rlike("[а-яa-z]") & ~text.rlike("[()|;:]") & ~names_organisation(text, key) & ~route_fragment(text, key) & ~key.rlike(_words(GENERAL_WORDS[:8]))
 
 
 #: How a card writes what stands before a house's number, and before the numbers of its parts.
@@ -154,62 +190,72 @@ def ideal_house(text: Column) -> Column:
 
 def slot_reason(row: dict[str, Column]) -> Column:
     """The first slot that can't be right, or null."""
-    r = _row(row)
-    from_route = normalized(r["sources"]).rlike(_words(ROUTE_WORDS))
-    out = F.when(from_route & (names_organisation(r["raw"]) | names_organisation(r["street"]) | route_fragment(r["raw"]) | route_fragment(r["street"])), "route_source_fragment")
-    out = out.when(names_organisation(r["address"]), "object_name_in_address").when(route_fragment(r["address"]), "route_fragment_in_address")
+    return _asked(row, _slot_reason)
+
+
+def _slot_reason(r: dict[str, Column], k: dict[str, Column]) -> Column:
+    organisation, route = ({s: asks(r[s], k[s]) for s in KEYED} for asks in (names_organisation, route_fragment))
+    from_route = k["sources"].rlike(_words(ROUTE_WORDS))
+    out = F.when(from_route & (organisation["raw"] | organisation["street"] | route["raw"] | route["street"]), "route_source_fragment")
+    out = out.when(organisation["address"], "object_name_in_address").when(route["address"], "route_fragment_in_address")
     for slot in ("municipality", "locality", "territory", "microdistrict"):
         there = r[slot] != ""
-        out = out.when(there & names_organisation(r[slot]), f"object_name_in_{slot}_slot").when(there & route_fragment(r[slot]), f"route_fragment_in_{slot}_slot").when(there & unbalanced(r[slot]), f"unbalanced_{slot}_slot")
-        ideal = {"municipality": ideal_municipality, "locality": ideal_locality}.get(slot)
-        if ideal:
-            out = out.when(there & ~ideal(r[slot]), f"invalid_{slot}_slot")
+        out = out.when(there & organisation[slot], f"object_name_in_{slot}_slot").when(there & route[slot], f"route_fragment_in_{slot}_slot").when(there & unbalanced(r[slot]), f"unbalanced_{slot}_slot")
+        if slot == "municipality":
+            out = out.when(there & ~ideal_municipality(r[slot], k[slot]), "invalid_municipality_slot")
+        if slot == "locality":
+            out = out.when(there & ~ideal_locality(r[slot]), "invalid_locality_slot")
     street = r["street"] != ""
-    out = out.when(street & names_organisation(r["street"]), "object_name_in_street_slot").when(street & route_fragment(r["street"]), "route_fragment_in_street_slot")
-    out = out.when(street & unbalanced(r["street"]), "unbalanced_street_fragment").when(street & ~explicit_street(r["street"]) & ~plain_street(r["street"]), "invalid_street_slot")
+    out = out.when(street & organisation["street"], "object_name_in_street_slot").when(street & route["street"], "route_fragment_in_street_slot")
+    out = out.when(street & unbalanced(r["street"]), "unbalanced_street_fragment").when(street & ~explicit_street(r["street"], k["street"]) & ~plain_street(r["street"], k["street"]), "invalid_street_slot")
     out = out.when((r["house"] != "") & (~ideal_house(r["house"]) | unbalanced(r["house"])), "invalid_house_slot")
     return out.when(unbalanced(r["address"]) | unbalanced(r["street"]), "unbalanced_address_fragment")
 
 
 def drop_reason(row: dict[str, Column]) -> Column:
     """The first reason to reject a collected row, or null: its text, its core, its scope, its slots."""
-    r = _row(row)
-    place = (r["street"] != "") | (r["territory"] != "") | (r["microdistrict"] != "")
     valid = F.coalesce(row["scope_valid"], F.lit(False)) if "scope_valid" in row else F.lit(False)
     digits = lambda c: F.regexp_replace(c, "[^0-9]+", "")
-    return (
-        F.when(r["address"] == "", "empty_address")
-        .when(F.length(r["address"]) > MOST_CHARS, "address_too_long")
-        .when(dumped_table(r["raw"]) | dumped_table(r["address"]), "contaminated_table_dump")
-        .when(subject_only(r["address"]), "subject_only_address")
-        .when(too_general(row), "too_general_location")
-        .when((r["house_base"] == "") & place, "street_without_house")
-        .when(r["house_base"] == "", "no_house")
-        .when(invalid_house(r["house_base"]), "invalid_house_number")
-        .when(~place, "house_without_street_or_territory")
-        .when(valid & codes_conflict(digits(r["scope_code"]), digits(r["code"])), "oktmo_scope_conflict")
-        .otherwise(slot_reason(row))
-    )
+
+    def rule(r: dict[str, Column], k: dict[str, Column]) -> Column:
+        place = (r["street"] != "") | (r["territory"] != "") | (r["microdistrict"] != "")
+        return (
+            F.when(r["address"] == "", "empty_address")
+            .when(F.length(r["address"]) > MOST_CHARS, "address_too_long")
+            .when(dumped_table(r["raw"], k["raw"]) | dumped_table(r["address"], k["address"]), "contaminated_table_dump")
+            .when(subject_only(r["address"], k["address"]), "subject_only_address")
+            .when(_too_general(r, k), "too_general_location")
+            .when((r["house_base"] == "") & place, "street_without_house")
+            .when(r["house_base"] == "", "no_house")
+            .when(invalid_house(r["house_base"]), "invalid_house_number")
+            .when(~place, "house_without_street_or_territory")
+            .when(valid & codes_conflict(digits(r["scope_code"]), digits(r["code"])), "oktmo_scope_conflict")
+            .otherwise(_slot_reason(r, k))
+        )
+
+    return _asked(row, rule)
 
 
 def issue_codes(row: dict[str, Column]) -> Column:
     """All that is wrong with a finished row, in a fixed order; an empty array if nothing is."""
-    r = _row(row)
-    address = F.when(r["address"] != "", r["address"]).otherwise(r["raw"])
-    place = (r["street"] != "") | (r["territory"] != "") | (r["microdistrict"] != "")
     stems = lambda text, words: F.translate(F.lower(text), "ё", "е").rlike(f"{L}{_words(words).replace(' ', '\\s+')}")
-    house = F.when((r["house_base"] == "") & place, "street_without_house").when(r["house_base"] == "", "no_house").when(invalid_house(r["house_base"]), "invalid_house_number").when(~place, "house_without_street_or_territory")
     square = ("()", "[]")
-    codes = F.array(
-        F.when(F.length(address) > MOST_CHARS, "address_too_long"),
-        F.when(subject_only(address), "subject_only_address"),
-        F.when(too_general(row | {"address": address}), "too_general_location"),
-        house,
-        F.when(stems(address, OBJECT_STEMS), "object_name_in_address"),
-        F.when(stems(address, ROUTE_STEMS) | stems(r["raw"], ROUTE_STEMS), "route_fragment_in_address"),
-        F.when(unbalanced(address, square) | unbalanced(r["street"], square), "unbalanced_address_fragment"),
-    )
-    return F.when(address == "", F.array(F.lit("empty_address"))).otherwise(F.array_compact(codes))
+
+    def rule(r: dict[str, Column], k: dict[str, Column]) -> Column:
+        place = (r["street"] != "") | (r["territory"] != "") | (r["microdistrict"] != "")
+        house = F.when((r["house_base"] == "") & place, "street_without_house").when(r["house_base"] == "", "no_house").when(invalid_house(r["house_base"]), "invalid_house_number").when(~place, "house_without_street_or_territory")
+        codes = F.array(
+            F.when(F.length(r["address"]) > MOST_CHARS, "address_too_long"),
+            F.when(subject_only(r["address"], k["address"]), "subject_only_address"),
+            F.when(_too_general(r, k), "too_general_location"),
+            house,
+            F.when(stems(r["address"], OBJECT_STEMS), "object_name_in_address"),
+            F.when(stems(r["address"], ROUTE_STEMS) | ((r["raw"] != r["address"]) & stems(r["raw"], ROUTE_STEMS)), "route_fragment_in_address"),
+            F.when(unbalanced(r["address"], square) | unbalanced(r["street"], square), "unbalanced_address_fragment"),
+        )
+        return F.when(r["address"] == "", F.array(F.lit("empty_address"))).otherwise(F.array_compact(codes))
+
+    return _asked(row, rule, either=True)
 
 
 def issue_samples(rows: DataFrame, address: str, issues: str = "issues", order: str = "row_idx", most: int = 5) -> DataFrame:

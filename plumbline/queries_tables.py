@@ -17,7 +17,7 @@ from plumbline.operators import assembly, collect, matching, observations, profi
 from plumbline.queries import LOW, STREETS, _duck, _street, _with, query, table, view
 from plumbline.sources import cells as C
 from plumbline.sources import regions
-from plumbline.sources.scratch import settled
+from plumbline.sources.scratch import settled, spread
 
 
 def _case(kinds: list[tuple], at: int, key: str = "c_custkey") -> str:
@@ -770,7 +770,7 @@ def house_kinds(spark, sf_dir):
     )
 )
 def address_predicates(spark, sf_dir):
-    rows = view(spark, sf_dir, "addr_blank").withColumn("there", F.coalesce("address", F.lit("")))
+    rows = spread(view(spark, sf_dir, "addr_blank"), "row_idx").withColumn("there", F.coalesce("address", F.lit("")))
     looks = sanitize.looks_like_address(F.col("there"), F.col("street"), F.col("house")) & (F.col("there") != "")
     core = sanitize.address_core(F.col("there"), F.col("street"), F.col("house"), F.lit(None)) & (F.col("there") != "")
     return rows.select("row_idx", looks.alias("looks"), core.alias("core"))
@@ -784,7 +784,7 @@ def address_predicates(spark, sf_dir):
 )
 def cleaned_reference(spark, sf_dir):
     """Rows without issues, the first of each street and house."""
-    rows = view(spark, sf_dir, "addr_blank").withColumn("key", F.concat_ws("|", "street", "house"))
+    rows = spread(view(spark, sf_dir, "addr_blank"), "row_idx").withColumn("key", F.concat_ws("|", "street", "house"))
     issues = sanitize.issue_codes({"address": F.col("address"), "street": F.col("street"), "house_base": F.col("house")})
     return reference.cleaned(rows, "key", issues).select("row_idx", "street", "house")
 

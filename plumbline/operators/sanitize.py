@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from plumbline.functions.address import L, R
 from plumbline.functions.text import clean, let, normalized
 from plumbline.operators.collect import codes_conflict
+from plumbline.sources.scratch import settled
 
 MOST_CHARS, CORE_CHARS = 700, 1200
 #: Words of organisations and of routes in collected rows (whole words; the latter anywhere).
@@ -260,6 +261,8 @@ def issue_codes(row: dict[str, Column]) -> Column:
 
 def issue_samples(rows: DataFrame, address: str, issues: str = "issues", order: str = "row_idx", most: int = 5) -> DataFrame:
     """issue, n_rows, samples: the first `most` addresses of each issue, cut before they meet; rows without any count as clean."""
+    # counts and samples both read the issues, which are worked out once
+    rows = settled(rows.select(order, address, issues), "issues")
     each = rows.select(order, address, F.explode(F.when(F.size(issues) == 0, F.array(F.lit("clean"))).otherwise(F.col(issues))).alias("issue"))
     first = F.row_number().over(Window.partitionBy("issue").orderBy(order))
     shown = each.where((F.col("issue") != "clean") & (F.btrim(address) != "")).withColumn("_n", first).where(F.col("_n") <= most)

@@ -3,6 +3,7 @@
 import plumbline.queries_tables  # noqa: F401  adds its queries
 import pytest
 from plumbline.queries import QUERIES
+from plumbline.sources.scratch import settled
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,3 +18,13 @@ def below(df):
 def test_rules_are_asked_behind_the_shuffle(spark, name):
     above, under = below(QUERIES[name](spark, DATA))
     assert "RLIKE" in above and "RLIKE" not in under
+
+
+def test_issue_samples_asks_once(spark, monkeypatch):
+    from plumbline.operators import sanitize
+
+    written = []
+    monkeypatch.setattr(sanitize, "settled", lambda df, label: written.append(df) or settled(df, label))
+    plan = QUERIES["issue_samples"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(written) == 1 and "RLIKE" not in plan
+    assert "RLIKE" not in below(written[0])[1]

@@ -14,7 +14,7 @@ def below(df):
     return plan.split("RepartitionByExpression")
 
 
-@pytest.mark.parametrize("name", ["cleaned_reference", "issues_of_rows", "drop_reasons", "address_fragments"])
+@pytest.mark.parametrize("name", ["cleaned_reference", "issues_of_rows", "drop_reasons", "address_fragments", "sanitizer_reasons", "issue_codes_summary"])
 def test_rules_are_asked_behind_the_shuffle(spark, name):
     above, under = below(QUERIES[name](spark, DATA))
     assert "RLIKE" in above.upper() and "RLIKE" not in under.upper() and "_told_houses" not in under

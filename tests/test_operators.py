@@ -164,3 +164,15 @@ def test_key_sets_of_one_side(spark):
     assert told(a, b) == {"both": 1, "only_a": 0, "only_b": 2}
     assert told(b, a) == {"both": 1, "only_a": 2, "only_b": 0}
     assert told(a.where("key = ''"), b.where("key is null")) == {"both": 0, "only_a": 0, "only_b": 0}
+
+
+def test_compared_pairs_meet_nothing_else(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, ""), (5, "z")], "row_idx int, key string")
+    b = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None), (5, "w")], "row_idx int, key string")
+    df = compare.compare_tables(a, b)
+    two = "сопоставлено: 2 строк B"
+    want = {(two, "x", "x", i, k) for i in (1, 2) for k in (1, 2)} | {("сопоставлено", "y", "y", 3, 3), ("только A", "z", None, 5, None), ("только B", None, "w", None, 5)}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert "FullOuter" in joins[0] and len(joins) == 2 and "Inner" in joins[1]

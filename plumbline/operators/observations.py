@@ -231,21 +231,26 @@ def observation_addresses(rows: DataFrame, part: list[str]) -> DataFrame:
     rows = settled(rows, "observed")
     ids = [*part, "row_idx"]
     entry = rows.select(*ids, F.posexplode(F.map_entries("payload")).alias("i", "e")).select(*ids, "i", F.col("e.key").alias("header"), clean(F.col("e.value")).alias("value")).where("value is not null")
-    entry = settled(A.parsed(entry.withColumn("slot", header_slot("header")), "value"), "entries")
-    h, v, p = normalized("header"), F.col("value"), F.col("parsed")
-    titled, hint = h.rlike(ADDRESS_WORDS), v.rlike(collect.ADMIN_WORDS)
+    entry = A.parsed(entry.withColumn("slot", header_slot("header")), "value")
+    h, v, p = F.col("_h"), F.col("value"), F.col("parsed")
     points = lambda c, n: F.when(c, n).otherwise(0)
-    first = 20 + points(h.contains("местоположение"), 4) - points(h.contains("кадастр"), 8) + points(collect.plausible(v) | hint, 8) + points((p["sw"] != "") | (p["ter"] != ""), 6) + points(p["hb"] != "", 10) + points(p["hm"] != "", 4) - points(sanitize.dumped_table(v), 20)
-    other = points(titled, 10) + points(collect.plausible(v), 7) + points(hint, 3)
-    best = lambda cond, score: F.max(F.when(cond, F.struct(score.alias("s"), F.length(v).alias("n"), (-F.col("i")).alias("o"), v.alias("v")))).getField("v")
-    formed = {"street": renormalized("street", v), "house": renormalized("house", v)}
-    slot_value = lambda s: F.min(F.when((F.col("slot") == s) & formed.get(s, v).isNotNull(), F.struct("i", formed.get(s, v).alias("v")))).getField("v").alias(s)
-    picked = entry.groupBy(*ids).agg(best(titled, first).alias("_a"), best(~h.rlike(NO_ADDRESS_WORDS) & (other > 0), other).alias("_b"), *[slot_value(s) for s in (*PLACES, "street", "house")])
+    # what is asked of a value is a column of a table: the aggregate names it several times
+    entry = entry.withColumn("_h", normalized("header")).withColumns({"titled": h.rlike(ADDRESS_WORDS), "hint": v.rlike(collect.ADMIN_WORDS), "plausible": collect.plausible(v), "listed": ~h.rlike(NO_ADDRESS_WORDS)})
+    titled, hint, plausible = (F.col(c) for c in ("titled", "hint", "plausible"))
+    first = 20 + points(h.contains("местоположение"), 4) - points(h.contains("кадастр"), 8) + points(plausible | hint, 8) + points((p["sw"] != "") | (p["ter"] != ""), 6) + points(p["hb"] != "", 10) + points(p["hm"] != "", 4) - points(sanitize.dumped_table(v), 20)
+    other = points(titled, 10) + points(plausible, 7) + points(hint, 3)
+    formed = F.when(F.col("slot") == "street", renormalized("street", v)).when(F.col("slot") == "house", renormalized("house", v)).otherwise(v)
+    entry = settled(entry.select(*ids, "i", "value", "slot", "titled", "listed", first.alias("first"), other.alias("other"), formed.alias("formed")), "entries")
+    best = lambda cond, score: F.max(F.when(cond, F.struct(F.col(score).alias("s"), F.length(v).alias("n"), (-F.col("i")).alias("o"), v.alias("v")))).getField("v")
+    slot_value = lambda s: F.min(F.when((F.col("slot") == s) & F.col("formed").isNotNull(), F.struct("i", F.col("formed").alias("v")))).getField("v").alias(s)
+    picked = entry.groupBy(*ids).agg(best(titled, "first").alias("_a"), best(F.col("listed") & (F.col("other") > 0), "other").alias("_b"), *[slot_value(s) for s in (*PLACES, "street", "house")])
     both = F.col("street").isNotNull() & F.col("house").isNotNull()
     text = F.coalesce(without_tail("_a"), F.when(~both, F.col("_b")))
     behind = lambda a, b: F.concat(F.rtrim(a, F.lit(" ,")), F.lit(", "), b)
-    picked = A.parsed(picked.withColumn("_t", text), "_t").withColumn("_t", F.when((F.col("parsed.sw") == "") & F.col("street").isNotNull(), behind(F.col("_t"), F.col("street"))).otherwise(F.col("_t"))).drop("parsed")
-    picked = A.parsed(picked, "_t").withColumn("_t", F.when((F.col("parsed.hb") == "") & F.col("house").isNotNull(), behind(F.col("_t"), F.col("house"))).otherwise(F.col("_t"))).drop("parsed")
+    # each parse reads its rows twice, so these are tables too
+    picked = settled(picked.withColumn("_t", text).drop("_a", "_b"), "picked")
+    picked = A.parsed(picked, "_t").withColumn("_t", F.when((F.col("parsed.sw") == "") & F.col("street").isNotNull(), behind(F.col("_t"), F.col("street"))).otherwise(F.col("_t"))).drop("parsed")
+    picked = A.parsed(settled(picked, "picked"), "_t").withColumn("_t", F.when((F.col("parsed.hb") == "") & F.col("house").isNotNull(), behind(F.col("_t"), F.col("house"))).otherwise(F.col("_t"))).drop("parsed")
     lines = F.slice("context", F.greatest(F.lit(1), F.size("context") - CONTEXT_USED + 1), CONTEXT_USED)
     unnamed = [F.when(F.col("_t").isNull() | ~normalized("_t").contains(normalized(s)), F.col(s)) for s in PLACES]
     said = F.when(F.col("_t").isNotNull(), F.array("_t")).when(both, F.array("street", "house"))

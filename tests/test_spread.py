@@ -28,3 +28,8 @@ def test_issue_samples_asks_once(spark, monkeypatch):
     plan = QUERIES["issue_samples"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert len(written) == 1 and "RLIKE" not in plan
     assert "RLIKE" not in below(written[0])[1]
+
+
+def test_observed_values_are_picked_once(spark):
+    plan = QUERIES["observed_addresses"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(" not in plan and "parquet" in plan

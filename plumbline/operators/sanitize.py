@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.address import L, R
-from plumbline.functions.text import clean, let, normalized
+from plumbline.functions.text import clean, clean_once, let, normalized
 from plumbline.operators.collect import codes_conflict
 from plumbline.sources.scratch import settled
 
@@ -77,10 +77,12 @@ def _asked(row: dict[str, Column], rule: Callable[[dict[str, Column], dict[str,
         return let(made, of_row)
 
     def of_row(r: Column) -> Column:
-        made = F.struct(*[normalized(r[k]).alias(k) for k in KEYED if k in there])
+        # most raw texts are the address itself
+        key = lambda k, address: address if k == "address" else F.when(r[k] == r["address"], address).otherwise(normalized(r[k])) if k == "raw" else normalized(r[k])
+        made = let(normalized(r["address"]), lambda address: F.struct(*[key(k, address).alias(k) for k in KEYED if k in there]))
         return let(made, lambda k: rule(blank | {x: r[x] for x in there}, blank | {x: k[x] for x in KEYED if x in there}))
 
-    squeezed = lambda c: F.coalesce(let(c.cast("string"), clean), F.lit(""))
+    squeezed = lambda c: F.coalesce(clean_once(c.cast("string")), F.lit(""))
     return let(F.struct(*([squeezed(row[k]).alias(k) for k in given] or [F.lit("").alias("address")])), of_texts)
 
 
@@ -110,7 +112,8 @@ def route_fragment(text: Column, key: Column | None = None) -> Column:
 def unbalanced(text: Column, pairs: tuple[str, ...] = ("()", "«»")) -> Column:
     out = F.lit(False)
     for a, b in pairs:
-        out = out | (F.length(F.translate(text, a, "")) != F.length(F.translate(text, b, "")))
+        without = lambda c: F.length(F.replace(text, F.lit(c), F.lit("")))
+        out = out | (without(a) != without(b))
     return out
 
 
@@ -158,9 +161,11 @@ def ideal_municipality(text: Column, key: Column | None = None) -> Column:
 
 def ideal_locality(text: Column) -> Column:
     """The kind of a place and then its name, of letters, digits, dashes, dots and apostrophes; no street, no district."""
-    words = F.split(F.btrim(F.lower(text)), "\\s+")
-    named = F.forall(F.slice(words, 2, 1000), lambda w: w.rlike("^[а-яёa-z0-9.'-]+$"))
-    return (F.size(words) > 1) & F.rtrim(words[0], F.lit(".")).isin(*PLACE_KINDS) & named & ~has_street_word(text) & ~has_district_word(text)
+    def placed(words: Column) -> Column:
+        named = F.forall(F.slice(words, 2, 1000), lambda w: w.rlike("^[а-яёa-z0-9.'-]+$"))
+        return (F.size(words) > 1) & F.rtrim(words[0], F.lit(".")).isin(*PLACE_KINDS) & named
+
+    return let(F.split(F.btrim(F.lower(text)), "\\s+"), placed) & ~has_street_word(text) & ~has_district_word(text)
 
 
 def explicit_street(text: Column, key: Column | None = None) -> Column:
@@ -180,13 +185,12 @@ HOUSE_KINDS, PART_KINDS = ("д.", "зд.", "стр."), ("к", "корп", "ст
 
 def ideal_house(text: Column) -> Column:
     """As cards write it: a kind with its dot and a number; then, behind commas, parts with a kind and a number or letter."""
-    parts = F.transform(F.split(F.lower(text), ","), lambda p: F.btrim(p))
     number = lambda x, least: F.regexp_replace(x, "[а-яa-z]$", "").rlike(f"^[0-9]{{{least},4}}$")
     behind = lambda x, kind: F.btrim(F.substring(x, F.lit(len(kind) + 1), F.length(x)))
     one_of = lambda x, kinds, fits: reduce(lambda a, b: a | b, [x.startswith(k) & fits(behind(x, k)) for k in kinds])
-    house = one_of(parts[0], HOUSE_KINDS, lambda x: number(x, 1))
-    more = F.forall(F.slice(parts, 2, 1000), lambda p: one_of(p, PART_KINDS, lambda x: number(F.ltrim(F.ltrim(x, F.lit("."))), 0)))
-    return house & more
+    house = lambda p: one_of(p, HOUSE_KINDS, lambda x: number(x, 1))
+    part = lambda p: one_of(p, PART_KINDS, lambda x: number(F.ltrim(F.ltrim(x, F.lit("."))), 0))
+    return let(F.transform(F.split(F.lower(text), ","), lambda p: F.btrim(p)), lambda parts: let(parts[0], house) & F.forall(F.slice(parts, 2, 1000), part))
 
 
 def slot_reason(row: dict[str, Column]) -> Column:

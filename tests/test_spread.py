@@ -33,3 +33,20 @@ def test_issue_samples_asks_once(spark, monkeypatch):
 def test_observed_values_are_picked_once(spark):
     plan = QUERIES["observed_addresses"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "max(" not in plan and "parquet" in plan
+
+
+def full_plan(spark, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_rules_work_values_out_once(spark):
+    """Expressions in a lambda are not shared: what a plan says twice is done twice."""
+    from plumbline.queries_tables import _ROW
+
+    plan = full_plan(spark, "drop_reasons")
+    assert plan.count("(?U)\\s+") == len(_ROW)  # white space of each slot
+    assert plan.count("split(lower(") == 1 and plan.count("split(trim(lower(") == 1, plan  # parts of a house, words of a place

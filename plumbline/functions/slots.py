@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import address as A
-from plumbline.functions.text import clean, let, level_key, normalized, postal_index
+from plumbline.functions.text import clean, clean_once, let, level_key, normalized, postal_index
 from plumbline.operators.reference import construct_address
 
 #: Slots of a line in order, and technical ones.
@@ -233,13 +233,13 @@ def official_if_same(locality: Column, official: Column) -> Column:
 
 def renormalized(slot: str, value: Column) -> Column:
     """A slot's value in the form in which votes compare it."""
-    text = clean(value)
+    text = clean_once(value) if slot in ("street", "house") else clean(value)
     if slot == "street":
         return street_display(text)
     if slot == "house":
         base = lambda t: F.regexp_extract(F.lower(t), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*([0-9]+)", 1)
         tail = lambda t: F.regexp_extract(F.lower(t), "^(?:дом|д|здание|зд|строение|стр)?\\.?\\s*[0-9]+(.*)$", 1)
-        return let(text, lambda t: let(A.house_modifiers(tail(t)), lambda mods: house_display(base(t), mods, house_kind(t))))
+        return let(text, lambda t: let(A.house_modifiers(tail(t)), lambda mods: let(base(t), lambda b: house_display(b, mods, house_kind(t)))))
     if slot == "locality":
         return official_locality(text)
     if slot == "municipality":

@@ -367,15 +367,18 @@ def address_fragments(text: Column, most: int = 8) -> Column:
     from plumbline.functions.slots import renormalized
 
     t = _text(text)
-    told = F.regexp_replace(t, f"(?iuU)\\([^()]*{L[6:]}{_words(ORGANISATION_WORDS)}{R}[^()]*\\)(?=\\s+[-–—]\\s|\\s*(?:с/о|дк|жк|кп|мкр){R})", "")
+    fits = F.length(t).between(8, CORE_CHARS)
+    # texts of other lengths don't go to Python at all
+    told = F.regexp_replace(F.when(fits, t), f"(?iuU)\\([^()]*{L[6:]}{_words(ORGANISATION_WORDS)}{R}[^()]*\\)(?=\\s+[-–—]\\s|\\s*(?:с/о|дк|жк|кп|мкр){R})", "")
+
     def piece(x: Column) -> Column:
-        def written(street: Column, number: Column) -> Column:
-            fits = explicit_street(street) & ideal_house(number) & ~names_organisation(street) & ~route_fragment(street) & ~unbalanced(street)
+        def written(street: Column, number: Column, key: Column) -> Column:
+            fits = explicit_street(street, key) & ideal_house(number) & ~names_organisation(street, key) & ~route_fragment(street, key) & ~unbalanced(street)
             return F.when(fits, F.concat(F.btrim(street, F.lit(" ,")), F.lit(", "), number))
 
-        return let(renormalized("street", x["street"]), lambda s: let(renormalized("house", x["house"]), lambda n: written(s, n)))
+        return let(renormalized("street", x["street"]), lambda s: let(normalized(s), lambda k: let(renormalized("house", x["house"]), lambda n: written(s, n, k))))
 
     found = _told_houses(told)
     pieces = F.array_distinct(F.array_compact(F.transform(found, piece)))
-    kept = F.slice(pieces, F.greatest(F.lit(1), F.size(pieces) - most + 1), most)
-    return F.when(F.length(t).between(8, CORE_CHARS), kept).otherwise(F.array().cast("array<string>"))
+    kept = let(pieces, lambda p: F.slice(p, F.greatest(F.lit(1), F.size(p) - most + 1), most))
+    return F.when(fits, kept).otherwise(F.array().cast("array<string>"))

@@ -50,3 +50,20 @@ def test_rules_work_values_out_once(spark):
     plan = full_plan(spark, "drop_reasons")
     assert plan.count("(?U)\\s+") == len(_ROW)  # white space of each slot
     assert plan.count("split(lower(") == 1 and plan.count("split(trim(lower(") == 1, plan  # parts of a house, words of a place
+
+
+def test_fragments_are_worked_out_once(spark):
+    plan = full_plan(spark, "address_fragments")
+    assert plan.count("array_distinct(") == 1  # the pieces of a text
+    assert plan.count("[^0-9a-zа-я]+") == 1, plan  # the key of a street
+
+
+def test_texts_of_other_lengths_do_not_go_to_python(spark):
+    from plumbline.operators.sanitize import address_fragments
+    from pyspark.sql import functions as F
+
+    texts = ["ул. Мира, д. 5", "ул. М 5", "ул. Мира, д. 5 " + "а" * 1186, "ул. Мира, д. 5 " + "а" * 1185, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, v string").select("n", address_fragments(F.col("v")).alias("f"))
+    asked = rows._jdf.queryExecution().optimizedPlan().toString().split("_told_houses(")[1]
+    assert asked.startswith("regexp_replace(CASE WHEN"), asked
+    assert [r.f for r in rows.orderBy("n").collect()] == [["ул. Мира, д. 5"], [], [], [], []]
